@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import decontam, mixing, sharding, simhash
+from . import chat, covertree, decontam, mixing, paragraphs, sharding, simhash
 
 QUERIES = {
     "op2_sharding": sharding.op2,
     "op3_mixing": mixing.op3,
     "op5_simhash": simhash.op5,
     "op7_decontamination": decontam.op7,
+    "op8_embeddings": covertree.op8,
+    "op9_chat": chat.op9,
+    "op10_paragraphs": paragraphs.op10,
 }
 
 ORACLE_SQL = {"op7_decontamination": decontam.OP7_SQL}
