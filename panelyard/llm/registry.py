@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import chat, covertree, decontam, mixing, paragraphs, sharding, simhash
+from . import chat, covertree, decontam, mixing, paragraphs, pii, quality, sharding, simhash, toxicity
 
 QUERIES = {
+    "op1_pii": pii.op1,
     "op2_sharding": sharding.op2,
     "op3_mixing": mixing.op3,
+    "op4_quality": quality.op4,
     "op5_simhash": simhash.op5,
+    "op6_toxicity": toxicity.op6,
     "op7_decontamination": decontam.op7,
     "op8_embeddings": covertree.op8,
     "op9_chat": chat.op9,
