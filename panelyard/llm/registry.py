@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from . import chat, covertree, decontam, mixing, paragraphs, pii, quality, sharding, simhash, toxicity
 
 QUERIES = {
@@ -15,6 +17,7 @@ QUERIES = {
     "op8_embeddings": covertree.op8,
     "op9_chat": chat.op9,
     "op10_paragraphs": paragraphs.op10,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL = {"op7_decontamination": decontam.OP7_SQL}
