@@ -16,13 +16,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers as tickers, the mean unit price of a ship date as the close."""
     li = table(spark, sf_dir, "lineitem").select("l_suppkey", F.to_date("l_shipdate").alias("date"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("p"), "l_quantity")
-    return li.groupBy(F.concat(F.lit("S"), "l_suppkey").alias("ticker"), "date").agg(F.round(F.avg("p"), 6).alias("close"), F.sum("l_quantity").cast("long").alias("volume"))
+    return li.groupBy(F.concat(F.lit("S"), "l_suppkey").alias("ticker"), "date").agg(F.round(F.avg("p"), 8).alias("close"), F.sum("l_quantity").cast("long").alias("volume"))
 
 
 def bench(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mean unit price over all suppliers by ship date."""
     li = table(spark, sf_dir, "lineitem")
-    return li.groupBy(F.to_date("l_shipdate").alias("date")).agg(F.round(F.avg(F.col("l_extendedprice") / F.col("l_quantity")), 6).alias("close"))
+    return li.groupBy(F.to_date("l_shipdate").alias("date")).agg(F.round(F.avg(F.col("l_extendedprice") / F.col("l_quantity")), 8).alias("close"))
 
 
 def panel_s(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,8 +78,8 @@ def share_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = {
-    "bars": "bars as (select 'S' || l_suppkey as ticker, l_shipdate::date as date, round(avg(l_extendedprice / l_quantity), 6) as close, sum(l_quantity)::bigint as volume from lineitem group by 1, 2)",
-    "bench": "bench as (select l_shipdate::date as date, round(avg(l_extendedprice / l_quantity), 6) as close from lineitem group by 1)",
+    "bars": "bars as (select 'S' || l_suppkey as ticker, l_shipdate::date as date, round(avg(l_extendedprice / l_quantity), 8) as close, sum(l_quantity)::bigint as volume from lineitem group by 1, 2)",
+    "bench": "bench as (select l_shipdate::date as date, round(avg(l_extendedprice / l_quantity), 8) as close from lineitem group by 1)",
     "panel_s": """ps0 as (select l_suppkey as cik, last_day(make_date(year(l_shipdate)::int, quarter(l_shipdate)::int * 3, 1)) as as_of_date, round(sum(l_extendedprice * (1 - l_discount)), 4) as revenue,
  round(0.3 - 4 * avg(l_discount), 8) as operating_margin, round(0.2 - 3 * avg(l_tax), 8) as net_margin, round(avg(l_quantity) / 100, 8) as gross_margin, round(4 * avg(case when l_returnflag = 'R' then 1.0::double else 0.0::double end), 8) as z,
  round(avg(l_tax) - 0.04, 8) as net_dilution, round(2 * avg(l_quantity), 8) as health_score, (count(*) % 10)::int as piotroski from lineitem group by 1, 2),
