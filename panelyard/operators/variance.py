@@ -82,3 +82,72 @@ def spearman(df: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:
         return F.rank().over(Window.partitionBy(*by).orderBy(c)) + (F.count("*").over(Window.partitionBy(*by, c)) - 1) / 2
 
     return rows.withColumn("_a", rank(a)).withColumn("_b", rank(b)).groupBy(*by).agg(F.corr("_a", "_b").alias("rho"), F.count("*").alias("n"))
+
+
+def firm_grams(df: DataFrame, cols: list[str], group: str) -> DataFrame:
+    """(grp, g_i_j...): each firm's own cross products of (1, cols...), one row a firm."""
+    full = df.select(F.col(group).alias("grp"), *(F.col(c).cast("double").alias(c) for c in cols)).dropna()
+    x = [F.lit(1.0), *(F.col(c) for c in cols)]
+    return full.groupBy("grp").agg(*(F.sum(x[i] * x[j]).alias(f"g{i}_{j}") for i in range(len(x)) for j in range(i + 1)))
+
+
+def shapley_bootstrap(df: DataFrame, y: str, blocks: dict[str, list[str]], group: str, draws: int = 100, seed: int = 0, max_blocks: int = 8) -> DataFrame:
+    """(draw, block, shapley), draw 0 on the data as it is. Firms are drawn whole: their cross
+    products are reweighted, so the rows are read once whatever the number of draws. What comes
+    to the driver is one small matrix a draw."""
+    from .resample import multiplicities
+
+    if len(blocks) > max_blocks:
+        raise ValueError(f"{len(blocks)} blocks; the limit here is {max_blocks}")
+    cols = [y, *dict.fromkeys(c for own in blocks.values() for c in own)]
+    grams, at = firm_grams(df, cols, group), {c: k + 1 for k, c in enumerate(cols)}
+    names = [c for c in grams.columns if c != "grp"]
+    m = multiplicities(grams, "grp", draws, seed)
+    base = grams.agg(*(F.sum(c).alias(c) for c in names)).select(F.lit(0).cast("long").alias("draw"), *names)
+    drawn = grams.join(m, "grp").groupBy("draw").agg(*(F.sum(F.col(c) * F.col("w")).alias(c) for c in names)).select(F.col("draw").cast("long").alias("draw"), *names)
+    rows = []
+    for r in base.unionByName(drawn).collect():
+        g = np.zeros((len(cols) + 1,) * 2)
+        for c in names:
+            i, j = map(int, c[1:].split("_"))
+            g[i, j] = g[j, i] = r[c] or 0.0
+        r2 = {frozenset(s): r2_of(g, 1, sorted({at[c] for b in s for c in blocks[b]})) for k in range(len(blocks) + 1) for s in combinations(blocks, k)}
+        rows += [(r.draw, x["block"], float(x["shapley"])) for x in shapley(r2, list(blocks))]
+    return df.sparkSession.createDataFrame(rows, "draw long, block string, shapley double")
+
+
+def cluster_logit(df: DataFrame, y: str, cols: list[str], cluster: str, steps: int = 25, tolerance: float = 1e-10) -> DataFrame:
+    """(term, coefficient, clustered_se) of a logit with an intercept, errors clustered by firm.
+
+    Newton steps: each is one aggregate of the score and the information matrix, whose size
+    depends on the number of columns. The sandwich takes one more pass, by firm."""
+    full = df.select(F.col(y).cast("double").alias("_y"), F.col(cluster).alias("_g"), *(F.col(c).cast("double").alias(c) for c in cols)).dropna()
+    x = [F.lit(1.0), *(F.col(c) for c in cols)]
+    k, beta = len(x), np.zeros(len(cols) + 1)
+
+    def parts(beta):
+        z = sum((F.lit(float(b)) * c for b, c in zip(beta[1:], x[1:], strict=True)), F.lit(float(beta[0])))
+        p = 1 / (1 + F.exp(-z))
+        return p, p * (1 - p)
+
+    for _ in range(steps):
+        p, w = parts(beta)
+        r = full.agg(*(F.sum((F.col("_y") - p) * c).alias(f"s{i}") for i, c in enumerate(x)), *(F.sum(w * x[i] * x[j]).alias(f"h{i}_{j}") for i in range(k) for j in range(i + 1))).first()
+        score, info = np.array([r[f"s{i}"] for i in range(k)]), np.zeros((k, k))
+        for i in range(k):
+            for j in range(i + 1):
+                info[i, j] = info[j, i] = r[f"h{i}_{j}"]
+        move = np.linalg.lstsq(info, score, rcond=None)[0]
+        beta = beta + move
+        if np.abs(move).max() < tolerance:
+            break
+    p, _w = parts(beta)
+    own = full.groupBy("_g").agg(*(F.sum((F.col("_y") - p) * c).alias(f"s{i}") for i, c in enumerate(x)))
+    r = own.agg(*(F.sum(F.col(f"s{i}") * F.col(f"s{j}")).alias(f"m{i}_{j}") for i in range(k) for j in range(i + 1))).first()
+    meat = np.zeros((k, k))
+    for i in range(k):
+        for j in range(i + 1):
+            meat[i, j] = meat[j, i] = r[f"m{i}_{j}"]
+    bread = np.linalg.pinv(info)
+    se = np.sqrt(np.diag(bread @ meat @ bread))
+    return df.sparkSession.createDataFrame([(t, float(b), float(s)) for t, b, s in zip(["intercept", *cols], beta, se, strict=True)], "term string, coefficient double, clustered_se double")

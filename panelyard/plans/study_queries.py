@@ -256,3 +256,75 @@ def a24(spark: SparkSession, d: str) -> DataFrame:
     firms = V.panel_s(spark, d).select("cik", "ticker").distinct().withColumn("cohort", F.when(F.col("cik") % 7 == 0, "ended").otherwise("on"))
     rows = A.priced_flags(V.bars(spark, d).where("volume > 80"), firms)
     return rows.rollup("cohort").agg(F.count("*").alias("n"), R(share(F.col("priced")), 8).alias("matched")).withColumn("cohort", F.coalesce("cohort", F.lit("all")))
+
+
+@query("a35_landing_by_outcome", V.with_views("panel_c") + """, f as (select cik, ticker, max(as_of_date) last_row from panel_c group by 1, 2), h as (select ticker, list(distinct cik) cs from panel_c where as_of_date >= date '1999-01-01' and cik % 3 <> 0 group by 1), o as (select f.*, case when cs is null then 'nothing' when list_contains(cs, f.cik) then 'asked for' else 'different company' end as outcome, cik + case when cik % 20 = 18 then 1 when cik % 20 = 19 then -1 else 2 end as rc from f left join h using (ticker)), sp as (select ticker, cik as rc, min(as_of_date) fs from panel_c group by 1, 2),
+ l as (select outcome, case when fs is null then 'absent' when fs > last_row then 'later' else 'earlier or overlapping' end as landing, (fs - last_row)::int as gap from o left join sp on sp.ticker = o.ticker and sp.rc = o.rc) select outcome, landing, count(*) as n, round(median(gap), 6) as median_gap, count(*) filter (where abs(gap) <= 365) as within_year from l group by 1, 2""")
+def a35(spark: SparkSession, d: str) -> DataFrame:
+    from ..operators import names as N
+
+    p = V.panel_c(spark, d)
+    asked = p.groupBy("cik", "ticker").agg(F.max("as_of_date").alias("last_row")).withColumn("returned_cik", F.expr("cik + case when cik % 20 = 18 then 1 when cik % 20 = 19 then -1 else 2 end"))
+    rows = N.landing(N.lookup_outcome(asked, p.where("as_of_date >= '1999-01-01' and cik % 3 <> 0").select("ticker", "cik")), p)
+    return rows.groupBy("outcome", "landing").agg(F.count("*").alias("n"), R(F.median("gap_days"), 6).alias("median_gap"), F.count_if(F.abs("gap_days") <= 365).alias("within_year"))
+
+
+@query("a41_priced_against_unpriced_entries", DEC_S + ", " + V.SQL["bars"] + """, x as (select dec.*, coalesce(as_of_date - date <= 14, false) as priced from dec asof left join bars on dec.ticker = bars.ticker and dec.as_of_date >= bars.date), n as (select x.*, b.net_margin as m1, (select max(year) from dec z where z.cik = x.cik) <= x.year + 1 as gone from x left join dec b on b.cik = x.cik and b.year = x.year + 1) select priced, count(*) as n, round(median(revenue), 8) as revenue, round(median(net_margin), 8) as net_margin, round(median(m1 - net_margin), 8) as change, round(avg(gone::int), 8) as gone from n group by 1""")
+def a41(spark: SparkSession, d: str) -> DataFrame:
+    x = A.close_at(V.bars(spark, d), dec_s(spark, d).select("cik", "year", "ticker", "as_of_date", "revenue", "net_margin"), day="as_of_date")
+    x = x.withColumn("priced", F.col("px").isNotNull()).withColumn("gone", F.max("year").over(Window.partitionBy("cik")) <= F.col("year") + 1)
+    later = dec_s(spark, d).select("cik", (F.col("year") - 1).alias("year"), F.col("net_margin").alias("m1"))
+    n = x.join(later, ["cik", "year"], "left")
+    return n.groupBy("priced").agg(F.count("*").alias("n"), R(F.median("revenue"), 8).alias("revenue"), R(F.median("net_margin"), 8).alias("net_margin"), R(F.median(F.col("m1") - F.col("net_margin")), 8).alias("change"), R(share(F.col("gone")), 8).alias("gone"))
+
+
+@query("a43_sector_clock", DEC_S + ", " + V.SQL["bars"] + ", " + V.SQL["bench"] + """, m as (select a.sector, a.year, median(b.net_margin - a.net_margin) as ch from dec a join dec b on b.cik = a.cik and b.year = a.year + 1 group by 1, 2), e as (select m.*, 'S' || substr(sector, 4) as fund, make_date(year, 12, 31) as d0, make_date(year + 1, 12, 31) as d1 from m),
+ p as (select e.*, f0.close f0, f1.close f1, g0.close g0, g1.close g1 from e asof left join bars f0 on e.fund = f0.ticker and e.d0 >= f0.date asof left join bars f1 on e.fund = f1.ticker and e.d1 >= f1.date asof left join bench g0 on e.d0 >= g0.date asof left join bench g1 on e.d1 >= g1.date) select count(*) as n, round(corr(ch, (f1 / f0 - 1) - (g1 / g0 - 1)), 8) as rho from p where f0 is not null and g0 is not null""")
+def a43_clock(spark: SparkSession, d: str) -> DataFrame:
+    """Median change of a sector-year against the return of the sector's series less the market's."""
+    x = dec_s(spark, d).select("cik", "sector", "year", "net_margin")
+    later = x.select("cik", (F.col("year") - 1).alias("year"), F.col("net_margin").alias("m1"))
+    m = x.join(later, ["cik", "year"]).groupBy("sector", "year").agg(F.median(F.col("m1") - F.col("net_margin")).alias("ch"))
+    ends = F.explode(F.array(*(F.struct(F.lit(k).alias("leg"), F.make_date(F.col("year") + k, F.lit(12), F.lit(31)).alias("day")) for k in (0, 1))))
+    probes = m.select("sector", "year", F.concat(F.lit("S"), F.substring("sector", 4, 9)).alias("ticker"), ends.alias("e")).select("sector", "year", "ticker", "e.*")
+    fund = A.lookup(A.positioned(V.bars(spark, d)), probes, prefix="f_")
+    both = A.lookup(A.positioned(V.bench(spark, d).withColumn("ticker", F.lit("b"))), fund.withColumn("ticker", F.lit("b")), prefix="g_")
+    at = lambda c, k: F.max(F.when(F.col("leg") == k, F.col(c)))
+    r = both.groupBy("sector", "year").agg(((at("f_close", 1) / at("f_close", 0) - 1) - (at("g_close", 1) / at("g_close", 0) - 1)).alias("ret")).where("ret is not null")
+    return m.join(r, ["sector", "year"]).agg(F.count("*").alias("n"), R(F.corr("ch", "ret"), 8).alias("rho"))
+
+
+@query("e9_release_before_event", V.with_views("bars", "event_days", "panel_s") + """, pos as (select ticker, date, row_number() over (partition by ticker order by date)::int as pos from bars), rl as (select ticker, as_of_date + 40 as rel from panel_s), a as (select e.event_id, e.ticker, e.day, r.rel from event_days e asof left join rl r on e.ticker = r.ticker and e.day >= r.rel), b as (select a.*, p.pos as ep from a asof left join pos p on a.ticker = p.ticker and a.day >= p.date), c as (select b.*, q.pos as rp from b asof left join pos q on b.ticker = q.ticker and b.rel >= q.date),
+ k as (select case when rel is null or day - rel > 150 then 'none' when ep - rp <= 5 then 'inside' else 'before' end as place from c) select place, count(*) as n from k group by 1""")
+def e9(spark: SparkSession, d: str) -> DataFrame:
+    """Where the latest release, at most 150 days back, sits: within five trading days, before, or none."""
+    pos = A.positioned(V.bars(spark, d))
+    releases = V.panel_s(spark, d).select("ticker", F.date_add("as_of_date", 40).alias("date"), F.lit(0.0).alias("close"))
+    a = A.lookup(A.positioned(releases), V.event_days(spark, d), prefix="r_").select("event_id", "ticker", "day", F.col("r_date").alias("rel"))
+    c = A.lookup(pos, A.lookup(pos, a, "day", prefix="e_"), "rel", prefix="p_")
+    place = F.when(F.col("rel").isNull() | (F.datediff("day", "rel") > 150), "none").when(F.col("e_pos") - F.col("p_pos") <= 5, "inside").otherwise("before")
+    return c.groupBy(place.alias("place")).agg(F.count("*").alias("n"))
+
+
+@query("v16b_shapley_bootstrap", None)
+def v16b(spark: SparkSession, d: str) -> DataFrame:
+    """Shapley values of two blocks with whole-firm draws: the value as observed and a 95 % interval."""
+    from ..operators.variance import shapley_bootstrap
+
+    rows = shapley_bootstrap(dec_s(spark, d), "net_margin", {"a": ["operating_margin"], "b": ["gross_margin", "health_score"]}, "cik", DRAWS)
+    q = lambda p: F.percentile(F.when(F.col("draw") > 0, F.col("shapley")), p)
+    return rows.groupBy("block").agg(R(F.max(F.when(F.col("draw") == 0, F.col("shapley"))), 8).alias("shapley"), R(q(0.025), 8).alias("lo"), R(q(0.975), 8).alias("hi"))
+
+
+@query("v17_clustered_logit", None)
+def v17(spark: SparkSession, d: str) -> DataFrame:
+    """A thin margin next year on this year's rank of the gross margin, with year effects, errors clustered by firm."""
+    from ..operators.variance import cluster_logit
+
+    w = Window.partitionBy("year")
+    x = dec_s(spark, d).withColumn("rank", F.row_number().over(w.orderBy("gross_margin", "cik")) / F.count("*").over(w))
+    later = dec_s(spark, d).select("cik", (F.col("year") - 1).alias("year"), (F.col("net_margin") < 0.08).cast("double").alias("thin"))
+    x = x.join(later, ["cik", "year"])
+    years = [1996, 1997, 1998, 1999, 2000]
+    out = cluster_logit(x.select("thin", "cik", "rank", *((F.col("year") == y).cast("double").alias(f"y{y}") for y in years)), "thin", ["rank", *(f"y{y}" for y in years)], "cik")
+    return out.select("term", R("coefficient", 6).alias("coefficient"), R("clustered_se", 6).alias("clustered_se"))

@@ -397,3 +397,29 @@ def test_lookup_outcomes(spark):
     holders = spark.createDataFrame([("AAA", 1), ("AAA", 2), ("BBB", 3)], "ticker string, cik long")
     asked = spark.createDataFrame([(1, "aaa"), (9, "BBB"), (4, "CCC")], "cik long, ticker string")
     assert {r.cik: r.outcome for r in N.lookup_outcome(asked, holders).collect()} == {1: "asked for", 9: "different company", 4: "nothing"}
+
+
+def test_clustered_logit_matches_plain_newton(spark):
+    rng = np.random.default_rng(5)
+    x, g = rng.normal(size=400), np.repeat(np.arange(80), 5)
+    y = (rng.random(400) < 1 / (1 + np.exp(0.5 - x))).astype(float)
+    df = spark.createDataFrame([(float(a), float(b), int(c)) for a, b, c in zip(y, x, g)], "y double, x double, g int")
+    got = {r.term: r for r in VA.cluster_logit(df, "y", ["x"], "g").collect()}
+    X, beta = np.stack([np.ones(400), x], 1), np.zeros(2)
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-X @ beta))
+        info = X.T @ (X * (p * (1 - p))[:, None])
+        beta = beta + np.linalg.solve(info, X.T @ (y - p))
+    u = np.stack([((y - p)[:, None] * X)[g == k].sum(0) for k in range(80)])
+    se = np.sqrt(np.diag(np.linalg.inv(info) @ (u.T @ u) @ np.linalg.inv(info)))
+    assert [got["intercept"].coefficient, got["x"].coefficient] == pytest.approx(beta.tolist()) and [got["intercept"].clustered_se, got["x"].clustered_se] == pytest.approx(se.tolist())
+
+
+def test_shapley_bootstrap(spark):
+    rng = np.random.default_rng(6)
+    rows = [(k // 4, *map(float, rng.normal(size=2))) for k in range(200)]
+    df = spark.createDataFrame([(g, 2 * a + b, a, b) for g, a, b in rows], "cik int, y double, a double, b double")
+    got = VA.shapley_bootstrap(df, "y", {"A": ["a"], "B": ["b"]}, "cik", 20).collect()
+    plain = {x["block"]: x["shapley"] for x in VA.shapley(VA.r2_lattice(df, "y", {"A": ["a"], "B": ["b"]}), ["A", "B"])}
+    assert {r.block: pytest.approx(r.shapley) for r in got if r.draw == 0} == plain
+    assert len({r.draw for r in got}) == 21 and all(sum(r.shapley for r in got if r.draw == d) == pytest.approx(1.0) for d in range(21))
