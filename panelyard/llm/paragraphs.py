@@ -27,7 +27,9 @@ from .forest import forest
 SHINGLE, LEAST, RECALL, ROWS = 5, 0.8, 0.999, 2
 MIN_WORDS, SENTENCE_WORDS = 10, 8
 #: Bits of the filter that lets wanted paragraphs pass before the exact join; a bound on what is broadcast.
-FILTER_BITS = 1 << 24
+FILTER_BITS = 1 << 26
+#: Colliding paragraphs that are compared in one task; larger groups are compared block by block.
+BLOCK = 2000
 _SENTENCE = re.compile(rb"[^\n]*?[.!?]+(?=[ \t\n]|$)|[^\n]+")
 _rng = np.random.default_rng(40_009)
 _MUL = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -49,11 +51,17 @@ def shingles(words: list[bytes], size: int = SHINGLE) -> np.ndarray:
     return np.unique(np.frombuffer(made, ">u8").astype(np.uint64))
 
 
-def units(text: bytes):
-    """(kind, start byte, end byte, words) of the text's paragraphs (p) and of the sentences (s) of lines with several."""
+def paragraphs(text: bytes):
+    """(start byte, line, words) of the lines."""
     at = 0
     for line in text.split(b"\n"):
-        words = line.lower().split()
+        yield at, line, line.lower().split()
+        at += len(line) + 1
+
+
+def units(text: bytes):
+    """(kind, start byte, end byte, words) of the text's paragraphs (p) and of the sentences (s) of lines with several."""
+    for at, line, words in paragraphs(text):
         whole = len(words) >= MIN_WORDS
         if whole:
             yield "p", at, at + len(line), words
@@ -63,7 +71,21 @@ def units(text: bytes):
                     own = m[0].lower().split()
                     if len(own) >= SENTENCE_WORDS:
                         yield "s", at + m.start(), at + m.end(), own
-        at += len(line) + 1
+
+
+def distinct_paragraphs(texts) -> dict[int, tuple[bytes, list[bytes]]]:
+    """unit -> (its words joined, its words) of the texts' paragraphs."""
+    out: dict[int, tuple[bytes, list[bytes]]] = {}
+    for t in texts:
+        for _, _, words in paragraphs(t or b""):
+            if len(words) >= MIN_WORDS:
+                whole = b" ".join(words)
+                out.setdefault(unit_of(whole), (whole, words))
+    return out
+
+
+def unit_of(whole: bytes) -> int:
+    return xxhash.xxh64_intdigest(whole) - (1 << 63)
 
 
 def _chars(text: bytes, marks: list[int]) -> list[int]:
@@ -86,7 +108,7 @@ def occurrences(docs: DataFrame, id_col: str, text: str) -> DataFrame:
                 found = list(units(t))
                 starts, ends = _chars(t, [f[1] for f in found]), _chars(t, [f[2] for f in found])
                 for (kind, _, _, words), s, e in zip(found, starts, ends, strict=True):
-                    for column, value in zip(out, (xxhash.xxh64_intdigest(b" ".join(words)) - (1 << 63), kind == "p", doc, s, e, len(words)), strict=True):
+                    for column, value in zip(out, (unit_of(b" ".join(words)), kind == "p", doc, s, e, len(words)), strict=True):
                         column.append(value)
             kind = b.schema.field(0).type
             arrays = [pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.bool_(), kind, pa.int32(), pa.int32(), pa.int32()), strict=True)]
@@ -98,60 +120,80 @@ def occurrences(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     return rows.mapInArrow(run, f"unit long, is_paragraph boolean, doc_id {kind}, start int, end int, n_words int")
 
 
-def minima(hashes: np.ndarray, k: int) -> np.ndarray:
-    """The MinHash signature: the least of each of k multiply-and-add hashes; long paragraphs in parts."""
-    parts = [hashes[i : i + 4096] for i in range(0, len(hashes), 4096)]
-    return np.min([(part[:, None] * _MUL[:k] + _ADD[:k]).min(axis=0) for part in parts], axis=0)
+def minima(hashes: np.ndarray, sizes: np.ndarray, k: int) -> np.ndarray:
+    """MinHash signatures of sets given one after another with their sizes: the least of each of k
+    multiply-and-add hashes, for about 64k shingles at a time."""
+    out, first = np.full((len(sizes), k), np.iinfo(np.uint64).max), np.cumsum(np.append(0, sizes[:-1]))
+    for at in range(0, len(hashes), 1 << 16):
+        part = hashes[at : at + (1 << 16)]
+        own = np.arange(np.searchsorted(first, at, "right") - 1, np.searchsorted(first, at + len(part)))
+        starts = np.maximum(first[own] - at, 0)
+        low = np.minimum.reduceat(part[:, None] * _MUL[:k] + _ADD[:k], starts, axis=0)
+        out[own] = np.minimum(out[own], low)
+    return out
 
 
 def signatures(docs: DataFrame, text: str, n_bands: int, rows: int = ROWS) -> DataFrame:
-    """(unit, band, sig) of the paragraphs, repeats within a batch once."""
+    """(sig, unit): the band signatures of the paragraphs, repeats within a batch once."""
     k = n_bands * rows
+    salt = np.arange(1, n_bands + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
 
     def run(batches):
+        digest = xxhash.xxh64_digest
         for b in batches:
-            seen, keys = [], []
-            done = set()
-            for t in raw(b, text):
-                for kind, _, _, words in units(t or b""):
-                    if kind == "p" and (unit := xxhash.xxh64_intdigest(b" ".join(words)) - (1 << 63)) not in done:
-                        done.add(unit)
-                        seen.append(unit)
-                        keys.append(minima(shingles(words), k))
-            if not seen:
+            found = distinct_paragraphs(raw(b, text))
+            if not found:
                 continue
-            folded = np.array(keys).reshape(len(seen), n_bands, rows)
-            mixed = np.zeros((len(seen), n_bands), np.uint64)
+            made, sizes = [], []
+            for _, words in found.values():
+                n = len(words) - SHINGLE + 1
+                sizes.append(n)
+                made += [digest(b" ".join(words[i : i + SHINGLE])) for i in range(n)]
+            low = minima(np.frombuffer(b"".join(made), ">u8").astype(np.uint64), np.array(sizes), k).reshape(len(sizes), n_bands, rows)
+            mixed = np.tile(salt, (len(sizes), 1))
             for r in range(rows):
-                mixed = (mixed ^ folded[:, :, r]) * np.uint64(0x9E3779B97F4A7C15)
+                mixed = (mixed ^ low[:, :, r]) * np.uint64(0x9E3779B97F4A7C15)
                 mixed ^= mixed >> np.uint64(29)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(seen, np.int64), n_bands)), pa.array(np.tile(np.arange(n_bands, dtype=np.int32), len(seen))), pa.array(mixed.ravel().view(np.int64))], ["unit", "band", "sig"])
+            yield pa.RecordBatch.from_arrays([pa.array(mixed.ravel().view(np.int64)), pa.array(np.repeat(np.array(list(found), np.int64), n_bands))], ["sig", "unit"])
 
-    return docs.select(text).mapInArrow(run, "unit long, band int, sig long")
+    return docs.select(text).mapInArrow(run, "sig long, unit long")
 
 
-def _sets(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
-    """(unit, words) of the wanted paragraphs. A bitmap of their hashes, of fixed size, spares
-    most other lines the shuffle; the join then is exact."""
-    bit = F.pmod("unit", F.lit(FILTER_BITS))
-    held = wanted.groupBy(F.shiftright(bit, 6).cast("int").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(unit, {FILTER_BITS}) & 63 as int))")).alias("bits")).toPandas()
+def _bitmap(keys: DataFrame):
+    """A broadcast bitmap of a column of 64-bit hashes. Its size is fixed; it lets through all of
+    them and few others, so that an exact join after it shuffles little."""
+    col = keys.columns[0]
+    bit = F.pmod(F.col(col), F.lit(FILTER_BITS))
+    word = F.shiftright(bit, 6).cast("int").alias("word")
+    held = keys.groupBy(word).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod({col}, {FILTER_BITS}) & 63 as int))")).alias("bits")).toPandas()
     bits = np.zeros(FILTER_BITS >> 6, np.int64)
     bits[held["word"].to_numpy(np.int64)] = held["bits"].to_numpy(np.int64)
-    sent = docs.sparkSession.sparkContext.broadcast(bits.tobytes())
+    return keys.sparkSession.sparkContext.broadcast(bits.tobytes())
+
+
+def _passing(rows: DataFrame, col: str, sent) -> DataFrame:
+    """The rows whose hash may be in the bitmap."""
+    at = rows.columns.index(col)
 
     def run(batches):
         mask = np.frombuffer(sent.value, np.uint64)
         for b in batches:
-            done: dict[int, bytes] = {}
-            for t in raw(b, text):
-                for kind, _, _, words in units(t or b""):
-                    if kind == "p":
-                        whole = b" ".join(words)
-                        unit = xxhash.xxh64_intdigest(whole) - (1 << 63)
-                        at = unit % FILTER_BITS
-                        if int(mask[at >> 6]) >> (at & 63) & 1:
-                            done.setdefault(unit, whole)
-            yield pa.RecordBatch.from_arrays([pa.array(list(done), pa.int64()), pa.array(list(done.values()), pa.binary())], ["unit", "words"])
+            bit = np.mod(b.column(at).to_numpy(zero_copy_only=False), FILTER_BITS)
+            hit = (mask[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1)
+            yield b.filter(pa.array(hit.astype(bool)))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
+def _lines(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
+    """(unit, words) of the wanted paragraphs."""
+    sent = _bitmap(wanted)
+
+    def run(batches):
+        mask = np.frombuffer(sent.value, np.uint64)
+        for b in batches:
+            hit = {u: whole for u, (whole, _) in distinct_paragraphs(raw(b, text)).items() if int(mask[(u % FILTER_BITS) >> 6]) >> (u & 63) & 1}
+            yield pa.RecordBatch.from_arrays([pa.array(list(hit), pa.int64()), pa.array(list(hit.values()), pa.binary())], ["unit", "words"])
 
     lines = docs.select(text).mapInArrow(run, "unit long, words binary").join(wanted, "unit", "left_semi")
     return lines.groupBy("unit").agg(F.first("words").alias("words"))
@@ -159,7 +201,7 @@ def _sets(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
 
 def _verify(least: float):
     def run(table: pa.Table) -> pa.Table:
-        """Spanning links of one collision group: verified pairs with a Jaccard similarity of `least` or more."""
+        """Spanning links of one group (or two blocks of one): pairs with a Jaccard similarity of `least` or more."""
         order = np.argsort(table.column("unit").to_numpy())
         names = table.column("unit").to_numpy()[order]
         texts = table.column("words").to_pylist()
@@ -185,6 +227,22 @@ def _verify(least: float):
     return run
 
 
+def near_links(docs: DataFrame, text: str, least: float, recall: float) -> DataFrame:
+    """(a, b) links between different paragraphs."""
+    pairs = durable(signatures(docs, text, bands(least, recall)), "passages-bands")
+    often = pairs.groupBy("sig").agg(F.min("unit").alias("x"), F.max("unit").alias("y")).where("x <> y").select("sig")
+    often = durable(often, "passages-collisions")
+    members = durable(_passing(pairs, "sig", _bitmap(often)).join(often, "sig", "left_semi").distinct(), "passages-members")
+    # groups with the same members in several bands are compared once; large groups block by block
+    groups = members.groupBy("sig").agg(F.count("*").alias("g"), F.sum(F.xxhash64("unit") % (1 << 40)).alias("who"), F.min("unit").alias("x"))
+    groups = groups.groupBy("g", "who", "x").agg(F.min("sig").alias("sig")).select("sig", F.ceil(F.col("g") / BLOCK).cast("int").alias("parts"))
+    dealt = members.join(groups, "sig").withColumn("block", F.pmod(F.xxhash64("unit"), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    lines = durable(_lines(docs, text, members.select("unit").distinct()), "passages-lines")
+    tasks = dealt.select("sig", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "unit").join(lines, "unit")
+    return tasks.groupBy("sig", "low", "high").applyInArrow(_verify(least), "a long, b long")
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least: float = LEAST, recall: float = RECALL) -> DataFrame:
     """Every occurrence of a passage that occurs more than once, exactly or nearly: (doc_id,
     start, end, n_words, class_id, keeper_doc_id, removed).
@@ -194,28 +252,33 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least:
     enough lines have no rows; repeated rows of documents count as occurrences of their own, of
     which one is the keeper. Other columns are not read. An empty table gives no rows.
     """
-    spark = docs.sparkSession
     found = durable(occurrences(docs, id_col, text), "passages")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "start"))
-    held = durable(found.groupBy("unit").agg(F.count("*").alias("n"), first.alias("first")), "passages-distinct")
-    banded = signatures(docs, text, bands(least, recall))
-    pairs = banded.groupBy("band", "sig", "unit").agg(F.lit(1).alias("one")).select("band", "sig", "unit")
-    pairs = durable(pairs, "passages-bands")
-    often = pairs.groupBy("band", "sig").agg(F.count("*").alias("g"), F.xxhash64(F.sum(F.xxhash64("unit") % (1 << 40)), F.min("unit")).alias("who")).where("g > 1")
-    # groups with the same members in several bands are compared once
-    often = durable(often.groupBy("g", "who").agg(F.min(F.struct("band", "sig")).alias("k")).select("k.band", "k.sig"), "passages-groups")
-    members = durable(pairs.join(often, ["band", "sig"]), "passages-members")
-    lines = durable(_sets(docs, text, members.select("unit").distinct()), "passages-lines")
-    links = members.join(lines, "unit").groupBy("band", "sig").applyInArrow(_verify(least), "a long, b long")
-    roots = durable(components(links, "passages-cc"), "passages-roots")
-    named = held.join(roots, held.unit == roots.node, "left").select("unit", "n", "first", F.coalesce("root", "unit").alias("root"))
-    total = named.groupBy("root").agg(F.sum("n").alias("total"), F.min("first").alias("keeper")).where("total > 1")
-    named = durable(named.join(total, "root").select("unit", F.col("root").alias("class_id"), "keeper"), "passages-classes")
-    rows = found.join(named, "unit")
-    here = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "start")
-    same = Window.partitionBy("class_id", "doc_id", "start", "end").orderBy("n_words")
-    rows = rows.withColumn("repeat", F.when(here.eqNullSafe(F.col("keeper")), F.row_number().over(same)).otherwise(0))
-    return rows.select("doc_id", "start", "end", "n_words", "class_id", F.col("keeper.doc_id").alias("keeper_doc_id"), (F.col("repeat") != 1).alias("removed"))
+    roots = durable(components(near_links(docs, text, least, recall), "passages-cc"), "passages-roots")
+    wanted = durable(found.groupBy("unit").count().where("count > 1").select("unit").union(roots.select("node")).distinct(), "passages-wanted")
+    rows = _passing(found, "unit", _bitmap(wanted)).join(wanted, "unit", "left_semi")
+    rows = durable(rows.join(roots, rows.unit == roots.node, "left").withColumn("class_id", F.coalesce("root", "unit")).drop("node", "root"), "passages-rows")
+    here = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "start", "end")
+    keepers = rows.groupBy("class_id").agg(F.count("*").alias("total"), F.min(here).alias("keeper")).where("total > 1")
+    rows = rows.join(durable(keepers, "passages-keepers"), "class_id").withColumn("first", here.eqNullSafe(F.col("keeper")))
+    # equal rows of documents: one of the keeper's twins is the keeper
+    twin = F.row_number().over(Window.partitionBy("class_id", "doc_id", "start", "end").orderBy("n_words"))
+    kept, others = rows.where("first").withColumn("removed", twin > 1), rows.where("not first").withColumn("removed", F.lit(True))
+    return kept.unionByName(others).select("doc_id", "start", "end", "n_words", "class_id", F.col("keeper.doc_id").alias("keeper_doc_id"), "removed")
+
+
+def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least: float = LEAST) -> DataFrame:
+    """docs with the removed passages cut out of their texts; ids must be unique. Other rows are as they were."""
+    spans, key = fresh(docs, "cut_spans", "cut_id")
+    gone = classes(docs, id_col, text, least).where("removed").groupBy(F.col("doc_id").alias(key)).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias(spans))
+    body = F.col(text)
+
+    def step(acc, x):
+        part = F.when(x["start"] > acc["at"], F.concat(acc["out"], F.substring(body, acc["at"] + 1, x["start"] - acc["at"]))).otherwise(acc["out"])
+        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), part.alias("out"))
+
+    left = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(body, acc["at"] + 1, F.length(body))))
+    joined = docs.join(gone, docs[id_col] == F.col(key), "left")
+    return joined.withColumn(text, F.when(F.col(spans).isNotNull(), left).otherwise(body)).select(docs.columns)
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

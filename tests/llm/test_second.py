@@ -186,3 +186,34 @@ def test_paragraphs_odd_rows(spark):
     assert lines == sorted([f"(1, 0, {len(line)}, 1, False)", f"(3, 0, {len(near)}, 1, True)", f"(None, 0, {len(line)}, 1, True)"])
     assert sorted((g[0], g[4]) for g in got if g[2] - g[1] < 100) == [(1, False), (2, True)]
     assert paragraphs.classes(df.limit(0)).count() == 0
+
+
+def test_large_collision_groups_go_block_by_block(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    base = [f"w{k}" for k in range(80)]
+    rows = []
+    for k in range(150):
+        words = list(base)
+        words[int(rng.integers(80))] = f"x{k}"
+        rows.append((k, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(paragraphs, "BLOCK", 40)
+    got = {(r.doc_id, r.start, r.end, r.keeper_doc_id, r.removed) for r in paragraphs.classes(df).collect()}
+    assert got == _brute(rows) and len(got) == 150
+
+
+def test_minima_match_plain_ones():
+    rng = np.random.default_rng(9)
+    sizes = np.array([1, 70_000, 3, 1, 130_000, 2])
+    hashes = rng.integers(0, 1 << 63, sizes.sum(), dtype=np.uint64)
+    got, at = paragraphs.minima(hashes, sizes, 4), 0
+    for k, n in enumerate(sizes):
+        part = hashes[at : at + n]
+        assert (got[k] == (part[:, None] * paragraphs._MUL[:4] + paragraphs._ADD[:4]).min(axis=0)).all()
+        at += n
+
+
+def test_passages_are_cut(spark):
+    line = " ".join(f"w{k}" for k in range(30))
+    df = spark.createDataFrame([(1, f"a\n{line}\nb"), (2, f"ü\n{line}\nc"), (3, None)], "doc_id long, text string")
+    assert dict(paragraphs.dedup(df).collect()) == {1: f"a\n{line}\nb", 2: "ü\n\nc", 3: None}
