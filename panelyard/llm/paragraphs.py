@@ -2,8 +2,10 @@
 
 A paragraph is a line of at least MIN_WORDS words (lower-cased, split at white space). Passages
 also repeat inside otherwise different lines, so the sentences of a line with at least
-SENTENCE_WORDS words are units too, compared by their exact words. Equal units fall together by
-a 64-bit hash of their words. Different paragraphs are joined where a band of their MinHash
+SENTENCE_WORDS words are units too, and so are runs of RUN_WORDS words, whatever the lines, that
+begin at anchors: pairs of words whose hash falls into one of ANCHOR_RATE classes, so that equal
+passages have equal anchors wherever they stand. Both are compared by their exact words. Equal
+units fall together by a 64-bit hash of their words. Different paragraphs are joined where a band of their MinHash
 signatures collides; the number of bands is the smallest that finds a pair at the threshold
 with the asked recall. Colliding paragraphs are verified by the exact Jaccard similarity of
 their sets of five-word shingles, and links make components. Of each component the first
@@ -26,6 +28,8 @@ from .forest import forest
 
 SHINGLE, LEAST, RECALL, ROWS = 5, 0.8, 0.999, 2
 MIN_WORDS, SENTENCE_WORDS = 10, 8
+#: Words of an anchored run, and of how many word pairs one is an anchor: a repeated passage of 50 words holds two or three.
+RUN_WORDS, ANCHOR_RATE = 12, 16
 #: Bits of the filter that lets wanted paragraphs pass before the exact join; a bound on what is broadcast.
 FILTER_BITS = 1 << 26
 #: Colliding paragraphs that are compared in one task; larger groups are compared block by block.
@@ -59,18 +63,42 @@ def paragraphs(text: bytes):
         at += len(line) + 1
 
 
+def _trimmed(line: bytes, start: int, end: int) -> tuple[int, int]:
+    """The span without white space at its ends."""
+    part = line[start:end]
+    return end - len(part.lstrip()), start + len(part.rstrip())
+
+
 def units(text: bytes):
     """(kind, start byte, end byte, words) of the text's paragraphs (p) and of the sentences (s) of lines with several."""
     for at, line, words in paragraphs(text):
-        whole = len(words) >= MIN_WORDS
+        whole = _trimmed(line, 0, len(line)) if len(words) >= MIN_WORDS else None
         if whole:
-            yield "p", at, at + len(line), words
+            yield "p", at + whole[0], at + whole[1], words
         if len(words) >= SENTENCE_WORDS:
             for m in _SENTENCE.finditer(line):
-                if m.end() - m.start() >= 2 * SENTENCE_WORDS and not (whole and m.start() == 0 and m.end() == len(line)):
+                if m.end() - m.start() >= 2 * SENTENCE_WORDS and (span := _trimmed(line, *m.span())) != whole:
                     own = m[0].lower().split()
                     if len(own) >= SENTENCE_WORDS:
-                        yield "s", at + m.start(), at + m.end(), own
+                        yield "s", at + span[0], at + span[1], own
+
+
+def runs(text: bytes):
+    """(kind r, start byte, end byte, words) of the anchored runs of the text."""
+    low = text.lower()
+    code = np.frombuffer(low, np.uint8).astype(np.uint32)
+    space = (code == 32) | ((code >= 9) & (code <= 13))
+    starts = np.flatnonzero(~space & np.append(True, space[:-1]))
+    if len(starts) < RUN_WORDS:
+        return
+    ends = np.flatnonzero(~space & np.append(space[1:], True)) + 1
+    code[space] = 0
+    word = np.add.reduceat(code * code * np.uint32(2654435761), starts)
+    pair = (word[:-1] ^ (word[:-1] >> np.uint32(15))) * np.uint32(2246822519) + word[1:] * np.uint32(3266489917)
+    pair ^= pair >> np.uint32(13)
+    for i in np.flatnonzero(pair[: len(starts) - RUN_WORDS + 1] % np.uint32(ANCHOR_RATE) == 0).tolist():
+        start, end = int(starts[i]), int(ends[i + RUN_WORDS - 1])
+        yield "r", start, end, low[start:end].split()
 
 
 def distinct_paragraphs(texts) -> dict[int, tuple[bytes, list[bytes]]]:
@@ -106,6 +134,8 @@ def occurrences(docs: DataFrame, id_col: str, text: str) -> DataFrame:
                 if not t:
                     continue
                 found = list(units(t))
+                known = {f[1:3] for f in found}  # a run that is a whole sentence is no second occurrence
+                found += [f for f in runs(t) if f[1:3] not in known]
                 starts, ends = _chars(t, [f[1] for f in found]), _chars(t, [f[2] for f in found])
                 for (kind, _, _, words), s, e in zip(found, starts, ends, strict=True):
                     for column, value in zip(out, (unit_of(b" ".join(words)), kind == "p", doc, s, e, len(words)), strict=True):

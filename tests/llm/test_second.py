@@ -147,7 +147,8 @@ def _brute(docs):
     found, names = [], {}
     for d, text in docs:
         t = (text or "").encode()
-        for kind, s, e, words in paragraphs.units(t):
+        own = list(paragraphs.units(t))
+        for kind, s, e, words in own + [r for r in paragraphs.runs(t) if r[1:3] not in {o[1:3] for o in own}]:
             node = names.setdefault(b" ".join(words), len(names))
             found.append((node, kind, d, len(t[:s].decode()), len(t[:e].decode())))
     paras = {n for n, k, *_ in found if k == "p"}
@@ -184,7 +185,8 @@ def test_paragraphs_odd_rows(spark):
     got = [(r.doc_id, r.start, r.end, r.keeper_doc_id, r.removed) for r in paragraphs.classes(df).collect()]
     lines = sorted(str(g) for g in got if g[2] - g[1] > 100)
     assert lines == sorted([f"(1, 0, {len(line)}, 1, False)", f"(3, 0, {len(near)}, 1, True)", f"(None, 0, {len(line)}, 1, True)"])
-    assert sorted((g[0], g[4]) for g in got if g[2] - g[1] < 100) == [(1, False), (2, True)]
+    inside = [g for g in got if g[:2] in {(1, rows[0][1].find(inner)), (2, 11)} and g[2] - g[1] == len(inner)]
+    assert sorted((g[0], g[4]) for g in inside) == [(1, False), (2, True)]
     assert paragraphs.classes(df.limit(0)).count() == 0
 
 
@@ -199,7 +201,7 @@ def test_large_collision_groups_go_block_by_block(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     monkeypatch.setattr(paragraphs, "BLOCK", 40)
     got = {(r.doc_id, r.start, r.end, r.keeper_doc_id, r.removed) for r in paragraphs.classes(df).collect()}
-    assert got == _brute(rows) and len(got) == 150
+    assert got == _brute(rows) and len({g[0] for g in got}) == 150
 
 
 def test_minima_match_plain_ones():
@@ -217,3 +219,19 @@ def test_passages_are_cut(spark):
     line = " ".join(f"w{k}" for k in range(30))
     df = spark.createDataFrame([(1, f"a\n{line}\nb"), (2, f"ü\n{line}\nc"), (3, None)], "doc_id long, text string")
     assert dict(paragraphs.dedup(df).collect()) == {1: f"a\n{line}\nb", 2: "ü\n\nc", 3: None}
+
+
+def test_runs_are_anchored_by_content():
+    rng = np.random.default_rng(10)
+    words = lambda n: [f"w{k}" for k in rng.integers(0, 100_000, n)]
+    found = 0
+    for _ in range(200):
+        passage = words(52)
+        a, b = (b" ".join(" ".join(words(30) + passage + words(30)).encode().split()) for _ in range(2))
+        b = b.replace(b" ", b"\n", 40).replace(b"w", b"W", 60)
+        x, y = ({b" ".join(w) for *_, w in paragraphs.runs(t)} for t in (a, b))
+        for _, s, e, w in paragraphs.runs(b):
+            assert len(w) == paragraphs.RUN_WORDS and b[s:e].lower().split() == w
+        found += bool(x & y)
+    assert found > 170
+    assert not list(paragraphs.runs(b"a b c")) and not list(paragraphs.runs(b" "))
