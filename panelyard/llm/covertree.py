@@ -266,3 +266,13 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector: str = "e
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract digest."""
     return near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
+OP8_SQL = """
+with recursive v as (select vec_id, embedding::double[] e from embeddings where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p as (select a.vec_id a, b.vec_id b from v a join v b on a.vec_id <> b.vec_id and len(a.e) = len(b.e) where list_cosine_similarity(a.e, b.e) >= 0.9),
+r as (select vec_id, vec_id as reach from v union select r.vec_id, p.b from r join p on r.reach = p.a),
+c as (select vec_id, min(reach) m from r group by 1), n as (select a, count(*) k from p group by 1)
+select e.vec_id, coalesce(k, 0)::bigint as n_links, coalesce(m, e.vec_id) as component_id, coalesce(m, e.vec_id) = e.vec_id as kept
+from embeddings e left join c on c.vec_id = e.vec_id left join n on n.a = e.vec_id
+"""

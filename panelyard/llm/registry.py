@@ -20,4 +20,4 @@ QUERIES = {
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLE_SQL = {"op7_decontamination": decontam.OP7_SQL}
+ORACLE_SQL = {"op7_decontamination": decontam.OP7_SQL, "op8_embeddings": covertree.OP8_SQL}
