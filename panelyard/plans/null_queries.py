@@ -175,8 +175,11 @@ def _cases(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return t.where("n_orders >= 3").select(F.concat_ws("|", "cik", "qi").alias("case_id"), "qi", "tercile"), t.where("n_orders = 1").select(F.col("cik").alias("control_id"), "qi", "tercile")
 
 
-@query("j16_matched_controls", _CASES + f""", d0 as (select ca.*, n, {_h("'0'", "'0'", 'case_id')} % n as p0 from ca join sz using (qi, tercile)), d1 as (select *, case when n > 1 then {_h("'0'", "'1'", 'case_id')} % (n - 1) end as q1 from d0), e1 as (select *, case when q1 >= p0 then q1 + 1 else q1 end as p1 from d1), d2 as (select *, case when n > 2 then {_h("'0'", "'2'", 'case_id')} % (n - 2) end as q2 from e1),
- e2 as (select *, case when q2 >= least(p0, p1) then q2 + 1 else q2 end as h2 from d2), e3 as (select *, case when h2 >= greatest(p0, p1) then h2 + 1 else h2 end as p2 from e2), l as (select case_id, qi, tercile, unnest([p0, p1, p2]) as pos from e3) select case_id, control_id from l join co using (qi, tercile, pos)""")
+_PAIRS = _CASES + f""", d0 as (select ca.*, n, {_h("'0'", "'0'", 'case_id')} % n as p0 from ca join sz using (qi, tercile)), d1 as (select *, case when n > 1 then {_h("'0'", "'1'", 'case_id')} % (n - 1) end as q1 from d0), e1 as (select *, case when q1 >= p0 then q1 + 1 else q1 end as p1 from d1), d2 as (select *, case when n > 2 then {_h("'0'", "'2'", 'case_id')} % (n - 2) end as q2 from e1),
+ e2 as (select *, case when q2 >= least(p0, p1) then q2 + 1 else q2 end as h2 from d2), e3 as (select *, case when h2 >= greatest(p0, p1) then h2 + 1 else h2 end as p2 from e2), l as (select case_id, qi, tercile, unnest([p0, p1, p2]) as pos from e3), pairs as (select case_id, control_id from l join co using (qi, tercile, pos))"""
+
+
+@query("j16_matched_controls", _PAIRS + " select case_id, control_id from pairs")
 def j16(spark: SparkSession, d: str) -> DataFrame:
     return M.matched_controls(*_cases(spark, d), ["qi", "tercile"])
 
@@ -203,7 +206,10 @@ def j23(spark: SparkSession, d: str) -> DataFrame:
 
 
 
-@query("r14_did_table", None)
+@query("r14_did_table", _PAIRS + """, an as (select 'a' || case_id as aid, split_part(case_id, '|', 1)::bigint as cik, qi, 'a' as side from ca union all select 'b|' || case_id || '|' || control_id, control_id, qi, 'b' from pairs join ca using (case_id)), g as (select an.*, k::int as k, qi + k as q from an, range(-4, 0) t(k)),
+ jj as (select aid, g.cik, side, k, p.revenue, p.n_orders from g left join panel_c p on p.cik = g.cik and p.qi = g.q), lg as (select aid, cik, side, k, 'revenue' as metric, revenue::double as value from jj union all select aid, cik, side, k, 'n_orders', n_orders::double from jj), ch as (select *, value - first_value(value) over (partition by aid, metric order by k) as v from lg), sd as (select * from ch where k > -4 and v is not null), """ + _mult("sd", "cik") + """,
+ st as (select metric, k, draw, sum(v * w) filter (where side = 'a') / sum(w) filter (where side = 'a') - sum(v * w) filter (where side = 'b') / sum(w) filter (where side = 'b') as s, coalesce(sum(w) filter (where side = 'a'), 0) na, coalesce(sum(w) filter (where side = 'b'), 0) nb from sd join mu on mu.grp = sd.cik group by 1, 2, 3), e as (select metric, k, quantile_cont(s, 0.025) lo, quantile_cont(s, 0.975) hi from st where na >= 1 and nb >= 1 group by 1, 2),
+ o as (select metric, k, avg(v) filter (where side = 'a') - avg(v) filter (where side = 'b') as obs, count(*) filter (where side = 'a') as n_a, count(*) filter (where side = 'b') as n_b from sd group by 1, 2) select o.metric, o.k, round(obs, 6) as obs, round(lo, 6) as lo, round(hi, 6) as hi, n_a, n_b, round(lo, 6) > 0 or round(hi, 6) < 0 as excludes_zero from o left join e on e.metric = o.metric and e.k = o.k""")
 def r14(spark: SparkSession, d: str) -> DataFrame:
     """Cases against their matched controls: change of each metric at each quarter before the anchor, all cells from one set of draws."""
     cases, controls = _cases(spark, d)

@@ -222,3 +222,41 @@ def w11(spark: SparkSession, d: str) -> DataFrame:
     s = e.withColumn("fresh", fresh).withColumn("episode", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     x = s.groupBy("company", "episode").agg(F.count_distinct("insider").alias("insiders"), F.max("value").alias("largest"), F.to_date(F.min("ts")).alias("day"))
     return x.where("insiders >= 2 or largest >= 400").select("company", "insiders", R("largest", 6).alias("largest"), "day")
+
+
+@query("s11_insider_pages", "with e as (select user_id as cik, case event_type when 'purchase' then 'P' when 'refund' then 'S' else 'A' end as code, event_id % 5 = 0 as deriv, value, ts::date as day from events) select cik, min(day) as covered_from, count(*) filter (where code in ('P', 'S') and not deriv and value <> 0) as open_market, round(sum(value) filter (where code = 'P' and not deriv and value <> 0), 6) as bought from e group by 1")
+def s11(spark: SparkSession, d: str) -> DataFrame:
+    """Insider pages as JSON documents, read through the declared schema."""
+    code = F.when(F.col("event_type") == "purchase", "P").when(F.col("event_type") == "refund", "S").otherwise("A")
+    t = F.struct(code.alias("code"), (F.col("event_id") % 5 == 0).alias("isDerivative"), "value", F.to_date("ts").cast("string").alias("transactionDate"))
+    docs = V.table(spark, d, "events").groupBy(F.col("user_id").alias("cikNumber")).agg(F.collect_list(t).alias("transactions")).select(F.to_json(F.struct("cikNumber", "transactions")).alias("value"))
+    rows = I.insider_transactions(docs.select(F.from_json("value", schemas.INSIDER).alias("d")).select("d.*"))
+    return rows.groupBy("cik").agg(F.min("day").alias("covered_from"), F.count_if(F.col("open_market")).alias("open_market"), R(F.sum(F.when(F.col("open_market") & (F.col("code") == "P"), F.col("value"))), 6).alias("bought"))
+
+
+@query("s12_latest_annual_value", "with o as (select o_custkey as cik, case when o_orderkey % 3 = 0 then 'Revenue' else 'Other' end as concept, round(o_totalprice, 4) as v, o_orderdate::date as filed, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey) as rn from orders), r as (select cik, arg_min(v, rn) as value, arg_min(filed, rn) as filed_at from o where concept = 'Revenue' group by 1) select r.cik, value, filed_at, p.probe from r join (select cik, max(filed) as probe from o group by 1) p on p.cik = r.cik")
+def s12(spark: SparkSession, d: str) -> DataFrame:
+    o = V.table(spark, d, "orders").select(F.col("o_custkey").alias("cik"), F.when(F.col("o_orderkey") % 3 == 0, "Revenue").otherwise("Other").alias("concept"), R("o_totalprice", 4).alias("v"), F.to_date("o_orderdate").alias("filed"), F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), "o_orderkey")).alias("rn"))
+    values = F.transform(F.array_sort(F.collect_list(F.struct("rn", "concept", "v", "filed"))), lambda x: F.struct(x["concept"].alias("conceptGroup"), x["v"].alias("value"), x["filed"].cast("string").alias("filedAt")))
+    docs = o.groupBy(F.col("cik").alias("cikNumber")).agg(values.alias("values")).select(F.to_json(F.struct("cikNumber", "values")).alias("value"))
+    return I.latest_annual(docs.select(F.from_json("value", schemas.AS_OF).alias("d")).select("d.*")).select("cik", "value", "filed_at", "probe")
+
+
+@query("a36_name_coverage", "with c as (select c_custkey as cik, c_mktsegment as source, case when c_custkey % 4 <> 0 then c_name end as name, case when c_custkey % 6 = 0 then ['old ' || c_name] else [] end as former, case when c_custkey % 5 <> 0 then ['T' || c_custkey] else [] end as tickers from customer) select source, count(*) as n, count(name) as named, count(*) filter (where len(former) > 0) as with_former, count(*) filter (where len(tickers) > 0) as still_listed from c group by 1")
+def a36(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("c_custkey")
+    some = lambda c, v: F.when(c, F.array(v)).otherwise(F.array().cast("array<string>"))
+    c = V.table(spark, d, "customer").select(F.col("c_mktsegment").alias("source"), F.when(k % 4 != 0, F.col("c_name")).alias("name"), some(k % 6 == 0, F.concat(F.lit("old "), "c_name")).alias("former"), some(k % 5 != 0, F.concat(F.lit("T"), k)).alias("tickers"))
+    return c.groupBy("source").agg(F.count("*").alias("n"), F.count("name").alias("named"), F.count_if(F.size("former") > 0).alias("with_former"), F.count_if(F.size("tickers") > 0).alias("still_listed"))
+
+
+@query("n6_json_fields", "select event_type, count(*) as n, sum(json_extract(props, '$.k')::bigint)::bigint as total, count(*) filter (where json_extract(props, '$.none') is null) as without_field from events group by 1")
+def n6(spark: SparkSession, d: str) -> DataFrame:
+    k = F.get_json_object("props", "$.k").try_cast("long")
+    return V.table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.sum(k).alias("total"), F.count_if(F.get_json_object("props", "$.none").isNull()).alias("without_field"))
+
+
+@query("j7_benchmark_calendar", V.with_views("bars", "bench") + ", late as (select * from bench where date >= date '1995-06-01' and day(date) % 3 = 0) select d.date, b.close as bench from (select distinct date from bars) d asof join late b on d.date >= b.date")
+def j7(spark: SparkSession, d: str) -> DataFrame:
+    late = V.bench(spark, d).where("date >= '1995-06-01' and day(date) % 3 = 0")
+    return A.calendar(V.bars(spark, d), late)
