@@ -21,6 +21,8 @@ STOPWORDS = (
     "diagnostics devices oncology biologics bio medicines immunotherapeutics biopharma biopharmaceutical biopharmaceuticals biotherapeutics wellness nutrition "
     "immunotherapy vaccines"
 ).split()
+# Fixed value: what registrant lists append to names.
+ARTEFACT = r"(?i)[\\/][a-z]{2,4}[\\/]?\s*$|\bet\s+al\b"
 #: The rules from the strongest claim to the weakest.
 RULES = ("R1", "R2", "R3", "R3b")
 
@@ -32,7 +34,7 @@ def _words(words: Iterable[str]) -> Column:
 def core(name: Column) -> Column:
     """Lower case, `&` as and, registrant artefacts out, split at all but letters and digits, legal forms out."""
     s = F.replace(F.lower(F.coalesce(name, F.lit(""))), F.lit("&"), F.lit(" and "))
-    s = F.regexp_replace(s, r"(?i)[\\/][a-z]{2,4}[\\/]?\s*$|\bet\s+al\b", " ")
+    s = F.regexp_replace(s, ARTEFACT, " ")
     legal = _words(LEGAL)
     return F.array_join(F.filter(F.split(s, "[^a-z0-9]+"), lambda t: (t != "") & ~F.array_contains(legal, t)), " ")
 
