@@ -31,7 +31,7 @@ MIN_WORDS, SENTENCE_WORDS = 10, 8
 #: Words of an anchored run, and of how many word pairs one is an anchor: a repeated passage of 50 words holds two or three.
 RUN_WORDS, ANCHOR_RATE = 12, 16
 #: Bits of the filter that lets wanted paragraphs pass before the exact join; a bound on what is broadcast.
-FILTER_BITS = 1 << 26
+FILTER_BITS = 1 << 25
 #: Colliding paragraphs that are compared in one task; larger groups are compared block by block.
 BLOCK = 2000
 _SENTENCE = re.compile(rb"[^\n]*?[.!?]+(?=[ \t\n]|$)|[^\n]+")
@@ -192,13 +192,12 @@ def signatures(docs: DataFrame, text: str, n_bands: int, rows: int = ROWS) -> Da
 def _bitmap(keys: DataFrame):
     """A broadcast bitmap of a column of 64-bit hashes. Its size is fixed; it lets through all of
     them and few others, so that an exact join after it shuffles little."""
-    col = keys.columns[0]
-    bit = F.pmod(F.col(col), F.lit(FILTER_BITS))
-    word = F.shiftright(bit, 6).cast("int").alias("word")
-    held = keys.groupBy(word).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod({col}, {FILTER_BITS}) & 63 as int))")).alias("bits")).toPandas()
-    bits = np.zeros(FILTER_BITS >> 6, np.int64)
-    bits[held["word"].to_numpy(np.int64)] = held["bits"].to_numpy(np.int64)
-    return keys.sparkSession.sparkContext.broadcast(bits.tobytes())
+    at = F.pmod(F.col(keys.columns[0]), F.lit(FILTER_BITS)) + 1
+    parts = keys.groupBy(F.bitmap_bucket_number(at).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
+    bits = bytearray(FILTER_BITS >> 3)
+    for r in parts.toLocalIterator():  # 4 kB each
+        bits[(r.part - 1) << 12 : r.part << 12] = r.bits
+    return keys.sparkSession.sparkContext.broadcast(bytes(bits))
 
 
 def _passing(rows: DataFrame, col: str, sent) -> DataFrame:
@@ -206,11 +205,10 @@ def _passing(rows: DataFrame, col: str, sent) -> DataFrame:
     at = rows.columns.index(col)
 
     def run(batches):
-        mask = np.frombuffer(sent.value, np.uint64)
+        mask = np.frombuffer(sent.value, np.uint8)
         for b in batches:
             bit = np.mod(b.column(at).to_numpy(zero_copy_only=False), FILTER_BITS)
-            hit = (mask[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1)
-            yield b.filter(pa.array(hit.astype(bool)))
+            yield b.filter(pa.array((mask[bit >> 3] >> (bit & 7) & 1).astype(bool)))
 
     return rows.mapInArrow(run, rows.schema)
 
@@ -220,9 +218,9 @@ def _lines(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
     sent = _bitmap(wanted)
 
     def run(batches):
-        mask = np.frombuffer(sent.value, np.uint64)
+        mask = sent.value
         for b in batches:
-            hit = {u: whole for u, (whole, _) in distinct_paragraphs(raw(b, text)).items() if int(mask[(u % FILTER_BITS) >> 6]) >> (u & 63) & 1}
+            hit = {u: whole for u, (whole, _) in distinct_paragraphs(raw(b, text)).items() if mask[(u % FILTER_BITS) >> 3] >> (u & 7) & 1}
             yield pa.RecordBatch.from_arrays([pa.array(list(hit), pa.int64()), pa.array(list(hit.values()), pa.binary())], ["unit", "words"])
 
     lines = docs.select(text).mapInArrow(run, "unit long, words binary").join(wanted, "unit", "left_semi")
