@@ -84,7 +84,7 @@ def units(text: bytes):
 
 
 def runs(text: bytes):
-    """(kind r, start byte, end byte, words) of the anchored runs of the text."""
+    """(kind r, start byte, end byte, words joined) of the anchored runs of the text."""
     low = text.lower()
     code = np.frombuffer(low, np.uint8).astype(np.uint32)
     space = (code == 32) | ((code >= 9) & (code <= 13))
@@ -96,9 +96,11 @@ def runs(text: bytes):
     word = np.add.reduceat(code * code * np.uint32(2654435761), starts)
     pair = (word[:-1] ^ (word[:-1] >> np.uint32(15))) * np.uint32(2246822519) + word[1:] * np.uint32(3266489917)
     pair ^= pair >> np.uint32(13)
-    for i in np.flatnonzero(pair[: len(starts) - RUN_WORDS + 1] % np.uint32(ANCHOR_RATE) == 0).tolist():
-        start, end = int(starts[i]), int(ends[i + RUN_WORDS - 1])
-        yield "r", start, end, low[start:end].split()
+    at = np.flatnonzero(pair[: len(starts) - RUN_WORDS + 1] % np.uint32(ANCHOR_RATE) == 0)
+    whole, width = b" ".join(low.split()), np.cumsum(ends - starts + 1)  # each word with one space after it
+    first, last = width[at] - (ends - starts + 1)[at], width[at + RUN_WORDS - 1] - 1
+    for a, b, s, e in zip(first.tolist(), last.tolist(), starts[at].tolist(), ends[at + RUN_WORDS - 1].tolist(), strict=True):
+        yield "r", s, e, whole[a:b]
 
 
 def distinct_paragraphs(texts) -> dict[int, tuple[bytes, list[bytes]]]:
@@ -120,8 +122,8 @@ def _chars(text: bytes, marks: list[int]) -> list[int]:
     """Code points before each of the byte positions (ascending or not)."""
     if text.isascii():
         return marks
-    first = np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)
-    return [int(first[m - 1]) if m else 0 for m in marks]
+    first = np.append(0, np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80))
+    return first[marks].tolist() if marks else []
 
 
 def occurrences(docs: DataFrame, id_col: str, text: str) -> DataFrame:
@@ -133,13 +135,15 @@ def occurrences(docs: DataFrame, id_col: str, text: str) -> DataFrame:
             for doc, t in zip(b.column(0).to_pylist(), raw(b, text), strict=True):
                 if not t:
                     continue
-                found = list(units(t))
+                found = [(k, s, e, b" ".join(w), len(w)) for k, s, e, w in units(t)]
                 known = {f[1:3] for f in found}  # a run that is a whole sentence is no second occurrence
-                found += [f for f in runs(t) if f[1:3] not in known]
-                starts, ends = _chars(t, [f[1] for f in found]), _chars(t, [f[2] for f in found])
-                for (kind, _, _, words), s, e in zip(found, starts, ends, strict=True):
-                    for column, value in zip(out, (unit_of(b" ".join(words)), kind == "p", doc, s, e, len(words)), strict=True):
-                        column.append(value)
+                found += [(*f, RUN_WORDS) for f in runs(t) if f[1:3] not in known]
+                out[0] += [unit_of(f[3]) for f in found]
+                out[1] += [f[0] == "p" for f in found]
+                out[2] += [doc] * len(found)
+                out[3] += _chars(t, [f[1] for f in found])
+                out[4] += _chars(t, [f[2] for f in found])
+                out[5] += [f[4] for f in found]
             kind = b.schema.field(0).type
             arrays = [pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.bool_(), kind, pa.int32(), pa.int32(), pa.int32()), strict=True)]
             yield pa.RecordBatch.from_arrays(arrays, ["unit", "is_paragraph", "doc_id", "start", "end", "n_words"])

@@ -148,7 +148,7 @@ def _brute(docs):
     for d, text in docs:
         t = (text or "").encode()
         own = list(paragraphs.units(t))
-        for kind, s, e, words in own + [r for r in paragraphs.runs(t) if r[1:3] not in {o[1:3] for o in own}]:
+        for kind, s, e, words in own + [(*r[:3], r[3].split()) for r in paragraphs.runs(t) if r[1:3] not in {o[1:3] for o in own}]:
             node = names.setdefault(b" ".join(words), len(names))
             found.append((node, kind, d, len(t[:s].decode()), len(t[:e].decode())))
     paras = {n for n, k, *_ in found if k == "p"}
@@ -229,9 +229,9 @@ def test_runs_are_anchored_by_content():
         passage = words(52)
         a, b = (b" ".join(" ".join(words(30) + passage + words(30)).encode().split()) for _ in range(2))
         b = b.replace(b" ", b"\n", 40).replace(b"w", b"W", 60)
-        x, y = ({b" ".join(w) for *_, w in paragraphs.runs(t)} for t in (a, b))
+        x, y = ({w for *_, w in paragraphs.runs(t)} for t in (a, b))
         for _, s, e, w in paragraphs.runs(b):
-            assert len(w) == paragraphs.RUN_WORDS and b[s:e].lower().split() == w
+            assert len(w.split()) == paragraphs.RUN_WORDS and b" ".join(b[s:e].lower().split()) == w
         found += bool(x & y)
     assert found > 170
     assert not list(paragraphs.runs(b"a b c")) and not list(paragraphs.runs(b" "))
