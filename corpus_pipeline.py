@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelyard.llm import decontam, mixing, sharding, simhash, toxicity
+from panelyard.llm import decontam, mixing, nearcopies, sharding, toxicity
 from panelyard.llm.common import durable, fresh, read
 from panelyard.llm.labelled import fold
 
@@ -24,8 +24,8 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles) the document with the smallest id stays."""
-    return simhash.dedup(docs)
+    """Of each group of near copies (Jaccard similarity of five-word shingles of 0.8 or more) the document with the smallest id stays."""
+    return nearcopies.dedup(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -161,15 +161,14 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle
     return made.join(label, "fp").select("id", "fp", "component_id")
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5) -> DataFrame:
-    """Keep of each component the row with the smallest id, with all its columns.
+def keep_least(docs: DataFrame, ids: DataFrame, id_col: str, text: str) -> DataFrame:
+    """Keep of each component of ids (id, component_id) the row with the smallest id, with all its columns.
 
     Rows that share an id stand or fall together, and exact repeats among them (same id, same
     text) leave one row. A row with a null id is kept if its id cannot be compared with another's,
     that is always: it is never removed in favour of a row it could not be told apart from.
     """
     key, repeated = fresh(docs, "keeper", "repeated")
-    ids = classes(docs, id_col, text, shingle)
     keep = ids.where("id is not null").groupBy("id").agg(F.count("*").alias("n"), F.max(F.expr("id = component_id")).alias("stays"))
     keep = keep.where("stays").select(F.col("id").alias(key), (F.col("n") > 1).alias(repeated))
     kept = docs.join(keep, docs[id_col] == F.col(key))
@@ -178,6 +177,11 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle:
     return once.unionByName(more).unionByName(docs.where(F.col(id_col).isNull()))
 
 
+def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5) -> DataFrame:
+    """Keep of each component the row with the smallest id, with all its columns; see keep_least."""
+    return keep_least(docs, classes(docs, id_col, text, shingle), id_col, text)
+
+
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract digest: doc_id, fingerprint (16 hex digits), component_id."""
     out = classes(read(spark, sf_dir, "documents"), shingle=3)
