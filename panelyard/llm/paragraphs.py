@@ -3,8 +3,10 @@
 A paragraph is a line of at least MIN_WORDS words (lower-cased, split at white space). Passages
 also repeat inside otherwise different lines, so the sentences of a line with at least
 SENTENCE_WORDS words are units too, and so are runs of RUN_WORDS words, whatever the lines, that
-begin at anchors: pairs of words whose hash falls into one of ANCHOR_RATE classes, so that equal
-passages have equal anchors wherever they stand. Both are compared by their exact words. Equal
+begin at anchors: the pair of words with the least hash of every ANCHOR_WINDOW pairs in a row.
+Equal passages have equal anchors wherever they stand, and each passage of ANCHOR_WINDOW +
+RUN_WORDS - 1 words has one at least. Both are compared by their exact words; passages() extends
+runs to all that they share with their keeper. Equal
 units fall together by a 64-bit hash of their words. Different paragraphs are joined where a band of their MinHash
 signatures collides; the number of bands is the smallest that finds a pair at the threshold
 with the asked recall. Colliding paragraphs are verified by the exact Jaccard similarity of
@@ -28,8 +30,10 @@ from .forest import forest
 
 SHINGLE, LEAST, RECALL, ROWS = 5, 0.8, 0.999, 2
 MIN_WORDS, SENTENCE_WORDS = 10, 8
-#: Words of an anchored run, and of how many word pairs one is an anchor: a repeated passage of 50 words holds two or three.
-RUN_WORDS, ANCHOR_RATE = 12, 16
+#: Words of an anchored run, and the word pairs in a row of which the least is an anchor: every repeated passage of 41 words holds one.
+RUN_WORDS, ANCHOR_WINDOW = 12, 30
+#: Words on each side of a run that it is extended by at most: what is longer holds a further anchor, whose run goes on from there.
+REACH = ANCHOR_WINDOW + RUN_WORDS
 #: Bits of the filter that lets wanted paragraphs pass before the exact join; a bound on what is broadcast.
 FILTER_BITS = 1 << 25
 #: Colliding paragraphs that are compared in one task; larger groups are compared block by block.
@@ -83,21 +87,40 @@ def units(text: bytes):
                         yield "s", at + span[0], at + span[1], own
 
 
-def runs(text: bytes):
-    """(kind r, start byte, end byte, words joined) of the anchored runs of the text."""
+def _anchors(pair: np.ndarray) -> np.ndarray:
+    """Positions of the leftmost least of every ANCHOR_WINDOW hashes in a row (of all, if they are fewer)."""
+    low = pair.astype(np.uint64) << np.uint64(32) | np.arange(len(pair), dtype=np.uint64)
+    window, width = min(ANCHOR_WINDOW, len(pair)), 1
+    while 2 * width <= window:
+        low, width = np.minimum(low[:-width], low[width:]), 2 * width
+    if window > width:
+        low = np.minimum(low[: width - window], low[window - width :])
+    return np.unique(low & np.uint64(0xFFFFFFFF)).astype(np.int64)
+
+
+def _anchored(text: bytes):
+    """(first words of the runs, starts and ends of all words, words joined, where each word ends in them), or None."""
     low = text.lower()
     code = np.frombuffer(low, np.uint8).astype(np.uint32)
     space = (code == 32) | ((code >= 9) & (code <= 13))
     starts = np.flatnonzero(~space & np.append(True, space[:-1]))
     if len(starts) < RUN_WORDS:
-        return
+        return None
     ends = np.flatnonzero(~space & np.append(space[1:], True)) + 1
     code[space] = 0
     word = np.add.reduceat(code * code * np.uint32(2654435761), starts)
     pair = (word[:-1] ^ (word[:-1] >> np.uint32(15))) * np.uint32(2246822519) + word[1:] * np.uint32(3266489917)
     pair ^= pair >> np.uint32(13)
-    at = np.flatnonzero(pair[: len(starts) - RUN_WORDS + 1] % np.uint32(ANCHOR_RATE) == 0)
-    whole, width = b" ".join(low.split()), np.cumsum(ends - starts + 1)  # each word with one space after it
+    at = _anchors(pair[: len(starts) - RUN_WORDS + 1])
+    return at, starts, ends, b" ".join(low.split()), np.cumsum(ends - starts + 1)  # each word with one space after it
+
+
+def runs(text: bytes):
+    """(kind r, start byte, end byte, words joined) of the anchored runs of the text."""
+    found = _anchored(text)
+    if found is None:
+        return
+    at, starts, ends, whole, width = found
     first, last = width[at] - (ends - starts + 1)[at], width[at + RUN_WORDS - 1] - 1
     for a, b, s, e in zip(first.tolist(), last.tolist(), starts[at].tolist(), ends[at + RUN_WORDS - 1].tolist(), strict=True):
         yield "r", s, e, whole[a:b]
@@ -127,11 +150,11 @@ def _chars(text: bytes, marks: list[int]) -> list[int]:
 
 
 def occurrences(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """(unit, is_paragraph, doc_id, start, end, n_words), positions in code points; null texts have none."""
+    """(unit, is_paragraph, is_run, doc_id, start, end, n_words), positions in code points; null texts have none."""
 
     def run(batches):
         for b in batches:
-            out = [[] for _ in range(6)]
+            out = [[] for _ in range(7)]
             for doc, t in zip(b.column(0).to_pylist(), raw(b, text), strict=True):
                 if not t:
                     continue
@@ -140,18 +163,19 @@ def occurrences(docs: DataFrame, id_col: str, text: str) -> DataFrame:
                 found += [(*f, RUN_WORDS) for f in runs(t) if f[1:3] not in known]
                 out[0] += [unit_of(f[3]) for f in found]
                 out[1] += [f[0] == "p" for f in found]
-                out[2] += [doc] * len(found)
-                out[3] += _chars(t, [f[1] for f in found])
-                out[4] += _chars(t, [f[2] for f in found])
-                out[5] += [f[4] for f in found]
+                out[2] += [f[0] == "r" for f in found]
+                out[3] += [doc] * len(found)
+                out[4] += _chars(t, [f[1] for f in found])
+                out[5] += _chars(t, [f[2] for f in found])
+                out[6] += [f[4] for f in found]
             kind = b.schema.field(0).type
-            arrays = [pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.bool_(), kind, pa.int32(), pa.int32(), pa.int32()), strict=True)]
-            yield pa.RecordBatch.from_arrays(arrays, ["unit", "is_paragraph", "doc_id", "start", "end", "n_words"])
+            arrays = [pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.bool_(), pa.bool_(), kind, pa.int32(), pa.int32(), pa.int32()), strict=True)]
+            yield pa.RecordBatch.from_arrays(arrays, ["unit", "is_paragraph", "is_run", "doc_id", "start", "end", "n_words"])
 
     small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias(text))
-    return rows.mapInArrow(run, f"unit long, is_paragraph boolean, doc_id {kind}, start int, end int, n_words int")
+    return rows.mapInArrow(run, f"unit long, is_paragraph boolean, is_run boolean, doc_id {kind}, start int, end int, n_words int")
 
 
 def minima(hashes: np.ndarray, sizes: np.ndarray, k: int) -> np.ndarray:
@@ -284,6 +308,11 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least:
     enough lines have no rows; repeated rows of documents count as occurrences of their own, of
     which one is the keeper. Other columns are not read. An empty table gives no rows.
     """
+    return _classes(docs, id_col, text, least, recall).drop("unit", "is_run", "keeper")
+
+
+def _classes(docs: DataFrame, id_col: str, text: str, least: float, recall: float) -> DataFrame:
+    """What classes() returns, with unit, is_run and keeper, the place of the first occurrence."""
     found = durable(occurrences(docs, id_col, text), "passages")
     roots = durable(components(near_links(docs, text, least, recall), "passages-cc"), "passages-roots")
     wanted = durable(found.groupBy("unit").count().where("count > 1").select("unit").union(roots.select("node")).distinct(), "passages-wanted")
@@ -295,13 +324,92 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least:
     # equal rows of documents: one of the keeper's twins is the keeper
     twin = F.row_number().over(Window.partitionBy("class_id", "doc_id", "start", "end").orderBy("n_words"))
     kept, others = rows.where("first").withColumn("removed", twin > 1), rows.where("not first").withColumn("removed", F.lit(True))
-    return kept.unionByName(others).select("doc_id", "start", "end", "n_words", "class_id", F.col("keeper.doc_id").alias("keeper_doc_id"), "removed")
+    return kept.unionByName(others).select("doc_id", "start", "end", "n_words", "class_id", F.col("keeper.doc_id").alias("keeper_doc_id"), "removed", "unit", "is_run", "keeper")
+
+
+_AROUND = "before binary, after binary, starts array<int>, ends array<int>"
+
+
+def _around(docs: DataFrame, id_col: str, text: str, wanted: DataFrame) -> DataFrame:
+    """(unit, doc_id, start, around): what stands around the wanted runs, up to REACH words before and
+    after: the words, the starts of those before and the ends of those after, in code points."""
+    sent = _bitmap(wanted)
+
+    def run(batches):
+        mask = sent.value
+        for b in batches:
+            out = [[] for _ in range(7)]
+            for doc, t in zip(b.column(0).to_pylist(), raw(b, text), strict=True):
+                found = _anchored(t) if t else None
+                if found is None:
+                    continue
+                at, starts, ends, whole, width = found
+                begin, starts, ends = np.append(0, width), _chars(t, starts.tolist()), _chars(t, ends.tolist())
+                for k in at.tolist():
+                    m, low, high = k + RUN_WORDS, max(0, k - REACH), min(len(starts), k + RUN_WORDS + REACH)
+                    u = unit_of(whole[begin[k] : begin[m] - 1])
+                    if mask[(u % FILTER_BITS) >> 3] >> (u & 7) & 1:
+                        for column, value in zip(out, (u, doc, starts[k], whole[begin[low] : max(0, begin[k] - 1)], whole[begin[m] : max(0, begin[high] - 1)], starts[low:k], ends[m:high]), strict=True):
+                            column.append(value)
+            many = pa.list_(pa.int32())
+            kinds = (pa.int64(), b.schema.field(0).type, pa.int32(), pa.binary(), pa.binary(), many, many)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["unit", "doc_id", "start", "before", "after", "starts", "ends"])
+
+    small_batches(docs.sparkSession)
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias(text))
+    made = rows.mapInArrow(run, f"unit long, doc_id {kind}, start int, {_AROUND}").join(wanted, "unit", "left_semi")
+    return made.groupBy("unit", "doc_id", "start").agg(F.min(F.struct("before", "after", "starts", "ends")).alias("around"))
+
+
+def _shared(pairs: DataFrame) -> DataFrame:
+    """pairs with `left` and `right`: the words that `around` and `other` share next to the run on either side."""
+
+    def run(batches):
+        for b in batches:
+            left, right = [], []
+            for x, y in zip(b.column("around").to_pylist(), b.column("other").to_pylist(), strict=True):
+                for out, side, step in ((left, "before", -1), (right, "after", 1)):
+                    n = 0
+                    for v, w in zip(x[side].split()[::step], y[side].split()[::step], strict=False) if x and y else ():
+                        if v != w:
+                            break
+                        n += 1
+                    out.append(n)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(left, pa.int32()), pa.array(right, pa.int32())], [*b.schema.names, "left", "right"])
+
+    return pairs.mapInArrow(run, pairs.select("*").schema.add("left", "integer").add("right", "integer"))
+
+
+def passages(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least: float = LEAST, recall: float = RECALL) -> DataFrame:
+    """classes() with each run extended by the words around it that it shares with its keeper.
+
+    A passage that repeats has its runs at most ANCHOR_WINDOW words apart, so that the runs' extended
+    spans cover all of it. A keeper's run is as wide as the widest of those it stands for."""
+    rows = durable(_classes(docs, id_col, text, least, recall), "passages-classes")
+    short = rows.where("is_run")
+    around = durable(_around(docs, id_col, text, short.select("unit").distinct()), "passages-around")
+    at = lambda x, y: (x["unit"] == y["unit"]) & x["doc_id"].eqNullSafe(y["doc_id"]) & (x["start"] == y["start"])
+    own = short.alias("o").join(around.alias("x"), at(short, around), "left").select("o.*", "x.around")
+    first = short.select("unit", F.col("keeper.doc_id").alias("doc_id"), F.col("keeper.start").alias("start")).distinct()
+    first = first.alias("f").join(around.alias("x"), at(first, around)).select("f.unit", F.col("x.around").alias("other"))
+    own = own.join(first, "unit", "left")
+    others = durable(_shared(own.where("removed")).drop("other"), "passages-shared")
+    widest = others.groupBy("unit").agg(F.max("left").alias("left"), F.max("right").alias("right"))
+    kept = own.where("not removed").drop("other").join(widest, "unit", "left").select(others.columns)
+    wide = others.unionByName(kept).select(
+        "doc_id",
+        F.expr("case when left > 0 then around.starts[size(around.starts) - left] else start end").alias("start"),
+        F.expr("case when right > 0 then around.ends[right - 1] else end end").alias("end"),
+        F.expr("n_words + coalesce(left, 0) + coalesce(right, 0)").alias("n_words"), "class_id", "keeper_doc_id", "removed",
+    )
+    return rows.where("not is_run").select(wide.columns).unionByName(wide)
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least: float = LEAST) -> DataFrame:
     """docs with the removed passages cut out of their texts; ids must be unique. Other rows are as they were."""
     spans, key = fresh(docs, "cut_spans", "cut_id")
-    gone = classes(docs, id_col, text, least).where("removed").groupBy(F.col("doc_id").alias(key)).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias(spans))
+    gone = passages(docs, id_col, text, least).where("removed").groupBy(F.col("doc_id").alias(key)).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias(spans))
     body = F.col(text)
 
     def step(acc, x):
@@ -314,5 +422,5 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least: fl
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All occurrences of repeated passages with their class."""
-    return classes(read(spark, sf_dir, "documents"))
+    """All occurrences of repeated passages with their class; those inside other lines as a whole."""
+    return passages(read(spark, sf_dir, "documents"))
