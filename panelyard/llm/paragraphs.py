@@ -1,6 +1,7 @@
 """Removal of repeated passages: paragraph MinHash banding, exact Jaccard, components.
 
-A paragraph is a line of at least MIN_WORDS words (lower-cased, split at white space). Passages
+A paragraph is a line, or a block of lines between blank ones, of at least MIN_WORDS words
+(lower-cased, split at white space, so that line breaks inside a block do not count). Passages
 also repeat inside otherwise different lines, so the sentences of a line with at least
 SENTENCE_WORDS words are units too, and so are runs of RUN_WORDS words, whatever the lines, that
 begin at anchors: the pair of words with the least hash of every ANCHOR_WINDOW pairs in a row.
@@ -36,8 +37,8 @@ RUN_WORDS, ANCHOR_WINDOW = 12, 30
 REACH = ANCHOR_WINDOW + RUN_WORDS
 #: Bits of the filter that lets wanted paragraphs pass before the exact join; a bound on what is broadcast.
 FILTER_BITS = 1 << 25
-#: Colliding paragraphs that are compared in one task; larger groups are compared block by block.
-BLOCK = 2000
+#: Colliding paragraphs and their bytes that are compared in one task; larger groups are compared block by block.
+BLOCK, BLOCK_BYTES = 2000, 4 << 20
 _SENTENCE = re.compile(rb"[^\n]*?[.!?]+(?=[ \t\n]|$)|[^\n]+")
 _rng = np.random.default_rng(40_009)
 _MUL = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -67,6 +68,23 @@ def paragraphs(text: bytes):
         at += len(line) + 1
 
 
+def blocks(text: bytes):
+    """(start byte, end byte, words) of the blocks of two lines or more between blank lines. Lines of
+    under SHINGLE words at a block's ends (headings, labels, a last word) are left out of it; where
+    they repeat too, the runs beside them extend over them."""
+    own: list[tuple[int, bytes, list[bytes]]] = []
+    for at, line, words in [*paragraphs(text), (len(text), b"", [])]:
+        if words:
+            own.append((at, line, words))
+            continue
+        long = [k for k, (*_, w) in enumerate(own) if len(w) >= SHINGLE]
+        part = own[long[0] : long[-1] + 1] if long else own  # of short lines only, all count
+        if len(part) > 1:
+            start, end = part[0][0], part[-1][0] + len(part[-1][1])
+            yield *_trimmed(text, start, end), [w for *_, words in part for w in words]
+        own = []
+
+
 def _trimmed(line: bytes, start: int, end: int) -> tuple[int, int]:
     """The span without white space at its ends."""
     part = line[start:end]
@@ -75,6 +93,9 @@ def _trimmed(line: bytes, start: int, end: int) -> tuple[int, int]:
 
 def units(text: bytes):
     """(kind, start byte, end byte, words) of the text's paragraphs (p) and of the sentences (s) of lines with several."""
+    for start, end, words in blocks(text):
+        if len(words) >= MIN_WORDS:
+            yield "p", start, end, words
     for at, line, words in paragraphs(text):
         whole = _trimmed(line, 0, len(line)) if len(words) >= MIN_WORDS else None
         if whole:
@@ -130,7 +151,7 @@ def distinct_paragraphs(texts) -> dict[int, tuple[bytes, list[bytes]]]:
     """unit -> (its words joined, its words) of the texts' paragraphs."""
     out: dict[int, tuple[bytes, list[bytes]]] = {}
     for t in texts:
-        for _, _, words in paragraphs(t or b""):
+        for _, _, words in (*paragraphs(t or b""), *blocks(t or b"")):
             if len(words) >= MIN_WORDS:
                 whole = b" ".join(words)
                 out.setdefault(unit_of(whole), (whole, words))
@@ -290,11 +311,13 @@ def near_links(docs: DataFrame, text: str, least: float, recall: float) -> DataF
     often = durable(often, "passages-collisions")
     members = durable(_passing(pairs, "sig", _bitmap(often)).join(often, "sig", "left_semi").distinct(), "passages-members")
     # groups with the same members in several bands are compared once; large groups block by block
-    groups = members.groupBy("sig").agg(F.count("*").alias("g"), F.sum(F.xxhash64("unit") % (1 << 40)).alias("who"), F.min("unit").alias("x"))
-    groups = groups.groupBy("g", "who", "x").agg(F.min("sig").alias("sig")).select("sig", F.ceil(F.col("g") / BLOCK).cast("int").alias("parts"))
+    lines = durable(_lines(docs, text, members.select("unit").distinct()), "passages-lines")
+    sized = members.join(lines.select("unit", F.octet_length("words").alias("n")), "unit")
+    groups = sized.groupBy("sig").agg(F.count("*").alias("g"), F.sum("n").alias("n"), F.sum(F.xxhash64("unit") % (1 << 40)).alias("who"), F.min("unit").alias("x"))
+    parts = F.ceil(F.greatest(F.col("g") / BLOCK, F.col("n") / BLOCK_BYTES)).cast("int")
+    groups = groups.groupBy("g", "n", "who", "x").agg(F.min("sig").alias("sig")).select("sig", parts.alias("parts"))
     dealt = members.join(groups, "sig").withColumn("block", F.pmod(F.xxhash64("unit"), F.col("parts")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    lines = durable(_lines(docs, text, members.select("unit").distinct()), "passages-lines")
     tasks = dealt.select("sig", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "unit").join(lines, "unit")
     return tasks.groupBy("sig", "low", "high").applyInArrow(_verify(least), "a long, b long")
 

@@ -29,3 +29,28 @@ def test_passages_are_removed_whole(spark):
     for first, second in zip(rows[::2], rows[1::2], strict=True):
         assert got[first[0]] == first[1]
         assert got[second[0]].split() == second[2] + second[3]
+
+
+def _wrapped(words, most, rng):
+    out, at = [], 0
+    while at < len(words):
+        n = int(rng.integers(5, most))
+        out.append(" ".join(words[at : at + n]))
+        at += n
+    return "\n".join(out)
+
+
+def test_rewrapped_paragraphs_are_near_copies(spark):
+    rng = np.random.default_rng(13)
+    rows = []
+    for k in range(30):  # lines of under ten words, and of up to fourteen
+        words = [f"w{x}" for x in rng.integers(0, 100_000, 150)]
+        near = list(words)
+        for at in (40, 90):
+            near[at] = "changed"
+        for c, own in enumerate((words, near)):
+            around = [" ".join(f"z{x}" for x in rng.integers(0, 100_000, 20)) for _ in range(2)]
+            rows.append((2 * k + c, f"{around[0]}\n\n{_wrapped(own, 10 if k % 2 else 15, rng)}\n \n{around[1]}", around))
+    got = dict(paragraphs.dedup(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).collect())
+    for k, text, around in rows:
+        assert got[k] == text if k % 2 == 0 else got[k].split() == " ".join(around).split()
