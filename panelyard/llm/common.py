@@ -36,7 +36,16 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     recompute it nor depend on an executor that may be lost."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table of durable() that nothing reads any more."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(df.written_to)
+    path.getFileSystem(conf).delete(path, True)
 
 
 def raw(batch: pa.RecordBatch, column: str) -> list:

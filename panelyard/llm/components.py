@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import discard, durable
 
 
 def _large_star(e: DataFrame) -> DataFrame:
@@ -25,7 +25,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 
     Nodes without edges do not appear. Loops and repeated pairs are allowed; no edges give no
     rows. The number of rounds grows with the logarithm of the largest component, each round
-    is written to the shared folder, and nothing but two numbers a round comes to the driver.
+    is written to the shared folder in place of the one before, and nothing but two numbers a round comes to the driver.
     """
     e = durable(edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), name)
     mark = None
@@ -33,7 +33,8 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         now = e.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo") % (1 << 31))).first()
         if now == mark or now[0] == 0:
             break
-        mark = now
-        e = durable(_small_star(_large_star(e)).distinct(), name)
+        mark, before = now, e
+        e = durable(_small_star(_large_star(before)).distinct(), name)
+        discard(before)
     roots = e.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
     return roots.union(e.select("lo", "lo").distinct())

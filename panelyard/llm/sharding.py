@@ -20,6 +20,8 @@ from .common import fresh, read
 SEED = 20_011
 #: Bytes of rows a bucket should hold, on average.
 BUCKET_BYTES = 8 << 20
+#: Buckets whose first slots (a few bytes each) are broadcast at most.
+MOST_BROADCAST = 200_000
 
 
 def shard_of(key: Column, shards: int, seed: int = SEED) -> Column:
@@ -39,39 +41,37 @@ def _fisher_yates(n: int, rng: np.random.Generator) -> np.ndarray:
     return order
 
 
-def shuffle_shards(docs: DataFrame, shards: int, id_col: str = "doc_id", text: str = "text", seed: int = SEED, bucket_bytes: int = BUCKET_BYTES, digest: Column | None = None) -> DataFrame:
+def shuffle_shards(docs: DataFrame, shards: int, id_col: str = "doc_id", text: str = "text", seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """docs with `shard` (0 to shards - 1) and `slot` (its place in the shard, gapless from 0).
 
-    If docs has columns of these names, they are replaced. With `digest`, the text is not
-    carried along: that column stands for it where rows are told apart, and bucket sizes then
-    count 64 bytes a row. Rows with a null id go to one shard and spread over its buckets by
-    text; equal rows take neighbouring ranks in either order, so the result is the same. An
-    empty table gives no rows.
+    If docs has columns of these names, they are replaced. Rows with a null id go to one shard
+    and spread over its buckets by text; equal rows take neighbouring ranks in either order, so
+    the result is the same. An empty table gives no rows. Texts are shuffled once: the buckets'
+    first slots are joined on before the scatter, as a broadcast while they are few, and else by
+    a join on the very keys that the scatter needs.
     """
     docs = docs.drop("shard", "slot")
-    bucket, mark = fresh(docs, "bucket", "mark")
-    weight = size_of(F.col(text)) + 64 if digest is None else F.lit(64)
-    total = docs.agg(F.sum(weight)).first()[0] or 0
+    bucket, mark, first = fresh(docs, "bucket", "mark", "first_slot")
+    total = docs.agg(F.sum(size_of(F.col(text)) + 64)).first()[0] or 0
     per_shard = max(1, -(-total // (shards * bucket_bytes)))
-    hashed = F.xxhash64(text) if digest is None else digest
-    keyed = docs.select("*", shard_of(F.col(id_col), shards, seed).alias("shard"), hashed.cast("long").alias(mark))
+    keyed = docs.select("*", shard_of(F.col(id_col), shards, seed).alias("shard"), F.xxhash64(text).alias(mark))
     keyed = keyed.withColumn(bucket, F.pmod(F.xxhash64(F.lit(seed + 1), id_col, mark), F.lit(per_shard)).cast("int"))
     counts = keyed.groupBy("shard", bucket).agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.select("shard", bucket, before.alias("offset"))
+    offsets = counts.select("shard", bucket, before.alias(first))
     carried = [c for c in docs.columns]
 
     def shuffle(table: pa.Table) -> pa.Table:
         where = table.column("shard")[0].as_py(), table.column(bucket)[0].as_py()
+        slots = np.arange(len(table)) + table.column(first)[0].as_py()
         rest = [c for c in carried if c not in (id_col, text) and not pa.types.is_nested(table.schema.field(c).type)]
         table = table.take(pc.sort_indices(table, sort_keys=[(c, "ascending") for c in (id_col, mark, *rest)]))
         order = _fisher_yates(len(table), np.random.default_rng([seed, *where]))
-        return table.take(pa.array(order)).drop_columns([mark]).append_column("slot", pa.array(np.arange(len(table))))
+        return table.select([*carried, "shard"]).take(pa.array(order)).append_column("slot", pa.array(slots))
 
-    schema = keyed.drop(mark).schema.add("slot", "long")
-    mixed = keyed.groupBy("shard", bucket).applyInArrow(shuffle, schema)
-    out = mixed.join(offsets, ["shard", bucket])
-    return out.select(*carried, "shard", (F.col("slot") + F.col("offset")).alias("slot"))
+    schema = keyed.select(*carried, "shard").schema.add("slot", "long")
+    placed = keyed.join(F.broadcast(offsets) if shards * per_shard <= MOST_BROADCAST else offsets, ["shard", bucket])
+    return placed.groupBy("shard", bucket).applyInArrow(shuffle, schema)
 
 
 def write_shards(docs: DataFrame, path: str, shards: int, **options) -> None:
@@ -81,9 +81,8 @@ def write_shards(docs: DataFrame, path: str, shards: int, **options) -> None:
 
 
 def op2(spark: SparkSession, sf_dir: str, shards: int = 24) -> DataFrame:
-    """Contract digest under the `key` law."""
+    """Contract digest under the `key` law, taken from the shuffled documents."""
     docs = read(spark, sf_dir, "documents")
+    out = shuffle_shards(docs.select("doc_id", "text"), shards)
     crc = F.crc32(F.coalesce(F.col("text"), F.lit("")))
-    narrow = docs.select("doc_id", size_of(F.col("text")).alias("size"), crc.alias("text_crc32"))
-    out = shuffle_shards(narrow, shards, "doc_id", "text_crc32", digest=F.col("text_crc32"))
-    return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", shard_of(F.col("doc_id"), shards + 1).alias("grown_shard"))
+    return out.select("doc_id", size_of(F.col("text")).alias("size"), crc.alias("text_crc32"), F.lit("key").alias("law"), "shard", "slot", shard_of(F.col("doc_id"), shards + 1).alias("grown_shard"))

@@ -1,11 +1,14 @@
 """Sharding, mixing, SimHash and decontamination against brute force and on odd rows."""
 
+import functools
 import hashlib
 import re
+import struct
 import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -144,7 +147,51 @@ def test_sharding_odd_rows(odd, none, tmp_path):
         assert sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows)))
     assert sharding.shuffle_shards(none, 3).count() == 0
     sharding.write_shards(odd, str(tmp_path / "out"), 3)
-    assert odd.sparkSession.read.parquet(str(tmp_path / "out")).count() == len(ODD)
+    for s in {r.shard for r in rows}:
+        files = sorted((tmp_path / "out" / f"shard={s}").glob("*.parquet"))
+        slots = [x for f in files for x in pq.read_table(f, columns=["slot"]).column(0).to_pylist()]
+        assert slots == list(range(sum(r.shard == s for r in rows)))  # in the order of the files
+
+
+def _plain_shards(rows, shards, per_shard, seed):
+    """(id, text) rows -> (id, shard, slot): every hash, bucket and swap recomputed without Spark."""
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    xx = lambda b, h: xxhash.xxh64_intdigest(b, h)
+    chained = lambda *parts: signed(functools.reduce(lambda h, b: xx(b, h), parts, 42))
+    i32, i64 = (lambda v: struct.pack("<i", v)), (lambda v: struct.pack("<q", v))
+    dealt = defaultdict(list)
+    for i, t in rows:
+        key = [] if i is None else [i64(i)]  # a null leaves the hash as it is
+        mark = signed(42 if t is None else xx(t.encode(), 42))
+        shard = max((chained(i32(seed), *key, i32(s)), s) for s in range(shards))[1]
+        dealt[shard, chained(i32(seed + 1), *key, i64(mark)) % per_shard].append((i is None, i or 0, mark, i))
+    out, first = set(), defaultdict(int)
+    for (shard, bucket), own in sorted(dealt.items()):
+        own.sort()
+        n, rng = len(own), np.random.default_rng([seed, shard, bucket])
+        for k, j in zip(range(n - 1, 0, -1), rng.integers(0, np.arange(n, 1, -1)), strict=True):
+            own[k], own[j] = own[j], own[k]
+        out |= {(r[3], shard, first[shard] + k) for k, r in enumerate(own)}
+        first[shard] += n
+    return out
+
+
+def test_shards_and_slots_match_plain_ones(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    rows = [tuple(r) for r in docs.collect()]
+    assert {(r.doc_id, r.shard, r.slot) for r in sharding.op2(spark, SF).collect()} == _plain_shards(rows, 24, 1, sharding.SEED)
+    total = sum(len((t or "").encode()) + 72 for _, t in rows)
+    got = sharding.shuffle_shards(docs, 5, seed=7, bucket_bytes=20_000).collect()
+    assert {(r.doc_id, r.shard, r.slot) for r in got} == _plain_shards(rows, 5, -(-total // 100_000), 7)
+    grown = {(r.doc_id, r.shard) for r in sharding.shuffle_shards(docs, 25).collect()}
+    assert grown == {(r.doc_id, r.grown_shard) for r in sharding.op2(spark, SF).collect()}
+
+
+def test_many_buckets_join_their_first_slots(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    want = sorted(map(tuple, sharding.shuffle_shards(docs, 5, bucket_bytes=20_000).drop("text").collect()))
+    monkeypatch.setattr(sharding, "MOST_BROADCAST", 0)
+    assert sorted(map(tuple, sharding.shuffle_shards(docs, 5, bucket_bytes=20_000).drop("text").collect())) == want
 
 
 def test_fisher_yates_is_uniform():
