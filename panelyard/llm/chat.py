@@ -1,7 +1,10 @@
 """Chat formatting in budgeted windows.
 
 A conversation's turns are cut at turn borders into windows of a token budget: the running sum
-of turn tokens says where the next window begins. Every window repeats the system turn, and,
+of turn tokens says where the next window begins. A turn's tokens are counted over what is
+written for it, marks and escapes included: as its bytes, since no byte-level vocabulary gives
+more tokens than bytes, or by a given vocabulary, in which case each window is counted once more
+as a whole. So no window exceeds its budget. Every window repeats the system turn, and,
 as far as their own budget goes, the turns just before it. The loss mask covers the texts of
 assistant turns where they stand for the first time; repeated ones are masked out. Control
 strings inside texts are escaped with a backslash after their first character, and backslashes
@@ -22,7 +25,8 @@ from pyspark.sql import functions as F
 
 from .common import read, small_batches
 
-BUDGET, HISTORY = 1024, 256
+#: In bytes where no vocabulary is given; about a quarter as many tokens of a usual one.
+BUDGET, HISTORY = 4096, 1024
 #: The template: what stands before and after a turn's text, by role.
 MARKS = {"system": ("<<SYS>>\n", "\n<</SYS>>\n\n"), "user": ("[INST] ", " [/INST]"), "assistant": (" ", " </s>")}
 OTHER = ("[ROLE {}] ", " [/ROLE]")
@@ -40,15 +44,17 @@ def unescape(text: str) -> str:
     return _ESCAPED.sub(r"\1", text)
 
 
-def tokens(text: str) -> int:
-    """A bound on the tokens of a turn without a vocabulary: a quarter of its bytes, and 4 for the marks."""
-    return -(-len(text.encode()) // 4) + 4
+def written(role: str, text: str) -> tuple[str, str, str]:
+    """What stands before a turn's text, the text with its control strings escaped, and what stands after."""
+    before, after = MARKS.get(role, OTHER)
+    return before if role in MARKS else before.format(quote(role, safe="")), escape(text), after
 
 
 def counter(vocabulary: str | None = None):
-    """tokens(), or the exact count under a tokenizers file at a path that all executors have."""
+    """The count of a written text's tokens: its bytes, or the exact number under a tokenizers file
+    at a path that all executors have."""
     if vocabulary is None:
-        return tokens
+        return lambda text: len(text.encode())
     held = []
 
     def count(text: str) -> int:
@@ -57,7 +63,7 @@ def counter(vocabulary: str | None = None):
 
             held.append(Tokenizer.from_file(vocabulary))
             held[0].encode_special_tokens = True
-        return len(held[0].encode(text, add_special_tokens=False).ids) + 4
+        return len(held[0].encode(text, add_special_tokens=False).ids)
 
     return count
 
@@ -66,8 +72,7 @@ def _render(turns) -> tuple[str, list[int], list[int]]:
     """(text, loss starts, loss ends) of (role, text, repeated) turns; code points."""
     out, at, starts, ends = [BEGIN], len(BEGIN), [], []
     for role, text, repeated in turns:
-        before, after = MARKS.get(role, OTHER)
-        before, body = before.format(quote(role, safe="")) if role not in MARKS else before, escape(text)
+        before, body, after = written(role, text)
         if role == "assistant" and not repeated:
             starts.append(at + len(before))
             ends.append(at + len(before) + len(body))
@@ -85,37 +90,43 @@ def parse(text: str) -> list[tuple[str, str]]:
     return out
 
 
-def _windows(rows, count, budget: int, history: int):
-    """Windows (conv, number, turns with their repeated flags, tokens) of sorted (conv, role, text) rows."""
-    none = object()
-    now, number, own, base, used, system = none, 0, [], [], 0, None
+def _windows(rows, count, budget: int, history: int, whole: bool):
+    """Windows (conv, number, repeated turns, own turns, tokens) of sorted (conv, role, text) rows.
+
+    `whole`: the sum of the turns' counts is not the count of the window, which is counted too."""
+    begin, none = count(BEGIN), object()
+
+    def total(turns) -> int:
+        added = begin + sum(t[2] for t in turns)
+        return count(_render([(r, t, True) for r, t, _ in turns])[0]) if whole else added
+
+    def fits(turns) -> bool:
+        return begin + sum(t[2] for t in turns) <= budget and (not whole or total(turns) <= budget)
+
+    now, number, own, base, system = none, 0, [], [], None
     for conv, role, text in rows:
-        cost = count(text)
+        turn = (role, text, count("".join(written(role, text))))
         if conv != now or now is none:
             if own:
-                yield now, number, base, own, used
-            now, number, own, base, used, system = conv, 0, [], [], 0, None
-        elif own and used + cost > budget:
-            yield now, number, base, own, used
+                yield now, number, base, own, total(base + own)
+            now, number, own, base, system = conv, 0, [], [], None
+        elif own and not fits([*base, *own, turn]):
+            yield now, number, base, own, total(base + own)
             # the last turns, as far as their sum stays within the history's share
             recent, sums = [], 0
-            for turn in reversed(own):
-                sums += turn[2]
-                if turn is system or sums > history:
+            for last in reversed(own):
+                sums += last[2]
+                if last is system or sums > history:
                     break
-                recent.insert(0, turn)
-            base, own, number = ([system] if system else []) + recent, [], number + 1
-            used = sum(t[2] for t in base)
-            if used + cost > budget:  # a turn that needs the room comes before history
-                base = [system] if system else []
-                used = sum(t[2] for t in base)
-        turn = (role, text, cost)
+                recent.insert(0, last)
+            base, own, number = [system] if system else [], [], number + 1
+            if fits([*base, *recent, turn]):  # a turn that needs the room comes before history
+                base = base + recent
         own.append(turn)
-        used += cost
         if system is None and role == "system" and number == 0 and len(own) == 1:
             system = turn
     if own:
-        yield now, number, base, own, used
+        yield now, number, base, own, total(base + own)
 
 
 def format_chats(chats: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", vocabulary: str | None = None, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
@@ -123,7 +134,8 @@ def format_chats(chats: DataFrame, conv: str = "conv_id", turn: str = "turn", ro
 
     Null texts and roles are empty, a null conversation id is a conversation of its own, null
     turn numbers come first; rows that tie in their turn number go by role, then text. The first n_repeated
-    turns of a window stand in an earlier one. A window holds budget tokens at most, unless its
+    turns of a window stand in an earlier one. A window holds budget tokens at most (bytes, where no
+    vocabulary is given), all that is written counted, unless its
     system turn and a single own turn exceed it. Other columns are not read; an empty table
     gives no rows.
     """
@@ -147,7 +159,7 @@ def format_chats(chats: DataFrame, conv: str = "conv_id", turn: str = "turn", ro
             return pa.RecordBatch.from_arrays(arrays, names)
 
         held = []
-        for c, number, base, own, used in _windows(each(), count, budget, history):
+        for c, number, base, own, used in _windows(each(), count, budget, history, vocabulary is not None):
             whole, starts, ends = _render([(r, t, True) for r, t, _ in base] + [(r, t, False) for r, t, _ in own])
             held.append((c, number, len(base), len(base) + len(own), used, whole, starts, ends))
             if len(held) >= 500:

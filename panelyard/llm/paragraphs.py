@@ -1,24 +1,29 @@
 """Removal of repeated passages: paragraph MinHash banding, exact Jaccard, components.
 
 A paragraph is a line, or a block of lines between blank ones, of at least MIN_WORDS words
-(lower-cased, split at white space, so that line breaks inside a block do not count). Passages
-also repeat inside otherwise different lines, so the sentences of a line with at least
-SENTENCE_WORDS words are units too, and so are runs of RUN_WORDS words, whatever the lines, that
-begin at anchors: the pair of words with the least hash of every ANCHOR_WINDOW pairs in a row.
-Equal passages have equal anchors wherever they stand, and each passage of ANCHOR_WINDOW +
-RUN_WORDS - 1 words has one at least. Both are compared by their exact words; passages() extends
-runs to all that they share with their keeper. Equal
-units fall together by a 64-bit hash of their words. Different paragraphs are joined where a band of their MinHash
-signatures collides; the number of bands is the smallest that finds a pair at the threshold
-with the asked recall. Colliding paragraphs are verified by the exact Jaccard similarity of
-their sets of five-word shingles, and links make components. Of each component the first
-occurrence (by document, then position) stays, the others are removals.
+(lower-cased, split at white space, so that line breaks inside a block do not count). Different
+paragraphs are joined where a band of their MinHash signatures collides; the number of bands is
+the smallest that finds a pair at the threshold with the asked recall. Colliding paragraphs are
+verified by the exact Jaccard similarity of their sets of five-word shingles, and links make
+components. Of each component the first occurrence (by document, then position) stays, the
+others are removals.
+
+Passages also repeat inside otherwise different paragraphs, where no paragraph is like another.
+They are met by runs of RUN_WORDS words that begin at anchors: the pair of words with the least
+hash of every ANCHOR_WINDOW pairs in a row. Equal passages have equal anchors wherever they
+stand, each passage of ANCHOR_WINDOW + RUN_WORDS - 1 words has one at least, and neighbouring runs
+touch. Repeated runs in a row make one span, which is extended on both sides by the words that it
+shares with its keeper, the place of the run's first occurrence; words and not hashes decide
+there. Spans of at least MIN_WORDS words are passages; shorter ones (a common line, a licence
+sentence) are left alone.
+
+Units fall together by 64 bits of a hash of their words, and are held equal only if 64 further
+bits agree as well. Each text is read twice: once for units, signatures and runs, once for the
+words of colliding paragraphs and of the spans' edges.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -29,20 +34,27 @@ from .common import durable, fresh, raw, read, small_batches
 from .components import components
 from .forest import forest
 
-SHINGLE, LEAST, RECALL, ROWS = 5, 0.8, 0.999, 2
-MIN_WORDS, SENTENCE_WORDS = 10, 8
-#: Words of an anchored run, and the word pairs in a row of which the least is an anchor: every repeated passage of 41 words holds one.
-RUN_WORDS, ANCHOR_WINDOW = 12, 30
-#: Words on each side of a run that it is extended by at most: what is longer holds a further anchor, whose run goes on from there.
-REACH = ANCHOR_WINDOW + RUN_WORDS
-#: Bits of the filter that lets wanted paragraphs pass before the exact join; a bound on what is broadcast.
+SHINGLE, LEAST, RECALL, ROWS = 5, 0.8, 0.999, 3
+#: Words of the shortest paragraph and of the shortest passage.
+MIN_WORDS = 40
+#: Words of an anchored run, and the word pairs in a row of which the least is an anchor. Runs are as
+#: long as the window, so that they touch; every repeated passage of 39 words holds one.
+RUN_WORDS = ANCHOR_WINDOW = 20
+#: Words beside a run that may belong to its passage: with more, there would be a further anchor.
+REACH = ANCHOR_WINDOW
+#: Bits of the filter that lets wanted units pass before the exact join; a bound on what is broadcast.
 FILTER_BITS = 1 << 25
 #: Colliding paragraphs and their bytes that are compared in one task; larger groups are compared block by block.
 BLOCK, BLOCK_BYTES = 2000, 4 << 20
-_SENTENCE = re.compile(rb"[^\n]*?[.!?]+(?=[ \t\n]|$)|[^\n]+")
+#: Words whose hashes are computed at once.
+PIECE = 1 << 17
+#: Tells the same run at different places apart.
+PLACE = 0x9E3779B1
 _rng = np.random.default_rng(40_009)
 _MUL = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _rng.integers(0, 1 << 63, 256, dtype=np.uint64)
+_WEIGHT = _rng.integers(0, 1 << 31, 4096, dtype=np.uint64).astype(np.uint32) * np.uint32(2) + np.uint32(1)
+_JOIN = _rng.integers(0, 1 << 63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def bands(least: float = LEAST, recall: float = RECALL, rows: int = ROWS) -> int:
@@ -60,143 +72,92 @@ def shingles(words: list[bytes], size: int = SHINGLE) -> np.ndarray:
     return np.unique(np.frombuffer(made, ">u8").astype(np.uint64))
 
 
-def paragraphs(text: bytes):
-    """(start byte, line, words) of the lines."""
-    at = 0
-    for line in text.split(b"\n"):
-        yield at, line, line.lower().split()
-        at += len(line) + 1
-
-
-def blocks(text: bytes):
-    """(start byte, end byte, words) of the blocks of two lines or more between blank lines. Lines of
-    under SHINGLE words at a block's ends (headings, labels, a last word) are left out of it; where
-    they repeat too, the runs beside them extend over them."""
-    own: list[tuple[int, bytes, list[bytes]]] = []
-    for at, line, words in [*paragraphs(text), (len(text), b"", [])]:
-        if words:
-            own.append((at, line, words))
-            continue
-        long = [k for k, (*_, w) in enumerate(own) if len(w) >= SHINGLE]
-        part = own[long[0] : long[-1] + 1] if long else own  # of short lines only, all count
-        if len(part) > 1:
-            start, end = part[0][0], part[-1][0] + len(part[-1][1])
-            yield *_trimmed(text, start, end), [w for *_, words in part for w in words]
-        own = []
-
-
-def _trimmed(line: bytes, start: int, end: int) -> tuple[int, int]:
-    """The span without white space at its ends."""
-    part = line[start:end]
-    return end - len(part.lstrip()), start + len(part.rstrip())
-
-
-def units(text: bytes):
-    """(kind, start byte, end byte, words) of the text's paragraphs (p) and of the sentences (s) of lines with several."""
-    for start, end, words in blocks(text):
-        if len(words) >= MIN_WORDS:
-            yield "p", start, end, words
-    for at, line, words in paragraphs(text):
-        whole = _trimmed(line, 0, len(line)) if len(words) >= MIN_WORDS else None
-        if whole:
-            yield "p", at + whole[0], at + whole[1], words
-        if len(words) >= SENTENCE_WORDS:
-            for m in _SENTENCE.finditer(line):
-                if m.end() - m.start() >= 2 * SENTENCE_WORDS and (span := _trimmed(line, *m.span())) != whole:
-                    own = m[0].lower().split()
-                    if len(own) >= SENTENCE_WORDS:
-                        yield "s", at + span[0], at + span[1], own
-
-
-def _anchors(pair: np.ndarray) -> np.ndarray:
-    """Positions of the leftmost least of every ANCHOR_WINDOW hashes in a row (of all, if they are fewer)."""
-    low = pair.astype(np.uint64) << np.uint64(32) | np.arange(len(pair), dtype=np.uint64)
-    window, width = min(ANCHOR_WINDOW, len(pair)), 1
-    while 2 * width <= window:
-        low, width = np.minimum(low[:-width], low[width:]), 2 * width
-    if window > width:
-        low = np.minimum(low[: width - window], low[window - width :])
-    return np.unique(low & np.uint64(0xFFFFFFFF)).astype(np.int64)
-
-
-def _anchored(text: bytes):
-    """(first words of the runs, starts and ends of all words, words joined, where each word ends in them), or None."""
-    low = text.lower()
-    code = np.frombuffer(low, np.uint8).astype(np.uint32)
-    space = (code == 32) | ((code >= 9) & (code <= 13))
-    starts = np.flatnonzero(~space & np.append(True, space[:-1]))
-    if len(starts) < RUN_WORDS:
-        return None
-    ends = np.flatnonzero(~space & np.append(space[1:], True)) + 1
-    code[space] = 0
-    word = np.add.reduceat(code * code * np.uint32(2654435761), starts)
-    pair = (word[:-1] ^ (word[:-1] >> np.uint32(15))) * np.uint32(2246822519) + word[1:] * np.uint32(3266489917)
-    pair ^= pair >> np.uint32(13)
-    at = _anchors(pair[: len(starts) - RUN_WORDS + 1])
-    return at, starts, ends, b" ".join(low.split()), np.cumsum(ends - starts + 1)  # each word with one space after it
-
-
-def runs(text: bytes):
-    """(kind r, start byte, end byte, words joined) of the anchored runs of the text."""
-    found = _anchored(text)
-    if found is None:
-        return
-    at, starts, ends, whole, width = found
-    first, last = width[at] - (ends - starts + 1)[at], width[at + RUN_WORDS - 1] - 1
-    for a, b, s, e in zip(first.tolist(), last.tolist(), starts[at].tolist(), ends[at + RUN_WORDS - 1].tolist(), strict=True):
-        yield "r", s, e, whole[a:b]
-
-
-def distinct_paragraphs(texts) -> dict[int, tuple[bytes, list[bytes]]]:
-    """unit -> (its words joined, its words) of the texts' paragraphs."""
-    out: dict[int, tuple[bytes, list[bytes]]] = {}
-    for t in texts:
-        for _, _, words in (*paragraphs(t or b""), *blocks(t or b"")):
-            if len(words) >= MIN_WORDS:
-                whole = b" ".join(words)
-                out.setdefault(unit_of(whole), (whole, words))
-    return out
+class Text:
+    """A text's words: where they start and end (bytes), all of them joined, and where each begins there."""
+
+    def __init__(self, text: bytes):
+        self.text, self.low = text, text.lower()
+        code = np.frombuffer(self.low, np.uint8)
+        space = (code == 32) | ((code >= 9) & (code <= 13))
+        edge = np.flatnonzero(np.diff(space, prepend=True, append=True))
+        self.starts, self.ends = edge[::2], edge[1::2]
+        self.joined = b" ".join(self.low.split())
+        self.begin = np.append(0, np.cumsum(self.ends - self.starts + 1))  # each word with one space after it
+
+    def words(self, first: int, after: int) -> bytes:
+        return self.joined[self.begin[first] : max(0, self.begin[after] - 1)]
+
+    def hashes(self) -> np.ndarray:
+        """A number for each word, by its letters and their order. It picks candidates and anchors only."""
+        out = np.empty(len(self.starts), np.uint64)
+        for a in range(0, len(out), PIECE):
+            first, last = int(self.starts[a]), int(self.ends[a : a + PIECE][-1])
+            own = self.starts[a : a + PIECE] - first
+            width = np.diff(own, append=last - first)
+            place = np.arange(last - first) - np.repeat(own, width)
+            code = np.frombuffer(self.low, np.uint8, last - first, first).astype(np.uint32) * _WEIGHT[np.minimum(place, 4095)]
+            code[place >= np.repeat(self.ends[a : a + PIECE] - self.starts[a : a + PIECE], width)] = 0
+            out[a : a + PIECE] = np.add.reduceat(code, own, dtype=np.uint64)
+        out *= np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+        return out
+
+    def paragraphs(self) -> list[tuple[int, int]]:
+        """(first word, word after the last) of the lines, then of the blocks of two lines or more
+        between blank lines, of MIN_WORDS words at least. Lines of under SHINGLE words at a block's
+        ends (headings, labels, a last word) are left out of it."""
+        if len(self.starts) < MIN_WORDS:
+            return []
+        line = np.searchsorted(np.flatnonzero(np.frombuffer(self.low, np.uint8) == 10), self.starts)
+        first = np.append(0, np.flatnonzero(np.diff(line)) + 1)
+        after, number = np.append(first[1:], len(line)), line[first]
+        found = [(a, b) for a, b in zip(first.tolist(), after.tolist(), strict=True) if b - a >= MIN_WORDS]
+        border = np.flatnonzero(np.diff(number) != 1) + 1
+        for i, j in zip([0, *border.tolist()], [*border.tolist(), len(number)], strict=True):
+            long = np.flatnonzero(after[i:j] - first[i:j] >= SHINGLE)
+            i, j = (i + int(long[0]), i + int(long[-1]) + 1) if len(long) else (i, j)  # of short lines only, all count
+            if j - i > 1 and after[j - 1] - first[i] >= MIN_WORDS:
+                found.append((int(first[i]), int(after[j - 1])))
+        return found
+
+    def anchors(self, hashes: np.ndarray) -> np.ndarray:
+        """The words at which runs begin: the leftmost least of every ANCHOR_WINDOW pairs in a row (of all, if they are fewer)."""
+        n = len(hashes) - RUN_WORDS + 1
+        if n < 1:
+            return np.empty(0, np.int64)
+        pair = (hashes[:n] * _JOIN[0] + hashes[1 : n + 1] * _JOIN[1]) & np.uint64(0xFFFFFFFF00000000)
+        low = pair | np.arange(n, dtype=np.uint64)
+        window, width = min(ANCHOR_WINDOW, n), 1
+        while 2 * width <= window:
+            low, width = np.minimum(low[:-width], low[width:]), 2 * width
+        if window > width:
+            low = np.minimum(low[: width - window], low[window - width :])
+        return np.unique(low & np.uint64(0xFFFFFFFF)).astype(np.int64)
+
+    def chars(self, marks: np.ndarray) -> np.ndarray:
+        """Code points before each of the byte positions."""
+        if self.text.isascii():
+            return marks
+        return np.append(0, np.cumsum((np.frombuffer(self.text, np.uint8) & 0xC0) != 0x80))[marks]
+
+
+def joined_shingles(hashes: np.ndarray) -> np.ndarray:
+    """A hash for each five words in a row, from the words' hashes."""
+    n = len(hashes) - SHINGLE + 1
+    out = hashes[:n] * _JOIN[0]
+    for k in range(1, SHINGLE):
+        out = out + hashes[k : k + n] * _JOIN[k]
+    return (out ^ (out >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
 
 
 def unit_of(whole: bytes) -> int:
     return xxhash.xxh64_intdigest(whole) - (1 << 63)
 
 
-def _chars(text: bytes, marks: list[int]) -> list[int]:
-    """Code points before each of the byte positions (ascending or not)."""
-    if text.isascii():
-        return marks
-    first = np.append(0, np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80))
-    return first[marks].tolist() if marks else []
-
-
-def occurrences(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """(unit, is_paragraph, is_run, doc_id, start, end, n_words), positions in code points; null texts have none."""
-
-    def run(batches):
-        for b in batches:
-            out = [[] for _ in range(7)]
-            for doc, t in zip(b.column(0).to_pylist(), raw(b, text), strict=True):
-                if not t:
-                    continue
-                found = [(k, s, e, b" ".join(w), len(w)) for k, s, e, w in units(t)]
-                known = {f[1:3] for f in found}  # a run that is a whole sentence is no second occurrence
-                found += [(*f, RUN_WORDS) for f in runs(t) if f[1:3] not in known]
-                out[0] += [unit_of(f[3]) for f in found]
-                out[1] += [f[0] == "p" for f in found]
-                out[2] += [f[0] == "r" for f in found]
-                out[3] += [doc] * len(found)
-                out[4] += _chars(t, [f[1] for f in found])
-                out[5] += _chars(t, [f[2] for f in found])
-                out[6] += [f[4] for f in found]
-            kind = b.schema.field(0).type
-            arrays = [pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.bool_(), pa.bool_(), kind, pa.int32(), pa.int32(), pa.int32()), strict=True)]
-            yield pa.RecordBatch.from_arrays(arrays, ["unit", "is_paragraph", "is_run", "doc_id", "start", "end", "n_words"])
-
-    small_batches(docs.sparkSession)
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias(text))
-    return rows.mapInArrow(run, f"unit long, is_paragraph boolean, is_run boolean, doc_id {kind}, start int, end int, n_words int")
+def _named(parts: list[bytes]) -> np.ndarray:
+    """(unit, check): 128 bits of hash of each."""
+    digest = xxhash.xxh3_128_digest
+    return np.frombuffer(b"".join([digest(p) for p in parts]), np.int64).reshape(-1, 2)
 
 
 def minima(hashes: np.ndarray, sizes: np.ndarray, k: int) -> np.ndarray:
@@ -212,30 +173,61 @@ def minima(hashes: np.ndarray, sizes: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def signatures(docs: DataFrame, text: str, n_bands: int, rows: int = ROWS) -> DataFrame:
-    """(sig, unit): the band signatures of the paragraphs, repeats within a batch once."""
-    k = n_bands * rows
+_UNITS = ["unit", "check", "doc_id", "h", "k", "at", "n_words", "start", "end", "sigs"]
+
+
+def units(docs: DataFrame, id_col: str, text: str, n_bands: int, rows: int = ROWS) -> DataFrame:
+    """(unit, check, doc_id, h, k, at, n_words, start, end, sigs) of all paragraphs and runs.
+
+    h is the text's hash, k the run's number in its text (-1 for a paragraph), at its first word,
+    start and end are code points, sigs a paragraph's band signatures, once per batch."""
     salt = np.arange(1, n_bands + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
 
     def run(batches):
-        digest = xxhash.xxh64_digest
         for b in batches:
-            found = distinct_paragraphs(raw(b, text))
-            if not found:
+            out, docs_of, known, sets, signed = [], [], set(), [], []
+            for doc, t in zip(b.column(0).to_pylist(), raw(b, text), strict=True):
+                if not t:
+                    continue
+                own = Text(t)
+                hashes = own.hashes()
+                parts, at = own.paragraphs(), own.anchors(hashes)
+                n = len(parts) + len(at)
+                if not n:
+                    continue
+                first = np.concatenate([np.array([a for a, _ in parts], np.int64), at])
+                after = np.concatenate([np.array([e for _, e in parts], np.int64), at + RUN_WORDS])
+                name = _named([own.words(a, e) for a, e in zip(first.tolist(), after.tolist(), strict=True)])
+                k = np.concatenate([np.full(len(parts), -1), np.arange(len(at))])
+                h = xxhash.xxh64_intdigest(t, 42)
+                h = np.full(n, h - (1 << 64) if h >> 63 else h)
+                out.append((name[:, 0], name[:, 1], h, k, first, after - first, own.chars(own.starts[first]), own.chars(own.ends[after - 1])))
+                docs_of += [doc] * n
+                made = joined_shingles(hashes) if parts else None
+                for (a, e), u in zip(parts, name[: len(parts), 0].tolist(), strict=True):
+                    signed.append(u not in known)
+                    if signed[-1]:
+                        known.add(u)
+                        sets.append(made[a : e - SHINGLE + 1])
+                signed += [False] * len(at)
+            if not out:
                 continue
-            made, sizes = [], []
-            for _, words in found.values():
-                n = len(words) - SHINGLE + 1
-                sizes.append(n)
-                made += [digest(b" ".join(words[i : i + SHINGLE])) for i in range(n)]
-            low = minima(np.frombuffer(b"".join(made), ">u8").astype(np.uint64), np.array(sizes), k).reshape(len(sizes), n_bands, rows)
-            mixed = np.tile(salt, (len(sizes), 1))
-            for r in range(rows):
-                mixed = (mixed ^ low[:, :, r]) * np.uint64(0x9E3779B97F4A7C15)
-                mixed ^= mixed >> np.uint64(29)
-            yield pa.RecordBatch.from_arrays([pa.array(mixed.ravel().view(np.int64)), pa.array(np.repeat(np.array(list(found), np.int64), n_bands))], ["sig", "unit"])
+            unit, check, h, k, at, n, start, end = map(np.concatenate, zip(*out, strict=True))
+            mixed = np.tile(salt, (len(sets), 1))
+            if sets:
+                low = minima(np.concatenate(sets), np.array([len(x) for x in sets]), n_bands * rows).reshape(len(sets), n_bands, rows)
+                for r in range(rows):
+                    mixed = (mixed ^ low[:, :, r]) * np.uint64(0x9E3779B97F4A7C15)
+                    mixed ^= mixed >> np.uint64(29)
+            ends = np.append(0, np.cumsum(np.array(signed) * n_bands)).astype(np.int32)
+            sigs = pa.ListArray.from_arrays(pa.array(ends), pa.array(mixed.ravel().view(np.int64)))
+            small = [pa.array(x.astype(np.int32)) for x in (k, at, n, start, end)]
+            yield pa.RecordBatch.from_arrays([pa.array(unit), pa.array(check), pa.array(docs_of, b.schema.field(0).type), pa.array(h), *small, sigs], _UNITS)
 
-    return docs.select(text).mapInArrow(run, "sig long, unit long")
+    small_batches(docs.sparkSession)
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows_ = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias(text))
+    return rows_.mapInArrow(run, f"unit long, check long, doc_id {kind}, h long, k int, at int, n_words int, start int, end int, sigs array<long>")
 
 
 def _bitmap(keys: DataFrame):
@@ -262,18 +254,55 @@ def _passing(rows: DataFrame, col: str, sent) -> DataFrame:
     return rows.mapInArrow(run, rows.schema)
 
 
-def _lines(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
-    """(unit, words) of the wanted paragraphs."""
-    sent = _bitmap(wanted)
+_WORDS = ["unit", "words", "doc_id", "h", "k", "before", "after", "starts", "ends"]
+
+
+def _second_look(docs: DataFrame, id_col: str, text: str, paragraphs, edges) -> DataFrame:
+    """The words of paragraphs in the first bitmap (unit, words), and what stands around the runs in
+    the second (unit, doc_id, h, k, before, after, starts, ends): up to REACH words on each side,
+    the starts of those before and the ends of those after, in code points."""
 
     def run(batches):
-        mask = sent.value
+        wanted, places = (np.frombuffer(x.value, np.uint8) for x in (paragraphs, edges))
+
+        def hit(mask, key):
+            bit = np.mod(key, FILTER_BITS)
+            return np.flatnonzero(mask[bit >> 3] >> (bit & 7) & 1).tolist()
+
         for b in batches:
-            hit = {u: whole for u, (whole, _) in distinct_paragraphs(raw(b, text)).items() if mask[(u % FILTER_BITS) >> 3] >> (u & 7) & 1}
-            yield pa.RecordBatch.from_arrays([pa.array(list(hit), pa.int64()), pa.array(list(hit.values()), pa.binary())], ["unit", "words"])
+            out, seen = [[] for _ in _WORDS], set()
+            for doc, t in zip(b.column(0).to_pylist(), raw(b, text), strict=True):
+                if not t:
+                    continue
+                own = Text(t)
+                parts = own.paragraphs()
+                whole = [own.words(a, e) for a, e in parts]
+                name = _named(whole)[:, 0]
+                for i in hit(wanted, name):
+                    if int(name[i]) not in seen:
+                        seen.add(int(name[i]))
+                        for column, value in zip(out, (int(name[i]), whole[i], *[None] * 7), strict=True):
+                            column.append(value)
+                at = own.anchors(own.hashes())
+                name = _named([own.words(a, a + RUN_WORDS) for a in at.tolist()])[:, 0]
+                held = hit(places, name ^ (np.arange(len(at)) * PLACE))
+                if held:
+                    h = xxhash.xxh64_intdigest(t, 42)
+                    starts, ends = own.chars(own.starts).astype(np.int32), own.chars(own.ends).astype(np.int32)
+                    for i in held:
+                        a, e = int(at[i]), int(at[i]) + RUN_WORDS
+                        low, high = max(0, a - REACH), min(len(starts), e + REACH)
+                        row = (int(name[i]), None, doc, h - (1 << 64) if h >> 63 else h, i, own.words(low, a) if a else b"", own.words(e, high), starts[low:a], ends[e:high])
+                        for column, value in zip(out, row, strict=True):
+                            column.append(value)
+            many = pa.list_(pa.int32())
+            kinds = (pa.int64(), pa.binary(), b.schema.field(0).type, pa.int64(), pa.int32(), pa.binary(), pa.binary(), many, many)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], _WORDS)
 
-    lines = docs.select(text).mapInArrow(run, "unit long, words binary").join(wanted, "unit", "left_semi")
-    return lines.groupBy("unit").agg(F.first("words").alias("words"))
+    small_batches(docs.sparkSession)
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias(text))
+    return rows.mapInArrow(run, f"unit long, words binary, doc_id {kind}, h long, k int, before binary, after binary, starts array<int>, ends array<int>")
 
 
 def _verify(least: float):
@@ -304,14 +333,16 @@ def _verify(least: float):
     return run
 
 
-def near_links(docs: DataFrame, text: str, least: float, recall: float) -> DataFrame:
-    """(a, b) links between different paragraphs."""
-    pairs = durable(signatures(docs, text, bands(least, recall)), "passages-bands")
-    often = pairs.groupBy("sig").agg(F.min("unit").alias("x"), F.max("unit").alias("y")).where("x <> y").select("sig")
-    often = durable(often, "passages-collisions")
-    members = durable(_passing(pairs, "sig", _bitmap(often)).join(often, "sig", "left_semi").distinct(), "passages-members")
+def collisions(found: DataFrame) -> DataFrame:
+    """(sig, unit): the paragraphs of every band signature that different ones share."""
+    pairs = found.where("k < 0 and size(sigs) > 0").select("unit", F.explode("sigs").alias("sig")).select("sig", "unit")
+    often = durable(pairs.groupBy("sig").agg(F.min("unit").alias("x"), F.max("unit").alias("y")).where("x <> y").select("sig"), "passages-collisions")
+    return durable(_passing(pairs, "sig", _bitmap(often)).join(often, "sig", "left_semi").distinct(), "passages-members")
+
+
+def near_links(members: DataFrame, lines: DataFrame, least: float) -> DataFrame:
+    """(a, b) links between different paragraphs, of (sig, unit) members and their (unit, words)."""
     # groups with the same members in several bands are compared once; large groups block by block
-    lines = durable(_lines(docs, text, members.select("unit").distinct()), "passages-lines")
     sized = members.join(lines.select("unit", F.octet_length("words").alias("n")), "unit")
     groups = sized.groupBy("sig").agg(F.count("*").alias("g"), F.sum("n").alias("n"), F.sum(F.xxhash64("unit") % (1 << 40)).alias("who"), F.min("unit").alias("x"))
     parts = F.ceil(F.greatest(F.col("g") / BLOCK, F.col("n") / BLOCK_BYTES)).cast("int")
@@ -322,117 +353,125 @@ def near_links(docs: DataFrame, text: str, least: float, recall: float) -> DataF
     return tasks.groupBy("sig", "low", "high").applyInArrow(_verify(least), "a long, b long")
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least: float = LEAST, recall: float = RECALL) -> DataFrame:
-    """Every occurrence of a passage that occurs more than once, exactly or nearly: (doc_id,
-    start, end, n_words, class_id, keeper_doc_id, removed).
-
-    Positions are code points. The first occurrence by document id and start (null ids last)
-    keeps its class, the others are `removed`. Texts that are null, empty or without long
-    enough lines have no rows; repeated rows of documents count as occurrences of their own, of
-    which one is the keeper. Other columns are not read. An empty table gives no rows.
-    """
-    return _classes(docs, id_col, text, least, recall).drop("unit", "is_run", "keeper")
+def _firsts(rows: DataFrame, key: str) -> DataFrame:
+    """(key, keeper): the first occurrence of each key that occurs more than once, null ids last."""
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "at", "n_words", "h", "k", "unit", "check")
+    return rows.groupBy(key).agg(F.count("*").alias("total"), F.min(place).alias("keeper")).where("total > 1").drop("total")
 
 
-def _classes(docs: DataFrame, id_col: str, text: str, least: float, recall: float) -> DataFrame:
-    """What classes() returns, with unit, is_run and keeper, the place of the first occurrence."""
-    found = durable(occurrences(docs, id_col, text), "passages")
-    roots = durable(components(near_links(docs, text, least, recall), "passages-cc"), "passages-roots")
-    wanted = durable(found.groupBy("unit").count().where("count > 1").select("unit").union(roots.select("node")).distinct(), "passages-wanted")
-    rows = _passing(found, "unit", _bitmap(wanted)).join(wanted, "unit", "left_semi")
-    rows = durable(rows.join(roots, rows.unit == roots.node, "left").withColumn("class_id", F.coalesce("root", "unit")).drop("node", "root"), "passages-rows")
-    here = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "start", "end")
-    keepers = rows.groupBy("class_id").agg(F.count("*").alias("total"), F.min(here).alias("keeper")).where("total > 1")
-    rows = rows.join(durable(keepers, "passages-keepers"), "class_id").withColumn("first", here.eqNullSafe(F.col("keeper")))
-    # equal rows of documents: one of the keeper's twins is the keeper
-    twin = F.row_number().over(Window.partitionBy("class_id", "doc_id", "start", "end").orderBy("n_words"))
-    kept, others = rows.where("first").withColumn("removed", twin > 1), rows.where("not first").withColumn("removed", F.lit(True))
-    return kept.unionByName(others).select("doc_id", "start", "end", "n_words", "class_id", F.col("keeper.doc_id").alias("keeper_doc_id"), "removed", "unit", "is_run", "keeper")
+def _judged(rows: DataFrame) -> DataFrame:
+    """rows with `twin`, which of several equal documents a row belongs to, and `removed`. Rows that
+    share only the first 64 bits of their hash with their keeper go."""
+    fine = (F.col("unit") != F.col("keeper.unit")) | (F.col("check") == F.col("keeper.check"))
+    first = F.col("doc_id").eqNullSafe(F.col("keeper.doc_id")) & (F.col("h") == F.col("keeper.h")) & (F.col("at") == F.col("keeper.at")) & (F.col("n_words") == F.col("keeper.n_words"))
+    dealt = rows.where(fine).repartition("doc_id", "h")
+    twin = F.row_number().over(Window.partitionBy("doc_id", "h", "at", "n_words").orderBy("k"))
+    return dealt.withColumn("twin", twin).withColumn("removed", ~first | (F.col("twin") > 1))
 
 
-_AROUND = "before binary, after binary, starts array<int>, ends array<int>"
-
-
-def _around(docs: DataFrame, id_col: str, text: str, wanted: DataFrame) -> DataFrame:
-    """(unit, doc_id, start, around): what stands around the wanted runs, up to REACH words before and
-    after: the words, the starts of those before and the ends of those after, in code points."""
-    sent = _bitmap(wanted)
-
-    def run(batches):
-        mask = sent.value
-        for b in batches:
-            out = [[] for _ in range(7)]
-            for doc, t in zip(b.column(0).to_pylist(), raw(b, text), strict=True):
-                found = _anchored(t) if t else None
-                if found is None:
-                    continue
-                at, starts, ends, whole, width = found
-                begin, starts, ends = np.append(0, width), _chars(t, starts.tolist()), _chars(t, ends.tolist())
-                for k in at.tolist():
-                    m, low, high = k + RUN_WORDS, max(0, k - REACH), min(len(starts), k + RUN_WORDS + REACH)
-                    u = unit_of(whole[begin[k] : begin[m] - 1])
-                    if mask[(u % FILTER_BITS) >> 3] >> (u & 7) & 1:
-                        for column, value in zip(out, (u, doc, starts[k], whole[begin[low] : max(0, begin[k] - 1)], whole[begin[m] : max(0, begin[high] - 1)], starts[low:k], ends[m:high]), strict=True):
-                            column.append(value)
-            many = pa.list_(pa.int32())
-            kinds = (pa.int64(), b.schema.field(0).type, pa.int32(), pa.binary(), pa.binary(), many, many)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["unit", "doc_id", "start", "before", "after", "starts", "ends"])
-
-    small_batches(docs.sparkSession)
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias(text))
-    made = rows.mapInArrow(run, f"unit long, doc_id {kind}, start int, {_AROUND}").join(wanted, "unit", "left_semi")
-    return made.groupBy("unit", "doc_id", "start").agg(F.min(F.struct("before", "after", "starts", "ends")).alias("around"))
+def _islands(runs: DataFrame) -> DataFrame:
+    """Spans of repeated runs in a row, kept and removed ones apart, with two rows each: the left and the right edge."""
+    own = Window.partitionBy("doc_id", "h", "twin").orderBy("k")
+    new = (F.col("k") - F.lag("k").over(own) != 1) | (F.col("removed") != F.lag("removed").over(own))
+    marked = runs.withColumn("new", F.coalesce(new.cast("int"), F.lit(1))).withColumn("island", F.sum("new").over(own))
+    place = F.struct("k", "unit", "at", "start", "end", "keeper")
+    spans = marked.groupBy("doc_id", "h", "twin", "island", "removed").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    base = ["doc_id", "h", "twin", "island", "removed", F.col("first.start").alias("start"), F.col("last.end").alias("end"), F.col("first.at").alias("w0"), (F.col("last.at") + RUN_WORDS).alias("w1"), F.col("first.keeper.doc_id").alias("keeper_doc_id"), F.col("first.unit").alias("class_id")]
+    side = lambda left, c: spans.select(*base, F.lit(left).alias("left"), *(F.col(f"{c}.{x}").alias(y) for x, y in (("unit", "unit"), ("k", "k"), ("keeper.doc_id", "kept_doc"), ("keeper.h", "kept_h"), ("keeper.k", "kept_k"))))
+    return side(True, "first").unionByName(side(False, "last"))
 
 
 def _shared(pairs: DataFrame) -> DataFrame:
-    """pairs with `left` and `right`: the words that `around` and `other` share next to the run on either side."""
+    """pairs with `n`: the words that `around` and `other` share next to the run, on the left or on the right."""
 
     def run(batches):
         for b in batches:
-            left, right = [], []
-            for x, y in zip(b.column("around").to_pylist(), b.column("other").to_pylist(), strict=True):
-                for out, side, step in ((left, "before", -1), (right, "after", 1)):
-                    n = 0
-                    for v, w in zip(x[side].split()[::step], y[side].split()[::step], strict=False) if x and y else ():
-                        if v != w:
-                            break
-                        n += 1
-                    out.append(n)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(left, pa.int32()), pa.array(right, pa.int32())], [*b.schema.names, "left", "right"])
-
-    return pairs.mapInArrow(run, pairs.select("*").schema.add("left", "integer").add("right", "integer"))
+            n = []
+            for left, x, y in zip(b.column("left").to_pylist(), b.column("around").to_pylist(), b.column("other").to_pylist(), strict=True):
+                n.append(0)
+                side, step = ("before", -1) if left else ("after", 1)
+                for v, w in zip(x[side].split()[::step], y[side].split()[::step], strict=False) if x and y else ():
+                    if v != w:
+                        break
+                    n[-1] += 1
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n, pa.int32())], [*b.schema.names, "n"])
+
+    return pairs.mapInArrow(run, pairs.select("*").schema.add("n", "integer"))
+
+
+def _extended(edges: DataFrame, around: DataFrame) -> DataFrame:
+    """Islands with their edges moved over the words shared with the keeper; a kept one is as wide as the widest it stands for."""
+    at = lambda x, d, h, k: (F.col("e.unit") == F.col(f"{x}.unit")) & F.col(f"e.{d}").eqNullSafe(F.col(f"{x}.doc_id")) & (F.col(f"e.{h}") == F.col(f"{x}.h")) & (F.col(f"e.{k}") == F.col(f"{x}.k"))
+    own = edges.alias("e").join(around.alias("x"), at("x", "doc_id", "h", "k"), "left").select("e.*", "x.around")
+    others = own.where("removed").alias("e").join(around.alias("y"), at("y", "kept_doc", "kept_h", "kept_k"), "left").select("e.*", F.col("y.around").alias("other"))
+    others = durable(_shared(others).drop("other"), "passages-shared")
+    widest = others.groupBy("unit", "left").agg(F.max("n").alias("n"))
+    moved = others.unionByName(own.where("not removed").join(widest, ["unit", "left"], "left").select(others.columns))
+    moved = moved.withColumn("n", F.coalesce(F.when(F.col("around").isNotNull(), F.col("n")), F.lit(0)))
+    start = F.min(F.when(F.col("left") & (F.col("n") > 0), F.expr("around.starts[size(around.starts) - n]")).otherwise(F.col("start")))
+    end = F.max(F.when(~F.col("left") & (F.col("n") > 0), F.expr("around.ends[n - 1]")).otherwise(F.col("end")))
+    w0, w1 = F.min(F.col("w0") - F.when(F.col("left"), F.col("n")).otherwise(0)), F.max(F.col("w1") + F.when(F.col("left"), 0).otherwise(F.col("n")))
+    spans = moved.groupBy("doc_id", "h", "twin", "island", "removed").agg(start.alias("start"), end.alias("end"), w0.alias("w0"), w1.alias("w1"), F.min("class_id").alias("class_id"), F.min("keeper_doc_id").alias("keeper_doc_id"))
+    # spans of a text that meet are one
+    before = Window.partitionBy("doc_id", "h", "twin", "removed").orderBy("w0", "w1")
+    new = F.coalesce((F.col("w0") > F.max("w1").over(before.rowsBetween(Window.unboundedPreceding, -1))).cast("int"), F.lit(1))
+    spans = spans.withColumn("new", new).withColumn("part", F.sum("new").over(before))
+    first = lambda c: F.min_by(c, F.struct("w0", "w1")).alias(c)
+    spans = spans.groupBy("doc_id", "h", "twin", "removed", "part").agg(F.min("start").alias("start"), F.max("end").alias("end"), (F.max("w1") - F.min("w0")).cast("int").alias("n_words"), first("class_id"), first("keeper_doc_id"))
+    return spans.where(f"n_words >= {MIN_WORDS}").drop("part")
+
+
+def _found(docs: DataFrame, id_col: str, text: str, least: float, recall: float) -> DataFrame:
+    """What passages() returns, with h, the text's hash, and twin, which of several equal documents it is."""
+    found = durable(units(docs, id_col, text, bands(least, recall)), "passages-units")
+    members = collisions(found)
+    runs = found.where("k >= 0").drop("sigs")
+    firsts = durable(_firsts(runs, "unit"), "passages-firsts")
+    runs = _passing(runs, "unit", _bitmap(firsts.select("unit"))).join(firsts, "unit")
+    edges = durable(_islands(_judged(runs)), "passages-edges")
+    places = edges.where("removed").select("unit", "doc_id", "h", "k").union(edges.where("removed").select("unit", "kept_doc", "kept_h", "kept_k")).distinct()
+    places = durable(places, "passages-places")
+    keys = places.select(F.col("unit").bitwiseXOR(F.col("k").cast("long") * F.lit(PLACE)).alias("key"))
+    looked = durable(_second_look(docs, id_col, text, _bitmap(members.select("unit").distinct()), _bitmap(keys)), "passages-words")
+    lines = looked.where("words is not null").select("unit", "words").join(members.select("unit").distinct(), "unit", "left_semi")
+    lines = durable(lines.groupBy("unit").agg(F.first("words").alias("words")), "passages-lines")
+    root = durable(components(near_links(members, lines, least), "passages-cc"), "passages-roots")
+    # paragraphs
+    whole = found.where("k < 0").drop("sigs")
+    classed = whole.join(root, whole.unit == root.node, "left").withColumn("class_id", F.coalesce("root", "unit")).drop("node", "root")
+    judged = _judged(classed.join(durable(_firsts(classed, "class_id"), "passages-keepers"), "class_id"))
+    columns = ["doc_id", "start", "end", "n_words", "class_id", "keeper_doc_id", "removed", "h", "twin"]
+    judged = judged.withColumn("keeper_doc_id", F.col("keeper.doc_id")).select(columns)
+    # passages inside other paragraphs
+    around = looked.where("words is null").select("unit", "doc_id", "h", "k", F.struct("before", "after", "starts", "ends").alias("around"))
+    same = ["unit", "h", "k"]
+    known = places.select("unit", "h", "k").distinct()
+    around = durable(around.join(known, same, "left_semi").groupBy("unit", "doc_id", "h", "k").agg(F.min("around").alias("around")), "passages-around")
+    return judged.unionByName(_extended(edges, around).select(columns))
 
 
 def passages(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least: float = LEAST, recall: float = RECALL) -> DataFrame:
-    """classes() with each run extended by the words around it that it shares with its keeper.
-
-    A passage that repeats has its runs at most ANCHOR_WINDOW words apart, so that the runs' extended
-    spans cover all of it. A keeper's run is as wide as the widest of those it stands for."""
-    rows = durable(_classes(docs, id_col, text, least, recall), "passages-classes")
-    short = rows.where("is_run")
-    around = durable(_around(docs, id_col, text, short.select("unit").distinct()), "passages-around")
-    at = lambda x, y: (x["unit"] == y["unit"]) & x["doc_id"].eqNullSafe(y["doc_id"]) & (x["start"] == y["start"])
-    own = short.alias("o").join(around.alias("x"), at(short, around), "left").select("o.*", "x.around")
-    first = short.select("unit", F.col("keeper.doc_id").alias("doc_id"), F.col("keeper.start").alias("start")).distinct()
-    first = first.alias("f").join(around.alias("x"), at(first, around)).select("f.unit", F.col("x.around").alias("other"))
-    own = own.join(first, "unit", "left")
-    others = durable(_shared(own.where("removed")).drop("other"), "passages-shared")
-    widest = others.groupBy("unit").agg(F.max("left").alias("left"), F.max("right").alias("right"))
-    kept = own.where("not removed").drop("other").join(widest, "unit", "left").select(others.columns)
-    wide = others.unionByName(kept).select(
-        "doc_id",
-        F.expr("case when left > 0 then around.starts[size(around.starts) - left] else start end").alias("start"),
-        F.expr("case when right > 0 then around.ends[right - 1] else end end").alias("end"),
-        F.expr("n_words + coalesce(left, 0) + coalesce(right, 0)").alias("n_words"), "class_id", "keeper_doc_id", "removed",
-    )
-    return rows.where("not is_run").select(wide.columns).unionByName(wide)
+    """Every occurrence of a passage that occurs more than once, exactly or nearly: (doc_id,
+    start, end, n_words, class_id, keeper_doc_id, removed), start and end in code points.
+
+    Paragraphs come with their class; passages inside other paragraphs as whole spans, whose class
+    is their first run's and whose keeper is that run's first document. The first occurrence by
+    document id and place (null ids last) stays, the others are `removed`. Texts that are null,
+    empty or have under RUN_WORDS words have no rows. Rows of documents that repeat count as
+    occurrences of their own: one stays, the others' passages are removed. Other columns are not
+    read. An empty table gives no rows.
+    """
+    return _found(docs, id_col, text, least, recall).drop("h", "twin")
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least: float = LEAST) -> DataFrame:
-    """docs with the removed passages cut out of their texts; ids must be unique. Other rows are as they were."""
-    spans, key = fresh(docs, "cut_spans", "cut_id")
-    gone = passages(docs, id_col, text, least).where("removed").groupBy(F.col("doc_id").alias(key)).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias(spans))
+    """docs with the removed passages cut out of their texts. Other rows are as they were.
+
+    Spans belong to rows by id, text and, among equal rows, their number, so repeated and null
+    ids are fine: of equal rows one keeps its text."""
+    spans, key, h, twin = fresh(docs, "cut_spans", "cut_id", "cut_hash", "cut_twin")
+    gone = _found(docs, id_col, text, least, RECALL).where("removed")
+    gone = gone.groupBy(F.col("doc_id").alias(key), F.col("h").alias(h), F.col("twin").alias(twin)).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias(spans))
     body = F.col(text)
 
     def step(acc, x):
@@ -440,10 +479,13 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least: fl
         return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), part.alias("out"))
 
     left = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(body, acc["at"] + 1, F.length(body))))
-    joined = docs.join(gone, docs[id_col] == F.col(key), "left")
+    own = docs.withColumn(h, F.xxhash64(text))
+    own = own.withColumn(twin, F.row_number().over(Window.partitionBy(id_col, h).orderBy(F.lit(0)))).alias("d")
+    joined = own.join(gone.alias("g"), F.col(f"d.{id_col}").eqNullSafe(F.col(f"g.{key}")) & (F.col(f"d.{h}") == F.col(f"g.{h}")) & (F.col(f"d.{twin}") == F.col(f"g.{twin}")), "left")
+    joined = joined.select(*(F.col(f"d.{c}") for c in docs.columns), F.col(f"g.{spans}"))
     return joined.withColumn(text, F.when(F.col(spans).isNotNull(), left).otherwise(body)).select(docs.columns)
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All occurrences of repeated passages with their class; those inside other lines as a whole."""
+    """All occurrences of repeated passages, paragraphs with their class."""
     return passages(read(spark, sf_dir, "documents"))

@@ -1,9 +1,143 @@
-"""Passages inside otherwise different lines are found without exception and removed whole."""
+"""Repeated paragraphs and passages against brute force with its own splitting, and on odd rows."""
+
+import re
+from collections import defaultdict
 
 import numpy as np
+import pytest
 
 from panelyard.llm import paragraphs
 
+SF = "/root/testdata/sf0.001"
+MIN, RUN = 40, 20
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def _lower(t):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t)
+
+
+def _words(text):
+    return [(m.start(), m.end(), _lower(m[0])) for m in WORD.finditer(text or "")]
+
+
+def _paragraphs(text):
+    """(start, end, words) of lines and of blocks between blank lines."""
+    at, lines = 0, []
+    for line in (text or "").split("\n"):
+        lines.append([(at + s, at + e, w) for s, e, w in _words(line)])
+        at += len(line) + 1
+    out, block = [line for line in lines if line], []
+    for line in [*lines, []]:
+        if line:
+            block.append(line)
+            continue
+        if any(len(x) >= 5 for x in block):
+            while len(block[0]) < 5:
+                block = block[1:]
+            while len(block[-1]) < 5:
+                block = block[:-1]
+        if len(block) > 1:
+            out.append([w for x in block for w in x])
+        block = []
+    return [(p[0][0], p[-1][1], tuple(w for *_, w in p)) for p in out if len(p) >= MIN]
+
+
+def _roots(n, pairs):
+    up = list(range(n))
+
+    def top(i):
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    for a, b in pairs:
+        up[max(top(a), top(b))] = min(top(a), top(b))
+    return [top(i) for i in range(n)]
+
+
+def _brute_paragraphs(docs):
+    """{(doc, start, end, keeper, removed)} of all classes with several occurrences."""
+    found, names = [], {}
+    for d, text in docs:
+        found += [(names.setdefault(w, len(names)), d, s, e, len(w)) for s, e, w in _paragraphs(text)]
+    sets = [{w[i : i + 5] for i in range(len(w) - 4)} for w in names]
+    holders = defaultdict(set)
+    for i, own in enumerate(sets):
+        for x in own:
+            holders[x].add(i)
+    near = {(i, j) for group in holders.values() for i in group for j in group if i < j}
+    pairs = [(i, j) for i, j in near if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    groups, root = defaultdict(list), _roots(len(sets), pairs)
+    for n, d, s, e, k in found:
+        groups[root[n]].append((d is None, d or 0, s, k, e, d))
+    out = []
+    for own in groups.values():
+        if len(own) > 1:
+            own.sort()
+            out += [(d, s, e, own[0][5], i > 0) for i, (_, _, s, _, e, d) in enumerate(own)]
+    return sorted(out, key=str)
+
+
+def _grams(docs, n):
+    """{words: [(row, first word)]} of the n-grams."""
+    out = defaultdict(list)
+    for i, (_, text) in enumerate(docs):
+        w = [x for *_, x in _words(text)]
+        for k in range(len(w) - n + 1):
+            out[tuple(w[k : k + n])].append((i, k))
+    return out
+
+
+@pytest.fixture(scope="module")
+def table(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = sorted((r.doc_id, r.text) for r in docs.collect())
+    return rows, paragraphs.passages(docs).collect()
+
+
+def test_paragraphs_match_brute_force_on_the_whole_table(table):
+    rows, got = table
+    want = _brute_paragraphs(rows)
+    own = {(d, s, e) for d, t in rows for s, e, _ in _paragraphs(t)}
+    spans = [g for g in got if (g.doc_id, g.start, g.end) in own]
+    have = {(g.doc_id, g.start, g.end, g.keeper_doc_id, g.removed) for g in spans}
+    assert len(want) > 50 and set(want) <= have
+
+
+def test_repeated_words_are_found_and_nothing_else(table):
+    rows, got = table
+    at = {d: i for i, (d, _) in enumerate(rows)}
+    words = [_words(t) for _, t in rows]
+    covered = [np.zeros(len(w), bool) for w in words]
+    gone = [np.zeros(len(w), bool) for w in words]
+    for g in got:
+        i = at[g.doc_id]
+        inside = np.array([g.start <= s and e <= g.end for s, e, _ in words[i]])
+        assert inside.sum() == g.n_words >= MIN  # spans are whole words
+        assert words[i][int(inside.argmax())][0] == g.start
+        covered[i] |= inside
+        if g.removed:
+            gone[i] |= inside
+    long = {k: v for k, v in _grams(rows, MIN).items() if len(v) > 1}
+    assert len(long) > 500
+    for places in long.values():
+        for i, k in places:
+            assert covered[i][k : k + MIN].any()  # every occurrence of a repeated passage
+    asked = [(gone[i][k : k + MIN]) for places in long.values() for i, k in sorted(places)[1:]]
+    assert np.mean(np.concatenate(asked)) > 0.98
+    # what is removed repeats an earlier place, or is a near copy of a paragraph
+    first = _grams(rows, RUN)
+    repeat = [np.zeros(len(w), bool) for w in words]
+    for places in first.values():
+        for i, k in sorted(places)[1:]:
+            repeat[i][k : k + RUN] = True
+    near = {(d, s, e) for d, s, e, _, removed in _brute_paragraphs(rows) if removed}
+    for d, s, e in near:
+        repeat[at[d]] |= np.array([s <= x and y <= e for x, y, _ in words[at[d]]])
+    assert not any((g & ~r).any() for g, r in zip(gone, repeat, strict=True))
+
 
 def _texts(n, size=50):
     rng = np.random.default_rng(size)
@@ -15,20 +149,29 @@ def _texts(n, size=50):
         yield passage, [(2 * k + c, " ".join(heads[c] + passage + tails[c]), heads[c], tails[c]) for c in (0, 1)]
 
 
-def test_every_passage_of_41_words_has_a_common_run():
+def _runs(text):
+    own = paragraphs.Text(text.encode())
+    return {own.words(a, a + RUN) for a in own.anchors(own.hashes()).tolist()}
+
+
+def test_every_passage_of_39_words_has_a_common_run_and_runs_touch():
     for _, rows in _texts(500, paragraphs.ANCHOR_WINDOW + paragraphs.RUN_WORDS - 1):
-        x, y = ({w for *_, w in paragraphs.runs(t.encode())} for _, t, *_ in rows)
-        assert x & y
+        assert _runs(rows[0][1]) & _runs(rows[1][1])
+        own = paragraphs.Text(rows[0][1].replace(" ", "\n", 40).replace("w", "W", 30).encode())
+        at = own.anchors(own.hashes())
+        assert np.diff(at).max() <= paragraphs.RUN_WORDS and _runs(own.text.decode()) == _runs(rows[0][1])
 
 
-def test_passages_are_removed_whole(spark):
-    made = [(p, r) for size in (50, 52, 300) for p, r in _texts(60, size)]
+def test_passages_are_removed_whole_and_short_ones_stay(spark):
+    made = [(p, r) for size in (40, 52, 300) for p, r in _texts(60, size)]
     rows = [(1000 * n + i, t, h, e) for n, (_, two) in enumerate(made) for i, t, h, e in two]
-    df = spark.createDataFrame([(i, t) for i, t, *_ in rows], "doc_id long, text string")
+    short = [(10**6 + i, t) for _, two in _texts(60, 30) for i, t, *_ in two]
+    df = spark.createDataFrame([(i, t) for i, t, *_ in rows] + short, "doc_id long, text string")
     got = dict(paragraphs.dedup(df).collect())
     for first, second in zip(rows[::2], rows[1::2], strict=True):
         assert got[first[0]] == first[1]
         assert got[second[0]].split() == second[2] + second[3]
+    assert all(got[i] == t for i, t in short)
 
 
 def _wrapped(words, most, rng):
@@ -54,3 +197,36 @@ def test_rewrapped_paragraphs_are_near_copies(spark):
     got = dict(paragraphs.dedup(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).collect())
     for k, text, around in rows:
         assert got[k] == text if k % 2 == 0 else got[k].split() == " ".join(around).split()
+
+
+def test_large_collision_groups_go_block_by_block(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = []
+    for k in range(150):
+        words = [f"w{i}" for i in range(80)]
+        words[int(rng.integers(80))] = f"x{k}"
+        rows.append((k, " ".join(words)))
+    monkeypatch.setattr(paragraphs, "BLOCK", 40)
+    got = paragraphs.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    whole = [(r.doc_id, r.start, r.end, r.keeper_doc_id, r.removed) for r in got if r.n_words == 80]
+    assert set(_brute_paragraphs(rows)) <= set(whole) and len({w[0] for w in whole}) == 150
+
+
+def test_odd_rows(spark):
+    line = " ".join(f"w{k}" for k in range(60))
+    near = " ".join(f"w{k}" if k != 59 else "x" for k in range(60)).upper()
+    long = " ".join(f"v{k % 977}" for k in range(60_000))
+    rows = [(1, f"ü\n{line}\nb"), (2, f"é\n{line}\nc"), (2, f"é\n{line}\nc"), (1, f"ü\n{line}\nb"), (3, near), (None, line), (4, None), (5, ""), (6, "short\nshort"), (7, long), (8, long)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    df = df.selectExpr("*", "1 as unit", "2 as h", "'x' as twin", "3 as cut_spans", "4 as keeper")
+    got = paragraphs.dedup(df)
+    assert got.columns == df.columns
+    have = sorted(((r.doc_id, r.text) for r in got.collect()), key=str)
+    want = [(1, rows[0][1]), (1, ""), (2, "é\n\nc"), (2, "é\n\nc"), (3, ""), (None, ""), (4, None), (5, ""), (6, "short\nshort")]
+    assert [h for h in have if h[0] not in (7, 8)] == sorted(want, key=str)
+    seven, eight = (next(t for i, t in have if i == d) for d in (7, 8))
+    assert eight == "" and len(seven.split()) >= 977
+    assert paragraphs.passages(df.limit(0)).count() == 0 and paragraphs.dedup(df.limit(0)).count() == 0
+    spans = {(r.doc_id, r.start, r.end, r.keeper_doc_id, r.removed) for r in paragraphs.passages(df.where("doc_id in (1, 3) or doc_id is null")).collect()}
+    assert spans >= {(1, 2, 2 + len(line), 1, False), (1, 2, 2 + len(line), 1, True), (3, 0, len(near), 1, True), (None, 0, len(line), 1, True)}
+    assert {(s[0], s[4]) for s in spans} == {(1, False), (1, True), (3, True), (None, True)}
