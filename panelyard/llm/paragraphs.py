@@ -17,9 +17,10 @@ shares with its keeper, the place of the run's first occurrence; words and not h
 there. Spans of at least MIN_WORDS words are passages; shorter ones (a common line, a licence
 sentence) are left alone.
 
-Units fall together by 64 bits of a hash of their words, and are held equal only if 64 further
-bits agree as well. Each text is read twice: once for units, signatures and runs, once for the
-words of colliding paragraphs and of the spans' edges.
+Paragraphs fall together by 64 bits of a hash of their words, and are held equal only if 64 more
+bits agree. Runs fall together by 64 bits; a span needs MIN_WORDS words, more than a run has, and
+those beside its runs are compared as words. Each text is read twice: once for signatures and
+runs, once for the shingles of colliding paragraphs and the words beside the spans.
 """
 
 from __future__ import annotations
@@ -38,23 +39,23 @@ SHINGLE, LEAST, RECALL, ROWS = 5, 0.8, 0.999, 3
 #: Words of the shortest paragraph and of the shortest passage.
 MIN_WORDS = 40
 #: Words of an anchored run, and the word pairs in a row of which the least is an anchor. Runs are as
-#: long as the window, so that they touch; every repeated passage of 39 words holds one.
-RUN_WORDS = ANCHOR_WINDOW = 20
+#: long as the window, so that they touch; every repeated passage of 49 words holds one.
+RUN_WORDS = ANCHOR_WINDOW = 25
 #: Words beside a run that may belong to its passage: with more, there would be a further anchor.
 REACH = ANCHOR_WINDOW
 #: Bits of the filter that lets wanted units pass before the exact join; a bound on what is broadcast.
 FILTER_BITS = 1 << 25
-#: Colliding paragraphs and their bytes that are compared in one task; larger groups are compared block by block.
-BLOCK, BLOCK_BYTES = 2000, 4 << 20
-#: Words whose hashes are computed at once.
-PIECE = 1 << 17
+#: Colliding paragraphs and their shingles that are compared in one task; larger groups are compared block by block.
+BLOCK, BLOCK_SHINGLES = 2000, 1 << 19
+#: Bytes whose words are hashed at once.
+PIECE = 1 << 18
 #: Tells the same run at different places apart.
 PLACE = 0x9E3779B1
 _rng = np.random.default_rng(40_009)
 _MUL = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _rng.integers(0, 1 << 63, 256, dtype=np.uint64)
-_WEIGHT = _rng.integers(0, 1 << 31, 4096, dtype=np.uint64).astype(np.uint32) * np.uint32(2) + np.uint32(1)
-_JOIN = _rng.integers(0, 1 << 63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_JOIN = _rng.integers(0, 1 << 63, RUN_WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BASE = 0x9E3779B97F4A7C15
 
 
 def bands(least: float = LEAST, recall: float = RECALL, rows: int = ROWS) -> int:
@@ -65,15 +66,14 @@ def bands(least: float = LEAST, recall: float = RECALL, rows: int = ROWS) -> int
     return n
 
 
-def shingles(words: list[bytes], size: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the word shingles; fewer words than `size` are one shingle."""
-    digest = xxhash.xxh64_digest
-    made = b"".join([digest(b" ".join(words[i : i + size])) for i in range(max(1, len(words) - size + 1))])
-    return np.unique(np.frombuffer(made, ">u8").astype(np.uint64))
+def _powers(base: int, n: int) -> np.ndarray:
+    return np.multiply.accumulate(np.append(np.uint64(1), np.full(n - 1, base, np.uint64)))
 
 
 class Text:
-    """A text's words: where they start and end (bytes), all of them joined, and where each begins there."""
+    """A text's words: where they start and end, in bytes, and a 64-bit number for each, by its letters and their order."""
+
+    powers: tuple = ()
 
     def __init__(self, text: bytes):
         self.text, self.low = text, text.lower()
@@ -81,24 +81,29 @@ class Text:
         space = (code == 32) | ((code >= 9) & (code <= 13))
         edge = np.flatnonzero(np.diff(space, prepend=True, append=True))
         self.starts, self.ends = edge[::2], edge[1::2]
-        self.joined = b" ".join(self.low.split())
-        self.begin = np.append(0, np.cumsum(self.ends - self.starts + 1))  # each word with one space after it
 
     def words(self, first: int, after: int) -> bytes:
-        return self.joined[self.begin[first] : max(0, self.begin[after] - 1)]
+        """Some words, with a space between."""
+        return b" ".join(self.low[self.starts[first] : self.ends[after - 1]].split()) if after > first else b""
 
     def hashes(self) -> np.ndarray:
-        """A number for each word, by its letters and their order. It picks candidates and anchors only."""
-        out = np.empty(len(self.starts), np.uint64)
-        for a in range(0, len(out), PIECE):
-            first, last = int(self.starts[a]), int(self.ends[a : a + PIECE][-1])
-            own = self.starts[a : a + PIECE] - first
-            width = np.diff(own, append=last - first)
-            place = np.arange(last - first) - np.repeat(own, width)
-            code = np.frombuffer(self.low, np.uint8, last - first, first).astype(np.uint32) * _WEIGHT[np.minimum(place, 4095)]
-            code[place >= np.repeat(self.ends[a : a + PIECE] - self.starts[a : a + PIECE], width)] = 0
-            out[a : a + PIECE] = np.add.reduceat(code, own, dtype=np.uint64)
-        out *= np.uint64(0x9E3779B97F4A7C15)
+        if not Text.powers:
+            Text.powers = _powers(_BASE, PIECE), _powers(pow(_BASE, -1, 1 << 64), PIECE)
+        up, down = Text.powers
+        out, at = np.empty(len(self.starts), np.uint64), 0
+        while at < len(out):
+            first = int(self.starts[at])
+            after = max(at + 1, int(np.searchsorted(self.ends, first + PIECE, "right")))
+            starts, ends = self.starts[at:after] - first, self.ends[at:after] - first
+            if ends[-1] > PIECE:  # one word longer than a piece
+                out[at] = xxhash.xxh64_intdigest(self.low[first : first + int(ends[-1])])
+            else:
+                sums = np.zeros(int(ends[-1]) + 1, np.uint64)
+                np.cumsum(np.frombuffer(self.low, np.uint8, int(ends[-1]), first) * up[: int(ends[-1])], out=sums[1:])
+                out[at:after] = (sums[ends] - sums[starts]) * down[starts]
+            at = after
+        out ^= out >> np.uint64(32)
+        out *= np.uint64(0xD6E8FEB86659FD93)
         out ^= out >> np.uint64(29)
         return out
 
@@ -108,9 +113,10 @@ class Text:
         ends (headings, labels, a last word) are left out of it."""
         if len(self.starts) < MIN_WORDS:
             return []
-        line = np.searchsorted(np.flatnonzero(np.frombuffer(self.low, np.uint8) == 10), self.starts)
-        first = np.append(0, np.flatnonzero(np.diff(line)) + 1)
-        after, number = np.append(first[1:], len(line)), line[first]
+        cut = np.searchsorted(self.starts, np.flatnonzero(np.frombuffer(self.low, np.uint8) == 10))
+        first, after = np.append(0, cut), np.append(cut, len(self.starts))
+        number = np.flatnonzero(after > first)
+        first, after = first[number], after[number]
         found = [(a, b) for a, b in zip(first.tolist(), after.tolist(), strict=True) if b - a >= MIN_WORDS]
         border = np.flatnonzero(np.diff(number) != 1) + 1
         for i, j in zip([0, *border.tolist()], [*border.tolist(), len(number)], strict=True):
@@ -120,20 +126,6 @@ class Text:
                 found.append((int(first[i]), int(after[j - 1])))
         return found
 
-    def anchors(self, hashes: np.ndarray) -> np.ndarray:
-        """The words at which runs begin: the leftmost least of every ANCHOR_WINDOW pairs in a row (of all, if they are fewer)."""
-        n = len(hashes) - RUN_WORDS + 1
-        if n < 1:
-            return np.empty(0, np.int64)
-        pair = (hashes[:n] * _JOIN[0] + hashes[1 : n + 1] * _JOIN[1]) & np.uint64(0xFFFFFFFF00000000)
-        low = pair | np.arange(n, dtype=np.uint64)
-        window, width = min(ANCHOR_WINDOW, n), 1
-        while 2 * width <= window:
-            low, width = np.minimum(low[:-width], low[width:]), 2 * width
-        if window > width:
-            low = np.minimum(low[: width - window], low[window - width :])
-        return np.unique(low & np.uint64(0xFFFFFFFF)).astype(np.int64)
-
     def chars(self, marks: np.ndarray) -> np.ndarray:
         """Code points before each of the byte positions."""
         if self.text.isascii():
@@ -141,23 +133,39 @@ class Text:
         return np.append(0, np.cumsum((np.frombuffer(self.text, np.uint8) & 0xC0) != 0x80))[marks]
 
 
-def joined_shingles(hashes: np.ndarray) -> np.ndarray:
-    """A hash for each five words in a row, from the words' hashes."""
-    n = len(hashes) - SHINGLE + 1
-    out = hashes[:n] * _JOIN[0]
-    for k in range(1, SHINGLE):
-        out = out + hashes[k : k + n] * _JOIN[k]
-    return (out ^ (out >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+def anchors(hashes: np.ndarray) -> np.ndarray:
+    """The words at which runs begin: the leftmost least of every ANCHOR_WINDOW pairs in a row (of all, if they are fewer)."""
+    n = len(hashes) - RUN_WORDS + 1
+    if n < 1:
+        return np.empty(0, np.int64)
+    pair = (hashes[:n] * _JOIN[0] + hashes[1 : n + 1] * _JOIN[1]) & np.uint64(0xFFFFFFFF00000000)
+    low = pair | np.arange(n, dtype=np.uint64)
+    window, width = min(ANCHOR_WINDOW, n), 1
+    while 2 * width <= window:
+        low, width = np.minimum(low[:-width], low[width:]), 2 * width
+    if window > width:
+        low = np.minimum(low[: width - window], low[window - width :])
+    return np.unique(low & np.uint64(0xFFFFFFFF)).astype(np.int64)
+
+
+def joined(hashes: np.ndarray, at: np.ndarray | None = None, size: int = SHINGLE) -> np.ndarray:
+    """A hash for `size` words in a row, beginning at each word, or at those of `at`."""
+    n = len(hashes) - size + 1
+    at = np.arange(max(0, n)) if at is None else at
+    out = np.zeros(len(at), np.uint64)
+    for k in range(size):
+        out += (hashes[k : k + n] if len(at) == n else hashes[at + k]) * _JOIN[k]
+    return (out ^ (out >> np.uint64(31))) * np.uint64(_BASE)
 
 
 def unit_of(whole: bytes) -> int:
     return xxhash.xxh64_intdigest(whole) - (1 << 63)
 
 
-def _named(parts: list[bytes]) -> np.ndarray:
-    """(unit, check): 128 bits of hash of each."""
+def _named(hashes: np.ndarray, parts: list[tuple[int, int]]) -> np.ndarray:
+    """(unit, check): 128 bits of hash of each paragraph's words."""
     digest = xxhash.xxh3_128_digest
-    return np.frombuffer(b"".join([digest(p) for p in parts]), np.int64).reshape(-1, 2)
+    return np.frombuffer(b"".join([digest(hashes[a:e].tobytes()) for a, e in parts]), np.int64).reshape(-1, 2)
 
 
 def minima(hashes: np.ndarray, sizes: np.ndarray, k: int) -> np.ndarray:
@@ -173,61 +181,65 @@ def minima(hashes: np.ndarray, sizes: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-_UNITS = ["unit", "check", "doc_id", "h", "k", "at", "n_words", "start", "end", "sigs"]
+_PARAGRAPH = "unit long, check long, at int, n_words int, start int, end int, sigs array<long>"
 
 
 def units(docs: DataFrame, id_col: str, text: str, n_bands: int, rows: int = ROWS) -> DataFrame:
-    """(unit, check, doc_id, h, k, at, n_words, start, end, sigs) of all paragraphs and runs.
-
-    h is the text's hash, k the run's number in its text (-1 for a paragraph), at its first word,
-    start and end are code points, sigs a paragraph's band signatures, once per batch."""
+    """(doc_id, h, runs, places, paragraphs) of every text with words enough: its hash, the hashes of its
+    runs and their first words, and its paragraphs with their place (words, and code points) and
+    band signatures (once per batch for each paragraph)."""
     salt = np.arange(1, n_bands + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
 
+    def nested(lengths, values):
+        return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lengths)).astype(np.int32)), values)
+
+    def flat(parts, kind):
+        return pa.array(np.concatenate([np.empty(0, kind), *parts]).astype(kind))
+
     def run(batches):
         for b in batches:
-            out, docs_of, known, sets, signed = [], [], set(), [], []
+            keys, runs, places, names, spots, sets, signed, known = [], [], [], [], [], [], [], set()
             for doc, t in zip(b.column(0).to_pylist(), raw(b, text), strict=True):
-                if not t:
+                own = Text(t or b"")
+                if len(own.starts) < RUN_WORDS:
                     continue
-                own = Text(t)
                 hashes = own.hashes()
-                parts, at = own.paragraphs(), own.anchors(hashes)
-                n = len(parts) + len(at)
-                if not n:
-                    continue
-                first = np.concatenate([np.array([a for a, _ in parts], np.int64), at])
-                after = np.concatenate([np.array([e for _, e in parts], np.int64), at + RUN_WORDS])
-                name = _named([own.words(a, e) for a, e in zip(first.tolist(), after.tolist(), strict=True)])
-                k = np.concatenate([np.full(len(parts), -1), np.arange(len(at))])
+                parts, at = own.paragraphs(), anchors(hashes)
                 h = xxhash.xxh64_intdigest(t, 42)
-                h = np.full(n, h - (1 << 64) if h >> 63 else h)
-                out.append((name[:, 0], name[:, 1], h, k, first, after - first, own.chars(own.starts[first]), own.chars(own.ends[after - 1])))
-                docs_of += [doc] * n
-                made = joined_shingles(hashes) if parts else None
-                for (a, e), u in zip(parts, name[: len(parts), 0].tolist(), strict=True):
+                keys.append((doc, h - (1 << 64) if h >> 63 else h))
+                runs.append(joined(hashes, at, RUN_WORDS))
+                places.append(at)
+                names.append(_named(hashes, parts))
+                edge = np.array(parts, np.int64).reshape(-1, 2)
+                spots.append(np.stack([edge[:, 0], edge[:, 1] - edge[:, 0], own.chars(own.starts[edge[:, 0]]), own.chars(own.ends[edge[:, 1] - 1])], axis=1))
+                made = joined(hashes) if parts else None
+                for (a, e), u in zip(parts, names[-1][:, 0].tolist(), strict=True):
                     signed.append(u not in known)
                     if signed[-1]:
                         known.add(u)
                         sets.append(made[a : e - SHINGLE + 1])
-                signed += [False] * len(at)
-            if not out:
+            if not keys:
                 continue
-            unit, check, h, k, at, n, start, end = map(np.concatenate, zip(*out, strict=True))
             mixed = np.tile(salt, (len(sets), 1))
             if sets:
                 low = minima(np.concatenate(sets), np.array([len(x) for x in sets]), n_bands * rows).reshape(len(sets), n_bands, rows)
                 for r in range(rows):
-                    mixed = (mixed ^ low[:, :, r]) * np.uint64(0x9E3779B97F4A7C15)
+                    mixed = (mixed ^ low[:, :, r]) * np.uint64(_BASE)
                     mixed ^= mixed >> np.uint64(29)
-            ends = np.append(0, np.cumsum(np.array(signed) * n_bands)).astype(np.int32)
-            sigs = pa.ListArray.from_arrays(pa.array(ends), pa.array(mixed.ravel().view(np.int64)))
-            small = [pa.array(x.astype(np.int32)) for x in (k, at, n, start, end)]
-            yield pa.RecordBatch.from_arrays([pa.array(unit), pa.array(check), pa.array(docs_of, b.schema.field(0).type), pa.array(h), *small, sigs], _UNITS)
+            name, spot = np.concatenate(names), np.concatenate(spots).astype(np.int32)
+            sigs = nested(np.array(signed, np.int64) * n_bands, pa.array(mixed.ravel().view(np.int64)))
+            columns = [pa.array(name[:, 0]), pa.array(name[:, 1]), *(pa.array(np.ascontiguousarray(spot[:, k])) for k in range(4)), sigs]
+            paragraphs = pa.StructArray.from_arrays(columns, ["unit", "check", "at", "n_words", "start", "end", "sigs"])
+            sizes = [len(x) for x in runs]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([k for k, _ in keys], b.schema.field(0).type), pa.array([h for _, h in keys], pa.int64()), nested(sizes, pa.array(np.concatenate(runs).view(np.int64))), nested(sizes, flat(places, np.int32)), nested([len(x) for x in names], paragraphs)],
+                ["doc_id", "h", "runs", "places", "paragraphs"],
+            )
 
     small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     rows_ = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias(text))
-    return rows_.mapInArrow(run, f"unit long, check long, doc_id {kind}, h long, k int, at int, n_words int, start int, end int, sigs array<long>")
+    return rows_.mapInArrow(run, f"doc_id {kind}, h long, runs array<long>, places array<int>, paragraphs array<struct<{_PARAGRAPH.replace(' ', ':').replace(',:', ',')}>>")
 
 
 def _bitmap(keys: DataFrame):
@@ -254,13 +266,31 @@ def _passing(rows: DataFrame, col: str, sent) -> DataFrame:
     return rows.mapInArrow(run, rows.schema)
 
 
-_WORDS = ["unit", "words", "doc_id", "h", "k", "before", "after", "starts", "ends"]
+def _hits(found: DataFrame, sent) -> DataFrame:
+    """(unit, doc_id, h, k, at) of the runs that may be in the bitmap, one row each."""
+
+    def run(batches):
+        mask = np.frombuffer(sent.value, np.uint8)
+        for b in batches:
+            runs, places = b.column("runs"), b.column("places")
+            unit, sizes = runs.flatten().to_numpy(zero_copy_only=False), np.diff(runs.offsets.to_numpy())
+            row, first = np.repeat(np.arange(len(sizes)), sizes), np.repeat(np.cumsum(sizes) - sizes, sizes)
+            bit = np.mod(unit, FILTER_BITS)
+            hit = np.flatnonzero(mask[bit >> 3] >> (bit & 7) & 1)
+            k = pa.array((hit - first[hit]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(unit[hit]), b.column("doc_id").take(pa.array(row[hit])), b.column("h").take(pa.array(row[hit])), k, places.flatten().take(pa.array(hit))], ["unit", "doc_id", "h", "k", "at"])
+
+    kind = found.schema["doc_id"].dataType.simpleString()
+    return found.select("doc_id", "h", "runs", "places").mapInArrow(run, f"unit long, doc_id {kind}, h long, k int, at int")
+
+
+_LOOKED = ["unit", "shingles", "doc_id", "h", "k", "start", "end", "before", "after", "starts", "ends"]
 
 
 def _second_look(docs: DataFrame, id_col: str, text: str, paragraphs, edges) -> DataFrame:
-    """The words of paragraphs in the first bitmap (unit, words), and what stands around the runs in
-    the second (unit, doc_id, h, k, before, after, starts, ends): up to REACH words on each side,
-    the starts of those before and the ends of those after, in code points."""
+    """The shingles of paragraphs in the first bitmap (unit, sorted distinct hashes), and what stands
+    around the runs in the second (unit, doc_id, h, k, start, end, before, after, starts, ends): up
+    to REACH words on each side, the starts of those before and the ends of those after, in code points."""
 
     def run(batches):
         wanted, places = (np.frombuffer(x.value, np.uint8) for x in (paragraphs, edges))
@@ -270,21 +300,25 @@ def _second_look(docs: DataFrame, id_col: str, text: str, paragraphs, edges) ->
             return np.flatnonzero(mask[bit >> 3] >> (bit & 7) & 1).tolist()
 
         for b in batches:
-            out, seen = [[] for _ in _WORDS], set()
+            out, seen = [[] for _ in _LOOKED], set()
             for doc, t in zip(b.column(0).to_pylist(), raw(b, text), strict=True):
-                if not t:
+                own = Text(t or b"")
+                if len(own.starts) < RUN_WORDS:
                     continue
-                own = Text(t)
-                parts = own.paragraphs()
-                whole = [own.words(a, e) for a, e in parts]
-                name = _named(whole)[:, 0]
+                hashes = own.hashes()
+                parts, made = own.paragraphs(), None
+                name = _named(hashes, parts)[:, 0]
                 for i in hit(wanted, name):
-                    if int(name[i]) not in seen:
-                        seen.add(int(name[i]))
-                        for column, value in zip(out, (int(name[i]), whole[i], *[None] * 7), strict=True):
-                            column.append(value)
-                at = own.anchors(own.hashes())
-                name = _named([own.words(a, a + RUN_WORDS) for a in at.tolist()])[:, 0]
+                    u = int(name[i])
+                    if u not in seen:
+                        seen.add(u)
+                        made = joined(hashes) if made is None else made
+                        out[0].append(u)
+                        out[1].append(np.unique(made[parts[i][0] : parts[i][1] - SHINGLE + 1]).tobytes())
+                        for column in out[2:]:
+                            column.append(None)
+                at = anchors(hashes)
+                name = joined(hashes, at, RUN_WORDS).view(np.int64)
                 held = hit(places, name ^ (np.arange(len(at)) * PLACE))
                 if held:
                     h = xxhash.xxh64_intdigest(t, 42)
@@ -292,26 +326,26 @@ def _second_look(docs: DataFrame, id_col: str, text: str, paragraphs, edges) ->
                     for i in held:
                         a, e = int(at[i]), int(at[i]) + RUN_WORDS
                         low, high = max(0, a - REACH), min(len(starts), e + REACH)
-                        row = (int(name[i]), None, doc, h - (1 << 64) if h >> 63 else h, i, own.words(low, a) if a else b"", own.words(e, high), starts[low:a], ends[e:high])
+                        row = (int(name[i]), None, doc, h - (1 << 64) if h >> 63 else h, i, int(starts[a]), int(ends[e - 1]), own.words(low, a), own.words(e, high), starts[low:a], ends[e:high])
                         for column, value in zip(out, row, strict=True):
                             column.append(value)
             many = pa.list_(pa.int32())
-            kinds = (pa.int64(), pa.binary(), b.schema.field(0).type, pa.int64(), pa.int32(), pa.binary(), pa.binary(), many, many)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], _WORDS)
+            kinds = (pa.int64(), pa.binary(), b.schema.field(0).type, pa.int64(), *[pa.int32()] * 3, pa.binary(), pa.binary(), many, many)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], _LOOKED)
 
     small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias(text))
-    return rows.mapInArrow(run, f"unit long, words binary, doc_id {kind}, h long, k int, before binary, after binary, starts array<int>, ends array<int>")
+    return rows.mapInArrow(run, f"unit long, shingles binary, doc_id {kind}, h long, k int, start int, end int, before binary, after binary, starts array<int>, ends array<int>")
 
 
 def _verify(least: float):
     def run(table: pa.Table) -> pa.Table:
         """Spanning links of one group (or two blocks of one): pairs with a Jaccard similarity of `least` or more."""
-        order = np.argsort(table.column("unit").to_numpy())
-        names = table.column("unit").to_numpy()[order]
-        texts = table.column("words").to_pylist()
-        sets = [shingles(texts[i].split()) for i in order]
+        names = table.column("unit").to_numpy()
+        order = np.argsort(names)
+        names, held = names[order], table.column("shingles").to_pylist()
+        sets = [np.frombuffer(held[i], np.uint64) for i in order]
         size = np.array([len(s) for s in sets])
         flat = np.unique(np.concatenate(sets), return_inverse=True)[1]
         starts = np.concatenate([[0], np.cumsum(size)])
@@ -333,40 +367,66 @@ def _verify(least: float):
     return run
 
 
-def collisions(found: DataFrame) -> DataFrame:
+def _alike(pairs: DataFrame, least: float) -> DataFrame:
+    """Of (a, b, x, y) pairs with their shingles the (a, b) whose Jaccard similarity is `least` or more."""
+
+    def run(batches):
+        for b in batches:
+            fine = []
+            for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True):
+                both = np.sort(np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)]))
+                shared = int((both[1:] == both[:-1]).sum())
+                fine.append(shared >= least * (len(both) - shared) - 1e-12)
+            yield b.select(["a", "b"]).filter(pa.array(fine, pa.bool_()))
+
+    return pairs.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def collisions(paragraphs: DataFrame) -> DataFrame:
     """(sig, unit): the paragraphs of every band signature that different ones share."""
-    pairs = found.where("k < 0 and size(sigs) > 0").select("unit", F.explode("sigs").alias("sig")).select("sig", "unit")
+    pairs = paragraphs.select("unit", F.explode("sigs").alias("sig")).select("sig", "unit")
     often = durable(pairs.groupBy("sig").agg(F.min("unit").alias("x"), F.max("unit").alias("y")).where("x <> y").select("sig"), "passages-collisions")
     return durable(_passing(pairs, "sig", _bitmap(often)).join(often, "sig", "left_semi").distinct(), "passages-members")
 
 
-def near_links(members: DataFrame, lines: DataFrame, least: float) -> DataFrame:
-    """(a, b) links between different paragraphs, of (sig, unit) members and their (unit, words)."""
+def near_roots(members: DataFrame, sets: DataFrame, least: float, name: str = "passages") -> DataFrame:
+    """(node, root) of the components over different units whose Jaccard similarity is `least` or more,
+    of (sig, unit) members and their (unit, shingles).
+
+    First each member is compared with its group's least one: copies of one text, of which groups
+    mostly consist, then share a root already. Only groups that still hold several roots are
+    compared as a whole, all with all where no link says otherwise."""
+    hub = members.groupBy("sig").agg(F.min("unit").alias("b"))
+    pairs = members.join(hub, "sig").where("unit <> b").select(F.col("unit").alias("a"), "b").distinct()
+    pairs = pairs.join(sets.select(F.col("unit").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("unit").alias("b"), F.col("shingles").alias("y")), "b")
+    near = durable(_alike(pairs, least), f"{name}-stars")
+    root = durable(components(near, f"{name}-cc"), f"{name}-roots")
+    held = members.join(root, members.unit == root.node, "left").select("sig", "unit", F.coalesce("root", "unit").alias("root"))
+    open_ = held.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("sig")
+    more = near_links(members.join(open_, "sig", "left_semi"), sets, least)
+    return components(durable(near.union(more), f"{name}-links"), f"{name}-cc")
+
+
+def near_links(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """(a, b) links that connect what all pairs of `least` or more within a group connect."""
     # groups with the same members in several bands are compared once; large groups block by block
-    sized = members.join(lines.select("unit", F.octet_length("words").alias("n")), "unit")
+    sized = members.join(sets.select("unit", (F.octet_length("shingles") / 8).alias("n")), "unit")
     groups = sized.groupBy("sig").agg(F.count("*").alias("g"), F.sum("n").alias("n"), F.sum(F.xxhash64("unit") % (1 << 40)).alias("who"), F.min("unit").alias("x"))
-    parts = F.ceil(F.greatest(F.col("g") / BLOCK, F.col("n") / BLOCK_BYTES)).cast("int")
+    parts = F.ceil(F.greatest(F.col("g") / BLOCK, F.col("n") / BLOCK_SHINGLES)).cast("int")
     groups = groups.groupBy("g", "n", "who", "x").agg(F.min("sig").alias("sig")).select("sig", parts.alias("parts"))
     dealt = members.join(groups, "sig").withColumn("block", F.pmod(F.xxhash64("unit"), F.col("parts")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    tasks = dealt.select("sig", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "unit").join(lines, "unit")
+    tasks = dealt.select("sig", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "unit").join(sets, "unit")
     return tasks.groupBy("sig", "low", "high").applyInArrow(_verify(least), "a long, b long")
 
 
-def _firsts(rows: DataFrame, key: str) -> DataFrame:
-    """(key, keeper): the first occurrence of each key that occurs more than once, null ids last."""
-    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "at", "n_words", "h", "k", "unit", "check")
-    return rows.groupBy(key).agg(F.count("*").alias("total"), F.min(place).alias("keeper")).where("total > 1").drop("total")
-
-
-def _judged(rows: DataFrame) -> DataFrame:
-    """rows with `twin`, which of several equal documents a row belongs to, and `removed`. Rows that
-    share only the first 64 bits of their hash with their keeper go."""
-    fine = (F.col("unit") != F.col("keeper.unit")) | (F.col("check") == F.col("keeper.check"))
-    first = F.col("doc_id").eqNullSafe(F.col("keeper.doc_id")) & (F.col("h") == F.col("keeper.h")) & (F.col("at") == F.col("keeper.at")) & (F.col("n_words") == F.col("keeper.n_words"))
-    dealt = rows.where(fine).repartition("doc_id", "h")
-    twin = F.row_number().over(Window.partitionBy("doc_id", "h", "at", "n_words").orderBy("k"))
-    return dealt.withColumn("twin", twin).withColumn("removed", ~first | (F.col("twin") > 1))
+def _judged(rows: DataFrame, place: list[str]) -> DataFrame:
+    """rows with `twin`, which of several equal documents a row belongs to, and `removed`."""
+    first = F.col("doc_id").eqNullSafe(F.col("keeper.doc_id")) & (F.col("h") == F.col("keeper.h"))
+    for c in place:
+        first = first & (F.col(c) == F.col(f"keeper.{c}"))
+    twin = F.row_number().over(Window.partitionBy("doc_id", "h", *place).orderBy(place[0]))
+    return rows.repartition("doc_id", "h").withColumn("twin", twin).withColumn("removed", ~first | (F.col("twin") > 1))
 
 
 def _islands(runs: DataFrame) -> DataFrame:
@@ -374,9 +434,9 @@ def _islands(runs: DataFrame) -> DataFrame:
     own = Window.partitionBy("doc_id", "h", "twin").orderBy("k")
     new = (F.col("k") - F.lag("k").over(own) != 1) | (F.col("removed") != F.lag("removed").over(own))
     marked = runs.withColumn("new", F.coalesce(new.cast("int"), F.lit(1))).withColumn("island", F.sum("new").over(own))
-    place = F.struct("k", "unit", "at", "start", "end", "keeper")
+    place = F.struct("k", "unit", "at", "keeper")
     spans = marked.groupBy("doc_id", "h", "twin", "island", "removed").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    base = ["doc_id", "h", "twin", "island", "removed", F.col("first.start").alias("start"), F.col("last.end").alias("end"), F.col("first.at").alias("w0"), (F.col("last.at") + RUN_WORDS).alias("w1"), F.col("first.keeper.doc_id").alias("keeper_doc_id"), F.col("first.unit").alias("class_id")]
+    base = ["doc_id", "h", "twin", "island", "removed", F.col("first.at").alias("w0"), (F.col("last.at") + RUN_WORDS).alias("w1"), F.col("first.keeper.doc_id").alias("keeper_doc_id"), F.col("first.unit").alias("class_id")]
     side = lambda left, c: spans.select(*base, F.lit(left).alias("left"), *(F.col(f"{c}.{x}").alias(y) for x, y in (("unit", "unit"), ("k", "k"), ("keeper.doc_id", "kept_doc"), ("keeper.h", "kept_h"), ("keeper.k", "kept_k"))))
     return side(True, "first").unionByName(side(False, "last"))
 
@@ -406,10 +466,9 @@ def _extended(edges: DataFrame, around: DataFrame) -> DataFrame:
     others = own.where("removed").alias("e").join(around.alias("y"), at("y", "kept_doc", "kept_h", "kept_k"), "left").select("e.*", F.col("y.around").alias("other"))
     others = durable(_shared(others).drop("other"), "passages-shared")
     widest = others.groupBy("unit", "left").agg(F.max("n").alias("n"))
-    moved = others.unionByName(own.where("not removed").join(widest, ["unit", "left"], "left").select(others.columns))
-    moved = moved.withColumn("n", F.coalesce(F.when(F.col("around").isNotNull(), F.col("n")), F.lit(0)))
-    start = F.min(F.when(F.col("left") & (F.col("n") > 0), F.expr("around.starts[size(around.starts) - n]")).otherwise(F.col("start")))
-    end = F.max(F.when(~F.col("left") & (F.col("n") > 0), F.expr("around.ends[n - 1]")).otherwise(F.col("end")))
+    moved = others.unionByName(own.where("not removed").join(widest, ["unit", "left"], "left").select(others.columns)).withColumn("n", F.coalesce("n", F.lit(0)))
+    start = F.min(F.when(F.col("left"), F.expr("if(n > 0, around.starts[size(around.starts) - n], around.start)")))
+    end = F.max(F.when(~F.col("left"), F.expr("if(n > 0, around.ends[n - 1], around.end)")))
     w0, w1 = F.min(F.col("w0") - F.when(F.col("left"), F.col("n")).otherwise(0)), F.max(F.col("w1") + F.when(F.col("left"), 0).otherwise(F.col("n")))
     spans = moved.groupBy("doc_id", "h", "twin", "island", "removed").agg(start.alias("start"), end.alias("end"), w0.alias("w0"), w1.alias("w1"), F.min("class_id").alias("class_id"), F.min("keeper_doc_id").alias("keeper_doc_id"))
     # spans of a text that meet are one
@@ -424,29 +483,32 @@ def _extended(edges: DataFrame, around: DataFrame) -> DataFrame:
 def _found(docs: DataFrame, id_col: str, text: str, least: float, recall: float) -> DataFrame:
     """What passages() returns, with h, the text's hash, and twin, which of several equal documents it is."""
     found = durable(units(docs, id_col, text, bands(least, recall)), "passages-units")
-    members = collisions(found)
-    runs = found.where("k >= 0").drop("sigs")
-    firsts = durable(_firsts(runs, "unit"), "passages-firsts")
-    runs = _passing(runs, "unit", _bitmap(firsts.select("unit"))).join(firsts, "unit")
-    edges = durable(_islands(_judged(runs)), "passages-edges")
-    places = edges.where("removed").select("unit", "doc_id", "h", "k").union(edges.where("removed").select("unit", "kept_doc", "kept_h", "kept_k")).distinct()
+    whole = found.select("doc_id", "h", F.explode("paragraphs").alias("p")).select("doc_id", "h", "p.*")
+    members = collisions(whole)
+    wanted = durable(members.select("unit").distinct(), "passages-wanted")
+    often = durable(found.select(F.explode("runs").alias("unit")).groupBy("unit").count().where("count > 1").select("unit"), "passages-repeated")
+    runs = durable(_hits(found, _bitmap(often)).join(often, "unit", "left_semi"), "passages-runs")
+    keepers = runs.groupBy("unit").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "k", "h")).alias("keeper"))
+    edges = durable(_islands(_judged(runs.join(keepers, "unit"), ["k"])), "passages-edges")
+    # all edges are looked at in their own text, and those of removals in the keeper's too
+    places = edges.select("unit", "doc_id", "h", "k").union(edges.where("removed").select("unit", "kept_doc", "kept_h", "kept_k")).distinct()
     places = durable(places, "passages-places")
     keys = places.select(F.col("unit").bitwiseXOR(F.col("k").cast("long") * F.lit(PLACE)).alias("key"))
-    looked = durable(_second_look(docs, id_col, text, _bitmap(members.select("unit").distinct()), _bitmap(keys)), "passages-words")
-    lines = looked.where("words is not null").select("unit", "words").join(members.select("unit").distinct(), "unit", "left_semi")
-    lines = durable(lines.groupBy("unit").agg(F.first("words").alias("words")), "passages-lines")
-    root = durable(components(near_links(members, lines, least), "passages-cc"), "passages-roots")
-    # paragraphs
-    whole = found.where("k < 0").drop("sigs")
-    classed = whole.join(root, whole.unit == root.node, "left").withColumn("class_id", F.coalesce("root", "unit")).drop("node", "root")
-    judged = _judged(classed.join(durable(_firsts(classed, "class_id"), "passages-keepers"), "class_id"))
+    looked = durable(_second_look(docs, id_col, text, _bitmap(wanted), _bitmap(keys)), "passages-looked")
+    sets = looked.where("shingles is not null").select("unit", "shingles").join(wanted, "unit", "left_semi")
+    sets = durable(sets.groupBy("unit").agg(F.first("shingles").alias("shingles")), "passages-sets")
+    root = durable(near_roots(members, sets, least), "passages-classes")
+    # paragraphs: those with the first 64 bits of their keeper's hash but not the others go
+    classed = whole.drop("sigs").join(root, whole.unit == root.node, "left").withColumn("class_id", F.coalesce("root", "unit")).drop("node", "root")
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "at", "n_words", "h", "unit", "check")
+    kept = classed.groupBy("class_id").agg(F.count("*").alias("total"), F.min(place).alias("keeper")).where("total > 1").drop("total")
+    classed = classed.join(durable(kept, "passages-keepers"), "class_id").where("unit <> keeper.unit or check = keeper.check")
     columns = ["doc_id", "start", "end", "n_words", "class_id", "keeper_doc_id", "removed", "h", "twin"]
-    judged = judged.withColumn("keeper_doc_id", F.col("keeper.doc_id")).select(columns)
+    judged = _judged(classed, ["at", "n_words"]).withColumn("keeper_doc_id", F.col("keeper.doc_id")).select(columns)
     # passages inside other paragraphs
-    around = looked.where("words is null").select("unit", "doc_id", "h", "k", F.struct("before", "after", "starts", "ends").alias("around"))
-    same = ["unit", "h", "k"]
-    known = places.select("unit", "h", "k").distinct()
-    around = durable(around.join(known, same, "left_semi").groupBy("unit", "doc_id", "h", "k").agg(F.min("around").alias("around")), "passages-around")
+    around = looked.where("shingles is null").select("unit", "doc_id", "h", "k", F.struct("start", "end", "before", "after", "starts", "ends").alias("around"))
+    around = around.join(places.select("unit", "h", "k").distinct(), ["unit", "h", "k"], "left_semi")
+    around = durable(around.groupBy("unit", "doc_id", "h", "k").agg(F.min("around").alias("around")), "passages-around")
     return judged.unionByName(_extended(edges, around).select(columns))
 
 

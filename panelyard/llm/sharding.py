@@ -22,6 +22,7 @@ SEED = 20_011
 BUCKET_BYTES = 8 << 20
 #: Buckets whose first slots (a few bytes each) are broadcast at most.
 MOST_BROADCAST = 200_000
+BUCKETS_A_TASK = 8
 
 
 def shard_of(key: Column, shards: int, seed: int = SEED) -> Column:
@@ -70,7 +71,10 @@ def shuffle_shards(docs: DataFrame, shards: int, id_col: str = "doc_id", text: s
         return table.select([*carried, "shard"]).take(pa.array(order)).append_column("slot", pa.array(slots))
 
     schema = keyed.select(*carried, "shard").schema.add("slot", "long")
-    placed = keyed.join(F.broadcast(offsets) if shards * per_shard <= MOST_BROADCAST else offsets, ["shard", bucket])
+    # so many partitions that each holds a few buckets, whatever the session's setting
+    buckets, usual = shards * per_shard, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    deal = lambda df: df.repartition(min(buckets, max(usual, buckets // BUCKETS_A_TASK)), "shard", bucket)
+    placed = deal(keyed).join(F.broadcast(offsets) if buckets <= MOST_BROADCAST else deal(offsets), ["shard", bucket])
     return placed.groupBy("shard", bucket).applyInArrow(shuffle, schema)
 
 

@@ -9,7 +9,7 @@ import pytest
 from panelyard.llm import paragraphs
 
 SF = "/root/testdata/sf0.001"
-MIN, RUN = 40, 20
+MIN, RUN = 40, 25
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -120,12 +120,13 @@ def test_repeated_words_are_found_and_nothing_else(table):
         covered[i] |= inside
         if g.removed:
             gone[i] |= inside
-    long = {k: v for k, v in _grams(rows, MIN).items() if len(v) > 1}
+    n = 2 * RUN - 1
+    long = {k: v for k, v in _grams(rows, n).items() if len(v) > 1}
     assert len(long) > 500
     for places in long.values():
         for i, k in places:
-            assert covered[i][k : k + MIN].any()  # every occurrence of a repeated passage
-    asked = [(gone[i][k : k + MIN]) for places in long.values() for i, k in sorted(places)[1:]]
+            assert covered[i][k : k + n].any()  # every occurrence of a repeated passage
+    asked = [(gone[i][k : k + n]) for places in long.values() for i, k in sorted(places)[1:]]
     assert np.mean(np.concatenate(asked)) > 0.98
     # what is removed repeats an earlier place, or is a near copy of a paragraph
     first = _grams(rows, RUN)
@@ -151,19 +152,19 @@ def _texts(n, size=50):
 
 def _runs(text):
     own = paragraphs.Text(text.encode())
-    return {own.words(a, a + RUN) for a in own.anchors(own.hashes()).tolist()}
+    return {own.words(a, a + RUN) for a in paragraphs.anchors(own.hashes()).tolist()}
 
 
-def test_every_passage_of_39_words_has_a_common_run_and_runs_touch():
+def test_every_passage_of_49_words_has_a_common_run_and_runs_touch():
     for _, rows in _texts(500, paragraphs.ANCHOR_WINDOW + paragraphs.RUN_WORDS - 1):
         assert _runs(rows[0][1]) & _runs(rows[1][1])
         own = paragraphs.Text(rows[0][1].replace(" ", "\n", 40).replace("w", "W", 30).encode())
-        at = own.anchors(own.hashes())
+        at = paragraphs.anchors(own.hashes())
         assert np.diff(at).max() <= paragraphs.RUN_WORDS and _runs(own.text.decode()) == _runs(rows[0][1])
 
 
 def test_passages_are_removed_whole_and_short_ones_stay(spark):
-    made = [(p, r) for size in (40, 52, 300) for p, r in _texts(60, size)]
+    made = [(p, r) for size in (49, 52, 300) for p, r in _texts(60, size)]
     rows = [(1000 * n + i, t, h, e) for n, (_, two) in enumerate(made) for i, t, h, e in two]
     short = [(10**6 + i, t) for _, two in _texts(60, 30) for i, t, *_ in two]
     df = spark.createDataFrame([(i, t) for i, t, *_ in rows] + short, "doc_id long, text string")
