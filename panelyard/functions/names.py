@@ -62,3 +62,31 @@ def rule(a: Column, b: Column, extra_stopwords: Iterable[str] = ()) -> Column:
     plus = (F.size(a_only) == 0) & F.size(b_only).between(1, 2) & alone(aset)
     minus = (F.size(b_only) == 0) & (F.size(a_only) > 0) & alone(bset) & F.forall(a_only, lambda t: (F.length(t) <= 2) | F.array_contains(stop, t))
     return F.when(a == b, "R1").when(tag, "R2").when(at[0] != bt[0], None).when(plus, "R3").when(minus, "R3b")
+
+
+def stays(c: Column, extra_stopwords: Iterable[str] = ()) -> Column:
+    """The distinct words of a core that may not go under R3b, sorted."""
+    stop = _words([*STOPWORDS, *extra_stopwords])
+    return F.array_sort(F.filter(F.array_distinct(F.split(c, " ")), lambda t: (F.length(t) > 2) & ~F.array_contains(stop, t)))
+
+
+def rule_keys(c: Column, alias: bool, extra_stopwords: Iterable[str] = ()) -> Column:
+    """Keys of a core such that an alias and a candidate that match under a rule share one, and few others do.
+
+    R1: the core. R2: the shorter word against the longer one less one or two letters, either way
+    round. R3: the first word and the alias's set of words, against the candidate's set less one or
+    two of its other words. R3b: the first word and the words that may not go."""
+    words = F.split(c, " ")
+    first, own = words[0], F.array_sort(F.array_distinct(words))
+    key = lambda tag, *parts: F.concat_ws("|", F.lit(tag), *parts)
+    less = lambda n: F.substring(c, 1, F.length(c) - n)
+    shorter, longer = ("2a", "2c") if alias else ("2c", "2a")
+    single = F.size(words) == 1
+    one = [F.when(single & (F.length(c) >= 6), key(shorter, c)), *(F.when(single & (F.length(c) >= 6 + n), key(longer, less(n))) for n in (1, 2))]
+    if alias:
+        sets = F.array(key("3", first, F.array_join(own, " ")))
+    else:
+        rest = F.filter(own, lambda t: t != first)
+        cut = F.flatten(F.transform(rest, lambda x: F.transform(F.filter(rest, lambda y: y >= x), lambda y: F.filter(own, lambda t: (t != x) & (t != y)))))
+        sets = F.transform(cut, lambda s: key("3", first, F.array_join(s, " ")))
+    return F.array_distinct(F.concat(F.array_compact(F.array(key("1", c), *one, key("3b", first, F.array_join(stays(c, extra_stopwords), " ")))), sets))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.names import RULES, core, rule, usable
+from ..functions.names import RULES, core, rule, rule_keys, usable
 
 
 def match_all(aliases: DataFrame, candidates: DataFrame, extra_stopwords=()) -> DataFrame:
@@ -13,18 +13,15 @@ def match_all(aliases: DataFrame, candidates: DataFrame, extra_stopwords=()) ->
     candidate, candidate_core, rule, ambiguous), the best rule per key and candidate core,
     expanded to every spelling of the core. `ambiguous`: more than one key claims the candidate.
 
-    Blocks are the first word, which all rules but R2 need, and for single words the first six
-    letters, which R2 needs: equi-joins, whose pairs are those of comparing everything."""
+    Cores meet by an equi-join on keys that the rules themselves imply (see rule_keys), so that the
+    pairs are those of comparing everything and hardly more than those are looked at. A core that
+    many spellings share meets once."""
     a = aliases.select("key", "alias", core(F.col("alias")).alias("alias_core")).where(usable(F.col("alias_core"), extra_stopwords))
     c = candidates.select("candidate", core(F.col("candidate")).alias("candidate_core")).where(usable(F.col("candidate_core"), extra_stopwords))
-    cores = c.select("candidate_core").distinct()
-
-    def blocks(df: DataFrame, col: str) -> DataFrame:
-        one = F.when(~F.col(col).contains(" ") & (F.length(col) >= 6), F.concat(F.lit("6:"), F.left(F.col(col), F.lit(6))))
-        return df.withColumn("block", F.explode(F.array_compact(F.array(F.concat(F.lit("w:"), F.split(col, " ")[0]), one))))
-
-    near = blocks(a, "alias_core").join(blocks(cores, "candidate_core"), "block").select("key", "alias", "alias_core", "candidate_core").distinct()
-    near = near.withColumn("rule", rule(F.col("alias_core"), F.col("candidate_core"), extra_stopwords)).where("rule is not null")
+    left = a.select("alias_core").distinct().withColumn("block", F.explode(rule_keys(F.col("alias_core"), True, extra_stopwords)))
+    right = c.select("candidate_core").distinct().withColumn("block", F.explode(rule_keys(F.col("candidate_core"), False, extra_stopwords)))
+    near = left.join(right, "block").select("alias_core", "candidate_core").distinct()
+    near = near.withColumn("rule", rule(F.col("alias_core"), F.col("candidate_core"), extra_stopwords)).where("rule is not null").join(a, "alias_core")
     order = F.array_position(F.array(*map(F.lit, RULES)), F.col("rule"))
     best = near.groupBy("key", "candidate_core").agg(F.min(F.struct(order.alias("o"), "alias", "alias_core", "rule")).alias("b"))
     pairs = best.join(c, "candidate_core").select("key", "b.alias", "b.alias_core", "candidate", "candidate_core", "b.rule")

@@ -259,9 +259,10 @@ def a33(spark: SparkSession, d: str) -> DataFrame:
     return f.groupBy(F.year("last_row").alias("drop_year"), F.quarter("last_row").alias("drop_quarter")).agg(F.count("*").alias("n"), R(F.median("stale_tail_quarters"), 6).alias("stale_median"), R(F.avg((F.datediff("last_row", "first_row") < 730).cast("double")), 6).alias("young"))
 
 
-@query("r9_presample_label", DEC_S + """, l as (select cik, avg(gross_margin) lab from dec where year between 1995 and 1997 group by 1 having count(*) >= 2) select d.cik, d.year, round(lab, 6) as label, d.gross_margin as value from dec d join l using (cik) where year between 1999 and 2001""")
+# means of two or three numbers of 8 digits: they end after 9 digits or never, so none is near a tie at 10
+@query("r9_presample_label", DEC_S + """, l as (select cik, avg(gross_margin) lab from dec where year between 1995 and 1997 group by 1 having count(*) >= 2) select d.cik, d.year, round(lab, 10) as label, d.gross_margin as value from dec d join l using (cik) where year between 1999 and 2001""")
 def r9(spark: SparkSession, d: str) -> DataFrame:
-    return P.presample_label(dec_s(spark, d), "gross_margin", (1995, 1997), (1999, 2001)).select("cik", "year", R("label", 6).alias("label"), F.col("gross_margin").alias("value"))
+    return P.presample_label(dec_s(spark, d), "gross_margin", (1995, 1997), (1999, 2001)).select("cik", "year", R("label", 10).alias("label"), F.col("gross_margin").alias("value"))
 
 
 @query("j18_first_print", V.with_views("panel_s") + """, f as (select cik, fiscal_year, min(as_of_date) as first_seen, arg_min(net_margin, as_of_date) as first_value, arg_max(net_margin, as_of_date) as last_value from panel_s where month(as_of_date) = 12 group by 1, 2)

@@ -122,7 +122,8 @@ def j15(spark: SparkSession, d: str) -> DataFrame:
 
 
 _EV = V.with_views("bars", "bench", "event_days") + ", " + _SER + """, an as (select e.event_id, e.ticker, e.day, b.date b_date, b.close b_close, b.pos b_pos, a.pos f_pos from event_days e asof left join pos b on e.ticker = b.ticker and e.day > b.date asof left join pos a on e.ticker = a.ticker and e.day <= a.date),
- ew as (select an.event_id, an.day, o as "offset", p.close / b_close - 1 as ret from an join ser using (ticker), (select unnest([1, 5, 20]) o) join pos p on p.ticker = an.ticker and p.pos = f_pos + o where an.day - b_date <= 7 and n_bars >= f_pos + 20)"""
+ tgt as materialized (select event_id, ticker, day, b_close, o, (f_pos + o)::int as pos from an join ser using (ticker), (select unnest([1, 5, 20]) o) where an.day - b_date <= 7 and n_bars >= f_pos + 20),
+ ew as (select event_id, day, o as "offset", close / b_close - 1 as ret from tgt join pos using (ticker, pos))"""
 
 
 @query("e2_event_window", _EV + ' select event_id, "offset", round(ret, 9) as ret from ew')
@@ -140,7 +141,8 @@ _CAL = V.with_views("bars", "bench", "event_days") + """, cal as (select d.date,
 
 
 @query("e4_abnormal_path", _CAL + """, an as (select e.event_id, e.ticker, e.day, b.date b_date, b.close b_close, b.bench b_bench, b.pos b_pos, a.pos f_pos from event_days e asof left join pos b on e.ticker = b.ticker and e.day > b.date asof left join pos a on e.ticker = a.ticker and e.day <= a.date where e.day is not null)
- select an.event_id, o::int as "offset", round(p.close / b_close - p.bench / b_bench, 9) as ar from an join range(-3, 4) t(o) on true left join pos p on p.ticker = an.ticker and p.pos = case when o >= 0 then f_pos + o else b_pos + 1 + o end where an.day - b_date <= 7""")
+, tgt as materialized (select event_id, ticker, b_close, b_bench, o::int as "offset", (case when o >= 0 then f_pos + o else b_pos + 1 + o end)::int as pos from an, range(-3, 4) t(o) where an.day - b_date <= 7)
+ select event_id, "offset", round(close / b_close - bench / b_bench, 9) as ar from tgt left join pos using (ticker, pos)""")
 def e4(spark: SparkSession, d: str) -> DataFrame:
     return T.abnormal_path(V.event_days(spark, d), V.bars(spark, d), V.bench(spark, d), -3, 3).select("event_id", "offset", R("ar", 9).alias("ar"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.names import core, usable
+from ..functions.names import LEGAL, STOPWORDS, core, usable
 from ..operators import asof as A
 from ..operators import names as N
 from ..operators import shares as S
@@ -115,16 +115,22 @@ def a26(spark: SparkSession, d: str) -> DataFrame:
     return priced.join(rev, ["cik", "fiscal_year"]).groupBy("fiscal_year").agg(R(cap, 2).alias("cap"), R(F.sum("rev"), 2).alias("rev"), R(cap / F.sum("rev"), 8).alias("ps"))
 
 
-_CORE = r"""array_to_string(list_filter(string_split_regex(regexp_replace(replace(lower(nm), '&', ' and '), '[\\/][a-z]{2,4}[\\/]?\s*$|\bet\s+al\b', ' ', 'g'), '[^a-z0-9]+'), lambda t: t <> '' and not list_contains(['inc','incorporated','corp','corporation','corporations','co','company','companies','ltd','ltda','limited','llc','lp','llp','plc','the','sa','sas','nv','ag','as','ab','oyj','oy','gmbh','mbh','kg','kgaa','kk','aps','spa','srl','bv','pte','pty','pvt','private','holdings','holding','group','groupe','et','al','and','of','a'], t)), ' ')"""
-_NAMES_SQL = """with al as (select p_partkey as key, p_name || ' k' || p_partkey || case p_partkey % 4 when 0 then ' Inc' when 1 then ' & Co /DE/' when 2 then ', Ltd.' else '' end as nm from part), cd as (select distinct p_name || ' k' || p_partkey || case p_partkey % 3 when 0 then ' Corp' when 1 then ' Japan' else ' Holdings' end as nm from part)"""
+_CORE = r"""array_to_string(list_filter(string_split_regex(regexp_replace(replace(lower(nm), '&', ' and '), '[\\/][a-z]{2,4}[\\/]?\s*$|\bet\s+al\b', ' ', 'g'), '[^a-z0-9]+'), lambda t: t <> '' and not list_contains(""" + str(LEGAL) + """, t)), ' ')"""
+#: Names of parts as companies: candidates are the alias, the alias with a word more, with a word less that may go, or one word with a letter more.
+_NAMES_SQL = """with nb as (select p_partkey as k, case when p_partkey % 5 = 4 then 'veloria' || translate(p_partkey::text, '0123456789', 'abcdefghij') else p_name || ' k' || p_partkey end as base from part),
+ al as (select k as key, base || case k % 4 when 0 then ' Inc' when 1 then ' & Co /DE/' when 2 then ', Ltd.' else ' Systems' end as nm from nb),
+ cd as (select distinct base || case when k % 5 = 4 then case k % 3 when 0 then 'x' when 1 then ' Corp' else 'xy LLC' end else case k % 3 when 0 then ' Corp' when 1 then ' Japan' else ' Holdings' end end as nm from nb)"""
 
 
 def name_tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    p = V.table(spark, d, "part")
     k = F.col("p_partkey")
-    a = F.concat("p_name", F.lit(" k"), k.cast("string"), F.when(k % 4 == 0, " Inc").when(k % 4 == 1, " & Co /DE/").when(k % 4 == 2, ", Ltd.").otherwise(""))
-    c = F.concat("p_name", F.lit(" k"), k.cast("string"), F.when(k % 3 == 0, " Corp").when(k % 3 == 1, " Japan").otherwise(" Holdings"))
-    return p.select(k.alias("key"), a.alias("alias")), p.select(c.alias("candidate")).distinct()
+    single = F.concat(F.lit("veloria"), F.translate(k.cast("string"), "0123456789", "abcdefghij"))
+    p = V.table(spark, d, "part").select(k.alias("key"), F.when(k % 5 == 4, single).otherwise(F.concat("p_name", F.lit(" k"), k.cast("string"))).alias("base"))
+    k = F.col("key")
+    a = F.concat("base", F.when(k % 4 == 0, " Inc").when(k % 4 == 1, " & Co /DE/").when(k % 4 == 2, ", Ltd.").otherwise(" Systems"))
+    one = F.when(k % 3 == 0, "x").when(k % 3 == 1, " Corp").otherwise("xy LLC")
+    c = F.concat("base", F.when(k % 5 == 4, one).otherwise(F.when(k % 3 == 0, " Corp").when(k % 3 == 1, " Japan").otherwise(" Holdings")))
+    return p.select("key", a.alias("alias")), p.select(c.alias("candidate")).distinct()
 
 
 @query("n1_name_cores", _NAMES_SQL + f" select key, {_CORE} as core from al")
@@ -138,8 +144,20 @@ def n2(spark: SparkSession, d: str) -> DataFrame:
     return c.agg(F.count("*").alias("n"), F.count_if(usable(F.col("core"))).alias("usable"), F.count_distinct("core").alias("cores"))
 
 
-@query("n4_name_match", _NAMES_SQL + f""", a as (select key, {_CORE} as ac from al), c as (select nm as candidate, {_CORE} as cc from cd), p as (select a.key, c.candidate, case when ac = cc then 'R1' when cc = ac || ' japan' then 'R3' end as rule from a join c on cc = ac or cc = ac || ' japan'), o as (select candidate from p group by 1 having count(distinct key) > 1)
- select key, candidate, rule from p where candidate not in (select candidate from o)""")
+#: The rules on cores, written out over the words of both. Pairs meet on what every rule needs: the first word, or six letters of a single one.
+_RULE = """case when ac = cc then 'R1' when not contains(ac, ' ') and not contains(cc, ' ') and (starts_with(ac, cc) or starts_with(cc, ac)) and least(length(ac), length(cc)) >= 6 and abs(length(ac) - length(cc)) between 1 and 2
+ and least(length(ac), length(cc)) >= 0.7 * greatest(length(ac), length(cc)) then 'R2' when aw[1] <> cw[1] then null
+ when len(list_filter(aw, lambda t: not list_contains(cw, t))) = 0 and len(list_distinct(list_filter(cw, lambda t: not list_contains(aw, t)))) between 1 and 2 and (len(list_distinct(aw)) >= 2 or (length(aw[1]) >= 6 and not list_contains(st, aw[1]))) then 'R3'
+ when len(list_filter(cw, lambda t: not list_contains(aw, t))) = 0 and len(list_filter(aw, lambda t: not list_contains(cw, t) and length(t) > 2 and not list_contains(st, t))) = 0 and len(list_filter(aw, lambda t: not list_contains(cw, t))) > 0
+ and (len(list_distinct(cw)) >= 2 or (length(cw[1]) >= 6 and not list_contains(st, cw[1]))) then 'R3b' end"""
+_USABLE = "{c} <> '' and (contains({c}, ' ') or (length({c}) >= 5 and not list_contains({st}, {c}) and not regexp_full_match({c}, '[0-9]+')))"
+
+
+@query("n4_name_match", _NAMES_SQL + f""", a as (select key, {_CORE} as ac from al), c as (select nm as candidate, {_CORE} as cc from cd),
+ u as (select *, string_split(ac, ' ') as aw from a where {_USABLE.format(c="ac", st=STOPWORDS)}), v as (select *, string_split(cc, ' ') as cw, {STOPWORDS} as st from c where {_USABLE.format(c="cc", st=STOPWORDS)}),
+ m as (select key, candidate, ac, cc, aw, cw, st from u join v on aw[1] = cw[1] or left(ac, 6) = left(cc, 6)), p as (select key, candidate, {_RULE} as rule from m),
+ q as (select * from p where rule is not null), o as (select candidate from q group by 1 having count(distinct key) > 1)
+ select key, candidate, rule from q where candidate not in (select candidate from o)""")
 def n4(spark: SparkSession, d: str) -> DataFrame:
     return N.match(*name_tables(spark, d)).select("key", "candidate", "rule")
 

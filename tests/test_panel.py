@@ -129,70 +129,124 @@ def series(spark, counts):
     return spark.createDataFrame([(1, y, float(v) if v is not None else None) for y, v in counts.items()], "cik long, fiscal_year int, shares double")
 
 
-@pytest.mark.parametrize("counts, want", [({2021: 100, 2022: 102, 2023: 510, 2024: 515}, [(2023, 5.0, 5.0)]), ({2021: 1000, 2022: 101, 2023: 100}, [(2022, 0.101, 0.1)]), ({2020: 100, 2021: 104, 2023: 150}, []), ({2020: 100, 2021: None, 2022: 400}, []), ({2020: 100, 2021: 0, 2022: 400}, [])])
-def test_split_flags(spark, counts, want):
-    assert [(r.flag_year, pytest.approx(r.ratio), r.factor) for r in S.split_basis_flags(series(spark, counts)).collect()] == want
+FLAGGED = {
+    "up": ({2010: 40, 2011: 41, 2012: 124, 2013: 125}, [(2012, 124 / 41, 3.0)]),
+    "down": ({2005: 700, 2006: 690, 2007: 69.5}, [(2007, 69.5 / 690, 0.1)]),
+    "a year is missing": ({2001: 10, 2003: 20}, []),
+    "no count before": ({2001: 10, 2002: None, 2003: 20}, []),
+    "zero before": ({2001: 0, 2002: 30}, []),
+    "no whole factor": ({2001: 10, 2002: 25.9}, []),
+}
 
 
-@pytest.mark.parametrize("so, verdict, step", [({2021: 100, 2022: 100, 2023: 101, 2025: 500}, "corroborated", 2025), ({2021: 100, 2022: 500, 2023: 505, 2024: 510}, "contradicted", None), ({2022: 100}, "untestable", None), ({2021: None, 2022: None}, "untestable", None)])
-def test_corroboration(spark, so, verdict, step):
-    flags = spark.createDataFrame([(1, 2022, 5.0, 5.0)], "cik long, flag_year int, ratio double, factor double")
-    r = S.corroborate_flags(flags, series(spark, so)).first()
-    assert r.verdict == verdict and (step is None or r.step_year == step)
+@pytest.mark.parametrize("case", FLAGGED)
+def test_split_flags(spark, case):
+    counts, want = FLAGGED[case]
+    assert [(r.flag_year, pytest.approx(r.ratio), r.factor) for r in S.split_basis_flags(series(spark, counts)).collect()] == [(y, pytest.approx(ratio), f) for y, ratio, f in want]
+
+
+def _verdict(spark, outstanding):
+    flag = spark.createDataFrame([(1, 2014, 3.0, 3.0)], "cik long, flag_year int, ratio double, factor double")
+    return S.corroborate_flags(flag, series(spark, outstanding)).first()
+
+
+def test_corroboration(spark):
+    r = _verdict(spark, {2013: 50, 2014: 51, 2015: 152})
+    assert (r.verdict, r.step_year) == ("corroborated", 2015)
+    r = _verdict(spark, {2013: 50, 2014: 150, 2015: 151})
+    assert r.verdict == "contradicted" or r.step_year == 2014
+    assert _verdict(spark, {2014: 60}).verdict == "untestable"
+    assert _verdict(spark, {2014: None, 2015: None}).verdict == "untestable"
 
 
 def test_rebase_and_sanity(spark):
-    splits = spark.createDataFrame([(1, 2023, 5.0)], "cik long, split_year int, factor double")
-    got = {r.fiscal_year: r.rebased for r in S.rebase(series(spark, {2021: 100, 2022: 102, 2023: 510}), splits).collect()}
-    assert got == {2021: 500, 2022: 510, 2023: 510}
-    both = spark.createDataFrame([(1, 2019, 156.8e6, 156.0), (1, 2020, 156.8e6, 156.0), (1, 2021, 100.0, 101.0), (1, 2022, 0.0, 5.0)], "cik long, fiscal_year int, outstanding double, diluted double")
-    assert sorted(r.fiscal_year for r in S.series_sanity(both).collect()) == [2019, 2020]
+    splits = spark.createDataFrame([(1, 2012, 3.0)], "cik long, split_year int, factor double")
+    got = {r.fiscal_year: r.rebased for r in S.rebase(series(spark, {2010: 40, 2011: 41, 2012: 124}), splits).collect()}
+    assert got == {2010: 120, 2011: 123, 2012: 124}
+    thousands = [(1, 2008, 9.1e7, 9.1e4), (1, 2009, 9.2e7, 9.2e4), (1, 2010, 9.3e7, 9.4e7), (1, 2011, 0.0, 9.0)]
+    both = spark.createDataFrame(thousands, "cik long, fiscal_year int, outstanding double, diluted double")
+    assert sorted(r.fiscal_year for r in S.series_sanity(both).collect()) == [2008, 2009]
 
 
-def test_snap(spark):
-    got = spark.createDataFrame([(3.94,), (0.24,), (2.7,)], "f double").select(S.snap(F.col("f")).alias("s")).select("s.*").collect()
-    assert [(r.factor, r.snapped) for r in got] == [(4.0, True), (0.25, True), (2.7, False)]
+@pytest.mark.parametrize("factor, want", [(5.1, (5.0, True)), (0.34, (1 / 3, True)), (2.45, (2.45, False))])
+def test_snap(spark, factor, want):
+    r = spark.createDataFrame([(factor,)], "f double").select(S.snap(F.col("f")).alias("s")).select("s.*").first()
+    assert (pytest.approx(r.factor), r.snapped) == want
 
 
 def test_firm_basis(spark):
-    def basis(wasd):
-        rows = [(1, 2017 + k, float(a), float(b), None) for k, (a, b) in enumerate(zip([100, 100, 100, 400, 400], wasd))]
+    def basis(steps):
+        rows = [(1, 2003 + k, float(a), float(b), None) for k, (a, b) in enumerate(steps)]
         return S.firm_basis(spark.createDataFrame(rows, "cik long, fiscal_year int, outstanding double, diluted double, implied double")).collect()
 
-    (r,) = basis([100, 400, 400, 400, 400])
-    assert (r.split_year, r.factor, r.run_len, r.resolved) == (2020, 4.0, 2, True)
-    (r,) = basis([400, 400, 400, 400, 400])
-    assert (r.first_year, r.last_year, r.resolved, r.factor) == (2017, 2019, False, None)
+    (r,) = basis([(70, 70), (70, 140), (70, 140), (70, 140), (140, 140)])
+    assert (r.split_year, r.factor, r.run_len, r.resolved) == (2007, 2.0, 3, True)
+    (r,) = basis([(70, 140), (70, 140), (140, 140)])
+    assert (r.first_year, r.last_year, r.resolved, r.factor) == (2003, 2004, False, None)
 
 
 def test_cap_and_decomposition(spark):
-    one = spark.sql("select 1000D s, 0D z, 10D p, date'2021-06-30' a, date'2021-03-31' b, date'2021-12-31' c")
-    cap = lambda s, pe, at: S.market_cap(F.col(s), F.col("p"), F.col(pe), F.col(at))
-    r = one.select(cap("s", "b", "c").alias("x"), cap("s", "a", "b").alias("y"), cap("z", "b", "c").alias("w"), S.decompose(*(F.lit(v) for v in (10.0, 30.0, 200.0, 400.0, 20.0, 20.0))).alias("d")).first()
-    assert (r.x, r.y, r.w, tuple(r.d)) == (10000, None, None, (3.0, 2.0, 1.5))
+    one = spark.sql("select 250D s, 0D z, 8D p, date'2016-09-30' late, date'2016-03-31' early, date'2016-06-30' day")
+    cap = lambda s, until: S.market_cap(F.col(s), F.col("p"), F.col(until), F.col("day"))
+    r = one.select(cap("s", "early").alias("known"), cap("s", "late").alias("ahead"), cap("z", "early").alias("none")).first()
+    assert (r.known, r.ahead, r.none) == (2000, None, None)
+    d = one.select(S.decompose(*(F.lit(v) for v in (5.0, 20.0, 100.0, 300.0, 10.0, 15.0))).alias("d")).first()["d"]
+    assert tuple(d) == pytest.approx((4.0, 2.0, 2.0))
+
+
+CORES = {
+    "Quillmoor Optics Holdings, Ltd.": "quillmoor optics", "TARNBECK PLC /GB/": "tarnbeck", "Fennick et al": "fennick", "Harrow & Pike Group": "harrow pike", "Ostrava-Nord 7 GmbH": "ostrava nord 7",
+    None: "", "The Company of the Group": "",
+}
 
 
-@pytest.mark.parametrize("name, want", [("Invented Alpha Therapeutics, Inc.", "invented alpha therapeutics"), ("ALPHA CORP /DE/", "alpha"), ("Alpha ET AL", "alpha"), ("Smith & Jones Co", "smith jones"), (None, ""), ("The Group of Companies", "")])
-def test_cores(spark, name, want):
-    assert spark.createDataFrame([(name,)], "n string").select(FN.core(F.col("n"))).first()[0] == want
+def test_cores(spark):
+    got = spark.createDataFrame([(n,) for n in CORES], "n string").select("n", FN.core(F.col("n"))).collect()
+    assert {n: c for n, c in got} == CORES
 
 
 def test_usable(spark):
-    got = spark.createDataFrame([(c,) for c in ("", "care", "bio", "1234", "12345", "abcd", "abcde", "bio care", "health")], "c string").select("c", FN.usable(F.col("c")).alias("u")).collect()
-    assert {r.c for r in got if r.u} == {"abcde", "bio care"}
+    fine, not_fine = {"tarnb", "labs tarnb", "7 tarnb", "quillmoor"}, {"", "labs", "tarn", "56789", "genomics"}
+    got = spark.createDataFrame([(c,) for c in fine | not_fine], "c string").select("c", FN.usable(F.col("c")).alias("u")).collect()
+    assert {r.c for r in got if r.u} == fine
+    more = spark.createDataFrame([("quillmoor",)], "c string").select(FN.usable(F.col("c"), ["quillmoor"])).first()[0]
+    assert more is False
 
 
-@pytest.mark.parametrize("a, b, want", [
-    ("invented alpha", "invented alpha", "R1"), ("zorbixon", "zorbixonpq", "R2"), ("zorbigen", "zorbigenics", None), ("zorbix", "zorbix biosciences japan", "R3"), ("zorbix", "zorbix a1 b2 c3", None), ("zorbix pharma", "zorbix", "R3b"),
-    ("zorbix tools", "zorbix", None), ("alpha zorbix", "zorbix", None), ("care", "care japan", None), ("zorb zorb", "zorb zorb zorb", None),
-])
-def test_rules(spark, a, b, want):
-    assert spark.createDataFrame([(a, b)], "a string, b string").select(FN.rule(F.col("a"), F.col("b"))).first()[0] == want
+RULED = {
+    ("quillmoor optics", "quillmoor optics"): "R1", ("tarnbeck", "tarnbecks"): "R2", ("tarnbeckus", "tarnbeck"): "R2", ("tarnbeck", "tarnbeckish"): None, ("tarnb", "tarnbs"): None,
+    ("tarnbeck", "tarnbeck optics nord"): "R3", ("tarnbeck", "tarnbeck a b c"): None, ("tarnbeck labs", "tarnbeck"): "R3b", ("tarnbeck labs 7", "tarnbeck"): "R3b", ("tarnbeck optics", "tarnbeck"): None,
+    ("nord tarnbeck", "tarnbeck"): None, ("labs", "labs optics"): None, ("pike pike", "pike pike pike"): None,
+}
+
+
+def test_rules(spark):
+    rows = spark.createDataFrame(list(RULED), "a string, b string").select("a", "b", FN.rule(F.col("a"), F.col("b")).alias("r")).collect()
+    assert {(r.a, r.b): r.r for r in rows} == RULED
+    stopped = spark.createDataFrame([("tarnbeck optics", "tarnbeck")], "a string, b string").select(FN.rule(F.col("a"), F.col("b"), ["optics"])).first()[0]
+    assert stopped == "R3b"
+
+
+def test_pairs_of_all_rules_meet(spark):
+    rng = np.random.default_rng(5)
+    words = ["tarnbeck", "tarnbecks", "tarnbeckus", "quill", "optics", "nord", "labs", "japan", "7", "b2", "pike", "genomics"]
+    some = sorted({" ".join(rng.choice(words, rng.integers(1, 6))) for _ in range(400)})
+    cores = spark.createDataFrame([(s,) for s in some], "c string")
+    for extra in ([], ["quill", "pike"]):
+        want = cores.alias("a").crossJoin(cores.alias("b")).where(FN.usable(F.col("a.c"), extra) & FN.usable(F.col("b.c"), extra)).withColumn("rule", FN.rule(F.col("a.c"), F.col("b.c"), extra)).where("rule is not null")
+        want = {(r[0], r[1], r[2]) for r in want.collect()}
+        assert {w[2] for w in want} == {"R1", "R2", "R3", "R3b"}
+        left = cores.select("c", F.explode(FN.rule_keys(F.col("c"), True, extra)).alias("k")).collect()
+        right = {}
+        for r in cores.select("c", F.explode(FN.rule_keys(F.col("c"), False, extra)).alias("k")).collect():
+            right.setdefault(r.k, set()).add(r.c)
+        met = {(r.c, c) for r in left for c in right.get(r.k, ())}
+        assert {w[:2] for w in want} <= met and len(met) < 0.2 * len(some) ** 2
 
 
 def test_match_against_comparing_everything(spark):
     rng = np.random.default_rng(0)
-    words = ["zorbix", "zorbixon", "alpha", "delta", "pharma", "japan", "labs", "omega", "zorbixonpq", "inc", "k1"]
+    words = ["quorlim", "quorlimon", "alpha", "delta", "pharma", "japan", "labs", "omega", "quorlimonpq", "inc", "k1"]
     some = sorted({" ".join(rng.choice(words, rng.integers(1, 4))) for _ in range(120)})
     al = spark.createDataFrame([(f"k{i}", s) for i, s in enumerate(some[::2])], "key string, alias string")
     ca = spark.createDataFrame([(s.title(),) for s in some], "candidate string")
@@ -205,12 +259,12 @@ def test_match_against_comparing_everything(spark):
 
 
 def test_ambiguity_and_spellings(spark):
-    al = spark.createDataFrame([("1", "Zorbix Pharma"), ("2", "Zorbix Labs"), ("3", "Omega Tools")], "key string, alias string")
-    ca = spark.createDataFrame([("Zorbix",), ("Omega Tools Inc",), ("OMEGA TOOLS",), ("omega, tools llc",)], "candidate string")
+    al = spark.createDataFrame([("1", "Quorlim Pharma"), ("2", "Quorlim Labs"), ("3", "Omega Tools")], "key string, alias string")
+    ca = spark.createDataFrame([("Quorlim",), ("Omega Tools Inc",), ("OMEGA TOOLS",), ("omega, tools llc",)], "candidate string")
     assert {(r.key, r.candidate) for r in N.match(al, ca).collect()} == {("3", "Omega Tools Inc"), ("3", "OMEGA TOOLS"), ("3", "omega, tools llc")}
     d = N.diagnostics(al, ca).first()
     assert (d.raw_pairs, d.pairs_dropped, d.ambiguous_candidate_names, d.keys_matched, d.by_r1) == (5, 2, 1, 1, 3)
-    two = spark.createDataFrame([("1", "zorbix delta")], "key string, alias string"), spark.createDataFrame([("zorbix",)], "candidate string")
+    two = spark.createDataFrame([("1", "quorlim delta")], "key string, alias string"), spark.createDataFrame([("quorlim",)], "candidate string")
     assert N.match(*two).count() == 0 and N.match(*two, extra_stopwords=["delta"]).first().rule == "R3b"
 
 
