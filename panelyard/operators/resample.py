@@ -2,23 +2,39 @@
 
 A draw takes as many groups as there are, with replacement: slot s of draw d picks the group
 with index hash(seed, d, s) mod G. What comes out is a table of (draw, group, w), w being how
-often the group was picked. Means, rates and ratios of means are collapsed to one row per group
-and side before they meet the draws; medians are weighted exactly by w.
+often the group was picked. For means, rates and ratios of means the rows are collapsed to one per
+group and side, each meets its group's draws as one array, and every task adds them up for all
+draws at once: what is shuffled after that is one row per cell and draw and task, not per row and
+draw. Medians are weighted exactly by w, over one row per group and value.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.draws import draw
 
 
+#: Cells whose sums a task holds for all draws before it passes them on, in numbers.
+MOST_HELD = 1 << 22
+
+
 def indexed(groups: DataFrame, col: str) -> DataFrame:
     """Distinct non-null groups with `idx` from 0 in their order and `n`, their number.
-    One row a group is ordered in one task: a table of firms, not of their rows."""
+
+    Groups are sorted by ranges, numbered inside each range, and offset by the ranges before it:
+    only one row a range comes together."""
     own = groups.select(F.col(col).alias("grp")).where("grp is not null").distinct()
-    return own.select("grp", (F.row_number().over(Window.orderBy("grp")) - 1).alias("idx"), F.count("*").over(Window.partitionBy()).alias("n"))
+    own = own.repartitionByRange("grp").withColumn("part", F.spark_partition_id())
+    # the ranges are bounds drawn from a sample; a number of its own per range keeps them in order
+    size = own.groupBy("part").agg(F.min("grp").alias("least"), F.max("grp").alias("most"), F.count("*").alias("c"))
+    before = Window.orderBy("least").rowsBetween(Window.unboundedPreceding, -1)
+    size = size.select("least", "most", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("first"), F.sum("c").over(Window.partitionBy()).alias("n"))
+    own = own.drop("part").join(F.broadcast(size), F.col("grp").between(F.col("least"), F.col("most")))
+    return own.withColumn("idx", F.row_number().over(Window.partitionBy("least").orderBy("grp")) - 1 + F.col("first")).select("grp", "idx", "n")
 
 
 def multiplicities(groups: DataFrame, col: str, draws: int, seed: int = 0) -> DataFrame:
@@ -29,6 +45,43 @@ def multiplicities(groups: DataFrame, col: str, draws: int, seed: int = 0) -> Da
     return picked.join(own.select("idx", "grp"), "idx").select("draw", "grp", "w")
 
 
+def _sums(rows: DataFrame, m: DataFrame, keys: list[str], values: list[str], draws: int) -> DataFrame:
+    """(keys..., draw, values...): per draw the sums of each value times its group's multiplicity;
+    rows (keys..., grp, values...)."""
+    arrays = m.groupBy("grp").agg(F.collect_list(F.struct("draw", "w")).alias("picks"))
+    held = rows.join(arrays, "grp").select(*keys, *(F.col(v).cast("double") for v in values), "picks")
+    schema = held.select(*keys, F.lit(0).cast("long").alias("draw"), *values).schema
+
+    def run(batches):
+        at: dict[tuple, int] = {}
+        sums = np.zeros((len(values), 0))
+
+        def out():
+            own = list(at)
+            columns = [pa.array([k[i] for k in own for _ in range(draws)], kinds[i]) for i in range(len(keys))]
+            return pa.RecordBatch.from_arrays([*columns, pa.array(np.tile(np.arange(1, draws + 1), len(own))), *(pa.array(s) for s in sums)], [*keys, "draw", *values])
+
+        kinds: list = []
+        for b in batches:
+            kinds = kinds or [b.schema.field(i).type for i in range(len(keys))]
+            row = np.array([at.setdefault(k, len(at)) for k in zip(*(b.column(i).to_pylist() for i in range(len(keys))), strict=True)] if keys else [at.setdefault((), 0)] * b.num_rows, np.int64)
+            sums = np.concatenate([sums, np.zeros((len(values), len(at) * draws - sums.shape[1]))], axis=1)
+            picks = b.column(b.num_columns - 1)
+            each, n = picks.flatten(), np.diff(picks.offsets.to_numpy())
+            cell = np.repeat(row * draws, n) + each.field("draw").to_numpy() - 1
+            w = each.field("w").to_numpy().astype(float)
+            for i in range(len(values)):
+                v = b.column(len(keys) + i).to_numpy(zero_copy_only=False)
+                sums[i] += np.bincount(cell, weights=w * np.repeat(np.nan_to_num(v), n), minlength=sums.shape[1])
+            if sums.size > MOST_HELD:
+                yield out()
+                at, sums = {}, np.zeros((len(values), 0))
+        if at:
+            yield out()
+
+    return held.mapInArrow(run, schema).groupBy(*keys, "draw").agg(*(F.sum(v).alias(v) for v in values))
+
+
 def _interval(stats: DataFrame, col: str, alpha: float, by: list[str]) -> DataFrame:
     edges = F.percentile(col, F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2)))
     return stats.groupBy(*by).agg(edges.alias("_e"), F.avg((F.col(col) <= 0).cast("double")).alias("share_le_0")).select(*by, F.col("_e")[0].alias("lo"), F.col("_e")[1].alias("hi"), "share_le_0")
@@ -42,6 +95,11 @@ def _stat(stat: str, value: str, weight: Column | None = None) -> Column:
     return F.sum(F.col(value) * weight) / F.sum(F.when(F.col(value).isNotNull(), weight))
 
 
+def _collapsed(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per group and value, with `c`, how often it stands."""
+    return rows.groupBy(*keys, "grp", "v").agg(F.count("*").alias("c"))
+
+
 def cluster_bootstrap(df: DataFrame, value: str, group: str, stat: str = "median", draws: int = 200, seed: int = 0, alpha: float = 0.05) -> DataFrame:
     """One row (obs, lo, hi). Nulls are dropped first; an empty table gives nulls."""
     if stat not in ("mean", "median"):
@@ -50,9 +108,9 @@ def cluster_bootstrap(df: DataFrame, value: str, group: str, stat: str = "median
     m = multiplicities(rows, "grp", draws, seed)
     if stat == "mean":
         sums = rows.groupBy("grp").agg(F.sum("v").alias("s"), F.count("*").alias("c"))
-        stats = sums.join(m, "grp").groupBy("draw").agg((F.sum(F.col("s") * F.col("w")) / F.sum(F.col("c") * F.col("w"))).alias("stat"))
+        stats = _sums(sums, m, [], ["s", "c"], draws).where("c > 0").select("draw", (F.col("s") / F.col("c")).alias("stat"))
     else:
-        stats = rows.join(m, "grp").groupBy("draw").agg(_stat("median", "v", F.col("w")).alias("stat"))
+        stats = _collapsed(rows, []).join(m, "grp").withColumn("w", F.col("w") * F.col("c")).groupBy("draw").agg(_stat("median", "v", F.col("w")).alias("stat"))
     obs = rows.agg(_stat(stat, "v").alias("obs"))
     return obs.crossJoin(F.broadcast(_interval(stats, "stat", alpha, [])))  # one row each
 
@@ -69,12 +127,12 @@ def cluster_boot_diff(df: DataFrame, value: str, group: str, side: str, stat: st
     m = multiplicities(rows, "grp", draws, seed)
     of = lambda s, c: F.when(F.col("side") == s, F.col(c))
     if stat == "mean":
-        sums = rows.groupBy(*by, "grp", "side").agg(F.sum("v").alias("s"), F.count("*").alias("c")).join(m, "grp")
-        per = sums.groupBy(*by, "draw").agg(*(F.sum(of(s, "s") * F.col("w")).alias(f"s{s}") for s in "ab"), *(F.coalesce(F.sum(of(s, "c") * F.col("w")), F.lit(0)).alias(f"c{s}") for s in "ab"))
+        sums = rows.groupBy(*by, "grp").agg(*(F.coalesce(F.sum(of(s, "v")), F.lit(0.0)).alias(f"s{s}") for s in "ab"), *(F.count(of(s, "v")).alias(f"c{s}") for s in "ab"))
+        per = _sums(sums, m, by, ["sa", "sb", "ca", "cb"], draws)
         stats = per.where(f"ca >= {min_side} and cb >= {min_side}").select(*by, "draw", (F.col("sa") / F.col("ca") - F.col("sb") / F.col("cb")).alias("stat"))
         obs = rows.groupBy(*by).agg((F.avg(of("a", "v")) - F.avg(of("b", "v"))).alias("obs"), F.count(of("a", "v")).alias("n_a"), F.count(of("b", "v")).alias("n_b"))
     else:
-        wide = rows.join(m, "grp").select(*by, "draw", "side", "v", "w")
+        wide = _collapsed(rows, [*by, "side"]).join(m, "grp").select(*by, "draw", "side", "v", (F.col("w") * F.col("c")).alias("w"))
         per = wide.groupBy(*by, "draw", "side").agg(_stat("median", "v", F.col("w")).alias("m"), F.sum("w").alias("c")).where(f"c >= {min_side}")
         stats = per.groupBy(*by, "draw").agg(F.max(of("a", "m")).alias("ma"), F.max(of("b", "m")).alias("mb")).select(*by, "draw", (F.col("ma") - F.col("mb")).alias("stat")).where("stat is not null")
         obs = rows.groupBy(*by).agg((F.percentile(of("a", "v"), 0.5) - F.percentile(of("b", "v"), 0.5)).alias("obs"), F.count(of("a", "v")).alias("n_a"), F.count(of("b", "v")).alias("n_b"))
@@ -93,8 +151,11 @@ def boot_ratio(num: DataFrame, den: DataFrame, value: str, group: str, stat: str
     """One row (obs, lo, hi): stat(num) / stat(den) with one draw for both; den may hold several cells a row."""
     both = num.select(F.col(group).alias("grp"), F.col(value).cast("double").alias("v"), F.lit("a").alias("side")).unionByName(den.select(F.col(group).alias("grp"), F.col(value).cast("double").alias("v"), F.lit("b").alias("side"))).where("v is not null and grp is not null")
     m = multiplicities(both, "grp", draws, seed)
-    w = None if stat == "median" else F.col("w")
-    per = both.join(m, "grp").groupBy("draw", "side").agg((_stat("median", "v", F.col("w")) if w is None else _stat("mean", "v", w)).alias("m"))
+    if stat == "median":
+        per = _collapsed(both, ["side"]).join(m, "grp").withColumn("w", F.col("w") * F.col("c")).groupBy("draw", "side").agg(_stat("median", "v", F.col("w")).alias("m"))
+    else:
+        sums = both.groupBy("side", "grp").agg(F.sum("v").alias("s"), F.count("*").alias("c"))
+        per = _sums(sums, m, ["side"], ["s", "c"], draws).where("c > 0").select("draw", "side", (F.col("s") / F.col("c")).alias("m"))
     stats = per.groupBy("draw").agg(F.try_divide(F.max(F.when(F.col("side") == "a", F.col("m"))), F.max(F.when(F.col("side") == "b", F.col("m")))).alias("stat")).where("stat is not null")
     obs = both.groupBy("side").agg(_stat(stat, "v").alias("m")).agg(F.try_divide(F.max(F.when(F.col("side") == "a", F.col("m"))), F.max(F.when(F.col("side") == "b", F.col("m")))).alias("obs"))
     return obs.crossJoin(F.broadcast(_interval(stats, "stat", alpha, []))).drop("share_le_0")  # one row each

@@ -15,7 +15,8 @@ from ..sources import views as V
 from .panel_queries import DEC_S, R, dec_s
 
 Q: dict[str, tuple] = {}
-DRAWS = 40
+#: Draws of the bootstraps, of the tables of cells, and of label shuffles and other placebos.
+BOOTS, CELLS, DRAWS = 1000, 300, 200
 
 
 def query(name: str, sql: str | None):
@@ -30,10 +31,10 @@ def _h(*parts: str) -> str:
     return "('0x' || substr(md5(" + " || '|' || ".join(parts) + "), 1, 8))::bigint"
 
 
-def _mult(rows: str, group: str, seed: int = 0) -> str:
+def _mult(rows: str, group: str, seed: int = 0, draws: int = BOOTS) -> str:
     """CTEs gi (indexed groups) and mu (draw, grp, w) over a CTE's groups."""
     return f"""gi as (select grp, row_number() over (order by grp) - 1 as idx, count(*) over () as n from (select distinct {group} as grp from {rows} where {group} is not null)),
- pk as (select d as draw, {_h(f"'{seed}'", 'd', 'idx')} % n as idx from gi, range(1, {DRAWS + 1}) t(d)), mu as (select draw, grp, count(*) as w from pk join gi using (idx) group by 1, 2)"""
+ pk as (select d as draw, {_h(f"'{seed}'", 'd', 'idx')} % n as idx from gi, range(1, {draws + 1}) t(d)), mu as (select draw, grp, count(*) as w from pk join gi using (idx) group by 1, 2)"""
 
 
 _G = DEC_S + ", src as (select cik, year, gross_margin as v, net_margin as u, case when altman_z is null then null when altman_z < 1 then 'a' else 'b' end as side from dec)"
@@ -43,13 +44,13 @@ _REP = "select draw, {cols} unnest(list_transform(range(w), lambda i: v)) as v f
 
 @query("r1_bootstrap_mean", _G + ", " + _mult("src", "cik") + ", st as (select draw, sum(v * w) / sum(w) as s from src join mu on mu.grp = src.cik group by 1) select (select round(avg(v), 9) from src) as obs, round(quantile_cont(s, 0.025), 9) as lo, round(quantile_cont(s, 0.975), 9) as hi from st")
 def r1_mean(spark: SparkSession, d: str) -> DataFrame:
-    out = B.cluster_bootstrap(dec_s(spark, d), "gross_margin", "cik", "mean", DRAWS)
+    out = B.cluster_bootstrap(dec_s(spark, d), "gross_margin", "cik", "mean", BOOTS)
     return out.select(*(R(c, 9).alias(c) for c in ("obs", "lo", "hi")))
 
 
 @query("r1_bootstrap_median", _G + ", " + _mult("src", "cik") + ", rp as (" + _REP.format(cols="", rows="src") + "), st as (select draw, median(v) as s from rp group by 1) select (select round(median(v), 9) from src) as obs, round(quantile_cont(s, 0.025), 9) as lo, round(quantile_cont(s, 0.975), 9) as hi from st")
 def r1_median(spark: SparkSession, d: str) -> DataFrame:
-    out = B.cluster_bootstrap(dec_s(spark, d), "gross_margin", "cik", "median", DRAWS)
+    out = B.cluster_bootstrap(dec_s(spark, d), "gross_margin", "cik", "median", BOOTS)
     return out.select(*(R(c, 9).alias(c) for c in ("obs", "lo", "hi")))
 
 
@@ -64,13 +65,13 @@ def sided(spark: SparkSession, d: str) -> DataFrame:
 @query("r2_boot_diff_mean", _SIDED + _mult("sd", "cik") + """, st as (select draw, sum(v * w) filter (where side = 'a') / sum(w) filter (where side = 'a') - sum(v * w) filter (where side = 'b') / sum(w) filter (where side = 'b') as s, coalesce(sum(w) filter (where side = 'a'), 0) na, coalesce(sum(w) filter (where side = 'b'), 0) nb from sd join mu on mu.grp = sd.cik group by 1), ok as (select * from st where na >= 1 and nb >= 1)
  select (select round(avg(v) filter (where side = 'a') - avg(v) filter (where side = 'b'), 9) from sd) as obs, round(quantile_cont(s, 0.025), 9) as lo, round(quantile_cont(s, 0.975), 9) as hi, round(avg((s <= 0)::int), 9) as share_le_0 from ok""")
 def r2_mean(spark: SparkSession, d: str) -> DataFrame:
-    return B.cluster_boot_diff(sided(spark, d), "gross_margin", "cik", "side", "mean", DRAWS).select(*(R(c, 9).alias(c) for c in ("obs", "lo", "hi", "share_le_0")))
+    return B.cluster_boot_diff(sided(spark, d), "gross_margin", "cik", "side", "mean", BOOTS).select(*(R(c, 9).alias(c) for c in ("obs", "lo", "hi", "share_le_0")))
 
 
 @query("r2_boot_diff_median_by_year", _SIDED + _mult("sd", "cik") + ", rp as (" + _REP.format(cols="year, side,", rows="sd") + """), m as (select draw, year, median(v) filter (where side = 'a') as ma, median(v) filter (where side = 'b') as mb from rp group by 1, 2), st as (select year, ma - mb as s from m where ma is not null and mb is not null)
  select st.year, round(any_value(o.obs), 9) as obs, round(quantile_cont(s, 0.025), 9) as lo, round(quantile_cont(s, 0.975), 9) as hi from st join (select year, median(v) filter (where side = 'a') - median(v) filter (where side = 'b') as obs from sd group by 1) o on o.year = st.year group by 1""")
 def r2_median(spark: SparkSession, d: str) -> DataFrame:
-    return B.cluster_boot_diff(sided(spark, d), "gross_margin", "cik", "side", "median", DRAWS, by=["year"]).where("lo is not null").select("year", *(R(c, 9).alias(c) for c in ("obs", "lo", "hi")))
+    return B.cluster_boot_diff(sided(spark, d), "gross_margin", "cik", "side", "median", BOOTS, by=["year"]).where("lo is not null").select("year", *(R(c, 9).alias(c) for c in ("obs", "lo", "hi")))
 
 
 @query("r3_extremes_vs_middle", DEC_S + """, rk as (select cik, year, net_margin as v, row_number() over (partition by year order by gross_margin, cik) rn, count(*) over (partition by year) n from dec), bn as (select *, greatest(1, least(5, ceil(rn::double / n * 5)))::int as bin from rk where n >= 5), sd as (select cik, v, case when bin in (1, 5) then 'a' when bin = 3 then 'b' end as side from bn where bin in (1, 3, 5)), """ + _mult("sd", "cik") + """,
@@ -78,18 +79,18 @@ def r2_median(spark: SparkSession, d: str) -> DataFrame:
  select (select round(avg(v) filter (where side = 'a') - avg(v) filter (where side = 'b'), 9) from sd) as obs, round(quantile_cont(s, 0.025), 9) as lo, round(quantile_cont(s, 0.975), 9) as hi from st where na >= 2 and nb >= 2""")
 def r3(spark: SparkSession, d: str) -> DataFrame:
     x = P.qcut_within(dec_s(spark, d), "gross_margin", "year", ["cik"], 5, 1)
-    return B.extremes_vs_middle(x, "bin", "net_margin", "cik", draws=DRAWS).select(*(R(c, 9).alias(c) for c in ("obs", "lo", "hi")))
+    return B.extremes_vs_middle(x, "bin", "net_margin", "cik", draws=BOOTS).select(*(R(c, 9).alias(c) for c in ("obs", "lo", "hi")))
 
 
 @query("r4_multiplicities", _G + ", " + _mult("src", "cik", 3) + " select draw, grp, w from mu")
 def r4(spark: SparkSession, d: str) -> DataFrame:
-    return B.multiplicities(dec_s(spark, d), "cik", DRAWS, 3).select("draw", "grp", "w")
+    return B.multiplicities(dec_s(spark, d), "cik", BOOTS, 3).select("draw", "grp", "w")
 
 
 @query("r5_boot_ratio_of_means", DEC_S + ", src as (select cik, gross_margin as v, health_score as z from dec), " + _mult("src", "cik") + ", st as (select draw, sum(v * w) / sum(z * w) as s from src join mu on mu.grp = src.cik group by 1) select (select round(avg(v) / avg(z), 9) from src) as obs, round(quantile_cont(s, 0.025), 9) as lo, round(quantile_cont(s, 0.975), 9) as hi from st")
 def r5(spark: SparkSession, d: str) -> DataFrame:
     x = dec_s(spark, d)
-    return B.boot_ratio(x.select("cik", F.col("gross_margin").alias("v")), x.select("cik", F.col("health_score").alias("v")), "v", "cik", "mean", DRAWS).select(*(R(c, 9).alias(c) for c in ("obs", "lo", "hi")))
+    return B.boot_ratio(x.select("cik", F.col("gross_margin").alias("v")), x.select("cik", F.col("health_score").alias("v")), "v", "cik", "mean", BOOTS).select(*(R(c, 9).alias(c) for c in ("obs", "lo", "hi")))
 
 
 _BIJ = f"""gk as (select distinct cik from fr), bk as (select d as draw, cik, row_number() over (partition by d order by cik) i from gk, range(1, 6) t(d)), bh as (select d as draw, cik as partner, row_number() over (partition by d order by {_h("'0'", 'd', 'cik')}, cik) i from gk, range(1, 6) t(d)), bij as (select draw, cik, partner from bk join bh using (draw, i))"""
@@ -158,11 +159,11 @@ def r13(spark: SparkSession, d: str) -> DataFrame:
     return N.placebo_table(obs, null, ["sector"]).select("sector", *(R(c, 9).alias(c) for c in ("observed", "null_mean", "null_sd", "p95_abs", "share_as_extreme")))
 
 
-@query("r10_family_chance", _SPREAD + """, t as (select sector, draw, value from nu union all select sector, 0, value from ob), c as (select t.sector, t.draw, avg(case when t.value >= 0 then (nu.value >= t.value)::int else (nu.value <= t.value)::int end) <= 0.2 as clear from t join nu on nu.sector = t.sector group by 1, 2), k as (select draw, sum(clear::int) k, count(*) n from c group by 1), o as (select k as oc, n from k where draw = 0)
+@query("r10_family_chance", _SPREAD + """, t as (select sector, draw, value from nu union all select sector, 0, value from ob), c as (select t.sector, t.draw, avg(case when t.value >= 0 then (nu.value >= t.value)::int else (nu.value <= t.value)::int end) <= 0.05 as clear from t join nu on nu.sector = t.sector group by 1, 2), k as (select draw, sum(clear::int) k, count(*) n from c group by 1), o as (select k as oc, n from k where draw = 0)
  select any_value(n_cells) as n_cells, any_value(oc)::bigint as observed_clear, round(avg(k), 9) as expected, round(stddev_pop(k), 9) as sd, round(avg((k >= 1)::int), 9) as p_any, round(avg((k >= oc)::int), 9) as p_at_least_observed from (select k.k, o.oc, o.n as n_cells from k, o where draw > 0)""")
 def r10(spark: SparkSession, d: str) -> DataFrame:
     obs, null = _spread_by_draw(spark, d, DRAWS)
-    out = N.family_chance(obs.withColumnRenamed("sector", "cell"), null.select(F.col("sector").alias("cell"), F.lit("year").alias("null_name"), "draw", "value"), 0.2)
+    out = N.family_chance(obs.withColumnRenamed("sector", "cell"), null.select(F.col("sector").alias("cell"), F.lit("year").alias("null_name"), "draw", "value"), 0.05)
     return out.select("n_cells", "observed_clear", *(R(c, 9).alias(c) for c in ("expected", "sd", "p_any", "p_at_least_observed")))
 
 
@@ -207,7 +208,7 @@ def j23(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("r14_did_table", _PAIRS + """, an as (select 'a' || case_id as aid, split_part(case_id, '|', 1)::bigint as cik, qi, 'a' as side from ca union all select 'b|' || case_id || '|' || control_id, control_id, qi, 'b' from pairs join ca using (case_id)), g as (select an.*, k::int as k, qi + k as q from an, range(-4, 0) t(k)),
- jj as (select aid, g.cik, side, k, p.revenue, p.n_orders from g left join panel_c p on p.cik = g.cik and p.qi = g.q), lg as (select aid, cik, side, k, 'revenue' as metric, revenue::double as value from jj union all select aid, cik, side, k, 'n_orders', n_orders::double from jj), ch as (select *, value - first_value(value) over (partition by aid, metric order by k) as v from lg), sd as (select * from ch where k > -4 and v is not null), """ + _mult("sd", "cik") + """,
+ jj as (select aid, g.cik, side, k, p.revenue, p.n_orders from g left join panel_c p on p.cik = g.cik and p.qi = g.q), lg as (select aid, cik, side, k, 'revenue' as metric, revenue::double as value from jj union all select aid, cik, side, k, 'n_orders', n_orders::double from jj), ch as (select *, value - first_value(value) over (partition by aid, metric order by k) as v from lg), sd as (select * from ch where k > -4 and v is not null), """ + _mult("sd", "cik", draws=CELLS) + """,
  st as (select metric, k, draw, sum(v * w) filter (where side = 'a') / sum(w) filter (where side = 'a') - sum(v * w) filter (where side = 'b') / sum(w) filter (where side = 'b') as s, coalesce(sum(w) filter (where side = 'a'), 0) na, coalesce(sum(w) filter (where side = 'b'), 0) nb from sd join mu on mu.grp = sd.cik group by 1, 2, 3), e as (select metric, k, quantile_cont(s, 0.025) lo, quantile_cont(s, 0.975) hi from st where na >= 1 and nb >= 1 group by 1, 2),
  o as (select metric, k, avg(v) filter (where side = 'a') - avg(v) filter (where side = 'b') as obs, count(*) filter (where side = 'a') as n_a, count(*) filter (where side = 'b') as n_b from sd group by 1, 2) select o.metric, o.k, round(obs, 6) as obs, round(lo, 6) as lo, round(hi, 6) as hi, n_a, n_b, round(lo, 6) > 0 or round(hi, 6) < 0 as excludes_zero from o left join e on e.metric = o.metric and e.k = o.k""")
 def r14(spark: SparkSession, d: str) -> DataFrame:
@@ -218,7 +219,7 @@ def r14(spark: SparkSession, d: str) -> DataFrame:
     b = pairs.join(cases, "case_id").select(F.concat_ws("|", F.lit("b"), "case_id", "control_id").alias("aid"), F.col("control_id").alias("cik"), "qi")
     both = a.withColumn("side", F.lit("a")).unionByName(b.withColumn("side", F.lit("b")))
     long = M.trajectories(both, V.panel_c(spark, d), ["revenue", "n_orders"], -4, -1).join(both.select("aid", "cik", "side"), "aid")
-    out = B.cluster_boot_diff(long.where("k > -4"), "change", "cik", "side", "mean", DRAWS, by=["metric", "k"])
+    out = B.cluster_boot_diff(long.where("k > -4"), "change", "cik", "side", "mean", CELLS, by=["metric", "k"])
     return out.select("metric", "k", *(R(c, 6).alias(c) for c in ("obs", "lo", "hi")), "n_a", "n_b", F.expr("lo > 0 or hi < 0").alias("excludes_zero"))
 
 
@@ -282,7 +283,7 @@ def ladder(spark: SparkSession, d: str) -> DataFrame:
 def w3(spark: SparkSession, d: str) -> DataFrame:
     q = P.qcut_within(ladder(spark, d), "v", ["sorted_on", "year"], ["cik"], 3, 1).where("bin is not null")
     side = F.when(F.col("bin") == 3, "a").when(F.col("bin") == 1, "b")
-    boot = B.cluster_boot_diff(q.withColumn("side", side), "o", "cik", "side", "mean", DRAWS, by=["sorted_on"])
+    boot = B.cluster_boot_diff(q.withColumn("side", side), "o", "cik", "side", "mean", CELLS, by=["sorted_on"])
     return q.groupBy("sorted_on").agg(F.count("*").alias("n"), F.count_distinct("cik").alias("firms")).join(boot.select("sorted_on", R("obs", 9).alias("gap")), "sorted_on")
 
 
