@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -48,6 +49,15 @@ def discard(df: DataFrame) -> None:
     path.getFileSystem(conf).delete(path, True)
 
 
+def release(spark: SparkSession, *done: DataFrame) -> None:
+    """Delete tables of durable() that nothing reads any more, and let Spark drop the shuffle files of
+    finished plans: its cleaner follows the driver's garbage collection, which by itself may be long in coming."""
+    for df in done:
+        discard(df)
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def raw(batch: pa.RecordBatch, column: str) -> list:
     """A string column as UTF-8 bytes (None for null)."""
     return batch.column(column).cast(pa.binary()).to_pylist()

@@ -25,13 +25,16 @@ runs, once for the shingles of colliding paragraphs and the words beside the spa
 
 from __future__ import annotations
 
+import functools
+import operator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import durable, fresh, raw, read, small_batches
+from .common import durable, fresh, raw, read, release, small_batches
 from .components import components
 from .forest import forest
 
@@ -185,20 +188,17 @@ _PARAGRAPH = "unit long, check long, at int, n_words int, start int, end int, si
 
 
 def units(docs: DataFrame, id_col: str, text: str, n_bands: int, rows: int = ROWS) -> DataFrame:
-    """(doc_id, h, runs, places, paragraphs) of every text with words enough: its hash, the hashes of its
-    runs and their first words, and its paragraphs with their place (words, and code points) and
-    band signatures (once per batch for each paragraph)."""
+    """(doc_id, h, runs, paragraphs) of every text with words enough: its hash, the hashes of its
+    runs in order, and its paragraphs with their place (words, and code points) and band
+    signatures (once per batch for each paragraph)."""
     salt = np.arange(1, n_bands + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
 
     def nested(lengths, values):
         return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lengths)).astype(np.int32)), values)
 
-    def flat(parts, kind):
-        return pa.array(np.concatenate([np.empty(0, kind), *parts]).astype(kind))
-
     def run(batches):
         for b in batches:
-            keys, runs, places, names, spots, sets, signed, known = [], [], [], [], [], [], [], set()
+            keys, runs, names, spots, sets, signed, known = [], [], [], [], [], [], set()
             for doc, t in zip(b.column(0).to_pylist(), raw(b, text), strict=True):
                 own = Text(t or b"")
                 if len(own.starts) < RUN_WORDS:
@@ -208,7 +208,6 @@ def units(docs: DataFrame, id_col: str, text: str, n_bands: int, rows: int = ROW
                 h = xxhash.xxh64_intdigest(t, 42)
                 keys.append((doc, h - (1 << 64) if h >> 63 else h))
                 runs.append(joined(hashes, at, RUN_WORDS))
-                places.append(at)
                 names.append(_named(hashes, parts))
                 edge = np.array(parts, np.int64).reshape(-1, 2)
                 spots.append(np.stack([edge[:, 0], edge[:, 1] - edge[:, 0], own.chars(own.starts[edge[:, 0]]), own.chars(own.ends[edge[:, 1] - 1])], axis=1))
@@ -230,16 +229,14 @@ def units(docs: DataFrame, id_col: str, text: str, n_bands: int, rows: int = ROW
             sigs = nested(np.array(signed, np.int64) * n_bands, pa.array(mixed.ravel().view(np.int64)))
             columns = [pa.array(name[:, 0]), pa.array(name[:, 1]), *(pa.array(np.ascontiguousarray(spot[:, k])) for k in range(4)), sigs]
             paragraphs = pa.StructArray.from_arrays(columns, ["unit", "check", "at", "n_words", "start", "end", "sigs"])
-            sizes = [len(x) for x in runs]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([k for k, _ in keys], b.schema.field(0).type), pa.array([h for _, h in keys], pa.int64()), nested(sizes, pa.array(np.concatenate(runs).view(np.int64))), nested(sizes, flat(places, np.int32)), nested([len(x) for x in names], paragraphs)],
-                ["doc_id", "h", "runs", "places", "paragraphs"],
-            )
+            own = [pa.array([k for k, _ in keys], b.schema.field(0).type), pa.array([h for _, h in keys], pa.int64())]
+            lists = [nested([len(x) for x in runs], pa.array(np.concatenate(runs).view(np.int64))), nested([len(x) for x in names], paragraphs)]
+            yield pa.RecordBatch.from_arrays([*own, *lists], ["doc_id", "h", "runs", "paragraphs"])
 
     small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     rows_ = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias(text))
-    return rows_.mapInArrow(run, f"doc_id {kind}, h long, runs array<long>, places array<int>, paragraphs array<struct<{_PARAGRAPH.replace(' ', ':').replace(',:', ',')}>>")
+    return rows_.mapInArrow(run, f"doc_id {kind}, h long, runs array<long>, paragraphs array<struct<{_PARAGRAPH.replace(' ', ':').replace(',:', ',')}>>")
 
 
 def _bitmap(keys: DataFrame):
@@ -267,30 +264,35 @@ def _passing(rows: DataFrame, col: str, sent) -> DataFrame:
 
 
 def _hits(found: DataFrame, sent) -> DataFrame:
-    """(unit, doc_id, h, k, at) of the runs that may be in the bitmap, one row each."""
+    """(unit, doc_id, h, k) of the runs that may be in the bitmap, one row each."""
 
     def run(batches):
         mask = np.frombuffer(sent.value, np.uint8)
         for b in batches:
-            runs, places = b.column("runs"), b.column("places")
+            runs = b.column("runs")
             unit, sizes = runs.flatten().to_numpy(zero_copy_only=False), np.diff(runs.offsets.to_numpy())
             row, first = np.repeat(np.arange(len(sizes)), sizes), np.repeat(np.cumsum(sizes) - sizes, sizes)
             bit = np.mod(unit, FILTER_BITS)
             hit = np.flatnonzero(mask[bit >> 3] >> (bit & 7) & 1)
             k = pa.array((hit - first[hit]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(unit[hit]), b.column("doc_id").take(pa.array(row[hit])), b.column("h").take(pa.array(row[hit])), k, places.flatten().take(pa.array(hit))], ["unit", "doc_id", "h", "k", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(unit[hit]), b.column("doc_id").take(pa.array(row[hit])), b.column("h").take(pa.array(row[hit])), k], ["unit", "doc_id", "h", "k"])
 
     kind = found.schema["doc_id"].dataType.simpleString()
-    return found.select("doc_id", "h", "runs", "places").mapInArrow(run, f"unit long, doc_id {kind}, h long, k int, at int")
+    return found.select("doc_id", "h", "runs").mapInArrow(run, f"unit long, doc_id {kind}, h long, k int")
+
 
+_LOOKED = ["unit", "shingles", "doc_id", "h", "k", "left", "word", "char", "beside"]
 
-_LOOKED = ["unit", "shingles", "doc_id", "h", "k", "start", "end", "before", "after", "starts", "ends"]
+
+def _edge_key(unit, k, left):
+    """Tells the edges of runs apart, as the keys of the bitmap do."""
+    return unit ^ (2 * k + left) * PLACE
 
 
 def _second_look(docs: DataFrame, id_col: str, text: str, paragraphs, edges) -> DataFrame:
-    """The shingles of paragraphs in the first bitmap (unit, sorted distinct hashes), and what stands
-    around the runs in the second (unit, doc_id, h, k, start, end, before, after, starts, ends): up
-    to REACH words on each side, the starts of those before and the ends of those after, in code points."""
+    """The shingles of paragraphs in the first bitmap (unit, sorted distinct hashes), and the edges of
+    runs in the second (unit, doc_id, h, k, left, word, char, beside): the edge's place in words and in
+    code points, and the text beside it, of REACH words at most."""
 
     def run(batches):
         wanted, places = (np.frombuffer(x.value, np.uint8) for x in (paragraphs, edges))
@@ -318,25 +320,26 @@ def _second_look(docs: DataFrame, id_col: str, text: str, paragraphs, edges) ->
                         for column in out[2:]:
                             column.append(None)
                 at = anchors(hashes)
-                name = joined(hashes, at, RUN_WORDS).view(np.int64)
-                held = hit(places, name ^ (np.arange(len(at)) * PLACE))
-                if held:
+                name, number = joined(hashes, at, RUN_WORDS).view(np.int64), np.arange(len(at))
+                for left in (1, 0):
+                    held = hit(places, _edge_key(name, number, left))
+                    if not held:
+                        continue
                     h = xxhash.xxh64_intdigest(t, 42)
-                    starts, ends = own.chars(own.starts).astype(np.int32), own.chars(own.ends).astype(np.int32)
-                    for i in held:
-                        a, e = int(at[i]), int(at[i]) + RUN_WORDS
-                        low, high = max(0, a - REACH), min(len(starts), e + REACH)
-                        row = (int(name[i]), None, doc, h - (1 << 64) if h >> 63 else h, i, int(starts[a]), int(ends[e - 1]), own.words(low, a), own.words(e, high), starts[low:a], ends[e:high])
-                        for column, value in zip(out, row, strict=True):
-                            column.append(value)
-            many = pa.list_(pa.int32())
-            kinds = (pa.int64(), pa.binary(), b.schema.field(0).type, pa.int64(), *[pa.int32()] * 3, pa.binary(), pa.binary(), many, many)
+                    word = at[held] + (0 if left else RUN_WORDS)
+                    edge = own.starts[word] if left else own.ends[word - 1]
+                    far = own.starts[np.maximum(0, word - REACH)] if left else own.ends[np.minimum(len(own.ends), word + REACH) - 1]
+                    spans = zip(far.tolist(), edge.tolist(), strict=True) if left else zip(edge.tolist(), far.tolist(), strict=True)
+                    columns = (name[held].tolist(), [None] * len(held), [doc] * len(held), [h - (1 << 64) if h >> 63 else h] * len(held), held, [bool(left)] * len(held), word.tolist(), own.chars(edge).tolist(), [t[x:y] for x, y in spans])
+                    for column, values in zip(out, columns, strict=True):
+                        column += values
+            kinds = (pa.int64(), pa.binary(), b.schema.field(0).type, pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.int32(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], _LOOKED)
 
     small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias(text))
-    return rows.mapInArrow(run, f"unit long, shingles binary, doc_id {kind}, h long, k int, start int, end int, before binary, after binary, starts array<int>, ends array<int>")
+    return rows.mapInArrow(run, f"unit long, shingles binary, doc_id {kind}, h long, k int, left boolean, word int, char int, beside binary")
 
 
 def _verify(least: float):
@@ -420,57 +423,86 @@ def near_links(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return tasks.groupBy("sig", "low", "high").applyInArrow(_verify(least), "a long, b long")
 
 
-def _judged(rows: DataFrame, place: list[str]) -> DataFrame:
-    """rows with `twin`, which of several equal documents a row belongs to, and `removed`."""
+def _judged(rows: DataFrame, place: list[str], carried: list[str]) -> DataFrame:
+    """rows (doc_id, h, place..., carried...) with `twin`, which of several equal documents a row belongs
+    to, and `removed`: it is not the keeper."""
     first = F.col("doc_id").eqNullSafe(F.col("keeper.doc_id")) & (F.col("h") == F.col("keeper.h"))
     for c in place:
         first = first & (F.col(c) == F.col(f"keeper.{c}"))
     twin = F.row_number().over(Window.partitionBy("doc_id", "h", *place).orderBy(place[0]))
-    return rows.repartition("doc_id", "h").withColumn("twin", twin).withColumn("removed", ~first | (F.col("twin") > 1))
+    dealt = rows.select("doc_id", "h", *place, *carried, first.alias("first")).repartition("doc_id", "h")
+    return dealt.withColumn("twin", twin).withColumn("removed", ~F.col("first") | (F.col("twin") > 1)).drop("first")
 
 
 def _islands(runs: DataFrame) -> DataFrame:
-    """Spans of repeated runs in a row, kept and removed ones apart, with two rows each: the left and the right edge."""
+    """Spans of repeated runs in a row, kept and removed ones apart, with two rows each: the left and the
+    right edge (doc_id, h, twin, island, removed, left, unit, k)."""
     own = Window.partitionBy("doc_id", "h", "twin").orderBy("k")
     new = (F.col("k") - F.lag("k").over(own) != 1) | (F.col("removed") != F.lag("removed").over(own))
     marked = runs.withColumn("new", F.coalesce(new.cast("int"), F.lit(1))).withColumn("island", F.sum("new").over(own))
-    place = F.struct("k", "unit", "at", "keeper")
-    spans = marked.groupBy("doc_id", "h", "twin", "island", "removed").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    base = ["doc_id", "h", "twin", "island", "removed", F.col("first.at").alias("w0"), (F.col("last.at") + RUN_WORDS).alias("w1"), F.col("first.keeper.doc_id").alias("keeper_doc_id"), F.col("first.unit").alias("class_id")]
-    side = lambda left, c: spans.select(*base, F.lit(left).alias("left"), *(F.col(f"{c}.{x}").alias(y) for x, y in (("unit", "unit"), ("k", "k"), ("keeper.doc_id", "kept_doc"), ("keeper.h", "kept_h"), ("keeper.k", "kept_k"))))
-    return side(True, "first").unionByName(side(False, "last"))
+    spans = marked.groupBy("doc_id", "h", "twin", "island", "removed").agg(F.min(F.struct("k", "unit")).alias("first"), F.max(F.struct("k", "unit")).alias("last"))
+    sides = F.explode(F.array(F.struct(F.lit(True).alias("left"), "first.*"), F.struct(F.lit(False).alias("left"), "last.*")))
+    return spans.select("doc_id", "h", "twin", "island", "removed", sides.alias("s")).select("doc_id", "h", "twin", "island", "removed", "s.left", "s.unit", "s.k")
 
 
 def _shared(pairs: DataFrame) -> DataFrame:
-    """pairs with `n`: the words that `around` and `other` share next to the run, on the left or on the right."""
+    """pairs (left, beside, other, ...) with `n`, the words that both share next to the edge, and `chars`, how far they reach."""
 
     def run(batches):
         for b in batches:
-            n = []
-            for left, x, y in zip(b.column("left").to_pylist(), b.column("around").to_pylist(), b.column("other").to_pylist(), strict=True):
-                n.append(0)
-                side, step = ("before", -1) if left else ("after", 1)
-                for v, w in zip(x[side].split()[::step], y[side].split()[::step], strict=False) if x and y else ():
+            n, chars = [], []
+            for left, x, y in zip(b.column("left").to_pylist(), b.column("beside").to_pylist(), b.column("other").to_pylist(), strict=True):
+                step, shared = -1 if left else 1, 0
+                words = (x or b"").lower().split()[::step]
+                for v, w in zip(words, (y or b"").lower().split()[::step], strict=False):
                     if v != w:
                         break
-                    n[-1] += 1
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n, pa.int32())], [*b.schema.names, "n"])
+                    shared += 1
+                n.append(shared)
+                chars.append(_reach(x, shared, left))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n, pa.int32()), pa.array(chars, pa.int32())], [*b.schema.names, "n", "chars"])
+
+    return pairs.mapInArrow(run, pairs.select("*").schema.add("n", "integer").add("chars", "integer"))
+
+
+def _reach(beside: bytes | None, n: int, left: bool) -> int:
+    """Code points from an edge over the n words next to it."""
+    if not n:
+        return 0
+    own = Text(beside)
+    return len((beside[own.starts[-n] :] if left else beside[: own.ends[n - 1]]).decode(errors="replace"))
+
+
+def _widened(kept: DataFrame) -> DataFrame:
+    """kept (left, beside, n, ...) with `chars`."""
+
+    def run(batches):
+        for b in batches:
+            far = [_reach(x, n or 0, left) for left, x, n in zip(b.column("left").to_pylist(), b.column("beside").to_pylist(), b.column("n").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(far, pa.int32())], [*b.schema.names, "chars"])
 
-    return pairs.mapInArrow(run, pairs.select("*").schema.add("n", "integer"))
+    return kept.mapInArrow(run, kept.select("*").schema.add("chars", "integer"))
 
 
-def _extended(edges: DataFrame, around: DataFrame) -> DataFrame:
+def _extended(edges: DataFrame, keepers: DataFrame, looked: DataFrame) -> DataFrame:
     """Islands with their edges moved over the words shared with the keeper; a kept one is as wide as the widest it stands for."""
-    at = lambda x, d, h, k: (F.col("e.unit") == F.col(f"{x}.unit")) & F.col(f"e.{d}").eqNullSafe(F.col(f"{x}.doc_id")) & (F.col(f"e.{h}") == F.col(f"{x}.h")) & (F.col(f"e.{k}") == F.col(f"{x}.k"))
-    own = edges.alias("e").join(around.alias("x"), at("x", "doc_id", "h", "k"), "left").select("e.*", "x.around")
-    others = own.where("removed").alias("e").join(around.alias("y"), at("y", "kept_doc", "kept_h", "kept_k"), "left").select("e.*", F.col("y.around").alias("other"))
-    others = durable(_shared(others).drop("other"), "passages-shared")
+    same = lambda *c: [F.col(f"e.{x}").eqNullSafe(F.col(f"x.{y}")) if y == "doc_id" else F.col(f"e.{x}") == F.col(f"x.{y}") for x, y in c]
+    at = lambda d, h, k: functools.reduce(operator.and_, same(("unit", "unit"), ("left", "left"), (h, "h"), (k, "k"), (d, "doc_id")))
+    own = edges.join(keepers, "unit").alias("e").join(looked.alias("x"), at("doc_id", "h", "k")).select("e.*", "x.word", "x.char", "x.beside")
+    own = durable(own, "passages-own")
+    kept = F.col("keeper.doc_id"), F.col("keeper.h"), F.col("keeper.k")
+    others = own.where("removed").select("*", *(c.alias(n) for c, n in zip(kept, ("kept_doc", "kept_h", "kept_k"), strict=True))).alias("e")
+    others = others.join(looked.alias("x"), at("kept_doc", "kept_h", "kept_k"), "left").select("e.*", F.col("x.beside").alias("other"))
+    base = ["doc_id", "h", "twin", "island", "removed", "left", "unit", "word", "char", F.col("keeper.doc_id").alias("keeper_doc_id")]
+    others = durable(_shared(others.select(*base, "beside", "other")).drop("beside", "other"), "passages-shared")
     widest = others.groupBy("unit", "left").agg(F.max("n").alias("n"))
-    moved = others.unionByName(own.where("not removed").join(widest, ["unit", "left"], "left").select(others.columns)).withColumn("n", F.coalesce("n", F.lit(0)))
-    start = F.min(F.when(F.col("left"), F.expr("if(n > 0, around.starts[size(around.starts) - n], around.start)")))
-    end = F.max(F.when(~F.col("left"), F.expr("if(n > 0, around.ends[n - 1], around.end)")))
-    w0, w1 = F.min(F.col("w0") - F.when(F.col("left"), F.col("n")).otherwise(0)), F.max(F.col("w1") + F.when(F.col("left"), 0).otherwise(F.col("n")))
-    spans = moved.groupBy("doc_id", "h", "twin", "island", "removed").agg(start.alias("start"), end.alias("end"), w0.alias("w0"), w1.alias("w1"), F.min("class_id").alias("class_id"), F.min("keeper_doc_id").alias("keeper_doc_id"))
+    kept = _widened(own.where("not removed").join(widest, ["unit", "left"], "left").select(*base, "beside", "n"))
+    moved = others.unionByName(kept.drop("beside")).withColumn("n", F.coalesce("n", F.lit(0)))
+    of = lambda left, a, b: F.max(F.when(F.col("left") == left, (F.col(a) - F.col(b)) if left else (F.col(a) + F.col(b))))
+    spans = moved.groupBy("doc_id", "h", "twin", "island", "removed").agg(
+        of(True, "char", "chars").alias("start"), of(False, "char", "chars").alias("end"), of(True, "word", "n").alias("w0"), of(False, "word", "n").alias("w1"),
+        *(F.max(F.when(F.col("left"), F.col(c))).alias(a) for c, a in (("unit", "class_id"), ("keeper_doc_id", "keeper_doc_id"))),
+    )
     # spans of a text that meet are one
     before = Window.partitionBy("doc_id", "h", "twin", "removed").orderBy("w0", "w1")
     new = F.coalesce((F.col("w0") > F.max("w1").over(before.rowsBetween(Window.unboundedPreceding, -1))).cast("int"), F.lit(1))
@@ -482,34 +514,40 @@ def _extended(edges: DataFrame, around: DataFrame) -> DataFrame:
 
 def _found(docs: DataFrame, id_col: str, text: str, least: float, recall: float) -> DataFrame:
     """What passages() returns, with h, the text's hash, and twin, which of several equal documents it is."""
+    spark = docs.sparkSession
     found = durable(units(docs, id_col, text, bands(least, recall)), "passages-units")
-    whole = found.select("doc_id", "h", F.explode("paragraphs").alias("p")).select("doc_id", "h", "p.*")
-    members = collisions(whole)
+    signed = found.select("doc_id", "h", F.explode("paragraphs").alias("p")).select("doc_id", "h", "p.*")
+    members = collisions(signed)
     wanted = durable(members.select("unit").distinct(), "passages-wanted")
+    whole = durable(signed.drop("sigs"), "passages-paragraphs")
+    release(spark)
+    # the first place of every run that occurs more than once
     often = durable(found.select(F.explode("runs").alias("unit")).groupBy("unit").count().where("count > 1").select("unit"), "passages-repeated")
-    runs = durable(_hits(found, _bitmap(often)).join(often, "unit", "left_semi"), "passages-runs")
-    keepers = runs.groupBy("unit").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "k", "h")).alias("keeper"))
-    edges = durable(_islands(_judged(runs.join(keepers, "unit"), ["k"])), "passages-edges")
+    hits = durable(_hits(found, _bitmap(often)), "passages-hits")
+    release(spark, found, often)
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "k", "h")
+    keepers = durable(hits.groupBy("unit").agg(F.count("*").alias("n"), F.min(place).alias("keeper")).where("n > 1").drop("n"), "passages-keepers")
+    release(spark)
+    edges = durable(_islands(_judged(hits.join(keepers, "unit"), ["k"], ["unit"])), "passages-edges")
+    release(spark, hits)
     # all edges are looked at in their own text, and those of removals in the keeper's too
-    places = edges.select("unit", "doc_id", "h", "k").union(edges.where("removed").select("unit", "kept_doc", "kept_h", "kept_k")).distinct()
-    places = durable(places, "passages-places")
-    keys = places.select(F.col("unit").bitwiseXOR(F.col("k").cast("long") * F.lit(PLACE)).alias("key"))
-    looked = durable(_second_look(docs, id_col, text, _bitmap(wanted), _bitmap(keys)), "passages-looked")
+    theirs = edges.where("removed").select("unit", "left").distinct().join(keepers, "unit").select("unit", "keeper.k", "left")
+    keys = edges.select("unit", "k", "left").union(theirs).distinct().select(F.expr(f"unit ^ ((2L * k + int(left)) * {PLACE}L)").alias("key"))
+    looked = durable(_second_look(docs, id_col, text, _bitmap(wanted), _bitmap(durable(keys, "passages-keys"))), "passages-looked")
     sets = looked.where("shingles is not null").select("unit", "shingles").join(wanted, "unit", "left_semi")
     sets = durable(sets.groupBy("unit").agg(F.first("shingles").alias("shingles")), "passages-sets")
     root = durable(near_roots(members, sets, least), "passages-classes")
+    release(spark, members, wanted, sets)
     # paragraphs: those with the first 64 bits of their keeper's hash but not the others go
-    classed = whole.drop("sigs").join(root, whole.unit == root.node, "left").withColumn("class_id", F.coalesce("root", "unit")).drop("node", "root")
+    classed = whole.join(root, whole.unit == root.node, "left").withColumn("class_id", F.coalesce("root", "unit")).drop("node", "root")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "at", "n_words", "h", "unit", "check")
     kept = classed.groupBy("class_id").agg(F.count("*").alias("total"), F.min(place).alias("keeper")).where("total > 1").drop("total")
-    classed = classed.join(durable(kept, "passages-keepers"), "class_id").where("unit <> keeper.unit or check = keeper.check")
+    classed = classed.join(durable(kept, "passages-firsts"), "class_id").where("unit <> keeper.unit or check = keeper.check")
     columns = ["doc_id", "start", "end", "n_words", "class_id", "keeper_doc_id", "removed", "h", "twin"]
-    judged = _judged(classed, ["at", "n_words"]).withColumn("keeper_doc_id", F.col("keeper.doc_id")).select(columns)
-    # passages inside other paragraphs
-    around = looked.where("shingles is null").select("unit", "doc_id", "h", "k", F.struct("start", "end", "before", "after", "starts", "ends").alias("around"))
-    around = around.join(places.select("unit", "h", "k").distinct(), ["unit", "h", "k"], "left_semi")
-    around = durable(around.groupBy("unit", "doc_id", "h", "k").agg(F.min("around").alias("around")), "passages-around")
-    return judged.unionByName(_extended(edges, around).select(columns))
+    judged = _judged(classed.withColumn("keeper_doc_id", F.col("keeper.doc_id")), ["at", "n_words"], ["start", "end", "class_id", "keeper_doc_id"]).select(columns)
+    # passages inside other paragraphs; equal documents bring the same edge more than once
+    beside = looked.where("shingles is null").drop("shingles").dropDuplicates(["unit", "doc_id", "h", "k", "left"])
+    return judged.unionByName(_extended(edges, keepers, beside).select(columns))
 
 
 def passages(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least: float = LEAST, recall: float = RECALL) -> DataFrame:
