@@ -101,10 +101,12 @@ def _collapsed(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def cluster_bootstrap(df: DataFrame, value: str, group: str, stat: str = "median", draws: int = 200, seed: int = 0, alpha: float = 0.05) -> DataFrame:
-    """One row (obs, lo, hi). Nulls are dropped first; an empty table gives nulls."""
-    if stat not in ("mean", "median"):
-        raise ValueError(f"stat must be 'mean' or 'median', not {stat!r}")
+    """One row (obs, lo, hi). Nulls are dropped first; an empty table gives nulls. A rate is the share of values other than zero."""
+    if stat not in ("mean", "median", "rate"):
+        raise ValueError(f"stat must be 'mean', 'median' or 'rate', not {stat!r}")
     rows = df.where(F.col(value).isNotNull() & F.col(group).isNotNull()).select(F.col(group).alias("grp"), F.col(value).cast("double").alias("v"))
+    if stat == "rate":
+        rows, stat = rows.withColumn("v", (F.col("v") != 0).cast("double")), "mean"
     m = multiplicities(rows, "grp", draws, seed)
     if stat == "mean":
         sums = rows.groupBy("grp").agg(F.sum("v").alias("s"), F.count("*").alias("c"))
@@ -159,3 +161,19 @@ def boot_ratio(num: DataFrame, den: DataFrame, value: str, group: str, stat: str
     stats = per.groupBy("draw").agg(F.try_divide(F.max(F.when(F.col("side") == "a", F.col("m"))), F.max(F.when(F.col("side") == "b", F.col("m")))).alias("stat")).where("stat is not null")
     obs = both.groupBy("side").agg(_stat(stat, "v").alias("m")).agg(F.try_divide(F.max(F.when(F.col("side") == "a", F.col("m"))), F.max(F.when(F.col("side") == "b", F.col("m")))).alias("obs"))
     return obs.crossJoin(F.broadcast(_interval(stats, "stat", alpha, []))).drop("share_le_0")  # one row each
+
+
+def custom_bootstrap(df: DataFrame, value: str, group: str, stat, draws: int = 200, seed: int = 0, alpha: float = 0.05) -> DataFrame:
+    """One row (obs, lo, hi) for any function of a numpy array. Each draw's rows come together in one
+    task, so this is for tables of which one task can hold a column."""
+    rows = df.where(F.col(value).isNotNull() & F.col(group).isNotNull()).select(F.col(group).alias("grp"), F.col(value).cast("double").alias("v"))
+    m = multiplicities(rows, "grp", draws, seed)
+    drawn = rows.join(m, "grp").select("draw", "v", "w").unionByName(rows.select(F.lit(0).cast("long").alias("draw"), "v", F.lit(1).cast("long").alias("w")))
+
+    def one(table: pa.Table) -> pa.Table:
+        v = np.repeat(table.column("v").to_numpy(), table.column("w").to_numpy())
+        return pa.table({"draw": [table.column("draw")[0].as_py()], "stat": [float(stat(np.sort(v)))]})
+
+    stats = drawn.groupBy("draw").applyInArrow(one, "draw long, stat double")
+    obs = stats.where("draw = 0").agg(F.max("stat").alias("obs"))
+    return obs.crossJoin(F.broadcast(_interval(stats.where("draw > 0"), "stat", alpha, []))).drop("share_le_0")  # one row each

@@ -207,10 +207,13 @@ def j23(spark: SparkSession, d: str) -> DataFrame:
 
 
 
-@query("r14_did_table", _PAIRS + """, an as (select 'a' || case_id as aid, split_part(case_id, '|', 1)::bigint as cik, qi, 'a' as side from ca union all select 'b|' || case_id || '|' || control_id, control_id, qi, 'b' from pairs join ca using (case_id)), g as (select an.*, k::int as k, qi + k as q from an, range(-4, 0) t(k)),
+_DID = _PAIRS + """, an as (select 'a' || case_id as aid, split_part(case_id, '|', 1)::bigint as cik, qi, 'a' as side from ca union all select 'b|' || case_id || '|' || control_id, control_id, qi, 'b' from pairs join ca using (case_id)), g as (select an.*, k::int as k, qi + k as q from an, range(-4, 0) t(k)),
  jj as (select aid, g.cik, side, k, p.revenue, p.n_orders from g left join panel_c p on p.cik = g.cik and p.qi = g.q), lg as (select aid, cik, side, k, 'revenue' as metric, revenue::double as value from jj union all select aid, cik, side, k, 'n_orders', n_orders::double from jj), ch as (select *, value - first_value(value) over (partition by aid, metric order by k) as v from lg), sd as (select * from ch where k > -4 and v is not null), """ + _mult("sd", "cik", draws=CELLS) + """,
  st as (select metric, k, draw, sum(v * w) filter (where side = 'a') / sum(w) filter (where side = 'a') - sum(v * w) filter (where side = 'b') / sum(w) filter (where side = 'b') as s, coalesce(sum(w) filter (where side = 'a'), 0) na, coalesce(sum(w) filter (where side = 'b'), 0) nb from sd join mu on mu.grp = sd.cik group by 1, 2, 3), e as (select metric, k, quantile_cont(s, 0.025) lo, quantile_cont(s, 0.975) hi from st where na >= 1 and nb >= 1 group by 1, 2),
- o as (select metric, k, avg(v) filter (where side = 'a') - avg(v) filter (where side = 'b') as obs, count(*) filter (where side = 'a') as n_a, count(*) filter (where side = 'b') as n_b from sd group by 1, 2) select o.metric, o.k, round(obs, 6) as obs, round(lo, 6) as lo, round(hi, 6) as hi, n_a, n_b, round(lo, 6) > 0 or round(hi, 6) < 0 as excludes_zero from o left join e on e.metric = o.metric and e.k = o.k""")
+ o as (select metric, k, avg(v) filter (where side = 'a') - avg(v) filter (where side = 'b') as obs, count(*) filter (where side = 'a') as n_a, count(*) filter (where side = 'b') as n_b, avg((v = 0)::int) filter (where side = 'a') as zs from sd group by 1, 2), did as (select o.metric, o.k, round(obs, 6) as obs, round(lo, 6) as lo, round(hi, 6) as hi, n_a, n_b, round(zs, 6) as zero_share, round(lo, 6) > 0 or round(hi, 6) < 0 as excludes_zero from o left join e on e.metric = o.metric and e.k = o.k)"""
+
+
+@query("r14_did_table", _DID + " select * from did")
 def r14(spark: SparkSession, d: str) -> DataFrame:
     """Cases against their matched controls: change of each metric at each quarter before the anchor, all cells from one set of draws."""
     cases, controls = _cases(spark, d)
@@ -220,7 +223,15 @@ def r14(spark: SparkSession, d: str) -> DataFrame:
     both = a.withColumn("side", F.lit("a")).unionByName(b.withColumn("side", F.lit("b")))
     long = M.trajectories(both, V.panel_c(spark, d), ["revenue", "n_orders"], -4, -1).join(both.select("aid", "cik", "side"), "aid")
     out = B.cluster_boot_diff(long.where("k > -4"), "change", "cik", "side", "mean", CELLS, by=["metric", "k"])
-    return out.select("metric", "k", *(R(c, 6).alias(c) for c in ("obs", "lo", "hi")), "n_a", "n_b", F.expr("lo > 0 or hi < 0").alias("excludes_zero"))
+    zero = long.where("k > -4 and side = 'a' and change is not null").groupBy("metric", "k").agg(R(F.avg((F.col("change") == 0).cast("double")), 6).alias("zero_share"))
+    out = out.select("metric", "k", *(R(c, 6).alias(c) for c in ("obs", "lo", "hi")), "n_a", "n_b").join(zero, ["metric", "k"], "left")
+    return out.withColumn("excludes_zero", F.expr("lo > 0 or hi < 0"))
+
+
+@query("r14_first_significant", _DID + " select metric, min(k) filter (where excludes_zero) as k from did group by 1")
+def r14_first(spark: SparkSession, d: str) -> DataFrame:
+    """The earliest quarter whose interval excludes zero, null if none does."""
+    return r14(spark, d).groupBy("metric").agg(F.min(F.when(F.col("excludes_zero"), F.col("k"))).alias("k"))
 
 
 @query("r16_removal_bound", V.with_views("panel_s") + f""", v as (select max(as_of_date) v from panel_s), g as (select cik, max(as_of_date) lr, (max(as_of_date) + interval 24 month)::date <= (select v from v) as ex from panel_s group by 1), e as (select cik, d as draw, row_number() over (partition by d order by {_h("'0'", 'd', 'cik')}, cik) rn, count(*) over (partition by d) n from g, range(1, {DRAWS + 1}) t(d) where ex),

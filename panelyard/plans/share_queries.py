@@ -153,19 +153,28 @@ _RULE = """case when ac = cc then 'R1' when not contains(ac, ' ') and not contai
 _USABLE = "{c} <> '' and (contains({c}, ' ') or (length({c}) >= 5 and not list_contains({st}, {c}) and not regexp_full_match({c}, '[0-9]+')))"
 
 
-@query("n4_name_match", _NAMES_SQL + f""", a as (select key, {_CORE} as ac from al), c as (select nm as candidate, {_CORE} as cc from cd),
- u as (select *, string_split(ac, ' ') as aw from a where {_USABLE.format(c="ac", st=STOPWORDS)}), v as (select *, string_split(cc, ' ') as cw, {STOPWORDS} as st from c where {_USABLE.format(c="cc", st=STOPWORDS)}),
+def _match_sql(stop: list[str]) -> str:
+    return _NAMES_SQL + f""", a as (select key, {_CORE} as ac from al), c as (select nm as candidate, {_CORE} as cc from cd),
+ u as (select *, string_split(ac, ' ') as aw from a where {_USABLE.format(c="ac", st=stop)}), v as (select *, string_split(cc, ' ') as cw, {stop} as st from c where {_USABLE.format(c="cc", st=stop)}),
  m as (select key, candidate, ac, cc, aw, cw, st from u join v on aw[1] = cw[1] or left(ac, 6) = left(cc, 6)), p as (select key, candidate, {_RULE} as rule from m),
  q as (select * from p where rule is not null), o as (select candidate from q group by 1 having count(distinct key) > 1)
- select key, candidate, rule from q where candidate not in (select candidate from o)""")
+ select key, candidate, rule from q where candidate not in (select candidate from o)"""
+
+
+@query("n4_name_match", _match_sql(STOPWORDS))
 def n4(spark: SparkSession, d: str) -> DataFrame:
     return N.match(*name_tables(spark, d)).select("key", "candidate", "rule")
 
 
-@query("j13_lookup_outcome", V.with_views("panel_c") + """, f as (select cik, ticker, max(as_of_date) last_row from panel_c group by 1, 2), h as (select ticker, list(distinct cik) cs from panel_c where as_of_date >= date '1999-01-01' and cik % 3 <> 0 group by 1) select f.cik, f.ticker, case when cs is null then 'nothing' when list_contains(cs, f.cik) then 'asked for' else 'different company' end as outcome from f left join h using (ticker)""")
+@query("n5_extra_stopwords", _match_sql([*STOPWORDS, "japan", "ring", "widget"]))
+def n5(spark: SparkSession, d: str) -> DataFrame:
+    return N.match(*name_tables(spark, d), extra_stopwords=["japan", "ring", "widget"]).select("key", "candidate", "rule")
+
+
+@query("j13_lookup_outcome", V.with_views("panel_c", "listed_holders") + """, f as (select cik, ticker, max(as_of_date) last_row from panel_c group by 1, 2), h as (select ticker, list(distinct cik) cs from listed_holders group by 1) select f.cik, f.ticker, case when cs is null then 'nothing' when list_contains(cs, f.cik) then 'asked for' else 'different company' end as outcome from f left join h using (ticker)""")
 def j13(spark: SparkSession, d: str) -> DataFrame:
     p = V.panel_c(spark, d)
-    return N.lookup_outcome(p.select("cik", "ticker").distinct(), p.where("as_of_date >= '1999-01-01' and cik % 3 <> 0").select("ticker", "cik")).select("cik", "ticker", "outcome")
+    return N.lookup_outcome(p.select("cik", "ticker").distinct(), V.listed_holders(spark, d)).select("cik", "ticker", "outcome")
 
 
 @query("j14_landing", V.with_views("panel_c") + """, f as (select cik, ticker, max(as_of_date) last_row from panel_c group by 1, 2), sp as (select ticker, cik as rc, min(as_of_date) fs from panel_c group by 1, 2), a as (select f.*, cik + case when cik % 20 = 18 then 1 when cik % 20 = 19 then -1 else 2 end as rc from f)
@@ -274,7 +283,6 @@ def n6(spark: SparkSession, d: str) -> DataFrame:
     return V.table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.sum(k).alias("total"), F.count_if(F.get_json_object("props", "$.none").isNull()).alias("without_field"))
 
 
-@query("j7_benchmark_calendar", V.with_views("bars", "bench") + ", late as (select * from bench where date >= date '1995-06-01' and day(date) % 3 = 0) select d.date, b.close as bench from (select distinct date from bars) d asof join late b on d.date >= b.date")
+@query("j7_benchmark_calendar", V.with_views("bars", "bench", "sparse_bench") + " select d.date, b.close as bench from (select distinct date from bars) d asof join sparse_bench b on d.date >= b.date")
 def j7(spark: SparkSession, d: str) -> DataFrame:
-    late = V.bench(spark, d).where("date >= '1995-06-01' and day(date) % 3 = 0")
-    return A.calendar(V.bars(spark, d), late)
+    return A.calendar(V.bars(spark, d), V.sparse_bench(spark, d))

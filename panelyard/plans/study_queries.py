@@ -114,10 +114,9 @@ def a37(spark: SparkSession, d: str) -> DataFrame:
     return o.groupBy("bin").agg(F.count("*").alias("n"), R(F.median("ch"), 8).alias("median_change"), R(share(F.col("ch") <= -0.02), 8).alias("dropped"))
 
 
-@query("a39_priced_share_by_quintile", DEC_S + ", " + V.SQL["bars"] + """, b as (select cik, year, ticker, row_number() over (partition by year order by net_margin, cik) rn, count(*) over (partition by year) n from dec), q as (select *, greatest(1, least(5, ceil(rn::double / n * 5)))::int bin from b where n >= 5) select bin, count(*) as n, round(avg((ticker in (select ticker from bars where date < date '1996-01-01' and volume > 60))::int), 8) as priced from q group by 1""")
+@query("a39_priced_share_by_quintile", DEC_S + ", " + V.SQL["bars"] + ", " + V.SQL["vendor_bars"] + """, b as (select cik, year, ticker, row_number() over (partition by year order by net_margin, cik) rn, count(*) over (partition by year) n from dec), q as (select *, greatest(1, least(5, ceil(rn::double / n * 5)))::int bin from b where n >= 5) select bin, count(*) as n, round(avg((ticker in (select ticker from vendor_bars))::int), 8) as priced from q group by 1""")
 def a39(spark: SparkSession, d: str) -> DataFrame:
-    early = V.bars(spark, d).where("date < '1996-01-01' and volume > 60")
-    q = A.priced_flags(early, P.qcut_within(dec_s(spark, d), "net_margin", "year", ["cik"], 5, 1).where("bin is not null"))
+    q = A.priced_flags(V.vendor_bars(spark, d), P.qcut_within(dec_s(spark, d), "net_margin", "year", ["cik"], 5, 1).where("bin is not null"))
     return q.groupBy("bin").agg(F.count("*").alias("n"), R(share(F.col("priced")), 8).alias("priced"))
 
 
@@ -251,21 +250,21 @@ def j21(spark: SparkSession, d: str) -> DataFrame:
     return V.share_series(spark, d).groupBy("cik").agg(F.min_by("fiscal_year", F.struct(gap, "fiscal_year")).alias("nearest"), F.max("fiscal_year").alias("latest"))
 
 
-@query("a24_match_rate_by_cohort", V.with_views("panel_s", "bars") + """, c as (select cik, ticker, case when cik % 7 = 0 then 'ended' else 'on' end as cohort from panel_s group by all) select coalesce(cohort, 'all') as cohort, count(*) as n, round(avg((ticker in (select ticker from bars where volume > 80))::int), 8) as matched from c group by rollup (cohort)""")
+@query("a24_match_rate_by_cohort", V.with_views("panel_s", "bars", "vendor_bars") + """, c as (select cik, ticker, case when cik % 7 = 0 then 'ended' else 'on' end as cohort from panel_s group by all) select coalesce(cohort, 'all') as cohort, count(*) as n, round(avg((ticker in (select ticker from vendor_bars))::int), 8) as matched from c group by rollup (cohort)""")
 def a24(spark: SparkSession, d: str) -> DataFrame:
     firms = V.panel_s(spark, d).select("cik", "ticker").distinct().withColumn("cohort", F.when(F.col("cik") % 7 == 0, "ended").otherwise("on"))
-    rows = A.priced_flags(V.bars(spark, d).where("volume > 80"), firms)
+    rows = A.priced_flags(V.vendor_bars(spark, d), firms)
     return rows.rollup("cohort").agg(F.count("*").alias("n"), R(share(F.col("priced")), 8).alias("matched")).withColumn("cohort", F.coalesce("cohort", F.lit("all")))
 
 
-@query("a35_landing_by_outcome", V.with_views("panel_c") + """, f as (select cik, ticker, max(as_of_date) last_row from panel_c group by 1, 2), h as (select ticker, list(distinct cik) cs from panel_c where as_of_date >= date '1999-01-01' and cik % 3 <> 0 group by 1), o as (select f.*, case when cs is null then 'nothing' when list_contains(cs, f.cik) then 'asked for' else 'different company' end as outcome, cik + case when cik % 20 = 18 then 1 when cik % 20 = 19 then -1 else 2 end as rc from f left join h using (ticker)), sp as (select ticker, cik as rc, min(as_of_date) fs from panel_c group by 1, 2),
+@query("a35_landing_by_outcome", V.with_views("panel_c", "listed_holders") + """, f as (select cik, ticker, max(as_of_date) last_row from panel_c group by 1, 2), h as (select ticker, list(distinct cik) cs from listed_holders group by 1), o as (select f.*, case when cs is null then 'nothing' when list_contains(cs, f.cik) then 'asked for' else 'different company' end as outcome, cik + case when cik % 20 = 18 then 1 when cik % 20 = 19 then -1 else 2 end as rc from f left join h using (ticker)), sp as (select ticker, cik as rc, min(as_of_date) fs from panel_c group by 1, 2),
  l as (select outcome, case when fs is null then 'absent' when fs > last_row then 'later' else 'earlier or overlapping' end as landing, (fs - last_row)::int as gap from o left join sp on sp.ticker = o.ticker and sp.rc = o.rc) select outcome, landing, count(*) as n, round(median(gap), 6) as median_gap, count(*) filter (where abs(gap) <= 365) as within_year from l group by 1, 2""")
 def a35(spark: SparkSession, d: str) -> DataFrame:
     from ..operators import names as N
 
     p = V.panel_c(spark, d)
     asked = p.groupBy("cik", "ticker").agg(F.max("as_of_date").alias("last_row")).withColumn("returned_cik", F.expr("cik + case when cik % 20 = 18 then 1 when cik % 20 = 19 then -1 else 2 end"))
-    rows = N.landing(N.lookup_outcome(asked, p.where("as_of_date >= '1999-01-01' and cik % 3 <> 0").select("ticker", "cik")), p)
+    rows = N.landing(N.lookup_outcome(asked, V.listed_holders(spark, d)), p)
     return rows.groupBy("outcome", "landing").agg(F.count("*").alias("n"), R(F.median("gap_days"), 6).alias("median_gap"), F.count_if(F.abs("gap_days") <= 365).alias("within_year"))
 
 

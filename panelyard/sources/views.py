@@ -77,7 +77,38 @@ def share_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("cik", "fiscal_year", out.cast("double").alias("outstanding"), dil.cast("double").alias("diluted"))
 
 
+def vendor_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an incomplete vendor has of the bars: nothing of every fifth supplier."""
+    return bars(spark, sf_dir).where(F.pmod(F.substring("ticker", 2, 12).cast("long"), F.lit(5)) != 3)
+
+
+def sparse_bench(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A market series that starts late and is quoted on some days only."""
+    return bench(spark, sf_dir).where("date >= '1995-06-01' and day(date) % 3 = 0")
+
+
+def listed_holders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(ticker, cik) that a later registrant list still knows."""
+    return panel_c(spark, sf_dir).where("as_of_date >= '1999-01-01' and pmod(cik, 3) <> 0").select("ticker", "cik")
+
+
+def insider_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(cik, code, day): open-market purchases (P), sales (S) and other entries (M) of a part's lines."""
+    code = F.when(F.col("l_returnflag") == "A", "P").when(F.col("l_returnflag") == "R", "S").otherwise("M")
+    return table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("cik"), code.alias("code"), F.to_date("l_shipdate").alias("day"))
+
+
+def annual_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(cik, fiscal_year, rev): parts by ship year."""
+    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("cik"), F.year("l_shipdate").alias("fiscal_year")).agg(F.round(F.sum("l_extendedprice"), 4).alias("rev"))
+
+
 SQL = {
+    "vendor_bars": "vendor_bars as (select * from bars where substr(ticker, 2)::bigint % 5 <> 3)",
+    "sparse_bench": "sparse_bench as (select * from bench where date >= date '1995-06-01' and day(date) % 3 = 0)",
+    "listed_holders": "listed_holders as (select ticker, cik from panel_c where as_of_date >= date '1999-01-01' and cik % 3 <> 0)",
+    "insider_trades": "insider_trades as (select l_partkey as cik, case l_returnflag when 'A' then 'P' when 'R' then 'S' else 'M' end as code, l_shipdate::date as day from lineitem)",
+    "annual_revenue": "annual_revenue as (select l_partkey as cik, year(l_shipdate)::int as fiscal_year, round(sum(l_extendedprice), 4) as rev from lineitem group by 1, 2)",
     "bars": "bars as (select 'S' || l_suppkey as ticker, l_shipdate::date as date, round(avg(l_extendedprice / l_quantity), 8) as close, sum(l_quantity)::bigint as volume from lineitem group by 1, 2)",
     "bench": "bench as (select l_shipdate::date as date, round(avg(l_extendedprice / l_quantity), 8) as close from lineitem group by 1)",
     "panel_s": """ps0 as (select l_suppkey as cik, last_day(make_date(year(l_shipdate)::int, quarter(l_shipdate)::int * 3, 1)) as as_of_date, round(sum(l_extendedprice * (1 - l_discount)), 4) as revenue,
