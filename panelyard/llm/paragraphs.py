@@ -25,8 +25,7 @@ runs, once for the shingles of colliding paragraphs and the words beside the spa
 
 from __future__ import annotations
 
-import functools
-import operator
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -48,8 +47,8 @@ RUN_WORDS = ANCHOR_WINDOW = 25
 REACH = ANCHOR_WINDOW
 #: Bits of the filter that lets wanted units pass before the exact join; a bound on what is broadcast.
 FILTER_BITS = 1 << 25
-#: Colliding paragraphs and their shingles that are compared in one task; larger groups are compared block by block.
-BLOCK, BLOCK_SHINGLES = 2000, 1 << 19
+#: Colliding paragraphs and their packed bytes that are compared in one task; larger groups are compared block by block.
+BLOCK, BLOCK_BYTES = 2000, 1 << 20
 #: Bytes whose words are hashed at once.
 PIECE = 1 << 18
 #: Tells the same run at different places apart.
@@ -281,18 +280,18 @@ def _hits(found: DataFrame, sent) -> DataFrame:
     return found.select("doc_id", "h", "runs").mapInArrow(run, f"unit long, doc_id {kind}, h long, k int")
 
 
-_LOOKED = ["unit", "shingles", "doc_id", "h", "k", "left", "word", "char", "beside"]
+_LOOKED = ["unit", "words", "h", "k", "left", "word", "char", "beside"]
 
 
-def _edge_key(unit, k, left):
+def _edge_key(unit, h, k, left):
     """Tells the edges of runs apart, as the keys of the bitmap do."""
-    return unit ^ (2 * k + left) * PLACE
+    return unit ^ h ^ (2 * k + left) * PLACE
 
 
-def _second_look(docs: DataFrame, id_col: str, text: str, paragraphs, edges) -> DataFrame:
-    """The shingles of paragraphs in the first bitmap (unit, sorted distinct hashes), and the edges of
-    runs in the second (unit, doc_id, h, k, left, word, char, beside): the edge's place in words and in
-    code points, and the text beside it, of REACH words at most."""
+def _second_look(docs: DataFrame, text: str, paragraphs, edges) -> DataFrame:
+    """The words of paragraphs in the first bitmap (unit, words, packed), and the edges of runs in the
+    second (unit, h, k, left, word, char, beside): the edge's place in words and in code points, and the
+    text beside it, of REACH words at most."""
 
     def run(batches):
         wanted, places = (np.frombuffer(x.value, np.uint8) for x in (paragraphs, edges))
@@ -303,43 +302,47 @@ def _second_look(docs: DataFrame, id_col: str, text: str, paragraphs, edges) ->
 
         for b in batches:
             out, seen = [[] for _ in _LOOKED], set()
-            for doc, t in zip(b.column(0).to_pylist(), raw(b, text), strict=True):
+            for t in raw(b, text):
                 own = Text(t or b"")
                 if len(own.starts) < RUN_WORDS:
                     continue
                 hashes = own.hashes()
-                parts, made = own.paragraphs(), None
+                parts = own.paragraphs()
                 name = _named(hashes, parts)[:, 0]
                 for i in hit(wanted, name):
                     u = int(name[i])
                     if u not in seen:
                         seen.add(u)
-                        made = joined(hashes) if made is None else made
                         out[0].append(u)
-                        out[1].append(np.unique(made[parts[i][0] : parts[i][1] - SHINGLE + 1]).tobytes())
+                        out[1].append(zlib.compress(own.words(*parts[i]), 1))
                         for column in out[2:]:
                             column.append(None)
                 at = anchors(hashes)
                 name, number = joined(hashes, at, RUN_WORDS).view(np.int64), np.arange(len(at))
+                h = xxhash.xxh64_intdigest(t, 42)
+                h = h - (1 << 64) if h >> 63 else h
                 for left in (1, 0):
-                    held = hit(places, _edge_key(name, number, left))
-                    if not held:
+                    held = hit(places, _edge_key(name, np.int64(h), number, left))
+                    if not held or (h, left) in seen:
                         continue
-                    h = xxhash.xxh64_intdigest(t, 42)
+                    seen.add((h, left))
                     word = at[held] + (0 if left else RUN_WORDS)
                     edge = own.starts[word] if left else own.ends[word - 1]
                     far = own.starts[np.maximum(0, word - REACH)] if left else own.ends[np.minimum(len(own.ends), word + REACH) - 1]
                     spans = zip(far.tolist(), edge.tolist(), strict=True) if left else zip(edge.tolist(), far.tolist(), strict=True)
-                    columns = (name[held].tolist(), [None] * len(held), [doc] * len(held), [h - (1 << 64) if h >> 63 else h] * len(held), held, [bool(left)] * len(held), word.tolist(), own.chars(edge).tolist(), [t[x:y] for x, y in spans])
+                    columns = (name[held].tolist(), [None] * len(held), [h] * len(held), held, [bool(left)] * len(held), word.tolist(), own.chars(edge).tolist(), [t[x:y] for x, y in spans])
                     for column, values in zip(out, columns, strict=True):
                         column += values
-            kinds = (pa.int64(), pa.binary(), b.schema.field(0).type, pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.int32(), pa.binary())
+            kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.int32(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], _LOOKED)
 
     small_batches(docs.sparkSession)
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias(text))
-    return rows.mapInArrow(run, f"unit long, shingles binary, doc_id {kind}, h long, k int, left boolean, word int, char int, beside binary")
+    return docs.select(F.col(text).alias(text)).mapInArrow(run, "unit long, words binary, h long, k int, left boolean, word int, char int, beside binary")
+
+
+def shingles(words: bytes) -> np.ndarray:
+    """Sorted distinct hashes of the shingles of packed words."""
+    return np.unique(joined(Text(zlib.decompress(words)).hashes()))
 
 
 def _verify(least: float):
@@ -347,8 +350,8 @@ def _verify(least: float):
         """Spanning links of one group (or two blocks of one): pairs with a Jaccard similarity of `least` or more."""
         names = table.column("unit").to_numpy()
         order = np.argsort(names)
-        names, held = names[order], table.column("shingles").to_pylist()
-        sets = [np.frombuffer(held[i], np.uint64) for i in order]
+        names, held = names[order], table.column("words").to_pylist()
+        sets = [shingles(held[i]) for i in order]
         size = np.array([len(s) for s in sets])
         flat = np.unique(np.concatenate(sets), return_inverse=True)[1]
         starts = np.concatenate([[0], np.cumsum(size)])
@@ -371,16 +374,19 @@ def _verify(least: float):
 
 
 def _alike(pairs: DataFrame, least: float) -> DataFrame:
-    """Of (a, b, x, y) pairs with their shingles the (a, b) whose Jaccard similarity is `least` or more."""
+    """Of (a, b, x, y) pairs with their words the (a, b) whose Jaccard similarity is `least` or more. Rows come by b."""
 
     def run(batches):
-        for b in batches:
+        last, hub = None, None
+        for batch in batches:
             fine = []
-            for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True):
-                both = np.sort(np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)]))
+            for b, x, y in zip(batch.column("b").to_pylist(), batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
+                if b != last:
+                    last, hub = b, shingles(y)
+                both = np.sort(np.concatenate([shingles(x), hub]))
                 shared = int((both[1:] == both[:-1]).sum())
                 fine.append(shared >= least * (len(both) - shared) - 1e-12)
-            yield b.select(["a", "b"]).filter(pa.array(fine, pa.bool_()))
+            yield batch.select(["a", "b"]).filter(pa.array(fine, pa.bool_()))
 
     return pairs.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
@@ -394,28 +400,31 @@ def collisions(paragraphs: DataFrame) -> DataFrame:
 
 def near_roots(members: DataFrame, sets: DataFrame, least: float, name: str = "passages") -> DataFrame:
     """(node, root) of the components over different units whose Jaccard similarity is `least` or more,
-    of (sig, unit) members and their (unit, shingles).
+    of (sig, unit) members and their (unit, words).
 
-    First each member is compared with its group's least one: copies of one text, of which groups
-    mostly consist, then share a root already. Only groups that still hold several roots are
-    compared as a whole, all with all where no link says otherwise."""
+    First each unit is compared with one other, the least of the group in most of its bands: copies
+    of one text, of which groups mostly consist, then share a root already. Only groups that still
+    hold several roots are compared as a whole, all with all where no link says otherwise."""
     hub = members.groupBy("sig").agg(F.min("unit").alias("b"))
-    pairs = members.join(hub, "sig").where("unit <> b").select(F.col("unit").alias("a"), "b").distinct()
-    pairs = pairs.join(sets.select(F.col("unit").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("unit").alias("b"), F.col("shingles").alias("y")), "b")
+    pairs = members.join(hub, "sig").where("unit <> b").groupBy(F.col("unit").alias("a"), "b").agg(F.count("*").alias("n"))
+    pairs = pairs.groupBy("a").agg(F.max_by("b", F.struct("n", "b")).alias("b"))
+    pairs = pairs.join(sets.select(F.col("unit").alias("a"), F.col("words").alias("x")), "a").join(sets.select(F.col("unit").alias("b"), F.col("words").alias("y")), "b")
     near = durable(_alike(pairs, least), f"{name}-stars")
     root = durable(components(near, f"{name}-cc"), f"{name}-roots")
     held = members.join(root, members.unit == root.node, "left").select("sig", "unit", F.coalesce("root", "unit").alias("root"))
     open_ = held.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("sig")
-    more = near_links(members.join(open_, "sig", "left_semi"), sets, least)
+    rest = durable(members.join(durable(open_, f"{name}-open"), "sig", "left_semi"), f"{name}-rest")
+    release(members.sparkSession, root)
+    more = near_links(rest, sets, least)
     return components(durable(near.union(more), f"{name}-links"), f"{name}-cc")
 
 
 def near_links(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """(a, b) links that connect what all pairs of `least` or more within a group connect."""
     # groups with the same members in several bands are compared once; large groups block by block
-    sized = members.join(sets.select("unit", (F.octet_length("shingles") / 8).alias("n")), "unit")
+    sized = members.join(sets.select("unit", F.octet_length("words").alias("n")), "unit")
     groups = sized.groupBy("sig").agg(F.count("*").alias("g"), F.sum("n").alias("n"), F.sum(F.xxhash64("unit") % (1 << 40)).alias("who"), F.min("unit").alias("x"))
-    parts = F.ceil(F.greatest(F.col("g") / BLOCK, F.col("n") / BLOCK_SHINGLES)).cast("int")
+    parts = F.ceil(F.greatest(F.col("g") / BLOCK, F.col("n") / BLOCK_BYTES)).cast("int")
     groups = groups.groupBy("g", "n", "who", "x").agg(F.min("sig").alias("sig")).select("sig", parts.alias("parts"))
     dealt = members.join(groups, "sig").withColumn("block", F.pmod(F.xxhash64("unit"), F.col("parts")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
@@ -486,13 +495,10 @@ def _widened(kept: DataFrame) -> DataFrame:
 
 def _extended(edges: DataFrame, keepers: DataFrame, looked: DataFrame) -> DataFrame:
     """Islands with their edges moved over the words shared with the keeper; a kept one is as wide as the widest it stands for."""
-    same = lambda *c: [F.col(f"e.{x}").eqNullSafe(F.col(f"x.{y}")) if y == "doc_id" else F.col(f"e.{x}") == F.col(f"x.{y}") for x, y in c]
-    at = lambda d, h, k: functools.reduce(operator.and_, same(("unit", "unit"), ("left", "left"), (h, "h"), (k, "k"), (d, "doc_id")))
-    own = edges.join(keepers, "unit").alias("e").join(looked.alias("x"), at("doc_id", "h", "k")).select("e.*", "x.word", "x.char", "x.beside")
+    at = lambda h, k: (F.col("e.unit") == F.col("x.unit")) & (F.col("e.left") == F.col("x.left")) & (F.col(h) == F.col("x.h")) & (F.col(k) == F.col("x.k"))
+    own = edges.join(keepers, "unit").alias("e").join(looked.alias("x"), at("e.h", "e.k")).select("e.*", "x.word", "x.char", "x.beside")
     own = durable(own, "passages-own")
-    kept = F.col("keeper.doc_id"), F.col("keeper.h"), F.col("keeper.k")
-    others = own.where("removed").select("*", *(c.alias(n) for c, n in zip(kept, ("kept_doc", "kept_h", "kept_k"), strict=True))).alias("e")
-    others = others.join(looked.alias("x"), at("kept_doc", "kept_h", "kept_k"), "left").select("e.*", F.col("x.beside").alias("other"))
+    others = own.where("removed").alias("e").join(looked.alias("x"), at("e.keeper.h", "e.keeper.k"), "left").select("e.*", F.col("x.beside").alias("other"))
     base = ["doc_id", "h", "twin", "island", "removed", "left", "unit", "word", "char", F.col("keeper.doc_id").alias("keeper_doc_id")]
     others = durable(_shared(others.select(*base, "beside", "other")).drop("beside", "other"), "passages-shared")
     widest = others.groupBy("unit", "left").agg(F.max("n").alias("n"))
@@ -531,11 +537,13 @@ def _found(docs: DataFrame, id_col: str, text: str, least: float, recall: float)
     edges = durable(_islands(_judged(hits.join(keepers, "unit"), ["k"], ["unit"])), "passages-edges")
     release(spark, hits)
     # all edges are looked at in their own text, and those of removals in the keeper's too
-    theirs = edges.where("removed").select("unit", "left").distinct().join(keepers, "unit").select("unit", "keeper.k", "left")
-    keys = edges.select("unit", "k", "left").union(theirs).distinct().select(F.expr(f"unit ^ ((2L * k + int(left)) * {PLACE}L)").alias("key"))
-    looked = durable(_second_look(docs, id_col, text, _bitmap(wanted), _bitmap(durable(keys, "passages-keys"))), "passages-looked")
-    sets = looked.where("shingles is not null").select("unit", "shingles").join(wanted, "unit", "left_semi")
-    sets = durable(sets.groupBy("unit").agg(F.first("shingles").alias("shingles")), "passages-sets")
+    theirs = edges.where("removed").select("unit", "left").distinct().join(keepers, "unit").select("unit", "keeper.h", "keeper.k", "left")
+    keys = edges.select("unit", "h", "k", "left").union(theirs).select(F.expr(f"unit ^ h ^ ((2L * k + int(left)) * {PLACE}L)").alias("key")).distinct()
+    keys = durable(keys, "passages-keys")
+    looked = durable(_second_look(docs, text, _bitmap(wanted), _bitmap(keys)), "passages-looked")
+    release(spark, keys)
+    sets = looked.where("words is not null").select("unit", "words").join(wanted, "unit", "left_semi")
+    sets = durable(sets.groupBy("unit").agg(F.first("words").alias("words")), "passages-sets")
     root = durable(near_roots(members, sets, least), "passages-classes")
     release(spark, members, wanted, sets)
     # paragraphs: those with the first 64 bits of their keeper's hash but not the others go
@@ -545,8 +553,8 @@ def _found(docs: DataFrame, id_col: str, text: str, least: float, recall: float)
     classed = classed.join(durable(kept, "passages-firsts"), "class_id").where("unit <> keeper.unit or check = keeper.check")
     columns = ["doc_id", "start", "end", "n_words", "class_id", "keeper_doc_id", "removed", "h", "twin"]
     judged = _judged(classed.withColumn("keeper_doc_id", F.col("keeper.doc_id")), ["at", "n_words"], ["start", "end", "class_id", "keeper_doc_id"]).select(columns)
-    # passages inside other paragraphs; equal documents bring the same edge more than once
-    beside = looked.where("shingles is null").drop("shingles").dropDuplicates(["unit", "doc_id", "h", "k", "left"])
+    # passages inside other paragraphs; equal texts bring the same edge more than once
+    beside = looked.where("words is null").drop("words").dropDuplicates(["unit", "h", "k", "left"])
     return judged.unionByName(_extended(edges, keepers, beside).select(columns))
 
 
