@@ -18,11 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, raw, read, small_batches
+from .common import durable, fresh, raw, read, small_batches
 
 WINDOW = 13
 #: A part of the benchmark that is broadcast at once holds about this much text.
 PART_BYTES = 4 << 20
+#: Parts that one plan searches for before its rows are written.
+PARTS_A_PASS = 8
 #: Non-word ASCII becomes a space, A-Z lower case; bytes over 0x7F are parts of words.
 _TO_WORDS = bytes(c if c > 127 or 48 <= c <= 57 or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 
@@ -137,7 +139,9 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
 
         return run
 
-    for rows in parts(benchmark, item_id, item_text, part_bytes):
+    for number, rows in enumerate(parts(benchmark, item_id, item_text, part_bytes)):
+        if number and number % PARTS_A_PASS == 0:  # a plan holds a bounded number of parts at once
+            out = durable(out, "decontamination")
         out = out.mapInArrow(searcher(_Part(spark, rows)), out.schema)
     out = out.select(*(c for c in docs.columns if keep_text or c != text), "n_words", "n_hit", F.col(found).alias("items"))
     return out.withColumn("contaminated", F.expr("n_hit > 0 and 20 * n_hit >= n_words"))

@@ -74,19 +74,26 @@ class Model:
         self.weights = {w: float(v) for w, v in zip(names, self.theta, strict=True) if abs(v) > 1e-2}
         del self.theta
 
-    def _fit(self, ids, size, per, y, last) -> None:
+    @staticmethod
+    def gradient(theta, bias, ids, size, per, y) -> tuple[float, np.ndarray]:
+        """(mean log-likelihood, its slopes by the weights and the bias): ids are the sentences' features one
+        after another, size how many each sentence has, per how many sentences each document has."""
         starts, docs = np.cumsum(np.append(0, size[:-1])), np.cumsum(np.append(0, per[:-1]))
+        of = np.repeat(np.arange(len(per)), per)
+        z = np.clip(np.add.reduceat(theta[ids], starts) + bias, -30, 30)
+        p = 1 / (1 + np.exp(-z))
+        clean = np.exp(np.add.reduceat(np.log1p(-np.minimum(p, 1 - 1e-12)), docs))
+        likely = np.log(np.maximum(np.where(y == 1, 1 - clean, clean), 1e-300)).mean()
+        # d log-likelihood / dz: for a toxic document p (1 - P) / P, for a clean one -p
+        slope = np.where(y[of] == 1, p * (clean / np.maximum(1 - clean, 1e-9))[of], -p) / len(per)
+        return float(likely), np.append(np.bincount(ids, np.repeat(slope, size), len(theta)), slope.sum())
+
+    def _fit(self, ids, size, per, y, last) -> None:
         theta, bias = np.zeros(last + 1), -float(np.log(per.mean())) - 1
         first, second, step = np.zeros(last + 2), np.zeros(last + 2), 0
-        of = np.repeat(np.arange(len(per)), per)
         while step < STEPS:
             step += 1
-            z = np.clip(np.add.reduceat(theta[ids], starts) + bias, -30, 30)
-            p = 1 / (1 + np.exp(-z))
-            clean = np.exp(np.add.reduceat(np.log1p(-np.minimum(p, 1 - 1e-12)), docs))
-            # d log-likelihood / dz: for a toxic document p (1 - P) / P, for a clean one -p
-            slope = np.where(y[of] == 1, p * (clean / np.maximum(1 - clean, 1e-9))[of], -p) / len(per)
-            g = np.append(np.bincount(ids, np.repeat(slope, size), last + 1), slope.sum())
+            g = self.gradient(theta, bias, ids, size, per, y)[1]
             g[:last] -= DECAY * theta[:last]
             g[last] = 0
             first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g

@@ -287,7 +287,8 @@ def test_decontamination_matches_brute_force(spark):
     assert any(r.contaminated for r in got.values())
 
 
-def test_decontamination_small_and_split_benchmarks(spark, odd, none):
+def test_decontamination_small_and_split_benchmarks(spark, odd, none, monkeypatch):
+    monkeypatch.setattr(decontam, "PARTS_A_PASS", 3)
     items = [(1, "quick brown"), (1, "lazy"), (2, "One WORD"), (3, "fox jumps over the lazy dog the quick brown fox jumps over the lazy"), (None, "one"), (4, None), (5, " . "), (6, "ÀB"), (7, "été")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     for size in (1, 1 << 20):
