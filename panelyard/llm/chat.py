@@ -140,7 +140,7 @@ def format_chats(chats: DataFrame, conv: str = "conv_id", turn: str = "turn", ro
     gives no rows.
     """
     count = counter(vocabulary)
-    small_batches(chats.sparkSession, 2000)
+    small_batches(chats.sparkSession)
     rows = chats.select(F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
     names = ["conv_id", "window", "n_repeated", "n_turns", "n_tokens", "text", "loss_starts", "loss_ends"]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 
@@ -63,10 +64,17 @@ def raw(batch: pa.RecordBatch, column: str) -> list:
     return batch.column(column).cast(pa.binary()).to_pylist()
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches small enough for tables with very long texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+#: Bytes of an Arrow batch: small enough for tables with very long texts, large enough for narrow rows.
+BATCH_BYTES = 16 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes, as all operators here want them. The session keeps the setting, since it
+    is read when a plan runs; its number of rows a batch, and a smaller bound, stay as they were."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = re.fullmatch("([0-9]+)b?", spark.conf.get(name))
+    if not held or not 0 < int(held[1]) <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
 
 
 def ascii_lower(c):

@@ -189,7 +189,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector: str = "e
     Ids need not be unique: each row counts. An empty table gives no rows.
     """
     spark = vectors.sparkSession
-    small_batches(spark, 10_000)
+    small_batches(spark)
     v = F.col("vec")
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vector).alias("vec"))
     fine = F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf"))) & F.exists(v, lambda x: x != 0) & F.col("id").isNotNull(), F.lit(False))

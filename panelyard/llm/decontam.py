@@ -112,7 +112,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
     id count as one. Rows of docs are never dropped or merged. An empty benchmark hits nothing.
     """
     spark = docs.sparkSession
-    small_batches(spark, 2000)
+    small_batches(spark)
     hits, found = fresh(docs, "hit_ranges", "hit_items")
     new = ["n_words", "n_hit", "items", "contaminated"]
     docs = docs.drop(*new)

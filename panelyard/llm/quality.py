@@ -142,7 +142,7 @@ def score(docs: DataFrame, labels: DataFrame, learn, label: str = "quality", id_
     """
     spark = docs.sparkSession
     docs = docs.drop(column)
-    small_batches(spark, 1000)
+    small_batches(spark)
     n, frequency = document_frequencies(docs, text)
     texts, ys, share = sample(docs, labels, label, learn, id_col, text, PER_CLASS, MAX_BYTES)
     sent = spark.sparkContext.broadcast(vars(Model(texts, ys, share, n, frequency)))

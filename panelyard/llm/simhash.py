@@ -139,7 +139,7 @@ def links(distinct: DataFrame) -> DataFrame:
     """One column of distinct fingerprints -> pairs (a, b) of fingerprints within THRESHOLD bits
     that connect exactly what all such pairs connect. A large group gives a spanning forest, not all pairs."""
     spark = distinct.sparkSession
-    small_batches(spark, 20_000)
+    small_batches(spark)
     held = distinct.mapInArrow(_anchored, "anchor long, fp long")
     dealt = held.repartition("anchor").sortWithinPartitions("anchor")
     return dealt.mapInArrow(_compared(THRESHOLD), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()

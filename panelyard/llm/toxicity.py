@@ -140,7 +140,7 @@ def score(docs: DataFrame, labels: DataFrame, learn, label: str = "toxic", id_co
     spark = docs.sparkSession
     made = ["score", "worst_start", "worst_end", "worst_score"]
     docs = docs.drop(*made)
-    small_batches(spark, 1000)
+    small_batches(spark)
     texts, ys, share = sample(docs, labels, label, learn, id_col, text, PER_CLASS, MAX_BYTES)
     sent = spark.sparkContext.broadcast(vars(Model(texts, ys, share)))
 
