@@ -14,7 +14,7 @@ from ..operators import returns as T
 from ..operators import shares as S
 from ..operators.variance import spearman
 from ..sources import views as V
-from .null_queries import DRAWS, _cases, _h
+from .null_queries import _DID, CELLS, DRAWS, _cases, _h
 from .panel_queries import _VINT, DEC_S, EXIT, UNI_C, R, dec_s
 from .price_queries import _DA, daily
 from .share_queries import _CAP, _CORR, flags
@@ -201,18 +201,26 @@ def v13(spark: SparkSession, d: str) -> DataFrame:
     return span.join(bad, "cik", "left").join(fl, "cik", "left").na.fill(0, ["n_disagree", "n_flags", "n_corroborated"])
 
 
-@query("r17_seed_sensitivity", None)
+SEEDS = range(5)
+
+
+def _seeded(seed: int) -> str:
+    """The differences of the last quarter under another seed of the match and of the draws."""
+    return f"select {seed} as seed, metric, obs, lo, hi from (" + _DID.replace("where k > -4 and v is not null", "where k = -1 and v is not null").replace("md5('0' ||", f"md5('{seed}' ||") + " select * from did)"
+
+
+@query("r17_seed_sensitivity", " union all ".join(map(_seeded, SEEDS)))
 def r17(spark: SparkSession, d: str) -> DataFrame:
-    """The matched draw under several seeds: revenue change over four quarters, cases less controls."""
+    """The matched draw under several seeds: changes over the quarters before the anchor, cases less controls."""
     cases, controls = _cases(spark, d)
     out = None
-    for seed in range(3):
+    for seed in SEEDS:
         pairs = M.matched_controls(cases, controls, ["qi", "tercile"], seed=seed).join(cases, "case_id")
         a = cases.select(F.concat(F.lit("a"), "case_id").alias("aid"), F.split("case_id", r"\|")[0].cast("long").alias("cik"), "qi", F.lit("a").alias("side"))
         b = pairs.select(F.concat_ws("|", F.lit("b"), "case_id", "control_id").alias("aid"), F.col("control_id").alias("cik"), "qi", F.lit("b").alias("side"))
         both = a.unionByName(b)
-        long = M.trajectories(both, V.panel_c(spark, d), ["revenue"], -4, -1).where("k = -1").join(both.select("aid", "side", "cik"), "aid")
-        gap = B.cluster_boot_diff(long, "change", "cik", "side", "mean", 20, seed).select(F.lit(seed).alias("seed"), R("obs", 6).alias("obs"), R("lo", 6).alias("lo"), R("hi", 6).alias("hi"))
+        long = M.trajectories(both, V.panel_c(spark, d), ["revenue", "n_orders"], -4, -1).where("k = -1").join(both.select("aid", "side", "cik"), "aid")
+        gap = B.cluster_boot_diff(long, "change", "cik", "side", "mean", CELLS, seed, by=["metric"]).select(F.lit(seed).alias("seed"), "metric", *(R(c, 6).alias(c) for c in ("obs", "lo", "hi")))
         out = gap if out is None else out.unionByName(gap)
     return out
 

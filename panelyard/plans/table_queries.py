@@ -479,3 +479,17 @@ def _placebo(spark: SparkSession, d: str, name: str, by: list[str]) -> DataFrame
     v = c.withColumn("ra", F.col("ya") * F.col("ya")).withColumn("rb", F.col("yb") * F.col("yb")).select("draw", F.expr(_SHAP).alias("v"))
     both = v.where("draw > 0").crossJoin(F.broadcast(v.where("draw = 0").select(F.col("v").alias("o"))))  # one row
     return both.agg(F.lit(name).alias("placebo"), R(F.max("o"), 8).alias("observed"), R(F.avg("v"), 8).alias("null_mean"), R(F.percentile("v", 0.95), 8).alias("null_p95"), R(mean(F.col("v") >= F.col("o")), 8).alias("at_or_above"))
+
+
+@query("v16b_bootstrap_of_two_blocks", DEC_S + f""", fr as (select cik, net_margin as y, operating_margin as a, gross_margin as b from dec), gi as (select grp, row_number() over (order by grp) - 1 as idx, count(*) over () as n from (select distinct cik as grp from fr)), pk as (select d as draw, {_h("'0'", 'd', 'idx')} % n as idx from gi, range(1, {DRAWS + 1}) t(d)), mu as (select draw, grp, count(*) as w from pk join gi using (idx) group by 1, 2),
+ m as (select draw, sum(w) n, sum(w * y) / sum(w) y1, sum(w * a) / sum(w) a1, sum(w * b) / sum(w) b1, sum(w * y * y) / sum(w) yy, sum(w * a * a) / sum(w) aa, sum(w * b * b) / sum(w) bb, sum(w * y * a) / sum(w) sya, sum(w * y * b) / sum(w) syb, sum(w * a * b) / sum(w) sab from fr join mu on mu.grp = fr.cik group by 1),
+ c as (select draw, (sya - y1 * a1) / sqrt((yy - y1 * y1) * (aa - a1 * a1)) ya, (syb - y1 * b1) / sqrt((yy - y1 * y1) * (bb - b1 * b1)) yb, (sab - a1 * b1) / sqrt((aa - a1 * a1) * (bb - b1 * b1)) ab from m union all select 0, corr(y, a), corr(y, b), corr(a, b) from fr),
+ s as (select draw, ya * ya as ra, yb * yb as rb, (ya * ya + yb * yb - 2 * ya * yb * ab) / (1 - ab * ab) as rab from c), l as (select draw, 'a' as block, (ra + rab - rb) / 2 as v from s union all select draw, 'b', (rb + rab - ra) / 2 from s)
+ select block, round(max(v) filter (where draw = 0), 8) as shapley, round(quantile_cont(v, 0.025) filter (where draw > 0), 8) as lo, round(quantile_cont(v, 0.975) filter (where draw > 0), 8) as hi from l group by 1""")
+def v16b_two(spark: SparkSession, d: str) -> DataFrame:
+    """Shapley shares of two single columns with whole-firm draws."""
+    from ..operators.variance import shapley_bootstrap
+
+    rows = shapley_bootstrap(dec_s(spark, d), "net_margin", {"a": ["operating_margin"], "b": ["gross_margin"]}, "cik", DRAWS)
+    q = lambda p: F.percentile(F.when(F.col("draw") > 0, F.col("shapley")), p)
+    return rows.groupBy("block").agg(R(F.max(F.when(F.col("draw") == 0, F.col("shapley"))), 8).alias("shapley"), R(q(0.025), 8).alias("lo"), R(q(0.975), 8).alias("hi"))
