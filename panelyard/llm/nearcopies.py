@@ -1,10 +1,12 @@
-"""Near copies among whole documents: MinHash banding, exact Jaccard, components.
-
-A fingerprint of 64 bits cannot serve a similarity of 0.8: such pairs differ in about ten bits,
-some in twenty, and that near lie also many pairs that share nothing. So candidates are the
-documents whose band signatures collide, with as many bands as find a pair at the threshold
-with the asked recall, and each candidate is verified by the exact Jaccard similarity of the
-sets of word shingles. Documents of equal words fall together by a 64-bit hash before that.
+"""SimHash near-dedup of a corpus at a Jaccard similarity of 0.8: candidates by fingerprints and by bands, exact Jaccard, components.
+
+The fingerprints and their links by anchor points are those of simhash.py, over five-word
+shingles. Within their 3 bits lie only the nearest copies: at a similarity of 0.8 two fingerprints
+differ in about ten bits of 64, some in twenty, and that near lie also many pairs that share
+nothing. So further candidates are the documents whose MinHash band signatures collide, with as
+many bands as find a pair at the threshold with the asked recall. Each candidate, of either kind,
+is verified by the exact Jaccard similarity of the sets of word shingles. Documents of equal words
+fall together by a 64-bit hash before that.
 """
 
 from __future__ import annotations
@@ -18,15 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
+from . import simhash
 from .common import durable, raw, small_batches
 from .components import components
-from .forest import forest
-from .paragraphs import _bitmap, _passing, bands, minima, unit_of
+from .paragraphs import _bitmap, _passing, bands, minima, near_links, unit_of
 from .simhash import keep_least
 
 SHINGLE, LEAST, RECALL, ROWS = 5, 0.8, 0.999, 4
-#: Documents and shingles that are compared in one task, on average; larger groups are compared block by block.
-BLOCK, BLOCK_SHINGLES = 2000, 1 << 19
 
 
 def hashes(words: list[bytes], size: int = SHINGLE) -> np.ndarray:
@@ -39,16 +39,19 @@ def hashes(words: list[bytes], size: int = SHINGLE) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, size: int, n_bands: int, rows: int = ROWS) -> DataFrame:
-    """(id, unit, sigs) of (id, text): the hash of a document's words and its band signatures. Null texts have no words."""
+    """(id, unit, fp, sigs) of (id, text): the hash of a document's words, the fingerprint of its shingles and
+    its band signatures. Null texts have no words; their fingerprint is zero."""
     salt = np.arange(1, n_bands + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
 
     def run(batches):
         for b in batches:
-            units, sigs = [], []
+            units, fps, sigs = [], [], []
             for t in raw(b, "text"):
                 words = (t or b"").lower().split()
                 units.append(unit_of(b" ".join(words)))
-                own = np.unique(hashes(words, size))
+                own = hashes(words, size)
+                fps.append(simhash.majority([own.byteswap().tobytes()]) if words else 0)
+                own = np.unique(own)
                 low = minima(own, np.array([len(own)]), n_bands * rows).reshape(n_bands, rows)
                 mixed = salt.copy()
                 for r in range(rows):
@@ -57,10 +60,10 @@ def signatures(docs: DataFrame, size: int, n_bands: int, rows: int = ROWS) -> Da
                 sigs.append(mixed.view(np.int64))
             flat = pa.array(np.concatenate(sigs) if sigs else np.empty(0, np.int64))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sigs) + 1) * n_bands, pa.int32()), flat)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(units, pa.int64()), lists], ["id", "unit", "sigs"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(units, pa.int64()), pa.array(fps, pa.int64()), lists], ["id", "unit", "fp", "sigs"])
 
     small_batches(docs.sparkSession)
-    return docs.mapInArrow(run, docs.select("id").schema.add("unit", "long").add("sigs", ArrayType(LongType())))
+    return docs.mapInArrow(run, docs.select("id").schema.add("unit", "long").add("fp", "long").add("sigs", ArrayType(LongType())))
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -84,51 +87,23 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     return made.groupBy("unit").agg(F.first("shingles").alias("shingles"))
 
 
-def _verify(least: float):
-    def run(table: pa.Table) -> pa.Table:
-        """Spanning links of one group (or two blocks of one): pairs with a Jaccard similarity of `least` or more."""
-        names = table.column("unit").to_numpy()
-        order = np.argsort(names)
-        names, held = names[order], table.column("shingles").to_pylist()
-        sets = [np.frombuffer(held[i], np.uint64) for i in order]
-        size = np.array([len(s) for s in sets])
-        flat = np.unique(np.concatenate(sets), return_inverse=True)[1]
-        starts = np.concatenate([[0], np.cumsum(size)])
-        mark = np.zeros(int(flat.max()) + 1, np.int64)
-
-        def near(i, others):
-            mark[:] = 0
-            mark[flat[starts[i] : starts[i + 1]]] = 1
-            shared = np.add.reduceat(mark[flat], starts[:-1])[others]
-            return shared >= least * (size[i] + size[others] - shared) - 1e-12
-
-        a, b = [], []
-        for i, found in forest(len(names), near):
-            a.append(np.full(len(found), names[i]))
-            b.append(names[found])
-        cat = lambda v: pa.array(np.concatenate(v) if v else np.empty(0, np.int64))
-        return pa.table({"a": cat(a), "b": cat(b)})
-
-    return run
+def fingerprint_groups(made: DataFrame) -> DataFrame:
+    """(sig, unit): units whose fingerprints link, each group under a signature of its own."""
+    held = durable(made.groupBy("unit").agg(F.min("fp").alias("fp")), "copies-fingerprints")
+    root = durable(components(simhash.links(held.select("fp").distinct()), "copies-fingerprints-cc"), "copies-fingerprint-roots")
+    grouped = held.join(root, held.fp == root.node, "left")
+    return grouped.select(F.xxhash64(F.lit("fingerprint"), F.coalesce("root", "fp")).alias("sig"), "unit")
 
 
 def links(docs: DataFrame, made: DataFrame, size: int, least: float) -> DataFrame:
     """(a, b) links between units that connect what all candidate pairs of similarity `least` or more connect."""
-    pairs = made.select("unit", F.explode("sigs").alias("sig")).select("sig", "unit")
+    pairs = made.select("unit", F.explode("sigs").alias("sig")).select("sig", "unit").union(fingerprint_groups(made))
     often = pairs.groupBy("sig").agg(F.min("unit").alias("x"), F.max("unit").alias("y")).where("x <> y").select("sig")
     often = durable(often, "copies-collisions")
     members = _passing(pairs, "sig", _bitmap(often)).join(often, "sig", "left_semi").distinct()
     members = durable(members, "copies-members")
     sets = durable(_sets(docs, members.select("unit").distinct(), size), "copies-sets")
-    sized = members.join(sets.select("unit", (F.octet_length("shingles") / 8).alias("n")), "unit")
-    # groups with the same members in several bands are compared once; large groups block by block
-    groups = sized.groupBy("sig").agg(F.count("*").alias("g"), F.sum("n").alias("n"), F.sum(F.xxhash64("unit") % (1 << 40)).alias("who"), F.min("unit").alias("x"))
-    parts = F.ceil(F.greatest(F.col("g") / BLOCK, F.col("n") / BLOCK_SHINGLES)).cast("int")
-    groups = groups.groupBy("g", "n", "who", "x").agg(F.min("sig").alias("sig")).select("sig", parts.alias("parts"))
-    dealt = members.join(groups, "sig").withColumn("block", F.pmod(F.xxhash64("unit"), F.col("parts")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    tasks = dealt.select("sig", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "unit").join(sets, "unit")
-    return tasks.groupBy("sig", "low", "high").applyInArrow(_verify(least), "a long, b long")
+    return near_links(members, sets, least)
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = SHINGLE, least: float = LEAST, recall: float = RECALL) -> DataFrame:

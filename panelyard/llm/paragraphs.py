@@ -25,8 +25,6 @@ runs, once for the shingles of colliding paragraphs and the words beside the spa
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -47,8 +45,8 @@ RUN_WORDS = ANCHOR_WINDOW = 25
 REACH = ANCHOR_WINDOW
 #: Bits of the filter that lets wanted units pass before the exact join; a bound on what is broadcast.
 FILTER_BITS = 1 << 25
-#: Colliding paragraphs and their packed bytes that are compared in one task; larger groups are compared block by block.
-BLOCK, BLOCK_BYTES = 2000, 1 << 20
+#: Colliding paragraphs and bytes of their shingles' hashes that are compared at once; larger groups are compared block by block.
+BLOCK, BLOCK_BYTES = 2000, 4 << 20
 #: Bytes whose words are hashed at once.
 PIECE = 1 << 18
 #: Tells the same run at different places apart.
@@ -280,7 +278,7 @@ def _hits(found: DataFrame, sent) -> DataFrame:
     return found.select("doc_id", "h", "runs").mapInArrow(run, f"unit long, doc_id {kind}, h long, k int")
 
 
-_LOOKED = ["unit", "words", "h", "k", "left", "word", "char", "beside"]
+_LOOKED = ["unit", "shingles", "h", "k", "left", "word", "char", "beside"]
 
 
 def _edge_key(unit, h, k, left):
@@ -288,13 +286,13 @@ def _edge_key(unit, h, k, left):
     return unit ^ h ^ (2 * k + left) * PLACE
 
 
-def _second_look(docs: DataFrame, text: str, paragraphs, edges) -> DataFrame:
-    """The words of paragraphs in the first bitmap (unit, words, packed), and the edges of runs in the
+def _second_look(docs: DataFrame, text: str, texts, paragraphs, edges) -> DataFrame:
+    """The shingles of paragraphs in the first bitmap (unit, sorted distinct hashes), and the edges of runs in the
     second (unit, h, k, left, word, char, beside): the edge's place in words and in code points, and the
-    text beside it, of REACH words at most."""
+    text beside it, of REACH words at most. Texts whose hash is not in `texts` have neither."""
 
     def run(batches):
-        wanted, places = (np.frombuffer(x.value, np.uint8) for x in (paragraphs, edges))
+        some, wanted, places = (np.frombuffer(x.value, np.uint8) for x in (texts, paragraphs, edges))
 
         def hit(mask, key):
             bit = np.mod(key, FILTER_BITS)
@@ -303,24 +301,27 @@ def _second_look(docs: DataFrame, text: str, paragraphs, edges) -> DataFrame:
         for b in batches:
             out, seen = [[] for _ in _LOOKED], set()
             for t in raw(b, text):
+                h = xxhash.xxh64_intdigest(t or b"", 42)
+                h = h - (1 << 64) if h >> 63 else h
+                if not some[(h % FILTER_BITS) >> 3] >> (h & 7) & 1:
+                    continue
                 own = Text(t or b"")
                 if len(own.starts) < RUN_WORDS:
                     continue
                 hashes = own.hashes()
-                parts = own.paragraphs()
+                parts, made = own.paragraphs(), None
                 name = _named(hashes, parts)[:, 0]
                 for i in hit(wanted, name):
                     u = int(name[i])
                     if u not in seen:
                         seen.add(u)
+                        made = joined(hashes) if made is None else made
                         out[0].append(u)
-                        out[1].append(zlib.compress(own.words(*parts[i]), 1))
+                        out[1].append(np.unique(made[parts[i][0] : parts[i][1] - SHINGLE + 1]).tobytes())
                         for column in out[2:]:
                             column.append(None)
                 at = anchors(hashes)
                 name, number = joined(hashes, at, RUN_WORDS).view(np.int64), np.arange(len(at))
-                h = xxhash.xxh64_intdigest(t, 42)
-                h = h - (1 << 64) if h >> 63 else h
                 for left in (1, 0):
                     held = hit(places, _edge_key(name, np.int64(h), number, left))
                     if not held or (h, left) in seen:
@@ -337,58 +338,63 @@ def _second_look(docs: DataFrame, text: str, paragraphs, edges) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], _LOOKED)
 
     small_batches(docs.sparkSession)
-    return docs.select(F.col(text).alias(text)).mapInArrow(run, "unit long, words binary, h long, k int, left boolean, word int, char int, beside binary")
-
+    return docs.select(F.col(text).alias(text)).mapInArrow(run, "unit long, shingles binary, h long, k int, left boolean, word int, char int, beside binary")
 
-def shingles(words: bytes) -> np.ndarray:
-    """Sorted distinct hashes of the shingles of packed words."""
-    return np.unique(joined(Text(zlib.decompress(words)).hashes()))
 
+def _spanning(names: np.ndarray, sets: list[np.ndarray], least: float):
+    """Links (a, b) of one group that connect what all its pairs of a Jaccard similarity of `least` or more connect."""
+    size = np.array([len(s) for s in sets])
+    if len(sets) == 2:
+        both = np.sort(np.concatenate(sets))
+        shared = int((both[1:] == both[:-1]).sum())
+        if shared >= least * (len(both) - shared) - 1e-12:
+            yield names[:1], names[1:]
+        return
+    flat = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    starts = np.cumsum(np.append(0, size))
+    mark = np.zeros(int(flat.max()) + 1, np.int64)
 
-def _verify(least: float):
-    def run(table: pa.Table) -> pa.Table:
-        """Spanning links of one group (or two blocks of one): pairs with a Jaccard similarity of `least` or more."""
-        names = table.column("unit").to_numpy()
-        order = np.argsort(names)
-        names, held = names[order], table.column("words").to_pylist()
-        sets = [shingles(held[i]) for i in order]
-        size = np.array([len(s) for s in sets])
-        flat = np.unique(np.concatenate(sets), return_inverse=True)[1]
-        starts = np.concatenate([[0], np.cumsum(size)])
-        mark = np.zeros(int(flat.max()) + 1, np.int64)
-
-        def near(i, others):
-            mark[:] = 0
-            mark[flat[starts[i] : starts[i + 1]]] = 1
-            shared = np.add.reduceat(mark[flat], starts[:-1])[others]
-            return shared >= least * (size[i] + size[others] - shared) - 1e-12
+    def near(i, others):
+        mine = flat[starts[i] : starts[i + 1]]
+        mark[mine] = 1
+        shared = np.add.reduceat(mark[flat], starts[:-1])[others]
+        mark[mine] = 0
+        return shared >= least * (size[i] + size[others] - shared) - 1e-12
 
-        a, b = [], []
-        for i, found in forest(len(names), near):
-            a.append(np.full(len(found), names[i]))
-            b.append(names[found])
-        cat = lambda v: pa.array(np.concatenate(v) if v else np.empty(0, np.int64))
-        return pa.table({"a": cat(a), "b": cat(b)})
+    for i, found in forest(len(names), near):
+        yield np.full(len(found), names[i]), names[found]
 
-    return run
 
+def _verify(least: float):
+    """Rows (sig, low, high, unit, shingles) in order of their groups -> spanning links (a, b) of each group."""
 
-def _alike(pairs: DataFrame, least: float) -> DataFrame:
-    """Of (a, b, x, y) pairs with their words the (a, b) whose Jaccard similarity is `least` or more. Rows come by b."""
+    def groups(batches):
+        key, units_, sets = None, [], []
+        for b in batches:
+            for *k, u, x in zip(*(b.column(c).to_pylist() for c in ("sig", "low", "high", "unit", "shingles")), strict=True):
+                if k != key:
+                    if len(units_) > 1:
+                        yield units_, sets
+                    key, units_, sets = k, [], []
+                units_.append(u)
+                sets.append(np.frombuffer(x, np.uint64))
+        if len(units_) > 1:
+            yield units_, sets
 
     def run(batches):
-        last, hub = None, None
-        for batch in batches:
-            fine = []
-            for b, x, y in zip(batch.column("b").to_pylist(), batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                if b != last:
-                    last, hub = b, shingles(y)
-                both = np.sort(np.concatenate([shingles(x), hub]))
-                shared = int((both[1:] == both[:-1]).sum())
-                fine.append(shared >= least * (len(both) - shared) - 1e-12)
-            yield batch.select(["a", "b"]).filter(pa.array(fine, pa.bool_()))
+        a, b = [], []
+        cat = lambda v: pa.array(np.concatenate([np.empty(0, np.int64), *v]))
+        for units_, sets in groups(batches):
+            order = sorted(range(len(units_)), key=units_.__getitem__)
+            for x, y in _spanning(np.array([units_[i] for i in order]), [sets[i] for i in order], least):
+                a.append(x)
+                b.append(y)
+            if len(a) > 5000:
+                yield pa.RecordBatch.from_arrays([cat(a), cat(b)], ["a", "b"])
+                a, b = [], []
+        yield pa.RecordBatch.from_arrays([cat(a), cat(b)], ["a", "b"])
 
-    return pairs.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return run
 
 
 def collisions(paragraphs: DataFrame) -> DataFrame:
@@ -398,38 +404,19 @@ def collisions(paragraphs: DataFrame) -> DataFrame:
     return durable(_passing(pairs, "sig", _bitmap(often)).join(often, "sig", "left_semi").distinct(), "passages-members")
 
 
-def near_roots(members: DataFrame, sets: DataFrame, least: float, name: str = "passages") -> DataFrame:
-    """(node, root) of the components over different units whose Jaccard similarity is `least` or more,
-    of (sig, unit) members and their (unit, words).
-
-    First each unit is compared with one other, the least of the group in most of its bands: copies
-    of one text, of which groups mostly consist, then share a root already. Only groups that still
-    hold several roots are compared as a whole, all with all where no link says otherwise."""
-    hub = members.groupBy("sig").agg(F.min("unit").alias("b"))
-    pairs = members.join(hub, "sig").where("unit <> b").groupBy(F.col("unit").alias("a"), "b").agg(F.count("*").alias("n"))
-    pairs = pairs.groupBy("a").agg(F.max_by("b", F.struct("n", "b")).alias("b"))
-    pairs = pairs.join(sets.select(F.col("unit").alias("a"), F.col("words").alias("x")), "a").join(sets.select(F.col("unit").alias("b"), F.col("words").alias("y")), "b")
-    near = durable(_alike(pairs, least), f"{name}-stars")
-    root = durable(components(near, f"{name}-cc"), f"{name}-roots")
-    held = members.join(root, members.unit == root.node, "left").select("sig", "unit", F.coalesce("root", "unit").alias("root"))
-    open_ = held.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("sig")
-    rest = durable(members.join(durable(open_, f"{name}-open"), "sig", "left_semi"), f"{name}-rest")
-    release(members.sparkSession, root)
-    more = near_links(rest, sets, least)
-    return components(durable(near.union(more), f"{name}-links"), f"{name}-cc")
-
-
 def near_links(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """(a, b) links that connect what all pairs of `least` or more within a group connect."""
+    """(a, b) links that connect what all pairs of a Jaccard similarity of `least` or more within a group
+    connect, of (sig, unit) members and their (unit, shingles)."""
     # groups with the same members in several bands are compared once; large groups block by block
-    sized = members.join(sets.select("unit", F.octet_length("words").alias("n")), "unit")
+    sized = members.join(sets.select("unit", F.octet_length("shingles").alias("n")), "unit")
     groups = sized.groupBy("sig").agg(F.count("*").alias("g"), F.sum("n").alias("n"), F.sum(F.xxhash64("unit") % (1 << 40)).alias("who"), F.min("unit").alias("x"))
     parts = F.ceil(F.greatest(F.col("g") / BLOCK, F.col("n") / BLOCK_BYTES)).cast("int")
     groups = groups.groupBy("g", "n", "who", "x").agg(F.min("sig").alias("sig")).select("sig", parts.alias("parts"))
     dealt = members.join(groups, "sig").withColumn("block", F.pmod(F.xxhash64("unit"), F.col("parts")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     tasks = dealt.select("sig", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "unit").join(sets, "unit")
-    return tasks.groupBy("sig", "low", "high").applyInArrow(_verify(least), "a long, b long")
+    key = ["sig", "low", "high"]
+    return tasks.repartition(*key).sortWithinPartitions(*key).select(*key, "unit", "shingles").mapInArrow(_verify(least), "a long, b long")
 
 
 def _judged(rows: DataFrame, place: list[str], carried: list[str]) -> DataFrame:
@@ -538,13 +525,14 @@ def _found(docs: DataFrame, id_col: str, text: str, least: float, recall: float)
     release(spark, hits)
     # all edges are looked at in their own text, and those of removals in the keeper's too
     theirs = edges.where("removed").select("unit", "left").distinct().join(keepers, "unit").select("unit", "keeper.h", "keeper.k", "left")
-    keys = edges.select("unit", "h", "k", "left").union(theirs).select(F.expr(f"unit ^ h ^ ((2L * k + int(left)) * {PLACE}L)").alias("key")).distinct()
+    keys = edges.select("unit", "h", "k", "left").union(theirs).select("h", F.expr(f"unit ^ h ^ ((2L * k + int(left)) * {PLACE}L)").alias("key")).distinct()
     keys = durable(keys, "passages-keys")
-    looked = durable(_second_look(docs, text, _bitmap(wanted), _bitmap(keys)), "passages-looked")
+    texts = keys.select("h").union(whole.join(wanted, "unit", "left_semi").select("h")).distinct()
+    looked = durable(_second_look(docs, text, _bitmap(texts), _bitmap(wanted), _bitmap(keys.select("key"))), "passages-looked")
     release(spark, keys)
-    sets = looked.where("words is not null").select("unit", "words").join(wanted, "unit", "left_semi")
-    sets = durable(sets.groupBy("unit").agg(F.first("words").alias("words")), "passages-sets")
-    root = durable(near_roots(members, sets, least), "passages-classes")
+    sets = looked.where("shingles is not null").select("unit", "shingles").join(wanted, "unit", "left_semi")
+    sets = durable(sets.groupBy("unit").agg(F.first("shingles").alias("shingles")), "passages-sets")
+    root = durable(components(near_links(members, sets, least), "passages-cc"), "passages-classes")
     release(spark, members, wanted, sets)
     # paragraphs: those with the first 64 bits of their keeper's hash but not the others go
     classed = whole.join(root, whole.unit == root.node, "left").withColumn("class_id", F.coalesce("root", "unit")).drop("node", "root")
@@ -554,7 +542,7 @@ def _found(docs: DataFrame, id_col: str, text: str, least: float, recall: float)
     columns = ["doc_id", "start", "end", "n_words", "class_id", "keeper_doc_id", "removed", "h", "twin"]
     judged = _judged(classed.withColumn("keeper_doc_id", F.col("keeper.doc_id")), ["at", "n_words"], ["start", "end", "class_id", "keeper_doc_id"]).select(columns)
     # passages inside other paragraphs; equal texts bring the same edge more than once
-    beside = looked.where("words is null").drop("words").dropDuplicates(["unit", "h", "k", "left"])
+    beside = looked.where("shingles is null").drop("shingles").dropDuplicates(["unit", "h", "k", "left"])
     return judged.unionByName(_extended(edges, keepers, beside).select(columns))
 
 

@@ -53,10 +53,16 @@ def fingerprint(text: bytes | None, shingle: int = 3) -> int:
     joined, n = b" ".join(words), max(1, len(words) - shingle + 1)
     ends = list(accumulate(len(w) + 1 for w in words))
     starts, last = [0, *ends], min(shingle, len(words)) - 1
-    counts, digest = np.zeros(BITS, np.int64), xxhash.xxh64_digest
-    for k in range(0, n, CHUNK):
-        hashes = b"".join([digest(joined[starts[i] : ends[i + last] - 1], SEED) for i in range(k, min(n, k + CHUNK))])
-        counts += np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    digest = xxhash.xxh64_digest
+    return majority(b"".join([digest(joined[starts[i] : ends[i + last] - 1], SEED) for i in range(k, min(n, k + CHUNK))]) for k in range(0, n, CHUNK))
+
+
+def majority(parts) -> int:
+    """The bits that are set in over half of the hashes, which come in parts of 8 bytes a hash, high byte first."""
+    counts, n = np.zeros(BITS, np.int64), 0
+    for part in parts:
+        bits = np.unpackbits(np.frombuffer(part, np.uint8).reshape(-1, 8), axis=1)
+        counts, n = counts + bits.sum(axis=0, dtype=np.int64), n + len(bits)
     return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big", signed=True)
 
 
@@ -177,11 +183,6 @@ def keep_least(docs: DataFrame, ids: DataFrame, id_col: str, text: str) -> DataF
     return once.unionByName(more).unionByName(docs.where(F.col(id_col).isNull()))
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5) -> DataFrame:
-    """Keep of each component the row with the smallest id, with all its columns; see keep_least."""
-    return keep_least(docs, classes(docs, id_col, text, shingle), id_col, text)
-
-
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract digest: doc_id, fingerprint (16 hex digits), component_id."""
     out = classes(read(spark, sf_dir, "documents"), shingle=3)

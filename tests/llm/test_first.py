@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from panelyard.llm import decontam, mixing, sharding, simhash
+from panelyard.llm import decontam, mixing, nearcopies, sharding, simhash
 from panelyard.llm.components import components
 
 SF = "/root/testdata/sf0.001"
@@ -117,8 +117,8 @@ def test_components(spark):
 def test_simhash_odd_rows(odd, none):
     got = sorted(map(tuple, simhash.classes(odd).select("id", "component_id").collect()), key=str)
     assert sorted(got, key=str) == sorted([(1, 1), (2, 1), (3, 1), (4, 4), (4, 4), (None, 4), (6, 6), (8, 6), (7, 7)], key=str)
-    assert simhash.classes(none).count() == 0 and simhash.dedup(none).count() == 0
-    kept = simhash.dedup(odd.withColumn("keeper", F.lit(1)).withColumn("fp", F.lit("x")))
+    assert simhash.classes(none).count() == 0 and nearcopies.dedup(none).count() == 0
+    kept = nearcopies.dedup(odd.withColumn("keeper", F.lit(1)).withColumn("fp", F.lit("x")))
     assert kept.columns == [*odd.columns, "keeper", "fp"]
     assert sorted((str(r.doc_id) for r in kept.collect())) == ["1", "4", "6", "7", "None"]
 
