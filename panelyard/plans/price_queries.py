@@ -220,14 +220,10 @@ def w4(spark: SparkSession, d: str) -> DataFrame:
 
 @query("j22_panel_row_in_force", V.with_views("panel_s", "event_days") + """ select e.event_id, p.as_of_date, p.fiscal_year, p.altman_z from event_days e asof left join panel_s p on e.ticker = p.ticker and e.day > p.as_of_date""")
 def j22(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
     p = V.panel_s(spark, d)
-    rows = p.select("ticker", F.col("as_of_date").alias("d"), F.lit(1).alias("tag"), F.struct("as_of_date", "fiscal_year", "altman_z").alias("row"), F.lit(None).cast("string").alias("event_id")).unionByName(
-        V.event_days(spark, d).select("ticker", F.col("day").alias("d"), F.lit(0).alias("tag"), F.lit(None).cast("struct<as_of_date:date,fiscal_year:int,altman_z:double>").alias("row"), "event_id")
-    )
-    w = Window.partitionBy("ticker").orderBy("d", "tag").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("hit", F.last("row", ignorenulls=True).over(w)).where("event_id is not null").select("event_id", "hit.*")
+    days = A.positioned(p.select("ticker", F.col("as_of_date").alias("date"), F.lit(0.0).alias("close")))
+    last = A.lookup(days, V.event_days(spark, d), "day", "<").select("event_id", "ticker", F.col("date").alias("as_of_date"))
+    return last.join(p.select("ticker", "as_of_date", "fiscal_year", "altman_z"), ["ticker", "as_of_date"], "left").drop("ticker")
 
 
 @query("u2_symbol_reuse", V.with_views("panel_s", "bars") + """, ended as (select ticker, max(listed_until) lu from panel_s where listed_until is not null group by 1) select e.ticker, count(*) as bars_after from ended e join bars b on b.ticker = e.ticker and b.date > lu group by 1""")
