@@ -32,4 +32,4 @@ def number(c: Column) -> Column:
 
 def naive_date(stamp: Column) -> Column:
     """The date of a UTC timestamp text, whatever the session's time zone; null for other texts."""
-    return F.to_date(F.try_to_timestamp(F.regexp_extract(stamp, r"^([0-9]{4}-[0-9]{2}-[0-9]{2})[T ][0-9:.]+(Z|\\+00:?00)?$", 1), F.lit("yyyy-MM-dd")))
+    return F.to_date(F.try_to_timestamp(F.regexp_extract(stamp, r"^([0-9]{4}-[0-9]{2}-[0-9]{2})[T ][0-9:.]+(Z|\+00:?00)?$", 1), F.lit("yyyy-MM-dd")))

@@ -115,7 +115,7 @@ def a33_lag(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("w2b_snapshot_terciles", V.with_views("panel_c") + """, r as (select cik, as_of_date, row_number() over (partition by as_of_date order by revenue, cik) as r, count(*) over (partition by as_of_date) as n from panel_c where is_listed_equity and revenue > 0)
- select cik, as_of_date, (case when n < 3 then 2 else 1 + (3 * (r - 1) > n - 1)::int + (3 * (r - 1) > 2 * (n - 1))::int end)::int as tercile from r""")
+ select cik, as_of_date, (case when n < 3 then 2 else 1 + (3 * (r - 1) >= n - 1)::int + (3 * (r - 1) >= 2 * (n - 1))::int end)::int as tercile from r""")
 def w2b(spark: SparkSession, d: str) -> DataFrame:
     listed = V.panel_c(spark, d).where("is_listed_equity and revenue > 0")
     return P.rank_terciles(listed, "revenue", ["as_of_date"], ["cik"]).select("cik", "as_of_date", "tercile")
