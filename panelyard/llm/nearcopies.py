@@ -67,7 +67,7 @@ def signatures(docs: DataFrame, size: int, n_bands: int, rows: int = ROWS) -> Da
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(unit, shingles) of the wanted documents' words: the sorted distinct hashes as bytes."""
+    """(unit, packed) of the wanted documents' words: the sorted distinct hashes of their shingles as bytes."""
     sent = _bitmap(wanted)
 
     def run(batches):
@@ -80,11 +80,11 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
                 at = u % (len(mask) << 3)
                 if mask[at >> 3] >> (at & 7) & 1 and u not in found:
                     found[u] = np.unique(hashes(words, size)).tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())], ["unit", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())], ["unit", "packed"])
 
     small_batches(docs.sparkSession)
-    made = docs.select("text").mapInArrow(run, "unit long, shingles binary").join(wanted, "unit", "left_semi")
-    return made.groupBy("unit").agg(F.first("shingles").alias("shingles"))
+    made = docs.select("text").mapInArrow(run, "unit long, packed binary").join(wanted, "unit", "left_semi")
+    return made.groupBy("unit").agg(F.first("packed").alias("packed"))
 
 
 def fingerprint_groups(made: DataFrame) -> DataFrame:
@@ -103,7 +103,7 @@ def links(docs: DataFrame, made: DataFrame, size: int, least: float) -> DataFram
     members = _passing(pairs, "sig", _bitmap(often)).join(often, "sig", "left_semi").distinct()
     members = durable(members, "copies-members")
     sets = durable(_sets(docs, members.select("unit").distinct(), size), "copies-sets")
-    return near_links(members, sets, least)
+    return near_links(members, sets, least, lambda packed: np.frombuffer(packed, np.uint64))
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = SHINGLE, least: float = LEAST, recall: float = RECALL) -> DataFrame:

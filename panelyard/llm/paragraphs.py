@@ -20,11 +20,13 @@ sentence) are left alone.
 Paragraphs fall together by 64 bits of a hash of their words, and are held equal only if 64 more
 bits agree. Runs fall together by 64 bits; a span needs MIN_WORDS words, more than a run has, and
 those beside its runs are compared as words. Each text is read twice: once for signatures and
-runs, once for the shingles of colliding paragraphs and the words beside the spans.
+runs, once for the words of colliding paragraphs and those beside the spans.
 """
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -45,8 +47,8 @@ RUN_WORDS = ANCHOR_WINDOW = 25
 REACH = ANCHOR_WINDOW
 #: Bits of the filter that lets wanted units pass before the exact join; a bound on what is broadcast.
 FILTER_BITS = 1 << 25
-#: Colliding paragraphs and bytes of their shingles' hashes that are compared at once; larger groups are compared block by block.
-BLOCK, BLOCK_BYTES = 2000, 4 << 20
+#: Colliding paragraphs and their packed bytes that are compared at once; larger groups are compared block by block.
+BLOCK, BLOCK_BYTES = 2000, 2 << 20
 #: Bytes whose words are hashed at once.
 PIECE = 1 << 18
 #: Tells the same run at different places apart.
@@ -278,7 +280,7 @@ def _hits(found: DataFrame, sent) -> DataFrame:
     return found.select("doc_id", "h", "runs").mapInArrow(run, f"unit long, doc_id {kind}, h long, k int")
 
 
-_LOOKED = ["unit", "shingles", "h", "k", "left", "word", "char", "beside"]
+_LOOKED = ["unit", "packed", "h", "k", "left", "word", "char", "beside"]
 
 
 def _edge_key(unit, h, k, left):
@@ -287,7 +289,7 @@ def _edge_key(unit, h, k, left):
 
 
 def _second_look(docs: DataFrame, text: str, texts, paragraphs, edges) -> DataFrame:
-    """The shingles of paragraphs in the first bitmap (unit, sorted distinct hashes), and the edges of runs in the
+    """The words of paragraphs in the first bitmap (unit, packed), and the edges of runs in the
     second (unit, h, k, left, word, char, beside): the edge's place in words and in code points, and the
     text beside it, of REACH words at most. Texts whose hash is not in `texts` have neither."""
 
@@ -309,15 +311,14 @@ def _second_look(docs: DataFrame, text: str, texts, paragraphs, edges) -> DataFr
                 if len(own.starts) < RUN_WORDS:
                     continue
                 hashes = own.hashes()
-                parts, made = own.paragraphs(), None
+                parts = own.paragraphs()
                 name = _named(hashes, parts)[:, 0]
                 for i in hit(wanted, name):
                     u = int(name[i])
                     if u not in seen:
                         seen.add(u)
-                        made = joined(hashes) if made is None else made
                         out[0].append(u)
-                        out[1].append(np.unique(made[parts[i][0] : parts[i][1] - SHINGLE + 1]).tobytes())
+                        out[1].append(zlib.compress(own.words(*parts[i]), 1))
                         for column in out[2:]:
                             column.append(None)
                 at = anchors(hashes)
@@ -338,7 +339,7 @@ def _second_look(docs: DataFrame, text: str, texts, paragraphs, edges) -> DataFr
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], _LOOKED)
 
     small_batches(docs.sparkSession)
-    return docs.select(F.col(text).alias(text)).mapInArrow(run, "unit long, shingles binary, h long, k int, left boolean, word int, char int, beside binary")
+    return docs.select(F.col(text).alias(text)).mapInArrow(run, "unit long, packed binary, h long, k int, left boolean, word int, char int, beside binary")
 
 
 def _spanning(names: np.ndarray, sets: list[np.ndarray], least: float):
@@ -365,19 +366,24 @@ def _spanning(names: np.ndarray, sets: list[np.ndarray], least: float):
         yield np.full(len(found), names[i]), names[found]
 
 
-def _verify(least: float):
-    """Rows (sig, low, high, unit, shingles) in order of their groups -> spanning links (a, b) of each group."""
+def shingles(packed: bytes) -> np.ndarray:
+    """Sorted distinct hashes of the shingles of packed words."""
+    return np.unique(joined(Text(zlib.decompress(packed)).hashes()))
+
+
+def _verify(least: float, unpack):
+    """Rows (sig, low, high, unit, packed) in order of their groups -> spanning links (a, b) of each group."""
 
     def groups(batches):
         key, units_, sets = None, [], []
         for b in batches:
-            for *k, u, x in zip(*(b.column(c).to_pylist() for c in ("sig", "low", "high", "unit", "shingles")), strict=True):
+            for *k, u, x in zip(*(b.column(c).to_pylist() for c in ("sig", "low", "high", "unit", "packed")), strict=True):
                 if k != key:
                     if len(units_) > 1:
                         yield units_, sets
                     key, units_, sets = k, [], []
                 units_.append(u)
-                sets.append(np.frombuffer(x, np.uint64))
+                sets.append(unpack(x))
         if len(units_) > 1:
             yield units_, sets
 
@@ -404,11 +410,12 @@ def collisions(paragraphs: DataFrame) -> DataFrame:
     return durable(_passing(pairs, "sig", _bitmap(often)).join(often, "sig", "left_semi").distinct(), "passages-members")
 
 
-def near_links(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+def near_links(members: DataFrame, sets: DataFrame, least: float, unpack) -> DataFrame:
     """(a, b) links that connect what all pairs of a Jaccard similarity of `least` or more within a group
-    connect, of (sig, unit) members and their (unit, shingles)."""
+    connect, of (sig, unit) members and their (unit, packed), from which `unpack` has the sorted distinct
+    hashes of the shingles."""
     # groups with the same members in several bands are compared once; large groups block by block
-    sized = members.join(sets.select("unit", F.octet_length("shingles").alias("n")), "unit")
+    sized = members.join(sets.select("unit", F.octet_length("packed").alias("n")), "unit")
     groups = sized.groupBy("sig").agg(F.count("*").alias("g"), F.sum("n").alias("n"), F.sum(F.xxhash64("unit") % (1 << 40)).alias("who"), F.min("unit").alias("x"))
     parts = F.ceil(F.greatest(F.col("g") / BLOCK, F.col("n") / BLOCK_BYTES)).cast("int")
     groups = groups.groupBy("g", "n", "who", "x").agg(F.min("sig").alias("sig")).select("sig", parts.alias("parts"))
@@ -416,7 +423,7 @@ def near_links(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     tasks = dealt.select("sig", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "unit").join(sets, "unit")
     key = ["sig", "low", "high"]
-    return tasks.repartition(*key).sortWithinPartitions(*key).select(*key, "unit", "shingles").mapInArrow(_verify(least), "a long, b long")
+    return tasks.repartition(*key).sortWithinPartitions(*key).select(*key, "unit", "packed").mapInArrow(_verify(least, unpack), "a long, b long")
 
 
 def _judged(rows: DataFrame, place: list[str], carried: list[str]) -> DataFrame:
@@ -530,9 +537,9 @@ def _found(docs: DataFrame, id_col: str, text: str, least: float, recall: float)
     texts = keys.select("h").union(whole.join(wanted, "unit", "left_semi").select("h")).distinct()
     looked = durable(_second_look(docs, text, _bitmap(texts), _bitmap(wanted), _bitmap(keys.select("key"))), "passages-looked")
     release(spark, keys)
-    sets = looked.where("shingles is not null").select("unit", "shingles").join(wanted, "unit", "left_semi")
-    sets = durable(sets.groupBy("unit").agg(F.first("shingles").alias("shingles")), "passages-sets")
-    root = durable(components(near_links(members, sets, least), "passages-cc"), "passages-classes")
+    sets = looked.where("packed is not null").select("unit", "packed").join(wanted, "unit", "left_semi")
+    sets = durable(sets.groupBy("unit").agg(F.first("packed").alias("packed")), "passages-words")
+    root = durable(components(near_links(members, sets, least, shingles), "passages-cc"), "passages-classes")
     release(spark, members, wanted, sets)
     # paragraphs: those with the first 64 bits of their keeper's hash but not the others go
     classed = whole.join(root, whole.unit == root.node, "left").withColumn("class_id", F.coalesce("root", "unit")).drop("node", "root")
@@ -542,7 +549,7 @@ def _found(docs: DataFrame, id_col: str, text: str, least: float, recall: float)
     columns = ["doc_id", "start", "end", "n_words", "class_id", "keeper_doc_id", "removed", "h", "twin"]
     judged = _judged(classed.withColumn("keeper_doc_id", F.col("keeper.doc_id")), ["at", "n_words"], ["start", "end", "class_id", "keeper_doc_id"]).select(columns)
     # passages inside other paragraphs; equal texts bring the same edge more than once
-    beside = looked.where("shingles is null").drop("shingles").dropDuplicates(["unit", "h", "k", "left"])
+    beside = looked.where("packed is null").drop("packed").dropDuplicates(["unit", "h", "k", "left"])
     return judged.unionByName(_extended(edges, keepers, beside).select(columns))
 
 
