@@ -42,3 +42,19 @@ def test_stage_on_the_table_is_brute_force_jaccard(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.orderBy("doc_id").collect()]
     assert {r.doc_id for r in cp.drop_near_copies(spark, docs, SF).collect()} == _kept(rows)[0]
+
+
+def test_stage_on_a_larger_table(spark):
+    """Every link, of exact and edited copies, on the table with planted ones: pairs met by a common shingle."""
+    sf = SF.replace("0.001", "0.01")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.orderBy("doc_id").collect()]
+    sets, holders = [_set(t) for _, t in rows], {}
+    for i, own in enumerate(sets):
+        for x in own:
+            holders.setdefault(x, []).append(i)
+    near = {(i, j) for own in holders.values() for i in own for j in own if j < i}
+    pairs = [(i, j) for i, j in near if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    want = {rows[r][0] for r in _roots(len(rows), pairs)}
+    kept = {r.doc_id for r in cp.drop_near_copies(spark, docs, sf).collect()}
+    assert want <= kept and len(kept - want) <= 0.01 * (len(rows) - len(want)) and len(pairs) > 50

@@ -3,13 +3,14 @@
 from collections import Counter, defaultdict
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
-from panelyard.llm import decontam, mixing, simhash, toxicity
+from panelyard.llm import decontam, mixing, nearcopies, toxicity
 from panelyard.llm.labelled import fold
 
-from .test_first import ODD, SCHEMA, _fingerprint, _hits, _roots
+from .test_first import ODD, SCHEMA, _ascii_lower, _hits, _roots
 
 SF = "/root/testdata/sf0.001"
 
@@ -30,14 +31,31 @@ def test_toxicity_stage(spark, docs):
     assert kept == {r.doc_id for r in scored if r.score < 0.5} and 0 < len(kept) <= len(scored)
 
 
-def test_near_copy_stage(spark, docs, monkeypatch):
-    rows = docs.orderBy("doc_id").collect()
-    kept = {r.doc_id for r in cp.drop_near_copies(spark, docs, SF).collect()}
-    ids = simhash.classes(docs, shingle=5).collect()
-    fps = {r.id: r.fp & (1 << 64) - 1 for r in ids}
-    order = [r.doc_id for r in rows]
-    roots = _roots(len(order), [(i, j) for i in range(len(order)) for j in range(i) if (fps[order[i]] ^ fps[order[j]]).bit_count() <= 3])
-    assert kept == {order[r] for r in roots}
+def test_fingerprints_make_candidates_of_the_near_copy_stage(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = docs.orderBy("doc_id").select(F.col("doc_id").alias("id"), "text")
+    made = nearcopies.signatures(rows, 5, 2).collect()
+    texts = {r.id: r.text for r in rows.collect()}
+    assert len(made) == len(texts)
+
+    def plain(text):
+        w = _ascii_lower(text or "").encode().split()
+        h = [xxhash.xxh64_intdigest(b" ".join(w[i : i + 5])) for i in range(max(1, len(w) - 4))] if w else []
+        return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+    fps = {r.id: plain(texts[r.id]) for r in made}
+    assert {r.id: r.fp & (1 << 64) - 1 for r in made} == fps
+    units = {}
+    for r in made:
+        units.setdefault(r.unit, fps[r.id])
+    order = sorted(units)
+    roots = _roots(len(order), [(i, j) for i in range(len(order)) for j in range(i) if (units[order[i]] ^ units[order[j]]).bit_count() <= 3])
+    want, got = defaultdict(set), defaultdict(set)
+    for u, r in zip(order, roots, strict=True):
+        want[r].add(u)
+    for r in nearcopies.fingerprint_groups(nearcopies.signatures(rows, 5, 2)).collect():
+        got[r.sig].add(r.unit)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values())) and len(want) < len(order)
 
 
 def test_decontamination_stage(spark, docs):
