@@ -65,7 +65,7 @@ def raw(batch: pa.RecordBatch, column: str) -> list:
 
 
 #: Bytes of an Arrow batch: small enough for tables with very long texts, large enough for narrow rows.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -45,8 +45,9 @@ MIN_WORDS = 40
 RUN_WORDS = ANCHOR_WINDOW = 25
 #: Words beside a run that may belong to its passage: with more, there would be a further anchor.
 REACH = ANCHOR_WINDOW
-#: Bits of the filter that lets wanted units pass before the exact join; a bound on what is broadcast.
-FILTER_BITS = 1 << 25
+#: Bits of the filters that let wanted keys pass before an exact join, as powers of two: at least, and at
+#: most, which bounds what is broadcast to 128 MB; in between, eight or more a key.
+LEAST_BITS, MOST_BITS = 25, 30
 #: Colliding paragraphs and their packed bytes that are compared at once; larger groups are compared block by block.
 BLOCK, BLOCK_BYTES = 2000, 2 << 20
 #: Bytes whose words are hashed at once.
@@ -239,14 +240,21 @@ def units(docs: DataFrame, id_col: str, text: str, n_bands: int, rows: int = ROW
 
 
 def _bitmap(keys: DataFrame):
-    """A broadcast bitmap of a column of 64-bit hashes. Its size is fixed; it lets through all of
-    them and few others, so that an exact join after it shuffles little."""
-    at = F.pmod(F.col(keys.columns[0]), F.lit(FILTER_BITS)) + 1
+    """A broadcast bitmap of a column of 64-bit hashes. It lets through all of them and, up to 130 million
+    keys, few others, so that an exact join after it shuffles little; its size is bounded."""
+    bits = 1 << min(MOST_BITS, max(LEAST_BITS, (8 * keys.count()).bit_length()))
+    at = F.pmod(F.col(keys.columns[0]), F.lit(bits)) + 1
     parts = keys.groupBy(F.bitmap_bucket_number(at).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
-    bits = bytearray(FILTER_BITS >> 3)
+    held = bytearray(bits >> 3)
     for r in parts.toLocalIterator():  # 4 kB each
-        bits[(r.part - 1) << 12 : r.part << 12] = r.bits
-    return keys.sparkSession.sparkContext.broadcast(bytes(bits))
+        held[(r.part - 1) << 12 : r.part << 12] = r.bits
+    return keys.sparkSession.sparkContext.broadcast(bytes(held))
+
+
+def _among(mask: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which keys may be in a bitmap."""
+    bit = np.mod(keys, len(mask) << 3)
+    return (mask[bit >> 3] >> (bit & 7) & 1).astype(bool)
 
 
 def _passing(rows: DataFrame, col: str, sent) -> DataFrame:
@@ -256,8 +264,7 @@ def _passing(rows: DataFrame, col: str, sent) -> DataFrame:
     def run(batches):
         mask = np.frombuffer(sent.value, np.uint8)
         for b in batches:
-            bit = np.mod(b.column(at).to_numpy(zero_copy_only=False), FILTER_BITS)
-            yield b.filter(pa.array((mask[bit >> 3] >> (bit & 7) & 1).astype(bool)))
+            yield b.filter(pa.array(_among(mask, b.column(at).to_numpy(zero_copy_only=False))))
 
     return rows.mapInArrow(run, rows.schema)
 
@@ -271,8 +278,7 @@ def _hits(found: DataFrame, sent) -> DataFrame:
             runs = b.column("runs")
             unit, sizes = runs.flatten().to_numpy(zero_copy_only=False), np.diff(runs.offsets.to_numpy())
             row, first = np.repeat(np.arange(len(sizes)), sizes), np.repeat(np.cumsum(sizes) - sizes, sizes)
-            bit = np.mod(unit, FILTER_BITS)
-            hit = np.flatnonzero(mask[bit >> 3] >> (bit & 7) & 1)
+            hit = np.flatnonzero(_among(mask, unit))
             k = pa.array((hit - first[hit]).astype(np.int32))
             yield pa.RecordBatch.from_arrays([pa.array(unit[hit]), b.column("doc_id").take(pa.array(row[hit])), b.column("h").take(pa.array(row[hit])), k], ["unit", "doc_id", "h", "k"])
 
@@ -296,16 +302,12 @@ def _second_look(docs: DataFrame, text: str, texts, paragraphs, edges) -> DataFr
     def run(batches):
         some, wanted, places = (np.frombuffer(x.value, np.uint8) for x in (texts, paragraphs, edges))
 
-        def hit(mask, key):
-            bit = np.mod(key, FILTER_BITS)
-            return np.flatnonzero(mask[bit >> 3] >> (bit & 7) & 1).tolist()
-
         for b in batches:
             out, seen = [[] for _ in _LOOKED], set()
             for t in raw(b, text):
                 h = xxhash.xxh64_intdigest(t or b"", 42)
                 h = h - (1 << 64) if h >> 63 else h
-                if not some[(h % FILTER_BITS) >> 3] >> (h & 7) & 1:
+                if not _among(some, np.array([h]))[0]:
                     continue
                 own = Text(t or b"")
                 if len(own.starts) < RUN_WORDS:
@@ -313,7 +315,7 @@ def _second_look(docs: DataFrame, text: str, texts, paragraphs, edges) -> DataFr
                 hashes = own.hashes()
                 parts = own.paragraphs()
                 name = _named(hashes, parts)[:, 0]
-                for i in hit(wanted, name):
+                for i in np.flatnonzero(_among(wanted, name)).tolist():
                     u = int(name[i])
                     if u not in seen:
                         seen.add(u)
@@ -324,7 +326,7 @@ def _second_look(docs: DataFrame, text: str, texts, paragraphs, edges) -> DataFr
                 at = anchors(hashes)
                 name, number = joined(hashes, at, RUN_WORDS).view(np.int64), np.arange(len(at))
                 for left in (1, 0):
-                    held = hit(places, _edge_key(name, np.int64(h), number, left))
+                    held = np.flatnonzero(_among(places, _edge_key(name, np.int64(h), number, left))).tolist()
                     if not held or (h, left) in seen:
                         continue
                     seen.add((h, left))
@@ -534,9 +536,9 @@ def _found(docs: DataFrame, id_col: str, text: str, least: float, recall: float)
     theirs = edges.where("removed").select("unit", "left").distinct().join(keepers, "unit").select("unit", "keeper.h", "keeper.k", "left")
     keys = edges.select("unit", "h", "k", "left").union(theirs).select("h", F.expr(f"unit ^ h ^ ((2L * k + int(left)) * {PLACE}L)").alias("key")).distinct()
     keys = durable(keys, "passages-keys")
-    texts = keys.select("h").union(whole.join(wanted, "unit", "left_semi").select("h")).distinct()
+    texts = durable(keys.select("h").union(whole.join(wanted, "unit", "left_semi").select("h")).distinct(), "passages-texts")
     looked = durable(_second_look(docs, text, _bitmap(texts), _bitmap(wanted), _bitmap(keys.select("key"))), "passages-looked")
-    release(spark, keys)
+    release(spark, keys, texts)
     sets = looked.where("packed is not null").select("unit", "packed").join(wanted, "unit", "left_semi")
     sets = durable(sets.groupBy("unit").agg(F.first("packed").alias("packed")), "passages-words")
     root = durable(components(near_links(members, sets, least, shingles), "passages-cc"), "passages-classes")
