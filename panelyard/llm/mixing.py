@@ -103,16 +103,18 @@ def mix(docs: DataFrame, size: Column, source: str = "source", seed: int = SEED,
     """
     names = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies")]
     docs = docs.select(*(c for c in names), size.alias("size"))
-    p, more, key, group = fresh(docs, "p", "whole", "unit_key", "block_no")
+    p, more, key, group, own, extra = fresh(docs, "p", "whole", "unit_key", "block_no", "own_source", "extra")
     per = durable(targets(docs.select(F.col(source).alias("source"), "size"), weights, cap), "mix-targets")
     largest = per.agg(F.max("n_docs")).first()[0] or 0
     ratio = F.least(F.coalesce(F.try_divide("target", F.col("source_size").cast("double")), F.lit(0.0)), F.lit(cap))
     whole = F.floor(ratio + F.lit(_EPS))
-    per = per.withColumn(more, whole.cast("int")).withColumn(p, F.greatest(ratio - whole, F.lit(0.0))).withColumnRenamed("source", key)
-    units = docs.join(F.broadcast(per) if per.count() <= 100_000 else per, F.col(source).eqNullSafe(F.col(key))).drop(key)
-    units = units.withColumn(p, F.when((F.col("size") == 0) | (F.col(p) < _EPS), 0.0).otherwise(F.col(p)))
+    per = per.withColumn(more, whole.cast("int")).withColumn(p, F.greatest(ratio - whole, F.lit(0.0))).withColumnRenamed("source", own)
+    sized = docs.join(F.broadcast(per) if per.count() <= 100_000 else per, F.col(source).eqNullSafe(F.col(own))).drop(own)
+    sized = sized.withColumn(p, F.when((F.col("size") == 0) | (F.col(p) < _EPS), 0.0).otherwise(F.col(p)))
     flat = [f.name for f in docs.schema if f.dataType.typeName() not in ("map", "variant", "array", "struct")]
-    units = units.withColumn(key, F.xxhash64(F.lit(seed), *flat))
+    sized = sized.withColumn(key, F.xxhash64(F.lit(seed), *flat))
+    # the flight needs a row's source, size and probability; what else it holds stays where it is
+    units = sized.select(source, "size", "n_docs", p, key)
     schema = units.withColumn(group, F.lit(0).cast("int")).schema
     # blocks of a source by hash; at each next level two units of each block are left at most
     sizes, done, open_, level = [], [], units, 0
@@ -145,8 +147,12 @@ def mix(docs: DataFrame, size: Column, source: str = "source", seed: int = SEED,
     result = done[0]
     for d in done[1:]:
         result = result.unionByName(d)
-    copies = F.when(F.col("size") == 0, 0).otherwise(F.col(more) + F.col(p).cast("int")).cast("int")
-    return result.select(*names, "size", "source_size", "target", copies.alias("copies"))
+    # rows with one key are equal: as many of them as the flight took have a copy more
+    taken = result.groupBy(key).agg(F.sum(p).cast("int").alias(extra))
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(key))
+    out = sized.join(taken, key).withColumn(extra, (rank <= F.col(extra)).cast("int"))
+    copies = F.when(F.col("size") == 0, 0).otherwise(F.col(more) + F.col(extra)).cast("int")
+    return out.select(*names, "size", "source_size", "target", copies.alias("copies"))
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
