@@ -37,18 +37,29 @@ def indexed(groups: DataFrame, col: str) -> DataFrame:
     return own.withColumn("idx", F.row_number().over(Window.partitionBy("least").orderBy("grp")) - 1 + F.col("first")).select("grp", "idx", "n")
 
 
+def _slots(own: DataFrame, draws: int, seed: int) -> DataFrame:
+    """(draw, idx): the group that each slot of each draw picks."""
+    each = own.select(F.col("idx").alias("slot"), "n", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(draws).cast("long"))).alias("draw"))
+    return each.select("draw", F.pmod(draw(F.lit(seed), "draw", "slot"), F.col("n")).alias("idx"))
+
+
 def multiplicities(groups: DataFrame, col: str, draws: int, seed: int = 0) -> DataFrame:
     """(draw, grp, w) for draws 1..draws; groups that a draw leaves out have no row."""
     own = indexed(groups, col)
-    slots = own.select("idx", "n").select(F.col("idx").alias("slot"), "n", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(draws).cast("long"))).alias("draw")).withColumn("idx", F.pmod(draw(F.lit(seed), "draw", "slot"), F.col("n")))
-    picked = slots.groupBy("draw", "idx").agg(F.count("*").alias("w"))
+    picked = _slots(own, draws, seed).groupBy("draw", "idx").agg(F.count("*").alias("w"))
     return picked.join(own.select("idx", "grp"), "idx").select("draw", "grp", "w")
 
 
-def _sums(rows: DataFrame, m: DataFrame, keys: list[str], values: list[str], draws: int) -> DataFrame:
+def picks(groups: DataFrame, col: str, draws: int, seed: int = 0) -> DataFrame:
+    """(grp, picks): the same with one row a group, its draws and multiplicities as an array; slots are dealt once, by group."""
+    own = indexed(groups, col)
+    per = _slots(own, draws, seed).repartition("idx").groupBy("idx", "draw").agg(F.count("*").alias("w"))
+    return per.groupBy("idx").agg(F.collect_list(F.struct("draw", "w")).alias("picks")).join(own.select("idx", "grp"), "idx").select("grp", "picks")
+
+
+def _sums(rows: DataFrame, arrays: DataFrame, keys: list[str], values: list[str], draws: int) -> DataFrame:
     """(keys..., draw, values...): per draw the sums of each value times its group's multiplicity;
-    rows (keys..., grp, values...)."""
-    arrays = m.groupBy("grp").agg(F.collect_list(F.struct("draw", "w")).alias("picks"))
+    rows (keys..., grp, values...), arrays as from picks()."""
     held = rows.join(arrays, "grp").select(*keys, *(F.col(v).cast("double") for v in values), "picks")
     schema = held.select(*keys, F.lit(0).cast("long").alias("draw"), *values).schema
 
@@ -107,12 +118,11 @@ def cluster_bootstrap(df: DataFrame, value: str, group: str, stat: str = "median
     rows = df.where(F.col(value).isNotNull() & F.col(group).isNotNull()).select(F.col(group).alias("grp"), F.col(value).cast("double").alias("v"))
     if stat == "rate":
         rows, stat = rows.withColumn("v", (F.col("v") != 0).cast("double")), "mean"
-    m = multiplicities(rows, "grp", draws, seed)
     if stat == "mean":
         sums = rows.groupBy("grp").agg(F.sum("v").alias("s"), F.count("*").alias("c"))
-        stats = _sums(sums, m, [], ["s", "c"], draws).where("c > 0").select("draw", (F.col("s") / F.col("c")).alias("stat"))
+        stats = _sums(sums, picks(rows, "grp", draws, seed), [], ["s", "c"], draws).where("c > 0").select("draw", (F.col("s") / F.col("c")).alias("stat"))
     else:
-        stats = _collapsed(rows, []).join(m, "grp").withColumn("w", F.col("w") * F.col("c")).groupBy("draw").agg(_stat("median", "v", F.col("w")).alias("stat"))
+        stats = _collapsed(rows, []).join(multiplicities(rows, "grp", draws, seed), "grp").withColumn("w", F.col("w") * F.col("c")).groupBy("draw").agg(_stat("median", "v", F.col("w")).alias("stat"))
     obs = rows.agg(_stat(stat, "v").alias("obs"))
     return obs.crossJoin(F.broadcast(_interval(stats, "stat", alpha, [])))  # one row each
 
@@ -126,15 +136,14 @@ def cluster_boot_diff(df: DataFrame, value: str, group: str, side: str, stat: st
     by = by or []
     v = F.col(value).cast("double")
     rows = df.where(v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")) & F.col(side).isin("a", "b") & F.col(group).isNotNull()).select(*by, F.col(group).alias("grp"), F.col(side).alias("side"), v.alias("v"))
-    m = multiplicities(rows, "grp", draws, seed)
     of = lambda s, c: F.when(F.col("side") == s, F.col(c))
     if stat == "mean":
         sums = rows.groupBy(*by, "grp").agg(*(F.coalesce(F.sum(of(s, "v")), F.lit(0.0)).alias(f"s{s}") for s in "ab"), *(F.count(of(s, "v")).alias(f"c{s}") for s in "ab"))
-        per = _sums(sums, m, by, ["sa", "sb", "ca", "cb"], draws)
+        per = _sums(sums, picks(rows, "grp", draws, seed), by, ["sa", "sb", "ca", "cb"], draws)
         stats = per.where(f"ca >= {min_side} and cb >= {min_side}").select(*by, "draw", (F.col("sa") / F.col("ca") - F.col("sb") / F.col("cb")).alias("stat"))
         obs = rows.groupBy(*by).agg((F.avg(of("a", "v")) - F.avg(of("b", "v"))).alias("obs"), F.count(of("a", "v")).alias("n_a"), F.count(of("b", "v")).alias("n_b"))
     else:
-        wide = _collapsed(rows, [*by, "side"]).join(m, "grp").select(*by, "draw", "side", "v", (F.col("w") * F.col("c")).alias("w"))
+        wide = _collapsed(rows, [*by, "side"]).join(multiplicities(rows, "grp", draws, seed), "grp").select(*by, "draw", "side", "v", (F.col("w") * F.col("c")).alias("w"))
         per = wide.groupBy(*by, "draw", "side").agg(_stat("median", "v", F.col("w")).alias("m"), F.sum("w").alias("c")).where(f"c >= {min_side}")
         stats = per.groupBy(*by, "draw").agg(F.max(of("a", "m")).alias("ma"), F.max(of("b", "m")).alias("mb")).select(*by, "draw", (F.col("ma") - F.col("mb")).alias("stat")).where("stat is not null")
         obs = rows.groupBy(*by).agg((F.percentile(of("a", "v"), 0.5) - F.percentile(of("b", "v"), 0.5)).alias("obs"), F.count(of("a", "v")).alias("n_a"), F.count(of("b", "v")).alias("n_b"))
@@ -152,12 +161,11 @@ def extremes_vs_middle(df: DataFrame, bin_col: str, outcome: str, group: str, ex
 def boot_ratio(num: DataFrame, den: DataFrame, value: str, group: str, stat: str = "median", draws: int = 200, seed: int = 0, alpha: float = 0.05) -> DataFrame:
     """One row (obs, lo, hi): stat(num) / stat(den) with one draw for both; den may hold several cells a row."""
     both = num.select(F.col(group).alias("grp"), F.col(value).cast("double").alias("v"), F.lit("a").alias("side")).unionByName(den.select(F.col(group).alias("grp"), F.col(value).cast("double").alias("v"), F.lit("b").alias("side"))).where("v is not null and grp is not null")
-    m = multiplicities(both, "grp", draws, seed)
     if stat == "median":
-        per = _collapsed(both, ["side"]).join(m, "grp").withColumn("w", F.col("w") * F.col("c")).groupBy("draw", "side").agg(_stat("median", "v", F.col("w")).alias("m"))
+        per = _collapsed(both, ["side"]).join(multiplicities(both, "grp", draws, seed), "grp").withColumn("w", F.col("w") * F.col("c")).groupBy("draw", "side").agg(_stat("median", "v", F.col("w")).alias("m"))
     else:
         sums = both.groupBy("side", "grp").agg(F.sum("v").alias("s"), F.count("*").alias("c"))
-        per = _sums(sums, m, ["side"], ["s", "c"], draws).where("c > 0").select("draw", "side", (F.col("s") / F.col("c")).alias("m"))
+        per = _sums(sums, picks(both, "grp", draws, seed), ["side"], ["s", "c"], draws).where("c > 0").select("draw", "side", (F.col("s") / F.col("c")).alias("m"))
     stats = per.groupBy("draw").agg(F.try_divide(F.max(F.when(F.col("side") == "a", F.col("m"))), F.max(F.when(F.col("side") == "b", F.col("m")))).alias("stat")).where("stat is not null")
     obs = both.groupBy("side").agg(_stat(stat, "v").alias("m")).agg(F.try_divide(F.max(F.when(F.col("side") == "a", F.col("m"))), F.max(F.when(F.col("side") == "b", F.col("m")))).alias("obs"))
     return obs.crossJoin(F.broadcast(_interval(stats, "stat", alpha, []))).drop("share_le_0")  # one row each
