@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelyard.llm import decontam, mixing, nearcopies, sharding, toxicity
-from panelyard.llm.common import durable, fresh, read
+from panelyard.llm.common import discard, durable, fresh, read
 from panelyard.llm.labelled import fold
 
 SHARDS = 24
@@ -24,7 +24,8 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (Jaccard similarity of five-word shingles of 0.8 or more) the document with the smallest id stays."""
+    """Of each group of near copies (Jaccard similarity of five-word shingles of 0.8 or more) the document
+    with the smallest id stays. Candidates are SimHash groups by anchor points, and MinHash bands for what 3 bits miss."""
     return nearcopies.dedup(docs)
 
 
@@ -60,6 +61,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = durable(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, durable(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+        if k:  # a stage's table goes once the next one's is written; the corpus itself is not ours
+            discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
