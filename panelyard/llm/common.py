@@ -43,11 +43,15 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def erase(spark: SparkSession, path: str) -> None:
+    """Delete a folder of our own in the shared one."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table of durable() that nothing reads any more."""
-    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path(df.written_to)
-    path.getFileSystem(conf).delete(path, True)
+    erase(df.sparkSession, df.written_to)
 
 
 def release(spark: SparkSession, *done: DataFrame) -> None:

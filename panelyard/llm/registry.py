@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import chat, covertree, decontam, mixing, paragraphs, pii, quality, sharding, simhash, toxicity
+from . import chat, covertree, decontam, merkle, mixing, paragraphs, pii, quality, repair, sharding, simhash, toxicity, warc
 
 QUERIES = {
     "op1_pii": pii.op1,
@@ -17,7 +17,10 @@ QUERIES = {
     "op8_embeddings": covertree.op8,
     "op9_chat": chat.op9,
     "op10_paragraphs": paragraphs.op10,
+    "op11_repair": repair.op11,
+    "op12_warc": warc.op12,
+    "op13_manifest": merkle.op13,
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLE_SQL = {"op7_decontamination": decontam.OP7_SQL, "op8_embeddings": covertree.OP8_SQL}
+ORACLE_SQL = {"op7_decontamination": decontam.OP7_SQL, "op8_embeddings": covertree.OP8_SQL, "op12_warc": warc.OP12_SQL}
