@@ -41,12 +41,12 @@ KEY = "X-Row-Key"
 
 
 def _put(df: DataFrame, path: str, end: str) -> None:
-    """Each row one file; `end` is what the writer adds to each."""
-    df.write.option("lineSep", end).option("compression", "gzip").option("maxRecordsPerFile", 1).text(path)
+    """Each row one file, packed fast; `end` is what the writer adds to each."""
+    df.write.option("lineSep", end).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", 1).text(path)
 
 
 def _archives(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", "[^/]*$", 0).alias("file"), "content")
+    return spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content")
 
 
 def _unpacked(content: bytes) -> bytes:
@@ -158,25 +158,32 @@ def _key(head: bytes) -> str | None:
     return found if found is None else unquote(found)
 
 
-_ARC_ROWS = "id string, version int, url string, ip string, date string, head binary, payload binary, whole boolean, key string, digest string, bytes long"
+_ARC_ROWS = "file string, offset long, id string, version int, url string, ip string, date string, head binary, payload binary, whole boolean, key string, digest string, bytes long"
 
 
-def read_arcs(spark: SparkSession, path: str) -> DataFrame:
-    """A row per document of all ARC archives under path, with the identifier its record will have, its row's key and its payload's digest."""
+def _documents(file: str, content: bytes) -> Iterator[tuple]:
+    """Rows of _ARC_ROWS, payloads with them."""
+    for offset, version, url, ip, date, _, document, whole in parse_arc(_unpacked(content)):
+        head, payload = _halves(document)
+        own = f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{file}#{offset}')}>"
+        yield file, offset, own, version, None if url == "-" else url, ip, date, head, payload, whole, _key(head), hashlib.sha256(payload).hexdigest(), len(payload)
+
+
+def read_arcs(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
+    """A row per document of all ARC archives under path, with the identifier its record will have, its row's key and its payload's
+    digest. Without `payloads`, head and payload are null."""
     small_batches(spark)
 
     def run(batches):
         names = [x.split()[0] for x in _ARC_ROWS.split(", ")]
-        kinds = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.binary(), pa.bool_(), pa.string(), pa.string(), pa.int64()]
+        kinds = [pa.string(), pa.int64(), pa.string(), pa.int32(), *[pa.string()] * 3, pa.binary(), pa.binary(), pa.bool_(), pa.string(), pa.string(), pa.int64()]
         held, size = [], 0
         batch = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), kinds, strict=True)], names)
         for b in batches:
             for file, content in zip(b.column("file").to_pylist(), b.column("content"), strict=True):
-                for offset, version, url, ip, date, _, document, whole in parse_arc(_unpacked(content.as_buffer().to_pybytes())):
-                    head, payload = _halves(document)
-                    own = f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{file}#{offset}')}>"
-                    held.append((own, version, None if url == "-" else url, ip, date, head, payload, whole, _key(head), hashlib.sha256(payload).hexdigest(), len(payload)))
-                    size += len(document)
+                for row in _documents(file, content.as_buffer().to_pybytes()):
+                    held.append(row if payloads else (*row[:7], None, None, *row[9:]))
+                    size += 500 + (row[12] if payloads else 0)
                     if size >= 4 << 20:
                         yield batch()
                         held, size = [], 0
@@ -192,7 +199,7 @@ def with_revisits(rows: DataFrame, order: Column, least: int = LEAST_PAYLOAD) ->
     rank = F.struct(order.isNull().alias("none"), order.alias("order"), "id", "key", "url", "date")
     large = rows.withColumn("digest_or_id", F.when(F.col("bytes") >= least, F.col("digest")).otherwise(F.col("id")))
     out = with_least(large, ["digest_or_id"], rank, F.col("id"), "first").drop("digest_or_id")
-    return out.withColumn("first", F.when(F.col("first.id") != F.col("id"), F.col("first")))
+    return out.withColumn("first", F.when(F.col("first.id") != F.col("id"), F.struct("first.id", "first.key", "first.url", "first.date")))
 
 
 # ---- WARC ----
@@ -208,20 +215,20 @@ def warc_record(fields: list[tuple[str, str | None]], block: bytes) -> bytes:
     return f"{RECORD}\r\n{shown}Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
 
 
-def _convert(r: dict) -> bytes:
-    """The record of one row of with_revisits."""
-    first, head, whole = r["first"], r["head"], r["whole"]
-    block = head if first else head + r["payload"]
+def _convert(row: tuple, first: dict | None) -> bytes:
+    """The record of one of _documents' rows; `first`: the record it revisits."""
+    _, _, own, _, url, ip, date, head, payload, whole, _, payload_digest, size = row
+    block = head if first else head + payload
     kind = "revisit" if first else "response" if head else "resource"
     digest = lambda b: f"sha256:{hashlib.sha256(b).hexdigest()}"
     return warc_record(
         [
             ("WARC-Type", kind),
-            ("WARC-Record-ID", r["id"]),
-            ("WARC-Date", _iso(r["date"])),
-            ("WARC-Target-URI", r["url"]),
-            ("WARC-IP-Address", r["ip"]),
-            ("WARC-Payload-Digest", f"sha256:{r['digest']}"),
+            ("WARC-Record-ID", own),
+            ("WARC-Date", _iso(date)),
+            ("WARC-Target-URI", url),
+            ("WARC-IP-Address", ip),
+            ("WARC-Payload-Digest", f"sha256:{payload_digest}"),
             ("WARC-Block-Digest", digest(block)),
             ("WARC-Truncated", None if whole else "unspecified"),
             ("WARC-Profile", REVISIT if first else None),
@@ -229,31 +236,13 @@ def _convert(r: dict) -> bytes:
             ("WARC-Refers-To-Target-URI", first and first["url"]),
             ("WARC-Refers-To-Date", first and _iso(first["date"])),
             (f"{KEY}-Refers-To", first and first["key"] is not None and quote(first["key"]) or None),
-            (f"{KEY}-Length", str(r["bytes"]) if first else None),
+            (f"{KEY}-Length", str(size) if first else None),
             ("Content-Type", "application/http; msgtype=response" if head else "application/octet-stream"),
         ],
         block,
     )
 
 
-def write_warcs(rows: DataFrame, path: str, segment: int = SEGMENT) -> None:
-    """WARC archives of with_revisits' rows, each with a warcinfo record first."""
-    small_batches(rows.sparkSession)
-
-    def run(batches):
-        info = b"software: panelyard\r\nformat: WARC File Format 1.0\r\ndescription: converted from ARC\r\n"
-
-        def records():
-            for b in batches:
-                for i in range(b.num_rows):  # one row at a time, not a batch of long payloads twice
-                    yield _convert(b.slice(i, 1).to_pylist()[0])
-
-        head = warc_record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid4()}>"), ("WARC-Date", "2000-01-01T00:00:00Z"), ("Content-Type", "application/warc-fields")], info)
-        yield from _segments(records(), head, 4, segment)
-
-    _put(rows.select("id", "url", "ip", "date", "head", "payload", "whole", "digest", "bytes", "first").mapInArrow(run, "value string"), path, "\r\n\r\n")
-
-
 def parse_warc(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """(fields by lower-case name, block) of a WARC file's records, by declared lengths."""
     at = 0
@@ -303,9 +292,31 @@ def read_warcs(spark: SparkSession, path: str) -> DataFrame:
     return _archives(spark, path).mapInArrow(run, _WARC_ROWS)
 
 
-def convert(spark: SparkSession, arcs: str, warcs: str, order: str = "key") -> None:
-    """All ARC archives under one folder to WARC archives in another. Equal payloads: the least `order` (SQL over read_arcs' columns) is the response."""
-    write_warcs(with_revisits(read_arcs(spark, arcs), F.expr(order)), warcs)
+def convert(spark: SparkSession, arcs: str, warcs: str, order: str = "key", segment: int = SEGMENT) -> None:
+    """All ARC archives under one folder to WARC archives in another, each with a warcinfo record first. Equal payloads: the least `order`
+    (SQL over read_arcs' columns) is the response.
+
+    Which records are revisits is settled on digests alone; each archive then meets its own list of them, and no payload is
+    shuffled by itself."""
+    small_batches(spark)
+    marked = with_revisits(read_arcs(spark, arcs, payloads=False), F.expr(order)).where("first is not null")
+    marked = marked.groupBy("file").agg(F.collect_list(F.struct("offset", "first")).alias("revisits"))
+    files = _archives(spark, arcs).join(marked, "file", "left").select("file", "content", "revisits")
+
+    def run(batches):
+        info = b"software: panelyard\r\nformat: WARC File Format 1.0\r\ndescription: converted from ARC\r\n"
+
+        def records():
+            for b in batches:
+                for i in range(b.num_rows):
+                    first = {r["offset"]: r["first"] for r in b.column("revisits")[i].as_py() or ()}
+                    for row in _documents(b.column("file")[i].as_py(), b.column("content")[i].as_buffer().to_pybytes()):
+                        yield _convert(row, first.get(row[1]))
+
+        head = warc_record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid4()}>"), ("WARC-Date", "2000-01-01T00:00:00Z"), ("Content-Type", "application/warc-fields")], info)
+        yield from _segments(records(), head, 4, segment)
+
+    _put(files.mapInArrow(run, "value string"), warcs, "\r\n\r\n")
 
 
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
