@@ -1,19 +1,44 @@
-"""Label shuffles that keep what a null must keep, and the multiplicity of a family of cells."""
+"""Label shuffles that keep what a null must keep, and the multiplicity of a family of cells.
+
+A shuffle is a keyed permutation of positions (functions/draws.py): where a row's or a group's label comes from in each draw is
+computed, not sorted. Rows get their positions once, whatever the number of draws, and fetch labels by one equi-join on position.
+"""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.draws import draw
+from ..functions.draws import WORD, key, mix, permuted
+from ..sources.tables import durable, numbered
+from .resample import _null_safe, indexed
+
+
+def _dealt(rows: DataFrame, seed: int, draws: int, out: str) -> DataFrame:
+    """rows (..., _x, _n, _c) once per draw, with `out`: where the draw's permutation of 0.._n-1, keyed by the cell _c too, takes _x."""
+    schema = rows.drop("_x", "_n", "_c").withColumn("draw", F.lit(0).cast("long")).withColumn(out, F.lit(0).cast("long")).schema
+
+    def run(batches):
+        keys = key(seed, np.arange(1, draws + 1))
+        for b in batches:
+            held = b.drop_columns(["_x", "_n", "_c"])
+            x, n, c = (b.column(k).to_numpy() for k in ("_x", "_n", "_c"))
+            for at in range(0, draws, max(1, (1 << 18) // max(1, b.num_rows))):
+                now = keys[at : at + max(1, (1 << 18) // max(1, b.num_rows))]
+                rows, draw = np.tile(np.arange(b.num_rows), len(now)), np.repeat(np.arange(len(now)), b.num_rows)
+                to = permuted(x[rows], n[rows], mix(now[draw] ^ (c[rows].astype(np.uint64) & np.uint64(WORD))))
+                yield pa.RecordBatch.from_arrays([*held.take(pa.array(rows)).columns, pa.array(draw + at + 1, pa.int64()), pa.array(to.astype(np.int64))], [f.name for f in schema])
+
+    return rows.mapInArrow(run, schema)
 
 
 def _bijection(df: DataFrame, group: str, seed: int, draws: int) -> DataFrame:
-    """(draw, grp, partner): per draw the groups in order paired with the groups by hash."""
-    own = df.select(F.col(group).alias("grp")).distinct().withColumn("draw", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(draws).cast("long"))))
-    by_key = own.withColumn("i", F.row_number().over(Window.partitionBy("draw").orderBy("grp")))
-    by_hash = own.select("draw", F.col("grp").alias("partner"), F.row_number().over(Window.partitionBy("draw").orderBy(draw(F.lit(seed), "draw", "grp"), "grp")).alias("i"))
-    return by_key.join(by_hash, ["draw", "i"]).select("draw", "grp", "partner")
+    """(draw, grp, partner): per draw each group's partner, a permutation of all groups."""
+    own = indexed(df, group)
+    dealt = _dealt(own.select("grp", F.col("idx").alias("_x"), F.col("n").alias("_n"), F.lit(0).cast("long").alias("_c")), seed, draws, "_to")
+    return dealt.join(own.select(F.col("grp").alias("partner"), F.col("idx").alias("_to")), "_to").select("draw", "grp", "partner")
 
 
 def clustered_shuffle(df: DataFrame, label: str, group: str, row_id: str, within: str | None = None, seed: int = 0, draws: int = 1, out: str = "shuffled") -> DataFrame:
@@ -24,6 +49,7 @@ def clustered_shuffle(df: DataFrame, label: str, group: str, row_id: str, within
     key by position in the sorted list of all keys, the earlier one on a tie; the i-th of all
     rows that read a cell takes its i-th label, going round. No row is dropped; `fell_back` marks
     rows that read another key. Rows are in the order of row_id, a unique key."""
+    df = durable(df, "shuffled")
     cell = ["_g"] if within is None else ["_g", "_k"]
     base = df.withColumn("_g", F.col(group))
     if within is not None:
@@ -50,12 +76,14 @@ def clustered_shuffle(df: DataFrame, label: str, group: str, row_id: str, within
 
 
 def within_shuffle(df: DataFrame, label: str, by: list[str], row_id: str, seed: int = 0, draws: int = 1, out: str = "shuffled") -> DataFrame:
-    """df per draw with the labels of each cell of `by` permuted inside it (by firm; by firm and stratum; by stratum)."""
-    rows = df.withColumn("draw", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(draws).cast("long"))))
-    cell = Window.partitionBy("draw", *by)
-    keyed = rows.withColumn("_i", F.row_number().over(cell.orderBy(row_id)))
-    dealt = rows.select("draw", *by, F.col(label).alias(out), F.row_number().over(cell.orderBy(draw(F.lit(seed), "draw", row_id), row_id)).alias("_i"))
-    return keyed.join(dealt, ["draw", *by, "_i"]).select(*df.columns, "draw", out)
+    """df per draw with the labels of each cell of `by` permuted inside it (by firm; by firm and stratum; by stratum).
+
+    Positions follow `by`, then row_id, a unique key. A cell's rows are never together in one task."""
+    rows = numbered(df, [*by, row_id], "_pos")
+    cells = rows.groupBy(*by).agg(F.min("_pos").alias("_c"), F.count("*").alias("_n"))
+    rows_ = _null_safe(rows, cells, by).withColumn("_x", F.col("_pos") - F.col("_c")).withColumn("_first", F.col("_c")).drop("_pos")
+    dealt = _dealt(rows_, seed, draws, "_to").withColumn("_pos", F.col("_first") + F.col("_to"))
+    return dealt.join(rows.select("_pos", F.col(label).alias(out)), "_pos").select(*df.columns, "draw", out)
 
 
 def unit_shuffle(df: DataFrame, label: str, unit: str, stratum: str, seed: int = 0, draws: int = 1, out: str = "shuffled") -> DataFrame:
@@ -66,6 +94,7 @@ def unit_shuffle(df: DataFrame, label: str, unit: str, stratum: str, seed: int =
 
 def cell_mean_shuffle(df: DataFrame, label: str, group: str, within: str, seed: int = 0, draws: int = 1, out: str = "shuffled") -> DataFrame:
     """Each row takes the mean label of the partner group's cell of the same key, else of the whole partner."""
+    df = durable(df, "shuffled")
     pairs = _bijection(df, group, seed, draws)
     cells = df.groupBy(F.col(group).alias("partner"), F.col(within).alias("_k")).agg(F.avg(label).alias("_cell"))
     whole = df.groupBy(F.col(group).alias("partner")).agg(F.avg(label).alias("_all"))

@@ -1,96 +1,244 @@
 """Cluster bootstrap by whole groups, with draws that any engine can reproduce.
 
-A draw takes as many groups as there are, with replacement: slot s of draw d picks the group
-with index hash(seed, d, s) mod G. What comes out is a table of (draw, group, w), w being how
-often the group was picked. For means, rates and ratios of means the rows are collapsed to one per
-group and side, each meets its group's draws as one array, and every task adds them up for all
-draws at once: what is shuffled after that is one row per cell and draw and task, not per row and
-draw. Medians are weighted exactly by w, over one row per group and value.
+A draw takes as many groups as there are, with replacement. How often it takes a group comes from a splitting tree over
+the groups (functions/draws.py), so a task that holds a range of groups works out their numbers for all draws by itself:
+no slots are dealt or exchanged. For means, rates and ratios of means the rows are collapsed to one per group and cell
+and added up for all draws inside the tasks: what is shuffled is one row per cell and draw and task. Medians are weighted
+exactly: values are numbered in order, each task adds up every draw's weights per range of values, and each
+draw descends into the range that holds its middle, 64 times narrower a level, until the range is one value.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.draws import draw
-
+from ..functions.draws import multiplicities_of
+from ..sources.tables import discard, durable, numbered, settled
 
-#: Cells whose sums a task holds for all draws before it passes them on, in numbers.
+#: Numbers that a task holds for all draws before it passes them on.
 MOST_HELD = 1 << 22
+#: Groups whose multiplicities are worked out together at most, and rows that meet them at a time.
+RANGE, ROWS = 1024, 2048
+#: Bits of a value's number that a level of descent settles.
+LEVEL = 6
 
 
 def indexed(groups: DataFrame, col: str) -> DataFrame:
-    """Distinct non-null groups with `idx` from 0 in their order and `n`, their number.
-
-    Groups are sorted by ranges, numbered inside each range, and offset by the ranges before it:
-    only one row a range comes together."""
+    """Distinct non-null groups with `idx` from 0 in their order and `n`, their number."""
     own = groups.select(F.col(col).alias("grp")).where("grp is not null").distinct()
-    own = own.repartitionByRange("grp").withColumn("part", F.spark_partition_id())
-    # the ranges are bounds drawn from a sample; a number of its own per range keeps them in order
-    size = own.groupBy("part").agg(F.min("grp").alias("least"), F.max("grp").alias("most"), F.count("*").alias("c"))
-    before = Window.orderBy("least").rowsBetween(Window.unboundedPreceding, -1)
-    size = size.select("least", "most", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("first"), F.sum("c").over(Window.partitionBy()).alias("n"))
-    own = own.drop("part").join(F.broadcast(size), F.col("grp").between(F.col("least"), F.col("most")))
-    return own.withColumn("idx", F.row_number().over(Window.partitionBy("least").orderBy("grp")) - 1 + F.col("first")).select("grp", "idx", "n")
-
-
-def _slots(own: DataFrame, draws: int, seed: int) -> DataFrame:
-    """(draw, idx): the group that each slot of each draw picks."""
-    each = own.select(F.col("idx").alias("slot"), "n", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(draws).cast("long"))).alias("draw"))
-    return each.select("draw", F.pmod(draw(F.lit(seed), "draw", "slot"), F.col("n")).alias("idx"))
+    return numbered(own, ["grp"], "idx", "n", twice=hasattr(groups, "written_to"))
+
+
+def _by_range(df: DataFrame) -> DataFrame:
+    """Rows with idx: those of a range of groups in one task, ranges one after the other."""
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = F.greatest(F.lit(32), F.least(F.lit(RANGE), F.ceil(F.col("n") / (4 * tasks)))).cast("long")
+    return df.withColumn("_size", size).withColumn("_range", F.floor(F.col("idx") / F.col("_size"))).repartition(tasks, "_range").sortWithinPartitions("_range")
+
+
+def _weighted(batches, draws: int, seed: int):
+    """(batch, positions, weights): rows of one range in a batch and what each draw weighs them, in pieces."""
+    now, held = None, None
+    for b in batches:
+        ranges, idx = b.column("_range").to_numpy(), b.column("idx").to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(ranges)) + 1), len(ranges)]
+        for a, z in zip(cuts, cuts[1:], strict=False):
+            if a == z:
+                continue
+            size, n = b.column("_size")[a].as_py(), b.column("n")[a].as_py()
+            low = int(ranges[a]) * size
+            if low != now:
+                now, held = low, multiplicities_of(low, min(low + size, n), n, np.arange(1, draws + 1), seed)
+            for at in range(a, z, ROWS):
+                rows = slice(at, min(at + ROWS, z))
+                yield b, rows, held[idx[rows] - low]
 
 
 def multiplicities(groups: DataFrame, col: str, draws: int, seed: int = 0) -> DataFrame:
     """(draw, grp, w) for draws 1..draws; groups that a draw leaves out have no row."""
     own = indexed(groups, col)
-    picked = _slots(own, draws, seed).groupBy("draw", "idx").agg(F.count("*").alias("w"))
-    return picked.join(own.select("idx", "grp"), "idx").select("draw", "grp", "w")
+    kind = own.schema["grp"].dataType.simpleString()
 
+    def run(batches):
+        for b, rows, w in _weighted(batches, draws, seed):
+            at, draw = np.nonzero(w)
+            yield pa.RecordBatch.from_arrays([pa.array(draw + 1, pa.int64()), b.column("grp").slice(rows.start, rows.stop - rows.start).take(pa.array(at)), pa.array(w[at, draw], pa.int64())], ["draw", "grp", "w"])
 
-def picks(groups: DataFrame, col: str, draws: int, seed: int = 0) -> DataFrame:
-    """(grp, picks): the same with one row a group, its draws and multiplicities as an array; slots are dealt once, by group."""
-    own = indexed(groups, col)
-    per = _slots(own, draws, seed).repartition("idx").groupBy("idx", "draw").agg(F.count("*").alias("w"))
-    return per.groupBy("idx").agg(F.collect_list(F.struct("draw", "w")).alias("picks")).join(own.select("idx", "grp"), "idx").select("grp", "picks")
+    return _by_range(own).mapInArrow(run, f"draw long, grp {kind}, w long")
 
 
-def _sums(rows: DataFrame, arrays: DataFrame, keys: list[str], values: list[str], draws: int) -> DataFrame:
+class _Cells:
+    """Sums by key and draw: keys get numbers as they come, values of a key are added up in blocks."""
+
+    def __init__(self, width: int, draws: int, kind):
+        self.at: dict[tuple, int] = {}
+        self.sums = np.zeros((width, 64, draws), kind)
+
+    def add(self, keys: list[tuple], values: list[np.ndarray], weights: np.ndarray) -> None:
+        code = np.array([self.at.setdefault(k, len(self.at)) for k in keys], np.int64)
+        order = np.argsort(code, kind="stable")
+        code, weights = code[order], weights[order]
+        start = np.flatnonzero(np.diff(code, prepend=-1))
+        while len(self.at) > self.sums.shape[1]:
+            self.sums = np.concatenate([self.sums, np.zeros_like(self.sums)], axis=1)
+        for i, v in enumerate(values):
+            self.sums[i][code[start]] += np.add.reduceat(v[order, None] * weights, start, axis=0)
+
+    def full(self) -> bool:
+        return len(self.at) * self.sums.shape[0] * self.sums.shape[2] > MOST_HELD
+
+
+def _sums(rows: DataFrame, own: DataFrame, keys: list[str], values: list[str], draws: int, seed: int) -> DataFrame:
     """(keys..., draw, values...): per draw the sums of each value times its group's multiplicity;
-    rows (keys..., grp, values...), arrays as from picks()."""
-    held = rows.join(arrays, "grp").select(*keys, *(F.col(v).cast("double") for v in values), "picks")
+    rows (keys..., grp, values...), own as from indexed()."""
+    held = _by_range(rows.join(own, "grp").select(*keys, *(F.coalesce(F.col(v).cast("double"), F.lit(0.0)).alias(v) for v in values), "idx", "n"))
     schema = held.select(*keys, F.lit(0).cast("long").alias("draw"), *values).schema
 
     def run(batches):
-        at: dict[tuple, int] = {}
-        sums = np.zeros((len(values), 0))
+        kinds: list = []
 
-        def out():
-            own = list(at)
-            columns = [pa.array([k[i] for k in own for _ in range(draws)], kinds[i]) for i in range(len(keys))]
-            return pa.RecordBatch.from_arrays([*columns, pa.array(np.tile(np.arange(1, draws + 1), len(own))), *(pa.array(s) for s in sums)], [*keys, "draw", *values])
+        def out(cells):
+            n = len(cells.at)
+            columns = [pa.array([k[i] for k in cells.at], kinds[i]).take(pa.array(np.repeat(np.arange(n), draws))) for i in range(len(keys))]
+            return pa.RecordBatch.from_arrays([*columns, pa.array(np.tile(np.arange(1, draws + 1), n)), *(pa.array(cells.sums[i, :n].ravel()) for i in range(len(values)))], [*keys, "draw", *values])
+
+        cells = _Cells(len(values), draws, float)
+        for b, at, w in _weighted(batches, draws, seed):
+            kinds = kinds or [b.schema.field(k).type for k in keys]
+            part = b.slice(at.start, at.stop - at.start)
+            own_keys = list(zip(*(part.column(k).to_pylist() for k in keys), strict=True)) if keys else [()] * part.num_rows
+            cells.add(own_keys, [part.column(v).to_numpy(zero_copy_only=False) for v in values], w)
+            if cells.full():
+                yield out(cells)
+                cells = _Cells(len(values), draws, float)
+        if cells.at:
+            yield out(cells)
 
+    return held.mapInArrow(run, schema).groupBy(*keys, "draw").agg(*(F.sum(v).alias(v) for v in values))
+
+
+def _null_safe(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    b = b.select(*(F.col(k).alias(f"_of_{k}") if k in keys else F.col(k) for k in b.columns))
+    same = reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys))
+    return a.join(b, same, how).drop(*(f"_of_{k}" for k in keys))
+
+
+def _medians(rows: DataFrame, own: DataFrame, keys: list[str], draws: int, seed: int, least: int = 1) -> DataFrame:
+    """(keys..., draw, m): the exact median of each draw, rows (keys..., grp, v, c), made from a durable table, standing c times the group's multiplicity.
+    Draws with under `least` rows in a cell have none there."""
+    values = numbered(rows.select(*keys, "v").distinct(), [*keys, "v"], twice=True)
+    placed = durable(_null_safe(rows, values, [*keys, "v"]).join(own, "grp").select(*keys, "idx", "n", "pos", "c"), "boot-rows")
+    most, every = values.groupBy(*keys).count().agg(F.max("count"), F.sum("count")).first()
+    bits = LEVEL if (every or 0) * draws > 4 * MOST_HELD else 62  # few values: one level, each its own range
+    shifts = range(((most or 1) - 1).bit_length() // bits * bits, -1, -bits)
+    needed, spent = None, []
+    for shift in shifts:
+        parent = F.lit(0).cast("long") if needed is None else F.shiftright("pos", shift + bits)
+        level = placed.withColumn("parent", parent).withColumn("sub", F.shiftright("pos", shift))
+        if needed is not None:
+            level = _null_safe(level, needed.select(*keys, "parent"), [*keys, "parent"], "left_semi")
+        found = durable(_middle(_weights(level, keys, draws, seed, needed is None), needed, keys, draws, least, shift == 0), "boot-middle")
+        spent.append(found)
+        needed = found
+    discard(placed)
+    for t in spent[:-1]:
+        discard(t)
+    return needed.join(values.select("pos", "v"), needed.parent == F.col("pos")).groupBy(*keys, "draw").agg(F.avg("v").alias("m"))
+
+
+def _weights(level: DataFrame, keys: list[str], draws: int, seed: int, totals: bool) -> DataFrame:
+    """(keys..., parent, sub, w): all draws' weights of the rows in a range of values, a row per range and task;
+    with `totals` also those of the whole cell, as sub -1."""
+    by = [*keys, "parent", "sub"]
+    held = _by_range(level)
+    schema = held.select(*by, F.array(F.lit(0).cast("long")).alias("w")).schema
+
+    def run(batches):
         kinds: list = []
-        for b in batches:
-            kinds = kinds or [b.schema.field(i).type for i in range(len(keys))]
-            row = np.array([at.setdefault(k, len(at)) for k in zip(*(b.column(i).to_pylist() for i in range(len(keys))), strict=True)] if keys else [at.setdefault((), 0)] * b.num_rows, np.int64)
-            sums = np.concatenate([sums, np.zeros((len(values), len(at) * draws - sums.shape[1]))], axis=1)
-            picks = b.column(b.num_columns - 1)
-            each, n = picks.flatten(), np.diff(picks.offsets.to_numpy())
-            cell = np.repeat(row * draws, n) + each.field("draw").to_numpy() - 1
-            w = each.field("w").to_numpy().astype(float)
-            for i in range(len(values)):
-                v = b.column(len(keys) + i).to_numpy(zero_copy_only=False)
-                sums[i] += np.bincount(cell, weights=w * np.repeat(np.nan_to_num(v), n), minlength=sums.shape[1])
-            if sums.size > MOST_HELD:
-                yield out()
-                at, sums = {}, np.zeros((len(values), 0))
-        if at:
-            yield out()
 
-    return held.mapInArrow(run, schema).groupBy(*keys, "draw").agg(*(F.sum(v).alias(v) for v in values))
+        def out(cells):
+            n = len(cells.at)
+            columns = [pa.array([k[i] for k in cells.at], kinds[i]) for i in range(len(by))]
+            offsets = pa.array(np.arange(n + 1, dtype=np.int32) * draws)
+            return pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(offsets, pa.array(cells.sums[0, :n].ravel()))], [*by, "w"])
+
+        cells = _Cells(1, draws, np.int64)
+        for b, at, w in _weighted(batches, draws, seed):
+            kinds = kinds or [b.schema.field(k).type for k in by]
+            part = b.slice(at.start, at.stop - at.start)
+            own = list(zip(*(part.column(k).to_pylist() for k in by), strict=True))
+            c = [part.column("c").to_numpy()]
+            cells.add(own, c, w)
+            if totals:
+                cells.add([(*k[:-1], -1) for k in own], c, w)
+            if cells.full():
+                yield out(cells)
+                cells = _Cells(1, draws, np.int64)
+        if cells.at:
+            yield out(cells)
+
+    return held.mapInArrow(run, schema)
+
+
+def _middle(weights: DataFrame, needed: DataFrame | None, keys: list[str], draws: int, least: int, last: bool) -> DataFrame:
+    """Which range of values holds each draw's two middle rows (one and the same if their number is odd).
+
+    Ranges of a parent come in order, after what is looked for in it. (keys..., parent, lo, hi): the range, and per draw how many rows of it
+    stand before the middle ones, -1 for draws that look elsewhere; at the last level (keys..., draw, parent), two rows a draw."""
+    none = F.lit(None).cast("array<bigint>")
+    both = weights.withColumn("lo", none).withColumn("hi", none)
+    if needed is not None:
+        both = both.unionByName(needed.withColumn("sub", F.lit(-1).cast("long")).withColumn("w", none))
+    both = both.repartition(*keys, "parent").sortWithinPartitions(*keys, "parent", "sub")
+    start = weights.select(*keys)
+    schema = start.withColumn("draw", F.lit(0).cast("long")).withColumn("parent", F.lit(0).cast("long")).schema if last else start.withColumn("parent", F.lit(0).cast("long")).withColumn("lo", none).withColumn("hi", none).schema
+    names, first = [f.name for f in schema], needed is None
+
+    def run(batches):
+        kinds: list = []
+        cell = sub = sought = before = now = None
+
+        def hit():
+            """Closes a range: rows of the result if a middle is in it."""
+            nonlocal before
+            inside = [(s >= before) & (s < before + now) & (s >= 0) for s in sought]
+            if any(x.any() for x in inside):
+                if last:
+                    draw = np.concatenate([np.flatnonzero(x) for x in inside]) + 1
+                    columns = [pa.array([k] * len(draw), t) for k, t in zip(cell[:-1], kinds, strict=False)]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(draw, pa.int64()), pa.array(np.full(len(draw), sub))], names)
+                else:
+                    columns = [pa.array([k], t) for k, t in zip(cell[:-1], kinds, strict=False)]
+                    rest = [pa.array([np.where(x, s - before, -1)], pa.list_(pa.int64())) for x, s in zip(inside, sought, strict=True)]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array([sub], pa.int64()), *rest], names)
+            before = before + now
+
+        for b in batches:
+            kinds = kinds or [b.schema.field(k).type for k in keys]
+            columns = [b.column(k).to_pylist() for k in (*keys, "parent", "sub")]
+            for i, k in enumerate(zip(*columns, strict=True)):
+                if k[:-1] != cell or k[-1] != sub:
+                    if sub is not None and sub >= 0:
+                        yield from hit()
+                    if k[:-1] != cell:
+                        before, sought, total = np.zeros(draws, np.int64), None, np.zeros(draws, np.int64)
+                    cell, sub, now = k[:-1], k[-1], np.zeros(draws, np.int64)
+                if sub < 0 and first:
+                    total = total + b.column("w")[i].values.to_numpy()
+                    sought = [np.where(total >= least, x, -1) for x in ((total - 1) // 2, total // 2)]
+                elif sub < 0:
+                    sought = [b.column(x)[i].values.to_numpy() for x in ("lo", "hi")]
+                else:
+                    now = now + b.column("w")[i].values.to_numpy()
+        if sub is not None and sub >= 0:
+            yield from hit()
+
+    return both.mapInArrow(run, schema)
 
 
 def _interval(stats: DataFrame, col: str, alpha: float, by: list[str]) -> DataFrame:
@@ -98,12 +246,10 @@ def _interval(stats: DataFrame, col: str, alpha: float, by: list[str]) -> DataFr
     return stats.groupBy(*by).agg(edges.alias("_e"), F.avg((F.col(col) <= 0).cast("double")).alias("share_le_0")).select(*by, F.col("_e")[0].alias("lo"), F.col("_e")[1].alias("hi"), "share_le_0")
 
 
-def _stat(stat: str, value: str, weight: Column | None = None) -> Column:
+def _stat(stat: str, value: str) -> Column:
     if stat == "median":
-        return F.percentile(value, 0.5) if weight is None else F.expr(f"percentile({value}, 0.5D, w)")
-    if weight is None:
-        return F.avg(value)
-    return F.sum(F.col(value) * weight) / F.sum(F.when(F.col(value).isNotNull(), weight))
+        return F.percentile(value, 0.5)
+    return F.avg(value)
 
 
 def _collapsed(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -118,13 +264,15 @@ def cluster_bootstrap(df: DataFrame, value: str, group: str, stat: str = "median
     rows = df.where(F.col(value).isNotNull() & F.col(group).isNotNull()).select(F.col(group).alias("grp"), F.col(value).cast("double").alias("v"))
     if stat == "rate":
         rows, stat = rows.withColumn("v", (F.col("v") != 0).cast("double")), "mean"
+    rows = durable(rows, "boot")
+    own = indexed(rows, "grp")
     if stat == "mean":
         sums = rows.groupBy("grp").agg(F.sum("v").alias("s"), F.count("*").alias("c"))
-        stats = _sums(sums, picks(rows, "grp", draws, seed), [], ["s", "c"], draws).where("c > 0").select("draw", (F.col("s") / F.col("c")).alias("stat"))
+        stats = _sums(sums, own, [], ["s", "c"], draws, seed).where("c > 0").select("draw", (F.col("s") / F.col("c")).alias("stat"))
     else:
-        stats = _collapsed(rows, []).join(multiplicities(rows, "grp", draws, seed), "grp").withColumn("w", F.col("w") * F.col("c")).groupBy("draw").agg(_stat("median", "v", F.col("w")).alias("stat"))
+        stats = _medians(_collapsed(rows, []), own, [], draws, seed).withColumnRenamed("m", "stat")
     obs = rows.agg(_stat(stat, "v").alias("obs"))
-    return obs.crossJoin(F.broadcast(_interval(stats, "stat", alpha, [])))  # one row each
+    return settled(obs.crossJoin(F.broadcast(_interval(stats, "stat", alpha, []))), rows, own)  # one row each
 
 
 def cluster_boot_diff(df: DataFrame, value: str, group: str, side: str, stat: str = "median", draws: int = 200, seed: int = 0, alpha: float = 0.05, by: list[str] | None = None, min_side: int = 1) -> DataFrame:
@@ -136,20 +284,21 @@ def cluster_boot_diff(df: DataFrame, value: str, group: str, side: str, stat: st
     by = by or []
     v = F.col(value).cast("double")
     rows = df.where(v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")) & F.col(side).isin("a", "b") & F.col(group).isNotNull()).select(*by, F.col(group).alias("grp"), F.col(side).alias("side"), v.alias("v"))
+    rows = durable(rows, "boot")
+    own = indexed(rows, "grp")
     of = lambda s, c: F.when(F.col("side") == s, F.col(c))
     if stat == "mean":
         sums = rows.groupBy(*by, "grp").agg(*(F.coalesce(F.sum(of(s, "v")), F.lit(0.0)).alias(f"s{s}") for s in "ab"), *(F.count(of(s, "v")).alias(f"c{s}") for s in "ab"))
-        per = _sums(sums, picks(rows, "grp", draws, seed), by, ["sa", "sb", "ca", "cb"], draws)
+        per = _sums(sums, own, by, ["sa", "sb", "ca", "cb"], draws, seed)
         stats = per.where(f"ca >= {min_side} and cb >= {min_side}").select(*by, "draw", (F.col("sa") / F.col("ca") - F.col("sb") / F.col("cb")).alias("stat"))
         obs = rows.groupBy(*by).agg((F.avg(of("a", "v")) - F.avg(of("b", "v"))).alias("obs"), F.count(of("a", "v")).alias("n_a"), F.count(of("b", "v")).alias("n_b"))
     else:
-        wide = _collapsed(rows, [*by, "side"]).join(multiplicities(rows, "grp", draws, seed), "grp").select(*by, "draw", "side", "v", (F.col("w") * F.col("c")).alias("w"))
-        per = wide.groupBy(*by, "draw", "side").agg(_stat("median", "v", F.col("w")).alias("m"), F.sum("w").alias("c")).where(f"c >= {min_side}")
+        per = _medians(_collapsed(rows, [*by, "side"]), own, [*by, "side"], draws, seed, max(1, min_side))
         stats = per.groupBy(*by, "draw").agg(F.max(of("a", "m")).alias("ma"), F.max(of("b", "m")).alias("mb")).select(*by, "draw", (F.col("ma") - F.col("mb")).alias("stat")).where("stat is not null")
         obs = rows.groupBy(*by).agg((F.percentile(of("a", "v"), 0.5) - F.percentile(of("b", "v"), 0.5)).alias("obs"), F.count(of("a", "v")).alias("n_a"), F.count(of("b", "v")).alias("n_b"))
     edges = _interval(stats, "stat", alpha, by)
     out = obs.join(edges, by, "left") if by else obs.crossJoin(F.broadcast(edges))  # one row each
-    return out.select(*by, "obs", "lo", "hi", "share_le_0", "n_a", "n_b", F.expr("coalesce(obs = 0 and lo = 0 and hi = 0, false)").alias("tied"))
+    return settled(out.select(*by, "obs", "lo", "hi", "share_le_0", "n_a", "n_b", F.expr("coalesce(obs = 0 and lo = 0 and hi = 0, false)").alias("tied")), rows, own)
 
 
 def extremes_vs_middle(df: DataFrame, bin_col: str, outcome: str, group: str, extremes: tuple[int, int] = (1, 5), middle: int = 3, draws: int = 200, seed: int = 0) -> DataFrame:
@@ -161,14 +310,16 @@ def extremes_vs_middle(df: DataFrame, bin_col: str, outcome: str, group: str, ex
 def boot_ratio(num: DataFrame, den: DataFrame, value: str, group: str, stat: str = "median", draws: int = 200, seed: int = 0, alpha: float = 0.05) -> DataFrame:
     """One row (obs, lo, hi): stat(num) / stat(den) with one draw for both; den may hold several cells a row."""
     both = num.select(F.col(group).alias("grp"), F.col(value).cast("double").alias("v"), F.lit("a").alias("side")).unionByName(den.select(F.col(group).alias("grp"), F.col(value).cast("double").alias("v"), F.lit("b").alias("side"))).where("v is not null and grp is not null")
+    both = durable(both, "boot")
+    own = indexed(both, "grp")
     if stat == "median":
-        per = _collapsed(both, ["side"]).join(multiplicities(both, "grp", draws, seed), "grp").withColumn("w", F.col("w") * F.col("c")).groupBy("draw", "side").agg(_stat("median", "v", F.col("w")).alias("m"))
+        per = _medians(_collapsed(both, ["side"]), own, ["side"], draws, seed)
     else:
         sums = both.groupBy("side", "grp").agg(F.sum("v").alias("s"), F.count("*").alias("c"))
-        per = _sums(sums, picks(both, "grp", draws, seed), ["side"], ["s", "c"], draws).where("c > 0").select("draw", "side", (F.col("s") / F.col("c")).alias("m"))
+        per = _sums(sums, own, ["side"], ["s", "c"], draws, seed).where("c > 0").select("draw", "side", (F.col("s") / F.col("c")).alias("m"))
     stats = per.groupBy("draw").agg(F.try_divide(F.max(F.when(F.col("side") == "a", F.col("m"))), F.max(F.when(F.col("side") == "b", F.col("m")))).alias("stat")).where("stat is not null")
     obs = both.groupBy("side").agg(_stat(stat, "v").alias("m")).agg(F.try_divide(F.max(F.when(F.col("side") == "a", F.col("m"))), F.max(F.when(F.col("side") == "b", F.col("m")))).alias("obs"))
-    return obs.crossJoin(F.broadcast(_interval(stats, "stat", alpha, []))).drop("share_le_0")  # one row each
+    return settled(obs.crossJoin(F.broadcast(_interval(stats, "stat", alpha, []))).drop("share_le_0"), both, own)  # one row each
 
 
 def custom_bootstrap(df: DataFrame, value: str, group: str, stat, draws: int = 200, seed: int = 0, alpha: float = 0.05) -> DataFrame:

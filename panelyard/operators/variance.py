@@ -95,16 +95,15 @@ def shapley_bootstrap(df: DataFrame, y: str, blocks: dict[str, list[str]], group
     """(draw, block, shapley), draw 0 on the data as it is. Firms are drawn whole: their cross
     products are reweighted, so the rows are read once whatever the number of draws. What comes
     to the driver is one small matrix a draw."""
-    from .resample import multiplicities
+    from .resample import _sums, indexed
 
     if len(blocks) > max_blocks:
         raise ValueError(f"{len(blocks)} blocks; the limit here is {max_blocks}")
     cols = [y, *dict.fromkeys(c for own in blocks.values() for c in own)]
     grams, at = firm_grams(df, cols, group), {c: k + 1 for k, c in enumerate(cols)}
     names = [c for c in grams.columns if c != "grp"]
-    m = multiplicities(grams, "grp", draws, seed)
     base = grams.agg(*(F.sum(c).alias(c) for c in names)).select(F.lit(0).cast("long").alias("draw"), *names)
-    drawn = grams.join(m, "grp").groupBy("draw").agg(*(F.sum(F.col(c) * F.col("w")).alias(c) for c in names)).select(F.col("draw").cast("long").alias("draw"), *names)
+    drawn = _sums(grams, indexed(grams, "grp"), [], names, draws, seed)
     rows = []
     for r in base.unionByName(drawn).collect():
         g = np.zeros((len(cols) + 1,) * 2)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.draws import draw
+from ..functions.draws import FACTOR, ROUNDS, STEP, WORD, draw, mix
 from ..operators import matching as M
 from ..operators import nulls as N
 from ..operators import panel as P
@@ -19,9 +22,14 @@ Q: dict[str, tuple] = {}
 BOOTS, CELLS, DRAWS = 1000, 300, 200
 
 
+def recursive(sql: str) -> str:
+    """SQL whose WITH may name the splitting tree."""
+    return re.sub(r"^\s*with ", "with recursive ", sql) if " tr as (" in sql or " wk as (" in sql else sql
+
+
 def query(name: str, sql: str | None):
     def keep(fn):
-        Q[name] = (fn, sql)
+        Q[name] = (fn, recursive(sql) if sql else sql)
         return fn
 
     return keep
@@ -31,10 +39,23 @@ def _h(*parts: str) -> str:
     return "('0x' || substr(md5(" + " || '|' || ".join(parts) + "), 1, 8))::bigint"
 
 
+def _mix(x: str) -> str:
+    """functions.draws.mix in SQL."""
+    for _ in range(2):
+        x = f"((xor(({x}) >> 16, {x}) * {FACTOR}) & {WORD})"
+    return f"xor({x} >> 16, {x})"
+
+
 def _mult(rows: str, group: str, seed: int = 0, draws: int = BOOTS) -> str:
-    """CTEs gi (indexed groups) and mu (draw, grp, w) over a CTE's groups."""
+    """CTEs gi (indexed groups) and mu (draw, grp, w) over a CTE's groups: the splitting tree of functions.draws, level by level."""
+    base = int(mix(np.uint64([seed]))[0])
+    ends = "(p << (32 - lvl)) * g >> 32 as a, (((p + 1) << (32 - lvl)) - 1) * g >> 32 as z"
+    word = _mix(f"(h + j * {STEP}) & {WORD}")
+    left = f"list_sum(list_transform(range((n + 31) // 32), lambda j: bit_count(({word}) >> (32 - least(32, n - 32 * j)))))::bigint"
     return f"""gi as (select grp, row_number() over (order by grp) - 1 as idx, count(*) over () as n from (select distinct {group} as grp from {rows} where {group} is not null)),
- pk as (select d as draw, {_h(f"'{seed}'", 'd', 'idx')} % n as idx from gi, range(1, {draws + 1}) t(d)), mu as (select draw, grp, count(*) as w from pk join gi using (idx) group by 1, 2)"""
+ tr as (select d as draw, {_mix(f"xor({base}::bigint, d)")} as k, 0 as lvl, 0::bigint as p, g as n, g from range(1, {draws + 1}) t(d), (select max(n)::bigint as g from gi)
+  union all select draw, k, lvl + 1, 2 * p + s, case s when 0 then l else n - l end, g from (select *, {left} as l from (select *, {_mix("xor(k, (1::bigint << lvl) | p)")} as h from (select *, {ends} from tr) where a <> z)), (values (0::bigint), (1)) sd(s) where case s when 0 then l else n - l end > 0),
+ mu as (select draw, grp, sum(tr.n)::bigint as w from (select *, {ends} from tr) tr join gi on gi.idx = a where a = z group by 1, 2)"""
 
 
 _G = DEC_S + ", src as (select cik, year, gross_margin as v, net_margin as u, case when altman_z is null then null when altman_z < 1 then 'a' else 'b' end as side from dec)"
@@ -93,7 +114,22 @@ def r5(spark: SparkSession, d: str) -> DataFrame:
     return B.boot_ratio(x.select("cik", F.col("gross_margin").alias("v")), x.select("cik", F.col("health_score").alias("v")), "v", "cik", "mean", BOOTS).select(*(R(c, 9).alias(c) for c in ("obs", "lo", "hi")))
 
 
-_BIJ = f"""gk as (select distinct cik from fr), bk as (select d as draw, cik, row_number() over (partition by d order by cik) i from gk, range(1, 6) t(d)), bh as (select d as draw, cik as partner, row_number() over (partition by d order by {_h("'0'", 'd', 'cik')}, cik) i from gk, range(1, 6) t(d)), bij as (select draw, cik, partner from bk join bh using (draw, i))"""
+def _perm(rows: str, keep: str, draws: int = 5, seed: int = 0) -> str:
+    """CTEs px and wk: columns `keep` of a CTE's rows (x, n, c), the draw, and y, where functions.draws.permuted takes x of 0..n-1 in cell c.
+    A step of the recursion is all rounds; a point outside the range takes another one."""
+    own = ", ".join([keep, "draw", "k", "n", "a", "b"])
+    step = f"select {own}, y // b as i, y % b as j from wk where y is null or y >= n"
+    step = step.replace("y // b", "coalesce(y, x) // b").replace("y % b", "coalesce(y, x) % b")
+    for r in range(ROUNDS):
+        read, write, size = ("i", "j", "b") if r % 2 else ("j", "i", "a")
+        step = f"select {own}, i, j, xor(k, {_mix(f'({read} & {WORD})')}) as h from ({step})"
+        step = f"select {own}, {read}, ({write} + {_mix(f'((h + {r + 1} * {STEP}) & {WORD})')}) % {size} as {write} from ({step})"
+    base = int(mix(np.uint64([seed]))[0])
+    return f"""px as (select {keep}, x, n, d as draw, {_mix(f"xor({_mix(f'xor({base}::bigint, d)')}, c & {WORD})")} as k, ceil(sqrt(n))::bigint as a, (n + ceil(sqrt(n))::bigint - 1) // ceil(sqrt(n))::bigint as b from {rows}, range(1, {draws + 1}) t(d)),
+ wk as (select {own}, x, null::bigint as y from px union all select {own}, null::bigint, i * b + j from ({step}))"""
+
+
+_BIJ = "gk as (select cik, row_number() over (order by cik) - 1 as x, count(*) over () as n, 0::bigint as c from (select distinct cik from fr)), " + _perm("gk", "cik") + ", bij as (select draw, wk.cik, gk.cik as partner from wk join gk on gk.x = wk.y where wk.y < wk.n)"
 
 
 @query("r6_clustered_shuffle_by_year", DEC_S + ", fr as (select cik || '|' || year as id, cik, year, piotroski as lab from dec), " + _BIJ + """, ks as (select year, row_number() over (order by year) k from (select distinct year from fr)), fk as (select fr.*, k from fr join ks using (year)), cell as (select cik, k, count(*) n from fk group by 1, 2), src as (select cik as partner, k as s, lab, row_number() over (partition by cik, k order by id) - 1 as i from fk),
@@ -110,8 +146,15 @@ def r6b(spark: SparkSession, d: str) -> DataFrame:
     return N.clustered_shuffle(x.select("id", "cik", "year", "piotroski"), "piotroski", "cik", "id", draws=5).select("id", "draw", "shuffled")
 
 
+def _cells(rows: str, by: str, key: str, lab: str, keep: str, draws: int = 5) -> str:
+    """CTEs up to sh (keep..., draw, shuffled): the labels of a CTE's rows permuted inside the cells of `by`."""
+    order = ", ".join(f"{c.strip()} nulls first" for c in f"{by}, {key}".split(","))
+    return f"""ps as (select *, row_number() over (order by {order}) - 1 as pos from {rows}), pc as (select *, min(pos) over (partition by {by}) as c, count(*) over (partition by {by}) as n from ps), pd as (select *, c as first, pos - c as x from pc),
+ {_perm("pd", keep + ", first", draws)}, sh as (select {", ".join("wk." + k.strip() for k in keep.split(","))}, draw, ps.{lab} as shuffled from wk join ps on ps.pos = wk.first + wk.y where wk.y < wk.n)"""
+
+
 def _within(by: str) -> str:
-    return DEC_S + f""", fr as (select cik || '|' || year as id, cik, year, sector, piotroski as lab, d as draw from dec, range(1, 6) t(d)), a as (select *, row_number() over (partition by draw, {by} order by id) i from fr), b as (select draw, {by}, lab as shuffled, row_number() over (partition by draw, {by} order by {_h("'0'", 'draw', 'id')}, id) i from fr) select id, draw, shuffled from a join b using (draw, {by}, i)"""
+    return DEC_S + ", fr as (select cik || '|' || year as id, cik, year, sector, piotroski as lab from dec), " + _cells("fr", by, "id", "lab", "id") + " select id, draw, shuffled from sh"
 
 
 def _shuffle(spark: SparkSession, d: str, by: list[str]) -> DataFrame:
@@ -129,15 +172,15 @@ def r8(spark: SparkSession, d: str) -> DataFrame:
     return _shuffle(spark, d, ["year", "sector"])
 
 
-@query("r12_unit_shuffle", DEC_S + f""", u as (select sector, cik, min(piotroski) lab from dec group by 1, 2), fr as (select u.*, d as draw from u, range(1, 6) t(d)), a as (select *, row_number() over (partition by draw, sector order by cik) i from fr), b as (select draw, sector, lab as shuffled, row_number() over (partition by draw, sector order by {_h("'0'", 'draw', 'cik')}, cik) i from fr) select dec.cik, dec.year, draw, shuffled from a join b using (draw, sector, i) join dec on dec.cik = a.cik""")
+@query("r12_unit_shuffle", DEC_S + ", u as (select sector, cik, min(piotroski) lab from dec group by 1, 2), " + _cells("u", "sector", "cik", "lab", "sector, cik") + " select dec.cik, dec.year, draw, shuffled from sh join dec on dec.cik = sh.cik and dec.sector is not distinct from sh.sector")
 def r12(spark: SparkSession, d: str) -> DataFrame:
     return N.unit_shuffle(dec_s(spark, d).select("cik", "year", "sector", "piotroski"), "piotroski", "cik", "sector", draws=5).select("cik", "year", "draw", "shuffled")
 
 
-@query("r11_cell_mean_shuffle", DEC_S + ", fr as (select cik, year, gross_margin as lab from dec), " + _BIJ + """, ce as (select cik as partner, year, avg(lab) m from fr group by 1, 2), al as (select cik as partner, avg(lab) m from fr group by 1) select fr.cik, fr.year, draw, round(coalesce(ce.m, al.m), 9) as shuffled from fr join bij using (cik) join al using (partner) left join ce on ce.partner = bij.partner and ce.year = fr.year""")
+@query("r11_cell_mean_shuffle", DEC_S + ", fr as (select cik, year, gross_margin as lab from dec), " + _BIJ + """, ce as (select cik as partner, year, avg(lab) m from fr group by 1, 2), al as (select cik as partner, avg(lab) m from fr group by 1) select fr.cik, fr.year, draw, round(coalesce(ce.m, al.m), 12) as shuffled from fr join bij using (cik) join al using (partner) left join ce on ce.partner = bij.partner and ce.year = fr.year""")
 def r11(spark: SparkSession, d: str) -> DataFrame:
     out = N.cell_mean_shuffle(dec_s(spark, d).select("cik", "year", "gross_margin"), "gross_margin", "cik", "year", draws=5)
-    return out.select("cik", "year", "draw", R("shuffled", 9).alias("shuffled"))
+    return out.select("cik", "year", "draw", R("shuffled", 12).alias("shuffled"))
 
 
 def _spread_by_draw(spark: SparkSession, d: str, draws: int) -> tuple[DataFrame, DataFrame]:
@@ -149,7 +192,7 @@ def _spread_by_draw(spark: SparkSession, d: str, draws: int) -> tuple[DataFrame,
     return obs, null
 
 
-_SPREAD = DEC_S + f""", fr as (select cik || '|' || year as id, year, sector, piotroski as lab, net_margin from dec), fd as (select fr.*, d as draw from fr, range(1, {DRAWS + 1}) t(d)), a as (select *, row_number() over (partition by draw, year order by id) i from fd), b as (select draw, year, lab as shuffled, row_number() over (partition by draw, year order by {_h("'0'", 'draw', 'id')}, id) i from fd), sh as (select sector, draw, shuffled, net_margin from a join b using (draw, year, i)),
+_SPREAD = DEC_S + ", fr as (select cik || '|' || year as id, year, sector, piotroski as lab, net_margin from dec), " + _cells("fr", "year", "id", "lab", "id, sector, net_margin", DRAWS) + """,
  ob as (select sector, avg(net_margin) filter (where lab <= 4) - avg(net_margin) filter (where lab > 4) as value from fr group by 1), nu as (select sector, draw, avg(net_margin) filter (where shuffled <= 4) - avg(net_margin) filter (where shuffled > 4) as value from sh group by 1, 2)"""
 
 
@@ -207,12 +250,17 @@ def j23(spark: SparkSession, d: str) -> DataFrame:
 
 
 
-_DID = _PAIRS + """, an as (select 'a' || case_id as aid, split_part(case_id, '|', 1)::bigint as cik, qi, 'a' as side from ca union all select 'b|' || case_id || '|' || control_id, control_id, qi, 'b' from pairs join ca using (case_id)), g as (select an.*, k::int as k, qi + k as q from an, range(-4, 0) t(k)),
- jj as (select aid, g.cik, side, k, p.revenue, p.n_orders from g left join panel_c p on p.cik = g.cik and p.qi = g.q), lg as (select aid, cik, side, k, 'revenue' as metric, revenue::double as value from jj union all select aid, cik, side, k, 'n_orders', n_orders::double from jj), ch as (select *, value - first_value(value) over (partition by aid, metric order by k) as v from lg), sd as (select * from ch where k > -4 and v is not null), """ + _mult("sd", "cik", draws=CELLS) + """,
+def _did(seed: int = 0) -> str:
+    """CTEs up to did: the match and the draws under a seed."""
+    return _PAIRS.replace("md5('0' ||", f"md5('{seed}' ||") + """, an as (select 'a' || case_id as aid, split_part(case_id, '|', 1)::bigint as cik, qi, 'a' as side from ca union all select 'b|' || case_id || '|' || control_id, control_id, qi, 'b' from pairs join ca using (case_id)), g as (select an.*, k::int as k, qi + k as q from an, range(-4, 0) t(k)),
+ jj as (select aid, g.cik, side, k, p.revenue, p.n_orders from g left join panel_c p on p.cik = g.cik and p.qi = g.q), lg as (select aid, cik, side, k, 'revenue' as metric, revenue::double as value from jj union all select aid, cik, side, k, 'n_orders', n_orders::double from jj), ch as (select *, value - first_value(value) over (partition by aid, metric order by k) as v from lg), sd as (select * from ch where k > -4 and v is not null), """ + _mult("sd", "cik", seed, CELLS) + """,
  st as (select metric, k, draw, sum(v * w) filter (where side = 'a') / sum(w) filter (where side = 'a') - sum(v * w) filter (where side = 'b') / sum(w) filter (where side = 'b') as s, coalesce(sum(w) filter (where side = 'a'), 0) na, coalesce(sum(w) filter (where side = 'b'), 0) nb from sd join mu on mu.grp = sd.cik group by 1, 2, 3), e as (select metric, k, quantile_cont(s, 0.025) lo, quantile_cont(s, 0.975) hi from st where na >= 1 and nb >= 1 group by 1, 2),
  o as (select metric, k, avg(v) filter (where side = 'a') - avg(v) filter (where side = 'b') as obs, count(*) filter (where side = 'a') as n_a, count(*) filter (where side = 'b') as n_b, avg((v = 0)::int) filter (where side = 'a') as zs from sd group by 1, 2), did as (select o.metric, o.k, round(obs, 6) as obs, round(lo, 6) as lo, round(hi, 6) as hi, n_a, n_b, round(zs, 6) as zero_share, round(lo, 6) > 0 or round(hi, 6) < 0 as excludes_zero from o left join e on e.metric = o.metric and e.k = o.k)"""
 
 
+_DID = _did()
+
+
 @query("r14_did_table", _DID + " select * from did")
 def r14(spark: SparkSession, d: str) -> DataFrame:
     """Cases against their matched controls: change of each metric at each quarter before the anchor, all cells from one set of draws."""

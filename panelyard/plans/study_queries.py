@@ -14,7 +14,7 @@ from ..operators import returns as T
 from ..operators import shares as S
 from ..operators.variance import spearman
 from ..sources import views as V
-from .null_queries import _DID, CELLS, DRAWS, _cases, _h
+from .null_queries import CELLS, DRAWS, _cases, _did, _h, recursive
 from .panel_queries import _VINT, DEC_S, EXIT, UNI_C, R, dec_s
 from .price_queries import _DA, daily
 from .share_queries import _CAP, _CORR, flags
@@ -206,7 +206,7 @@ SEEDS = range(5)
 
 def _seeded(seed: int) -> str:
     """The differences of the last quarter under another seed of the match and of the draws."""
-    return f"select {seed} as seed, metric, obs, lo, hi from (" + _DID.replace("where k > -4 and v is not null", "where k = -1 and v is not null").replace("md5('0' ||", f"md5('{seed}' ||") + " select * from did)"
+    return f"select {seed} as seed, metric, obs, lo, hi from (" + recursive(_did(seed)).replace("where k > -4 and v is not null", "where k = -1 and v is not null") + " select * from did)"
 
 
 @query("r17_seed_sensitivity", " union all ".join(map(_seeded, SEEDS)))

@@ -17,7 +17,7 @@ from ..operators import survival as K
 from ..sources import readers as I
 from ..sources import views as V
 from . import panel_queries, price_queries, share_queries
-from .null_queries import DRAWS, _h
+from .null_queries import DRAWS, _cells, _h, _mult, recursive
 from .panel_queries import _VINT, DEC_S, EXIT, R, dec_s
 
 Q: dict[str, tuple] = {}
@@ -25,7 +25,7 @@ Q: dict[str, tuple] = {}
 
 def query(name: str, sql: str | None):
     def keep(fn):
-        Q[name] = (fn, sql)
+        Q[name] = (fn, recursive(sql) if sql else sql)
         return fn
 
     return keep
@@ -379,7 +379,7 @@ def v3(spark: SparkSession, d: str) -> DataFrame:
     return K.survival_curve(rows, ["entry_id"], 12, by=["label"]).select("label", "k", "at_risk", "failures", R("incidence", 9).alias("incidence"))
 
 
-@query("f1_bootstrap_rate", DEC_S + f""", src as (select cik, (piotroski >= 5)::int as v from dec), gi as (select grp, row_number() over (order by grp) - 1 as idx, count(*) over () as n from (select distinct cik as grp from src)), pk as (select d as draw, {_h("'0'", 'd', 'idx')} % n as idx from gi, range(1, {DRAWS + 1}) t(d)), mu as (select draw, grp, count(*) as w from pk join gi using (idx) group by 1, 2),
+@query("f1_bootstrap_rate", DEC_S + f""", src as (select cik, (piotroski >= 5)::int as v from dec), {_mult("src", "cik", draws=DRAWS)},
  st as (select draw, sum(v * w)::double / sum(w) as s from src join mu on mu.grp = src.cik group by 1) select (select round(avg(v), 9) from src) as obs, round(quantile_cont(s, 0.025), 9) as lo, round(quantile_cont(s, 0.975), 9) as hi from st""")
 def f1(spark: SparkSession, d: str) -> DataFrame:
     x = dec_s(spark, d).select("cik", (F.col("piotroski") >= 5).cast("int").alias("v"))
@@ -458,15 +458,19 @@ def v13_passport(spark: SparkSession, d: str) -> DataFrame:
 _SHAP = "(rb + (ra + rb - 2 * ya * yb * ab) / (1 - ab * ab) - ra) / 2"
 
 
-@query("v16b_placebo_between_firms", DEC_S + f""", fr as (select cik || '|' || year as id, cik, year, net_margin as y, operating_margin as a, gross_margin as b from dec), dr as (select fr.*, d as draw from fr, range(1, {DRAWS + 1}) t(d)), k as (select *, row_number() over (partition by draw, year order by id) i from dr), s as (select draw, year, b as sb, row_number() over (partition by draw, year order by {_h("'0'", 'draw', 'id')}, id) i from dr), sh as (select draw, y, a, sb from k join s using (draw, year, i)),
+def _dealt(name: str, by: str) -> str:
+    return DEC_S + ", fr as (select cik || '|' || year as id, cik, year, net_margin as y, operating_margin as a, gross_margin as b from dec), fq as (select id, cik, year, y as yy, a as aa, b as lab from fr), " + _cells("fq", by, "id", "lab", "id, yy, aa", DRAWS).replace(" sh as (", " s0 as (") + f""", sh as (select draw, yy as y, aa as a, shuffled as sb from s0),
  c as (select draw, corr(y, a) ya, corr(y, sb) yb, corr(a, sb) ab from sh group by 1 union all select 0, corr(y, a), corr(y, b), corr(a, b) from fr), v as (select draw, ({_SHAP.replace('ra', '(ya * ya)').replace('rb', '(yb * yb)')}) as v from c), o as (select v as o from v where draw = 0)
- select 'between firms' as placebo, round(any_value(o), 8) as observed, round(avg(v), 8) as null_mean, round(quantile_cont(v, 0.95), 8) as null_p95, round(avg((v >= o)::int), 8) as at_or_above from v, o where draw > 0""")
+ select '{name}' as placebo, round(any_value(o), 8) as observed, round(avg(v), 8) as null_mean, round(quantile_cont(v, 0.95), 8) as null_p95, round(avg((v >= o)::int), 8) as at_or_above from v, o where draw > 0"""
+
+
+@query("v16b_placebo_between_firms", _dealt("between firms", "year"))
 def v16b_between(spark: SparkSession, d: str) -> DataFrame:
     """A block's Shapley share of variance against that of the block dealt anew among the firms of a year."""
     return _placebo(spark, d, "between firms", ["year"])
 
 
-@query("v16b_placebo_within_firm", Q["v16b_placebo_between_firms"][1].replace("partition by draw, year", "partition by draw, cik").replace("select draw, year, b as sb", "select draw, cik, b as sb").replace("using (draw, year, i)", "using (draw, cik, i)").replace("'between firms'", "'within firm'"))
+@query("v16b_placebo_within_firm", _dealt("within firm", "cik"))
 def v16b_within(spark: SparkSession, d: str) -> DataFrame:
     """The same with the block dealt anew among each firm's own years: what is left is the firm, not the time."""
     return _placebo(spark, d, "within firm", ["cik"])
@@ -481,7 +485,7 @@ def _placebo(spark: SparkSession, d: str, name: str, by: list[str]) -> DataFrame
     return both.agg(F.lit(name).alias("placebo"), R(F.max("o"), 8).alias("observed"), R(F.avg("v"), 8).alias("null_mean"), R(F.percentile("v", 0.95), 8).alias("null_p95"), R(mean(F.col("v") >= F.col("o")), 8).alias("at_or_above"))
 
 
-@query("v16b_bootstrap_of_two_blocks", DEC_S + f""", fr as (select cik, net_margin as y, operating_margin as a, gross_margin as b from dec), gi as (select grp, row_number() over (order by grp) - 1 as idx, count(*) over () as n from (select distinct cik as grp from fr)), pk as (select d as draw, {_h("'0'", 'd', 'idx')} % n as idx from gi, range(1, {DRAWS + 1}) t(d)), mu as (select draw, grp, count(*) as w from pk join gi using (idx) group by 1, 2),
+@query("v16b_bootstrap_of_two_blocks", DEC_S + f""", fr as (select cik, net_margin as y, operating_margin as a, gross_margin as b from dec), {_mult("fr", "cik", draws=DRAWS)},
  m as (select draw, sum(w) n, sum(w * y) / sum(w) y1, sum(w * a) / sum(w) a1, sum(w * b) / sum(w) b1, sum(w * y * y) / sum(w) yy, sum(w * a * a) / sum(w) aa, sum(w * b * b) / sum(w) bb, sum(w * y * a) / sum(w) sya, sum(w * y * b) / sum(w) syb, sum(w * a * b) / sum(w) sab from fr join mu on mu.grp = fr.cik group by 1),
  c as (select draw, (sya - y1 * a1) / sqrt((yy - y1 * y1) * (aa - a1 * a1)) ya, (syb - y1 * b1) / sqrt((yy - y1 * y1) * (bb - b1 * b1)) yb, (sab - a1 * b1) / sqrt((aa - a1 * a1) * (bb - b1 * b1)) ab from m union all select 0, corr(y, a), corr(y, b), corr(a, b) from fr),
  s as (select draw, ya * ya as ra, yb * yb as rb, (ya * ya + yb * yb - 2 * ya * yb * ab) / (1 - ab * ab) as rab from c), l as (select draw, 'a' as block, (ra + rab - rb) / 2 as v from s union all select draw, 'b', (rb + rab - ra) / 2 from s)
