@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.draws import draw
+from .ranks import ranked
 
 
 def matched_controls(cases: DataFrame, controls: DataFrame, cell: list[str], per_case: int = 3, seed: int = 0) -> DataFrame:
@@ -15,9 +16,8 @@ def matched_controls(cases: DataFrame, controls: DataFrame, cell: list[str], per
     are numbered in their cell; a case draws positions from ranges that shrink by one, each draw
     moved past the ones before it, and an equi-join on cell and position fetches them: no
     case meets its whole cell."""
-    w = Window.partitionBy(*cell)
-    pool = controls.select(*cell, "control_id", (F.row_number().over(w.orderBy("control_id")) - 1).alias("pos"))
-    sizes = controls.groupBy(*cell).agg(F.count("*").alias("n"))
+    pool = ranked(controls.select(*cell, "control_id"), cell, ["control_id"]).select(*cell, "control_id", (F.col("_rank") - 1).alias("pos"))
+    sizes = pool.groupBy(*cell).agg(F.count("*").alias("n"))
     own = cases.join(sizes, cell)
     taken = F.array().cast("array<bigint>")
     for k in range(per_case):

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions.draws import WORD, key, mix, permuted
 from ..sources.tables import durable, numbered
-from .resample import _null_safe, indexed
+from .ranks import null_safe
+from .resample import indexed
 
 
 def _dealt(rows: DataFrame, seed: int, draws: int, out: str) -> DataFrame:
@@ -81,7 +82,7 @@ def within_shuffle(df: DataFrame, label: str, by: list[str], row_id: str, seed:
     Positions follow `by`, then row_id, a unique key. A cell's rows are never together in one task."""
     rows = numbered(df, [*by, row_id], "_pos")
     cells = rows.groupBy(*by).agg(F.min("_pos").alias("_c"), F.count("*").alias("_n"))
-    rows_ = _null_safe(rows, cells, by).withColumn("_x", F.col("_pos") - F.col("_c")).withColumn("_first", F.col("_c")).drop("_pos")
+    rows_ = null_safe(rows, cells, by).withColumn("_x", F.col("_pos") - F.col("_c")).withColumn("_first", F.col("_c")).drop("_pos")
     dealt = _dealt(rows_, seed, draws, "_to").withColumn("_pos", F.col("_first") + F.col("_to"))
     return dealt.join(rows.select("_pos", F.col(label).alias(out)), "_pos").select(*df.columns, "draw", out)
 

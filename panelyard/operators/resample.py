@@ -10,8 +10,6 @@ draw descends into the range that holds its middle, 64 times narrower a level, u
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -19,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.draws import multiplicities_of
 from ..sources.tables import discard, durable, numbered, settled
+from .ranks import null_safe
 
 #: Numbers that a task holds for all draws before it passes them on.
 MOST_HELD = 1 << 22
@@ -122,17 +121,11 @@ def _sums(rows: DataFrame, own: DataFrame, keys: list[str], values: list[str], d
     return held.mapInArrow(run, schema).groupBy(*keys, "draw").agg(*(F.sum(v).alias(v) for v in values))
 
 
-def _null_safe(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    b = b.select(*(F.col(k).alias(f"_of_{k}") if k in keys else F.col(k) for k in b.columns))
-    same = reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys))
-    return a.join(b, same, how).drop(*(f"_of_{k}" for k in keys))
-
-
 def _medians(rows: DataFrame, own: DataFrame, keys: list[str], draws: int, seed: int, least: int = 1) -> DataFrame:
     """(keys..., draw, m): the exact median of each draw, rows (keys..., grp, v, c), made from a durable table, standing c times the group's multiplicity.
     Draws with under `least` rows in a cell have none there."""
     values = numbered(rows.select(*keys, "v").distinct(), [*keys, "v"], twice=True)
-    placed = durable(_null_safe(rows, values, [*keys, "v"]).join(own, "grp").select(*keys, "idx", "n", "pos", "c"), "boot-rows")
+    placed = durable(null_safe(rows, values, [*keys, "v"]).join(own, "grp").select(*keys, "idx", "n", "pos", "c"), "boot-rows")
     most, every = values.groupBy(*keys).count().agg(F.max("count"), F.sum("count")).first()
     bits = LEVEL if (every or 0) * draws > 4 * MOST_HELD else 62  # few values: one level, each its own range
     shifts = range(((most or 1) - 1).bit_length() // bits * bits, -1, -bits)
@@ -141,7 +134,7 @@ def _medians(rows: DataFrame, own: DataFrame, keys: list[str], draws: int, seed:
         parent = F.lit(0).cast("long") if needed is None else F.shiftright("pos", shift + bits)
         level = placed.withColumn("parent", parent).withColumn("sub", F.shiftright("pos", shift))
         if needed is not None:
-            level = _null_safe(level, needed.select(*keys, "parent"), [*keys, "parent"], "left_semi")
+            level = null_safe(level, needed.select(*keys, "parent"), [*keys, "parent"], "left_semi")
         found = durable(_middle(_weights(level, keys, draws, seed, needed is None), needed, keys, draws, least, shift == 0), "boot-middle")
         spent.append(found)
         needed = found

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .asof import calendar, lookup, positioned, series
+from .ranks import quantiles
 
 MIN_BARS = 30
 
@@ -26,8 +27,8 @@ def forward_paths(entries: DataFrame, bars: DataFrame, horizons: int = 24, max_s
     last = F.expr(f"add_months(as_of_date, {horizons})")
     gone = (last > F.col("last_bar")) | F.coalesce(last > F.col("listed_until"), F.lit(False))
     hit = hit.where("k > 0").select("entry_id", "ticker", "year", "k", F.when(~past, F.col("close") / F.col("p0") - 1).alias("r"), gone.alias("delisted_in_window"))
-    mid = hit.groupBy("year", "k").agg(F.median("r").alias("mid"))
-    return hit.join(mid, ["year", "k"]).select("entry_id", "ticker", "year", "k", "r", (F.col("r") - F.col("mid")).alias("x"), "delisted_in_window")
+    mid = quantiles(hit, "r", ["year", "k"], [0.5]).select("year", "k", F.col("q")[0].alias("mid"))
+    return hit.join(mid, ["year", "k"], "left").where("year is not null").select("entry_id", "ticker", "year", "k", "r", (F.col("r") - F.col("mid")).alias("x"), "delisted_in_window")
 
 
 def _anchored(events: DataFrame, pos: DataFrame) -> DataFrame:
@@ -91,8 +92,10 @@ def daily_abnormal(events: DataFrame, bars: DataFrame, bench: DataFrame, lo: int
 
 def med_abs_ratio(ar: DataFrame, day: int = 0, quiet_min: int = 6) -> DataFrame:
     """One row: median |ar| at the offset over the median |ar| of all cells at least quiet_min away."""
-    size = F.abs("ar")
-    return ar.agg((F.median(F.when(F.col("offset") == day, size)) / F.median(F.when(F.abs("offset") >= quiet_min, size))).alias("ratio"))
+    at = F.when(F.col("offset") == day, "day").when(F.abs("offset") >= quiet_min, "quiet")
+    mid = quantiles(ar.withColumn("_at", at).where("_at is not null"), F.abs("ar"), ["_at"], [0.5])
+    of = lambda name: F.max(F.when(F.col("_at") == name, F.col("q")[0]))
+    return mid.agg((of("day") / of("quiet")).alias("ratio"))
 
 
 def path_between(pairs: DataFrame, bars: DataFrame, bench: DataFrame, points: int = 10, post_days: int = 20, min_trading_days: int = 20, max_gap_days: int = 7, min_bars: int = 60) -> DataFrame:

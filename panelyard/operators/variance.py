@@ -13,6 +13,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ranks import average_ranked, quantiles
+
 
 def gram(df: DataFrame, cols: list[str], weight: str | None = None) -> np.ndarray:
     """Cross products of (1, cols...) over rows without missing values."""
@@ -64,8 +66,9 @@ def shapley_table(df: DataFrame, y: str, blocks: dict[str, list[str]]) -> DataFr
 
 def winsorise(df: DataFrame, cols: list[str], by: list[str], low: float = 0.01, high: float = 0.99) -> DataFrame:
     """Columns clipped to their cohort's quantiles, missing ones filled with the cohort's median, `_missing` flags."""
-    edges = df.groupBy(*by).agg(*(F.percentile(c, F.array(F.lit(low), F.lit(0.5), F.lit(high))).alias(f"_e_{c}") for c in cols))
-    out = df.join(edges, by)
+    out = df
+    for c in cols:
+        out = out.join(quantiles(df, c, by, [low, 0.5, high], f"_e_{c}"), by, "left")
     for c in cols:
         e = F.col(f"_e_{c}")
         out = out.withColumn(f"{c}_missing", F.col(c).isNull()).withColumn(c, F.when(F.col(c).isNull(), e[1]).otherwise(F.least(F.greatest(F.col(c), e[0]), e[2])))
@@ -74,14 +77,9 @@ def winsorise(df: DataFrame, cols: list[str], by: list[str], low: float = 0.01,
 
 def spearman(df: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:
     """Spearman correlation within each frame: Pearson of average ranks."""
-    from pyspark.sql import Window
-
     rows = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
-
-    def rank(c: str):
-        return F.rank().over(Window.partitionBy(*by).orderBy(c)) + (F.count("*").over(Window.partitionBy(*by, c)) - 1) / 2
-
-    return rows.withColumn("_a", rank(a)).withColumn("_b", rank(b)).groupBy(*by).agg(F.corr("_a", "_b").alias("rho"), F.count("*").alias("n"))
+    rows = average_ranked(average_ranked(rows, by, a, "_a"), by, b, "_b")
+    return rows.groupBy(*by).agg(F.corr("_a", "_b").alias("rho"), F.count("*").alias("n"))
 
 
 def firm_grams(df: DataFrame, cols: list[str], group: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.calendar import overlap_year, quarter_end, quarter_label
 from ..operators import panel as P
+from ..operators.ranks import null_safe, quantiles
 from ..sources import views as V
 
 YEARS = (1995, 2001)
@@ -196,7 +197,8 @@ def a11(spark: SparkSession, d: str) -> DataFrame:
 
 @query("a13_quantile_summary", V.with_views("panel_c") + """ select sector, count(*) as n, round(quantile_cont(revenue, 0.1), 8) as p10, round(quantile_cont(revenue, 0.25), 8) as p25, round(median(revenue), 8) as p50, round(quantile_cont(revenue, 0.75), 8) as p75, round(quantile_cont(revenue, 0.9), 8) as p90, round(avg(revenue), 4) as mean from panel_c group by 1 having count(*) >= 5""")
 def a13(spark: SparkSession, d: str) -> DataFrame:
-    g = V.panel_c(spark, d).groupBy("sector").agg(F.count("*").alias("n"), F.percentile("revenue", F.array(*map(F.lit, (0.1, 0.25, 0.5, 0.75, 0.9)))).alias("q"), F.avg("revenue").alias("mean")).where("n >= 5")
+    x = V.panel_c(spark, d)
+    g = null_safe(x.groupBy("sector").agg(F.count("*").alias("n"), F.avg("revenue").alias("mean")).where("n >= 5"), quantiles(x, "revenue", ["sector"], [0.1, 0.25, 0.5, 0.75, 0.9]), ["sector"], "left")
     return g.select("sector", "n", *(R(F.col("q")[k], 8).alias(c) for k, c in enumerate(("p10", "p25", "p50", "p75", "p90"))), R("mean", 4).alias("mean"))
 
 
@@ -206,7 +208,8 @@ _MET = ("revenue", "gross_margin", "net_margin", "altman_z")
 @query("a14_cohort_medians", V.with_views("panel_s") + ", l as (" + " union all ".join(f"select sector, '{m}' as metric, {m} as v from panel_s" for m in _MET) + ") select sector, metric, count(v) as n, round(median(v), 6) as median from l group by 1, 2")
 def a14(spark: SparkSession, d: str) -> DataFrame:
     long = V.panel_s(spark, d).unpivot(["sector"], list(_MET), "metric", "v")
-    return long.groupBy("sector", "metric").agg(F.count("v").alias("n"), R(F.median("v"), 6).alias("median"))
+    mid = quantiles(long, "v", ["sector", "metric"], [0.5])
+    return null_safe(long.groupBy("sector", "metric").agg(F.count("v").alias("n")), mid, ["sector", "metric"], "left").select("sector", "metric", "n", R(F.col("q")[0], 6).alias("median"))
 
 
 @query("a15_share_with_total", V.with_views("panel_s") + """ select coalesce(sector, 'all') as sector, count(*) as n, round(avg((altman_z is not null)::int), 6) as covered from panel_s group by rollup (sector)""")

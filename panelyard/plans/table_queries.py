@@ -10,6 +10,7 @@ from ..functions.draws import draw
 from ..operators import asof as A
 from ..operators import nulls as N
 from ..operators import panel as P
+from ..operators.ranks import null_safe, quantiles
 from ..operators import resample as B
 from ..operators import returns as T
 from ..operators import shares as S
@@ -85,7 +86,7 @@ def a13_cuts(spark: SparkSession, d: str) -> DataFrame:
     """n, quantiles and mean of a column by source of the end date, by sector (five rows or more) and by half."""
     cuts = (("source", F.when(F.col("listed_until").isNull(), "none").otherwise("dated")), ("sector", F.col("sector")), ("half", F.when(F.year("as_of_date") < 1998, "early").otherwise("late")))
     rows = V.panel_s(spark, d).select("revenue", F.explode(F.array(*(F.struct(F.lit(n).alias("cut"), c.alias("key")) for n, c in cuts))).alias("c")).select("revenue", "c.*")
-    g = rows.groupBy("cut", "key").agg(F.count("*").alias("n"), F.percentile("revenue", F.array(*map(F.lit, (0.1, 0.25, 0.5, 0.75, 0.9)))).alias("q"), F.avg("revenue").alias("mean"))
+    g = null_safe(rows.groupBy("cut", "key").agg(F.count("*").alias("n"), F.avg("revenue").alias("mean")), quantiles(rows, "revenue", ["cut", "key"], [0.1, 0.25, 0.5, 0.75, 0.9]), ["cut", "key"], "left")
     return g.where("cut <> 'sector' or n >= 5").select("cut", "key", "n", *(R(F.col("q")[k], 8).alias(c) for k, c in enumerate(("p10", "p25", "p50", "p75", "p90"))), R("mean", 4).alias("mean"))
 
 
