@@ -53,24 +53,24 @@ def quantiles(df: DataFrame, value: str | Column, by: list[str], probs: list[flo
     ends = [e for p in probs for e in (max(0.0, p - reach), min(1.0, p + reach))]
     sketch = rows.groupBy(*by).agg(F.count("*").alias("_n"), F.percentile_approx("_v", F.array(*map(F.lit, ends)), F.lit(ACCURACY)).alias("_e"))
     at = [F.struct(F.lit(i).alias("i"), F.col("_e")[2 * i].alias("lo"), F.col("_e")[2 * i + 1].alias("hi"), (F.lit(p) * (F.col("_n") - 1)).alias("place")) for i, p in enumerate(probs)]
-    near = null_safe(rows, sketch, by).select(*by, "_v", F.explode(F.array(*at)).alias("b"))
+    near = null_safe(rows, sketch, by).select(*by, "_v", F.explode(F.array(*at)).alias("_b"))
     # below a bracket, inside it (by value), above it
-    kind = F.when(F.col("_v") < F.col("b.lo"), 0).when(F.col("_v") <= F.col("b.hi"), 1).otherwise(2)
-    near = near.select(*by, F.col("b.i").alias("i"), F.col("b.place").alias("place"), kind.alias("kind"), F.when(kind == 1, F.col("_v")).alias("inside"), "_v")
-    counts = near.groupBy(*by, "i", "place", "kind", "inside").agg(F.count("*").alias("c"), F.min("_v").alias("least"), F.max("_v").alias("most"))
-    w = Window.partitionBy(*by, "i").orderBy("kind", "inside").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("before", F.coalesce(F.sum("c").over(w), F.lit(0)))
+    kind = F.when(F.col("_v") < F.col("_b.lo"), 0).when(F.col("_v") <= F.col("_b.hi"), 1).otherwise(2)
+    near = near.select(*by, F.col("_b.i").alias("_i"), F.col("_b.place").alias("_place"), kind.alias("_kind"), F.when(kind == 1, F.col("_v")).alias("_inside"), "_v")
+    counts = near.groupBy(*by, "_i", "_place", "_kind", "_inside").agg(F.count("*").alias("_c"), F.min("_v").alias("_least"), F.max("_v").alias("_most"))
+    w = Window.partitionBy(*by, "_i").orderBy("_kind", "_inside").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_c").over(w), F.lit(0)))
 
     def ranked_value(r: Column) -> Column:
-        held = (F.col("kind") == 1) & (F.col("before") < r) & (r <= F.col("before") + F.col("c"))
-        last = (F.col("kind") == 0) & (r == F.col("c"))
-        next_ = (F.col("kind") == 2) & (r == F.col("before") + 1)
-        return F.max(F.when(held, F.col("inside")).when(last, F.col("most")).when(next_, F.col("least")))
-
-    low = F.floor("place") + 1
-    ends_ = counts.groupBy(*by, "i", "place").agg(ranked_value(low).alias("a"), ranked_value(F.ceil("place") + 1).alias("z"))
-    part = F.col("place") - F.floor("place")
+        held = (F.col("_kind") == 1) & (F.col("_before") < r) & (r <= F.col("_before") + F.col("_c"))
+        last = (F.col("_kind") == 0) & (r == F.col("_c"))
+        next_ = (F.col("_kind") == 2) & (r == F.col("_before") + 1)
+        return F.max(F.when(held, F.col("_inside")).when(last, F.col("_most")).when(next_, F.col("_least")))
+
+    low = F.floor("_place") + 1
+    found = counts.groupBy(*by, "_i", "_place").agg(ranked_value(low).alias("_a"), ranked_value(F.ceil("_place") + 1).alias("_z"))
+    part = F.col("_place") - F.floor("_place")
     missed = F.raise_error(F.lit("a quantile lies outside its bracket")).cast("double")
-    # weights of the two neighbours, as percentile() has them
-    q = F.when(F.col("a").isNull() | F.col("z").isNull(), missed).when(F.col("a") == F.col("z"), F.col("a")).otherwise((1 - part) * F.col("a") + part * F.col("z"))
-    return ends_.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", q.alias("q")))), lambda s: s["q"]).alias(out))
+    a, z = F.col("_a"), F.col("_z")
+    q = F.when(a.isNull() | z.isNull(), missed).when(a == z, a).otherwise((1 - part) * a + part * z)
+    return found.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", q.alias("q")))), lambda s: s["q"]).alias(out))
