@@ -1,7 +1,9 @@
 """As-of prices and trading-day arithmetic on (ticker, date, close) bars.
 
-A lookup turns the needed days into probe rows, sorts them between the bars of their ticker and
-carries the last bar along: one shuffle by ticker for all probes of a job, no range join.
+Bars are held in pages: one row for a ticker and month with its bars in order, their number so far, and the neighbours on
+either side; months without bars repeat the page before them. A lookup is an equi-join of the needed days with pages by ticker and month, and a
+search in one page of at most 31 bars: no range join, no sort of a ticker's bars, and Spark can split a join where one ticker
+has many of the days. Windows run over pages, of which a ticker has twelve a year.
 Staleness and edge rules are the callers' own and come after the lookup.
 """
 
@@ -10,12 +12,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BAR = "struct<date:date,close:double,pos:int>"
+
+def pages(bars: DataFrame) -> DataFrame:
+    """(ticker, month, held, count, before, after): bars of a ticker and month as structs (date, close) in order; `count` of them before the page;
+    `after`, the first bar of the next page; `before`, the last one of the page before. Every month from the first to the last has a page."""
+    month = F.trunc("date", "month")
+    own = bars.groupBy("ticker", month.alias("month")).agg(F.array_sort(F.collect_list(F.struct("date", F.col("close").cast("double").alias("close")))).alias("held"))
+    w = Window.partitionBy("ticker").orderBy("month")
+    own = own.withColumn("count", F.coalesce(F.sum(F.size("held")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int"))
+    own = own.withColumn("before", F.lag(F.element_at("held", -1)).over(w)).withColumn("after", F.lead(F.element_at("held", 1)).over(w)).withColumn("next", F.lead("month").over(w))
+    months = F.sequence("month", F.coalesce(F.add_months("next", -1), F.col("month")), F.expr("interval 1 month"))
+    return own.withColumn("month", F.explode(months)).drop("next")
 
 
 def positioned(bars: DataFrame) -> DataFrame:
     """Bars with `pos`, the trading day's number within the ticker from 1."""
-    return bars.select("ticker", "date", F.col("close").cast("double").alias("close"), F.row_number().over(Window.partitionBy("ticker").orderBy("date")).alias("pos"))
+    held = pages(bars)
+    out = held.where(F.trunc(F.element_at("held", 1)["date"], "month") == F.col("month"))  # pages of months that have bars
+    out = out.select("ticker", "count", F.posexplode("held").alias("at", "bar"))
+    out = out.select("ticker", "bar.date", "bar.close", (F.col("count") + F.col("at") + 1).cast("int").alias("pos"))
+    out.pages = held
+    return out
 
 
 def series(bars: DataFrame) -> DataFrame:
@@ -23,30 +40,30 @@ def series(bars: DataFrame) -> DataFrame:
     return bars.groupBy("ticker").agg(F.count("*").alias("n_bars"), F.min("date").alias("first_bar"), F.max("date").alias("last_bar"))
 
 
-def lookup(bars: DataFrame, probes: DataFrame, day: str = "day", side: str = "<=", prefix: str = "", by_year: bool = False) -> DataFrame:
+def lookup(bars: DataFrame, probes: DataFrame, day: str = "day", side: str = "<=", prefix: str = "") -> DataFrame:
     """probes (ticker, `day`, ...) with date, close and pos of the last bar `<=` or `<` the day,
     or of the first bar `>=` it; null where there is none.
 
-    bars as from positioned(). With by_year, a ticker's rows are sorted year by year, each year
-    starting with the bar that the years before left (or, for >=, that the years after bring):
-    for tickers with a large share of all rows.
-    """
-    back = side in ("<=", "<")
-    order = [F.col("_d") if back else F.col("_d").desc(), F.col("_tag")]
-    year = F.year("_d") if by_year else F.lit(0)
-    b = bars.select("ticker", F.col("date").alias("_d"), F.lit(2 if side == "<" else 0).alias("_tag"), F.struct("date", "close", "pos").cast(BAR).alias("_bar"), F.lit(None).cast(probes.schema).alias("_row"))
-    p = probes.select("ticker", F.col(day).alias("_d"), F.lit(1).alias("_tag"), F.lit(None).cast(BAR).alias("_bar"), F.struct(*probes.columns).cast(probes.schema).alias("_row"))
-    rows = b.unionByName(p).withColumn("_year", year)
-    if by_year:
-        edge = F.max_by("_bar", "_d") if back else F.min_by("_bar", "_d")
-        years = rows.groupBy("ticker", "_year").agg(edge.alias("_edge"))
-        w = Window.partitionBy("ticker").orderBy("_year" if back else F.col("_year").desc()).rowsBetween(Window.unboundedPreceding, -1)
-        carried = years.withColumn("_bar", F.last("_edge", ignorenulls=True).over(w)).where("_bar is not null")
-        far = F.lit("0001-01-01" if back else "9999-12-31").cast("date")
-        rows = rows.unionByName(carried.select("ticker", far.alias("_d"), F.lit(-1).alias("_tag"), "_bar", F.lit(None).cast(probes.schema).alias("_row"), "_year"))
-    w = Window.partitionBy("ticker", "_year").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = rows.withColumn("_hit", F.last("_bar", ignorenulls=True).over(w)).where("_row is not null")
-    return out.select("_row.*", *(F.col(f"_hit.{c}").alias(f"{prefix}{c}") for c in ("date", "close", "pos")))
+    bars as from positioned(), or any (ticker, date, close), whose pages are then made here."""
+    held = getattr(bars, "pages", None)
+    held = pages(bars) if held is None else held
+    p = held.select(F.col("ticker").alias("_t"), F.col("month").alias("_m"), F.col("held").alias("_held"), F.col("count").alias("_count"), F.col("before").alias("_before"), F.col("after").alias("_after"))
+    last = F.max(F.struct("month", F.element_at("held", -1).alias("bar"), (F.col("count") + F.size("held")).alias("pos")))
+    ends = held.groupBy(F.col("ticker").alias("_e")).agg(F.min(F.struct("month", F.element_at("held", 1).alias("bar"))).alias("_first"), last.alias("_last"))
+    d = F.col(day).cast("date")
+    out = probes.join(p, (F.col("ticker") == F.col("_t")) & (F.trunc(d, "month") == F.col("_m")), "left").join(ends, F.col("ticker") == F.col("_e"), "left")
+    upto = F.size(F.filter("_held", lambda b: b["date"] <= d if side == "<=" else b["date"] < d))
+    in_page, page = F.col("_t").isNotNull(), F.col("_held")
+    if side == ">=":
+        inner = F.when(upto < F.size(page), F.get(page, upto)).otherwise(F.col("_after"))
+        bar = F.when(in_page, inner).when(d < F.col("_first.month"), F.col("_first.bar"))
+        pos = F.when(in_page, F.col("_count") + upto + 1).when(d < F.col("_first.month"), 1)
+    else:
+        inner = F.when(upto > 0, F.get(page, upto - 1)).otherwise(F.col("_before"))
+        bar = F.when(in_page, inner).when(d > F.col("_last.month"), F.col("_last.bar"))
+        pos = F.when(in_page, F.col("_count") + upto).when(d > F.col("_last.month"), F.col("_last.pos"))
+    out = out.withColumn("_bar", bar).withColumn("_pos", F.when(F.col("_bar").isNotNull(), pos).cast("int"))
+    return out.select(*(probes[c] for c in probes.columns), F.col("_bar.date").alias(f"{prefix}date"), F.col("_bar.close").alias(f"{prefix}close"), F.col("_pos").alias(f"{prefix}pos"))
 
 
 def close_at(bars: DataFrame, probes: DataFrame, max_stale_days: int = 14, day: str = "day") -> DataFrame:

@@ -63,15 +63,18 @@ def abnormal_window(events: DataFrame, bars: DataFrame, bench: DataFrame, offset
 
 def with_benchmark(bars: DataFrame, bench: DataFrame) -> DataFrame:
     """Bars with the benchmark's close on their date; dates before the benchmark starts are dropped, then positions are counted."""
-    held = bars.select("ticker", "date", "close").join(F.broadcast(calendar(bars, bench)), "date")
-    return held.withColumn("pos", F.row_number().over(Window.partitionBy("ticker").orderBy("date")))
+    cal = F.broadcast(calendar(bars, bench))
+    out = positioned(bars.join(cal, "date", "left_semi"))
+    both = out.join(cal, "date").select("ticker", "date", "close", "bench", "pos")
+    both.pages = out.pages
+    return both
 
 
 def abnormal_path(events: DataFrame, bars: DataFrame, bench: DataFrame, lo: int, hi: int, max_gap_days: int = 7) -> DataFrame:
     """(event_id, offset, ar) for lo..hi: return from the last close before the day, minus the
     benchmark's on the same dates; offset -1 is zero, missing offsets are null."""
     pos = with_benchmark(bars, bench)
-    own = _anchored(events, pos.drop("bench")).where(F.datediff("day", "b_date") <= max_gap_days)
+    own = _anchored(events, pos).where(F.datediff("day", "b_date") <= max_gap_days)
     base = pos.select("ticker", F.col("pos").alias("b_pos"), F.col("bench").alias("b_bench"))
     out = _at(own.join(base, ["ticker", "b_pos"]), pos, list(range(lo, hi + 1)))
     return out.select("event_id", "offset", (F.col("close") / F.col("b_close") - F.col("bench") / F.col("b_bench")).alias("ar"))
@@ -81,9 +84,9 @@ def daily_abnormal(events: DataFrame, bars: DataFrame, bench: DataFrame, lo: int
     """(event_id, offset, ar): bar-to-bar return minus the benchmark's, for lo..hi around the
     first bar at or after the day; only events with every offset."""
     w = Window.partitionBy("ticker").orderBy("pos")
-    pos = with_benchmark(bars, bench)
-    pos = pos.withColumn("ar", (F.col("close") / F.lag("close").over(w) - 1) - (F.col("bench") / F.lag("bench").over(w) - 1))
-    own = lookup(pos.select("ticker", "date", "close", "pos"), events, side=">=", prefix="f_").where("f_pos is not null")
+    held = with_benchmark(bars, bench)
+    pos = held.withColumn("ar", (F.col("close") / F.lag("close").over(w) - 1) - (F.col("bench") / F.lag("bench").over(w) - 1))
+    own = lookup(held, events, side=">=", prefix="f_").where("f_pos is not null")
     out = own.withColumn("offset", F.explode(F.sequence(F.lit(lo), F.lit(hi)))).withColumn("pos", F.col("f_pos") + F.col("offset"))
     out = out.join(pos.select("ticker", "pos", "ar"), ["ticker", "pos"]).where("ar is not null")
     full = F.count("*").over(Window.partitionBy("event_id"))

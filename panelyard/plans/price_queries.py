@@ -80,7 +80,7 @@ def j3(spark: SparkSession, d: str) -> DataFrame:
 @query("j4_before_and_after", V.with_views("bars", "event_days") + ", " + _SER + """ select e.event_id, b.date as before, b.pos as before_pos, a.date as after, a.pos as after_pos from event_days e asof left join pos b on e.ticker = b.ticker and e.day > b.date asof left join pos a on e.ticker = a.ticker and e.day <= a.date""")
 def j4(spark: SparkSession, d: str) -> DataFrame:
     pos = A.positioned(V.bars(spark, d))
-    out = A.lookup(pos, A.lookup(pos, V.event_days(spark, d), side="<", prefix="b_", by_year=True), side=">=", prefix="a_", by_year=True)
+    out = A.lookup(pos, A.lookup(pos, V.event_days(spark, d), side="<", prefix="b_"), side=">=", prefix="a_")
     return out.select("event_id", F.col("b_date").alias("before"), F.col("b_pos").alias("before_pos"), F.col("a_date").alias("after"), F.col("a_pos").alias("after_pos"))
 
 

@@ -45,13 +45,13 @@ def test_close_at(spark, bars, day, stale, want):
     assert A.close_at(bars, probes(spark, [("RAMP", day)]), stale).first().px == want
 
 
-@pytest.mark.parametrize("by_year", [False, True])
-def test_sides(spark, bars, by_year):
+@pytest.mark.parametrize("from_pages", [False, True])
+def test_sides(spark, bars, from_pages):
     pos = A.positioned(bars)
     got = {}
     for side in ("<=", "<", ">="):
         p = probes(spark, [("RAMP", DAYS[300]), ("RAMP", dt.date(2021, 1, 9)), ("RAMP", DAYS[-1] + dt.timedelta(400)), ("RAMP", dt.date(2020, 1, 1)), ("NOPE", DAYS[3])])
-        got[side] = {(r.ticker, r.day): r.close for r in A.lookup(pos, p, side=side, by_year=by_year).collect()}
+        got[side] = {(r.ticker, r.day): r.close for r in A.lookup(pos if from_pages else bars, p, side=side).collect()}
     sat, late, early = dt.date(2021, 1, 9), DAYS[-1] + dt.timedelta(400), dt.date(2020, 1, 1)
     assert [got[s]["RAMP", DAYS[300]] for s in ("<=", "<", ">=")] == [400.0, 399.0, 400.0]
     assert [got[s]["RAMP", sat] for s in ("<=", "<", ">=")] == [104.0, 104.0, 105.0]
@@ -60,6 +60,27 @@ def test_sides(spark, bars, by_year):
     assert got["<="]["NOPE", DAYS[3]] is None
 
 
+def test_one_ticker_of_all_bars_and_probes(spark):
+    """Gaps of months, all sides, against a plain search; no window runs over bars, and no exchange by ticker alone carries the probes."""
+    start = dt.date(2015, 3, 17)
+    days = [start + dt.timedelta(k) for k in range(0, 2400) if k % 7 < 5 and not 500 < k < 700 and not 1200 < k < 1203]
+    one = spark.createDataFrame([("ONE", d, float(k + 1)) for k, d in enumerate(days)], "ticker string, date date, close double").repartition(5)
+    asked = [start + dt.timedelta(k) for k in range(-40, 2480, 3)]
+    p = spark.createDataFrame([("ONE", d, k) for k, d in enumerate(asked)] + [("ONE", None, -1)], "ticker string, day date, close int")
+    pos = A.positioned(one)
+    assert {(r.date, r.pos) for r in pos.collect()} == {(d, k + 1) for k, d in enumerate(days)}
+    for side in ("<=", "<", ">="):
+        found = A.lookup(pos, p, side=side, prefix="x_")
+        want = {}
+        for d in asked:
+            fit = [k for k, b in enumerate(days) if (b <= d if side == "<=" else b < d if side == "<" else b >= d)]
+            k = (fit[-1] if side != ">=" else fit[0]) if fit else None
+            want[d] = (None, None, None) if k is None else (days[k], float(k + 1), k + 1)
+        assert {r.day: (r.x_date, r.x_close, r.x_pos) for r in found.collect()} == want | {None: (None, None, None)}
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert all("month" in w for w in plan.splitlines() if "Window [" in w)
+
+
 def test_forward_return_guards(spark, bars):
     rows = [("a", "RAMP", DAYS[0]), ("stale", "RAMP", DAYS[-1] + dt.timedelta(30)), ("short", "TINY", DAYS[1]), ("end", "RAMP", DAYS[-1]), ("late", "RAMP", DAYS[-1] - dt.timedelta(10))]
     df = spark.createDataFrame(rows, "start_id string, ticker string, start date")
