@@ -4,15 +4,14 @@ Everything on the main path is Spark functions. Base spans are found by four pat
 checks. Generators with high recall propose further, overlapping candidates: runs of digits and
 number punctuation, address-like words with written-out signs, account numbers, long random
 strings, and values given to a key that speaks of a secret. Each candidate is described by binned
-features of its format, of its own check (card digit, account remainder, an address once its
-signs are written back) and of what stands around it.
+features of its format and of what stands around it.
 
 Labels are seeds that the base patterns do not decide. A candidate is a positive example if its own
-check holds, or if the words before it name such data and its form fits; one whose check fails and
+check holds (card digit, account remainder, an address once its signs are written back), which no feature shows, or if the words before it name such data and its form fits; one whose check fails and
 that nothing announces is a negative one. The features are few and binned, so the whole corpus of
 candidates is counted exactly in a table of cells, one row a cell and fold, which the product of
-the features' values bounds; trees are boosted on one fold of that table, and the threshold is
-the lowest one whose precision on the other fold is high enough. The trees go back into the plan
+the features' values bounds; trees are boosted on one fold of that table, and each kind's threshold is
+the lowest one whose precision among that kind's candidates on the other fold is high enough; a kind with too few of them adds nothing. The trees go back into the plan
 as a CASE expression. Candidates at or above the threshold that overlap no base span are added
 as spans of their own kinds; base spans always stay.
 
@@ -38,27 +37,29 @@ PATTERNS = {
 }
 #: What a text must hold to be searched at all.
 SIGNS = {"email": r"@[A-Za-z0-9-]+\.", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
+#: Words that a secret's value follows; generator and guard share them.
+_KEYS = r"(?:token|secret|passw(?:or)?d|passphrase|pwd|api[_-]?key|access[_-]?key|auth[_-]?key|private[_-]?key|credentials?)[\"']?\x20{0,2}[:=]"
 GENERATORS = {
     "number": r"(?:\G|(?<![0-9().+-]))[+(]{0,2}[0-9](?:[\x20().-]{0,2}[0-9]){6,}+",
     "address": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++(?:@|\x20?[\[(]at[\])]\x20?)[A-Za-z0-9-]++(?:(?:\.|\x20?[\[(]dot[\])]\x20?)[A-Za-z0-9-]++)*+",
     "account": r"(?:\G|(?<![A-Za-z0-9]))[A-Z]{2}[0-9]{2}(?:[\x20-]?[A-Z0-9]{4}){2,7}+(?:[\x20-]?[A-Z0-9]{1,3})?+(?![A-Za-z0-9])",
     "random": r"(?:\G|(?<![A-Za-z0-9+/_-]))[A-Za-z0-9+/_-]{20,}+={0,2}+",
-    "value": r"(?i)(?<![a-z])(?:token|secret|passw(?:or)?d|passphrase|pwd|api[_-]?key|access[_-]?key|auth[_-]?key|private[_-]?key|credentials?)[\"']?\x20{0,2}[:=]\x20{0,2}[\"']?+[^\s\"',;|]{6,}+",
+    "value": rf"(?i)(?<![a-z]){_KEYS}\x20{{0,2}}[\"']?+[^\s\"',;|]{{6,}}+",
 }
 GENERATOR_SIGNS = {
     "number": r"[0-9][^A-Za-z\n]{0,12}[0-9]",
     "address": r"@|[\[(]at[\])]",
     "account": r"[A-Z]{2}[0-9]{2}[\x20-]?[A-Z0-9]{4}",
     "random": r"[A-Za-z0-9+/_-]{20}",
-    "value": r"(?i)(?:token|secret|passw|passphrase|pwd|key|credential)[a-z]{0,2}[\"']?\x20{0,2}[:=]",
+    "value": rf"(?i){_KEYS}",
 }
 #: Words before a candidate that speak of personal data, and of secrets.
 HINTS = r"(?i)(?:mail|contact|tel|phone|call|fax|mobile|card|visa|iban|account|ssn|passport)[^A-Za-z]{0,12}$"
 SECRETS = r"(?i)(?:token|secret|passw(?:or)?d|pwd|key|bearer|auth|credentials?)[^A-Za-z]{0,6}$"
 
-ROUNDS, DEPTH, RATE, PRECISION, LEAST_SUPPORT = 24, 3, 0.3, 0.98, 20
+ROUNDS, DEPTH, RATE, PRECISION, LEAST_SUPPORT = 24, 3, 0.3, 0.98, 5
 #: The features and how many values each has: the product bounds the number of cells.
-FEATURES = {"kind": 5, "digits": 7, "marks": 6, "plus": 2, "joined": 2, "hint": 3, "given": 2, "size": 4, "mixed": 3, "valid": 2}
+FEATURES = {"kind": 5, "digits": 7, "marks": 6, "plus": 2, "joined": 2, "hint": 3, "given": 2, "size": 4, "mixed": 3}
 #: Matches of one text whose positions are summed up at once; their arrays are joined afterwards.
 RUN = 64
 
@@ -166,7 +167,6 @@ def _features(c: Column, kind: str) -> list[Column]:
         "size": F.when(F.length(s) < 10, 0).when(F.length(s) < 16, 1).when(F.length(s) < 24, 2).otherwise(3),
         # letters and digits in turns, as chance deals them: often, sometimes, or hardly ever
         "mixed": F.when(F.size(F.split(s, "(?<=[A-Za-z])(?=[0-9])")) > 4, 2).when(F.size(F.split(s, "(?<=[A-Za-z])(?=[0-9])")) > 1, 1).otherwise(0),
-        "valid": _valid(kind, s).cast("int"),
     }
     return [F.coalesce(binned[f].cast("int"), F.lit(0)).alias(f) for f in FEATURES]
 
@@ -279,7 +279,9 @@ def find(docs: DataFrame, id_col: str = "doc_id", text: str = "text", carry: boo
     table = durable(described(spans_and_candidates(docs, id_col, text, carry)), "pii")
     counted = cells(table)
     start, trees = boost([r for r in counted if r[1] == 0])
-    least = threshold([r for r in counted if r[1] == 1], start, trees) - 1e-9  # sums may round otherwise in the plan
+    held = [r for r in counted if r[1] == 1]
+    of = lambda k: threshold([r for r in held if r[0][0] == k], start, trees) - 1e-9  # noqa: E731  sums may round otherwise in the plan
+    least = {kind: limit for k, kind in enumerate(GENERATORS) if (limit := of(k)) < math.inf}
 
     def score(c: Column) -> Column:
         total = F.lit(start)
@@ -290,7 +292,13 @@ def find(docs: DataFrame, id_col: str = "doc_id", text: str = "text", carry: boo
     def spans(kind: str) -> Column:
         return F.transform(kind, lambda x: F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"))).alias(kind)
 
-    new = F.filter("candidates", lambda c: ~c["held"] & (score(c) >= least)) if least < math.inf else F.slice(F.col("candidates"), 1, 0)
+    def passes(c: Column) -> Column:
+        limit = F.lit(math.inf)
+        for kind, value in least.items():
+            limit = F.when(c["name"] == kind, value).otherwise(limit)
+        return score(c) >= limit
+
+    new = F.filter("candidates", lambda c: ~c["held"] & passes(c)) if least else F.slice(F.col("candidates"), 1, 0)
     table = table.withColumn("new", F.transform(new, lambda c: F.struct(c["name"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"))))
     wider = lambda c, o: (o["start"] <= c["start"]) & (o["end"] >= c["end"]) & ((o["end"] - o["start"] > c["end"] - c["start"]) | ((o["end"] - o["start"] == c["end"] - c["start"]) & (o["kind"] < c["kind"])))
     added = F.sort_array(F.filter("new", lambda c: ~F.exists("new", lambda o: wider(c, o))))

@@ -193,3 +193,22 @@ def test_fold(spark):
     ids = [0, 1, 17, -5, None]
     got = spark.createDataFrame([(i,) for i in ids], "doc_id long").select(fold("doc_id", 5)).collect()
     assert [r[0] for r in got] == [zlib.crc32(b"" if i is None else str(i).encode()) % 5 for i in ids]
+
+
+@pytest.mark.parametrize("key", ["token", "secret", "password", "passwd", "passphrase", "pwd", "api_key", "api-key", "apikey", "access_key", "auth_key", "private-key", "credential", "credentials"])
+@pytest.mark.parametrize("form", ["{} = x7Kq29zLm", '"{}": "x7Kq29zLm"', "{}:x7Kq29zLm"])
+def test_every_key_word_is_a_candidate(spark, key, form):
+    for word in (key, key.upper()):
+        df = spark.createDataFrame([(1, "see " + form.format(word))], "doc_id long, text string")
+        assert [c.name for c in pii.described(pii.spans_and_candidates(df)).first().candidates if c.name == "value"] == ["value"]
+
+
+def test_a_kind_of_few_candidates_adds_nothing(spark):
+    """Many card numbers, well told, lend no support to the one secret-like value."""
+    rows = [(k, f"card 4111 1111 1111 1111 and again {k}") for k in range(400)] + [(900, "the secret: see2below today")]
+    found = pii.find(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert found.where("id = 900").first().added == []
+
+
+def test_no_feature_is_the_label():
+    assert "valid" not in pii.FEATURES
