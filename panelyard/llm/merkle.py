@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import discard, durable, read
+from .sql import crc32
 
 FAN = 3
 #: Levels hashed in one slot array, and the nodes it holds.
@@ -202,3 +203,35 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = manifest(docs, "doc_id", "source", ["doc_id", "source", "lang", "n_chars", "text"], {"text": tampered})
     rows = rows.withColumn("folded_root", fold(F.coalesce("other", "leaf"), F.col("path")))
     return rows.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", F.sha2(proof(F.col("path")), 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def _part(x: str) -> str:
+    return f"case when {x} is null then '-' else octet_length(encode({x}::varchar))::varchar || ':' || {x}::varchar end"
+
+
+def _siblings(of: str, by: str) -> str:
+    """Per node of a tree that is not its root, what stands left and right of it in its run."""
+    own, same = (f"a.{by}, ", f"a.{by} is not distinct from b.{by} and ") if by else ("", "")
+    return f"""select {own}a.lvl, a.idx, coalesce(string_agg(b.h, '' order by b.idx) filter (where b.idx < a.idx), '') as l, coalesce(string_agg(b.h, '' order by b.idx) filter (where b.idx > a.idx), '') as r
+ from {of} a join {of} b on {same}a.lvl = b.lvl and a.idx // 3 = b.idx // 3 where a.n > 1 group by {own}a.lvl, a.idx"""
+
+
+#: Levels by recursion, leaves placed by sorting: another way to the same manifest.
+OP13_SQL = f"""
+WITH RECURSIVE d as (select doc_id, {" || ".join(map(_part, ("doc_id", "source", "lang", "n_chars")))} as p, source, text, case when {crc32("coalesce(doc_id, 0)::varchar")} % 2 = 0 and doc_id is not null then replace(text, chr(10), '') else text end as t2 from documents),
+ lv as (select doc_id, source, sha256(p || {_part("text")}) as leaf, sha256(p || {_part("t2")}) as other from d),
+ pl as (select *, row_number() over (partition by source order by doc_id nulls first, leaf) - 1 as place, row_number() over () as rid from lv),
+ up as (select source, 0 as lvl, place as idx, leaf as h, count(*) over (partition by source) as n from pl
+  union all select source, lvl + 1, idx // 3, sha256(string_agg(h, '' order by idx)), (any_value(n) + 2) // 3 from up where n > 1 group by source, lvl, idx // 3),
+ sub as (select source, h as subroot, row_number() over (order by source nulls first) - 1 as place, count(*) over () as n from up where n = 1),
+ tp as (select 0 as lvl, place as idx, subroot as h, n from sub union all select lvl + 1, idx // 3, sha256(string_agg(h, '' order by idx)), (any_value(n) + 2) // 3 from tp where n > 1 group by lvl, idx // 3),
+ sb as ({_siblings("up", "source")}), st as ({_siblings("tp", "")}),
+ f1 as (select rid, source, place as idx, 0 as lvl, other as h, '' as proof from pl
+  union all select rid, f1.source, f1.idx // 3, f1.lvl + 1, sha256(l || h || r), proof || l || r from f1 join sb on sb.source is not distinct from f1.source and sb.lvl = f1.lvl and sb.idx = f1.idx),
+ e1 as (select rid, arg_max(h, lvl) as h, arg_max(proof, lvl) as proof from f1 group by rid),
+ f2 as (select e1.rid, sub.place as idx, 0 as lvl, h, proof from e1 join pl using (rid) join sub on sub.source is not distinct from pl.source
+  union all select rid, f2.idx // 3, f2.lvl + 1, sha256(l || h || r), proof || l || r from f2 join st on st.lvl = f2.lvl and st.idx = f2.idx),
+ e2 as (select rid, arg_max(h, lvl) as folded_root, arg_max(proof, lvl) as proof from f2 group by rid)
+select doc_id, leaf, subroot, root, sha256(proof) as proof_sha256, folded_root, folded_root = root as verified
+from pl join e2 using (rid) join sub on sub.source is not distinct from pl.source, (select h as root from tp where n = 1)
+"""

@@ -23,4 +23,4 @@ QUERIES = {
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLE_SQL = {"op7_decontamination": decontam.OP7_SQL, "op8_embeddings": covertree.OP8_SQL, "op12_warc": warc.OP12_SQL}
+ORACLE_SQL = {"op7_decontamination": decontam.OP7_SQL, "op8_embeddings": covertree.OP8_SQL, "op11_repair": repair.OP11_SQL, "op12_warc": warc.OP12_SQL, "op13_manifest": merkle.OP13_SQL}

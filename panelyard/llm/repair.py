@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import durable, read, small_batches
 from .groups import with_least
+from .sql import crc32
 
 RELABEL, DELETE, INSERT, TRUNCATED = 3, 4, 3, 3
 NAMES = {"u": "user", "a": "assistant"}
@@ -340,3 +341,43 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = chats.select("conv_id").distinct().join(found.withColumnRenamed("conv_id", "of_found"), F.col("conv_id").eqNullSafe(F.col("of_found")), "left")
     out = out.join(hashes, F.col("conv_id").eqNullSafe(F.col("of_hash")), "left")
     return out.select("conv_id", *(F.coalesce(c, F.lit(0)).alias(c) for c in counts), F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.lit(hashlib.sha256().hexdigest())).alias("repaired_sha256"))
+
+
+def _edit(state: str, cost: str, letter: str, item: str | None = None) -> str:
+    """A survivor (cost, edits, repaired rows) one edit on; none from none."""
+    rows = f"{state}.r" if item is None else f"{state}.r || {item} || chr(10)"
+    return f"case when {state} is not null then {{'c': {state}.c + {cost}, 'e': {state}.e || '{letter}', 'r': {rows}}} end"
+
+
+def _least(*found: str) -> str:
+    return f"list_min([{', '.join(found)}])"
+
+
+def _step() -> str:
+    keep, again = "more", f"{RELABEL} + more"
+    kept = lambda q, c: f"case when initial = '{c}' and not gone then {_edit(q, keep, 'K', 'role || chr(58) || text')} end"
+    named = lambda q, name: f"case when not gone then {_edit(q, again, 'R', f"'{name}:' || text")} end"
+    gone = lambda q: _edit(q, str(DELETE), "D")
+    b2 = _least(gone("s2"), *(kept(q, "u") for q in ("s0", "s1", "s3")), *(named(q, "user") for q in ("s0", "s1", "s3")))
+    base = f"select conv_id, i, {gone('s0')} as b0, {_least(gone('s1'), kept('s0', 's'))} as b1, {b2} as b2, {_least(gone('s3'), kept('s2', 'a'), named('s2', 'assistant'))} as b3"
+    user = lambda q: _edit(q, str(INSERT), "I", "'user:'")
+    after = f"select *, {_least('b2', user('b0'), user('b1'), user('b3'))} as n2 from ({base} from (select dp.conv_id, ft.i, s0, s1, s2, s3, initial, role, text, gone, more from dp join ft on ft.conv_id is not distinct from dp.conv_id and ft.i = dp.i + 1))"
+    return f"select conv_id, i, b0 as s0, b1 as s1, n2 as s2, {_least('b3', _edit('n2', str(INSERT), 'I', chr(39) + 'assistant:' + chr(39)))} as s3 from ({after})"
+
+
+_KEY = "coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ')"
+#: The same search with whole strings for survivors, a row of each conversation a step.
+OP11_SQL = f"""
+WITH RECURSIVE ch as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, {crc32("k")} % 20 as f from (select *, {_KEY} as k from conversations)),
+ dm as (select conv_id, turn, case f when 4 then 'user' else role end as role, case f when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text, unnest(case f when 0 then [] when 3 then [1, 2] else [1] end) as copy from ch),
+ nb as (select *, row_number() over (partition by conv_id order by turn nulls first, role, sha256(text), copy) as i from dm),
+ od as (select *, row_number() over (partition by conv_id, role, text order by i) as seen, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as bare from nb),
+ ft as (select *, left(role, 1) as initial, fault in (0, 1) as gone, case when fault = 2 then {TRUNCATED} else 0 end as more from (select *, case when bare = '' then 0 when seen > 1 then 1 when right(bare, 1) not in ('.', '!', '?') then 2 else 3 end as fault from od)),
+ pr as (select *, lag(initial) over (partition by conv_id order by i) as before from ft),
+ ct as (select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (where fault = 0) as blank, count(*) filter (where fault = 1) as duplicate, count(*) filter (where fault = 2) as truncated, count(*) filter (where before || initial not in ('su', 'ua', 'au')) as illegal, count(*) as m from pr group by 1),
+ dp as (select distinct conv_id, 0::bigint as i, {{'c': 0::bigint, 'e': '', 'r': ''}} as s0, null::struct(c bigint, e varchar, r varchar) as s1, {{'c': {INSERT}::bigint, 'e': 'I', 'r': 'user:' || chr(10)}} as s2, {{'c': {2 * INSERT}::bigint, 'e': 'II', 'r': 'user:' || chr(10) || 'assistant:' || chr(10)}} as s3 from ch
+  union all {_step()}),
+ fn as (select dp.conv_id, {_least("s0", "s3")} as w from dp left join ct on ct.conv_id is not distinct from dp.conv_id where i = coalesce(m, 0))
+select fn.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank, coalesce(duplicate, 0)::bigint as duplicate, coalesce(truncated, 0)::bigint as truncated, coalesce(illegal, 0)::bigint as illegal, w.c::bigint as cost, w.e as audit, sha256(left(w.r, length(w.r) - 1)) as repaired_sha256
+from fn left join ct on ct.conv_id is not distinct from fn.conv_id
+"""
