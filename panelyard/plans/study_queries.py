@@ -12,6 +12,7 @@ from ..operators import panel as P
 from ..operators import resample as B
 from ..operators import returns as T
 from ..operators import shares as S
+from ..operators.ranks import ranked
 from ..operators.variance import spearman
 from ..sources import views as V
 from .null_queries import CELLS, DRAWS, _cases, _did, _h, recursive
@@ -323,15 +324,37 @@ def v16b(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("block").agg(R(F.max(F.when(F.col("draw") == 0, F.col("shapley"))), 8).alias("shapley"), R(q(0.025), 8).alias("lo"), R(q(0.975), 8).alias("hi"))
 
 
+def _thin_next(spark: SparkSession, d: str) -> DataFrame:
+    """Firm-years with the rank of their gross margin in the year, and whether next year's net margin is thin."""
+    dec = dec_s(spark, d)
+    x = ranked(dec, ["year"], ["gross_margin", "cik"]).withColumn("rank", F.col("_rank") / F.col("_n"))
+    later = dec.select("cik", (F.col("year") - 1).alias("year"), (F.col("net_margin") < 0.08).cast("double").alias("thin"))
+    return x.join(later, ["cik", "year"])
+
+
 @query("v17_clustered_logit", None)
 def v17(spark: SparkSession, d: str) -> DataFrame:
     """A thin margin next year on this year's rank of the gross margin, with year effects, errors clustered by firm."""
     from ..operators.variance import cluster_logit
 
-    w = Window.partitionBy("year")
-    x = dec_s(spark, d).withColumn("rank", F.row_number().over(w.orderBy("gross_margin", "cik")) / F.count("*").over(w))
-    later = dec_s(spark, d).select("cik", (F.col("year") - 1).alias("year"), (F.col("net_margin") < 0.08).cast("double").alias("thin"))
-    x = x.join(later, ["cik", "year"])
     years = [1996, 1997, 1998, 1999, 2000]
-    out = cluster_logit(x.select("thin", "cik", "rank", *((F.col("year") == y).cast("double").alias(f"y{y}") for y in years)), "thin", ["rank", *(f"y{y}" for y in years)], "cik")
+    rows = _thin_next(spark, d).select("thin", "cik", "rank", *((F.col("year") == y).cast("double").alias(f"y{y}") for y in years))
+    out = cluster_logit(rows, "thin", ["rank", *(f"y{y}" for y in years)], "cik")
+    return out.select("term", R("coefficient", 6).alias("coefficient"), R("clustered_se", 6).alias("clustered_se"))
+
+
+#: Newton steps by recursion and the sandwich of two terms.
+_LOGIT = DEC_S.replace("with ", "with recursive ", 1) + """, rk as (select cik, year, row_number() over (partition by year order by gross_margin nulls first, cik) / count(*) over (partition by year) as r from dec), x as (select rk.cik, rk.r, (n.net_margin < 0.08)::int::double as y from rk join dec n on n.cik = rk.cik and n.year = rk.year + 1 where n.net_margin is not null),
+ nw as (select 0 as k, 0.0::double as b0, 0.0::double as b1, 1.0::double as i00, 0.0::double as i01, 1.0::double as i11 union all
+  select k + 1, b0 + (h11 * s0 - h01 * s1) / det, b1 + (h00 * s1 - h01 * s0) / det, h11 / det, -h01 / det, h00 / det from (select *, h00 * h11 - h01 * h01 as det from (select any_value(k) as k, any_value(b0) as b0, any_value(b1) as b1, sum(y - p) as s0, sum((y - p) * r) as s1, sum(p * (1 - p)) as h00, sum(p * (1 - p) * r) as h01, sum(p * (1 - p) * r * r) as h11 from (select *, 1 / (1 + exp(-(b0 + b1 * r))) as p from nw, x where k < 25) having count(*) > 0))),
+ en as (select * from nw where k = 25), cl as (select sum(y - p) as u0, sum((y - p) * r) as u1 from (select x.*, 1 / (1 + exp(-(b0 + b1 * r))) as p from x, en) group by cik), m as (select sum(u0 * u0) as m00, sum(u0 * u1) as m01, sum(u1 * u1) as m11 from cl)
+ select 'intercept' as term, round(b0, 6) as coefficient, round(sqrt(i00 * (i00 * m00 + i01 * m01) + i01 * (i00 * m01 + i01 * m11)), 6) as clustered_se from en, m union all select 'rank', round(b1, 6), round(sqrt(i01 * (i01 * m00 + i11 * m01) + i11 * (i01 * m01 + i11 * m11)), 6) from en, m"""
+
+
+@query("v17_logit_of_two_terms", _LOGIT)
+def v17_two(spark: SparkSession, d: str) -> DataFrame:
+    """The same without year effects."""
+    from ..operators.variance import cluster_logit
+
+    out = cluster_logit(_thin_next(spark, d).select("thin", "cik", "rank"), "thin", ["rank"], "cik")
     return out.select("term", R("coefficient", 6).alias("coefficient"), R("clustered_se", 6).alias("clustered_se"))

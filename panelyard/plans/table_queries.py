@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +19,7 @@ from ..operators import shares as S
 from ..operators import survival as K
 from ..sources import readers as I
 from ..sources import views as V
+from ..sources.tables import shared_dir
 from . import panel_queries, price_queries, share_queries
 from .null_queries import DRAWS, _cells, _h, _mult, recursive
 from .panel_queries import _VINT, DEC_S, EXIT, R, dec_s
@@ -295,12 +298,11 @@ def j11(spark: SparkSession, d: str) -> DataFrame:
     return funds.subtract(held).select("symbol", F.lit(False).alias("in_panel")).unionByName(funds.intersect(held).select("symbol", F.lit(True).alias("in_panel")))
 
 
-@query("j12_registrant_by_number", "with a as (select distinct lpad(o_custkey::varchar, 10, '0') as key from orders where o_orderkey % 2 = 0 union all select 'n/a'), r as (select c_custkey as cik, c_name as name, 'T' || c_custkey as ticker from customer where c_custkey % 10 <> 3) select key, name, ticker from a left join r on try_cast(key as bigint) = cik")
+@query("j12_registrant_by_number", "with a as (select distinct lpad(o_custkey::varchar, 10, '0') as key from orders union all select 'n/a'), r as (select c_custkey as cik, c_name as name, 'T' || c_custkey as ticker from customer) select key, name, ticker from a left join r on try_cast(key as bigint) = cik")
 def j12(spark: SparkSession, d: str) -> DataFrame:
     """Names and symbols by zero-padded registrant number; unknown numbers and other texts stay, without a name."""
-    c = V.table(spark, d, "customer").where("c_custkey % 10 <> 3")
-    reg = c.select(F.col("c_custkey").alias("cik"), F.col("c_name").alias("name"), F.array(F.concat(F.lit("T"), "c_custkey")).alias("tickers"))
-    o = V.table(spark, d, "orders").where("o_orderkey % 2 = 0").select(F.lpad(F.col("o_custkey").cast("string"), 10, "0").alias("key")).distinct()
+    reg = V.table(spark, d, "customer").select(F.col("c_custkey").alias("cik"), F.col("c_name").alias("name"), F.array(F.concat(F.lit("T"), "c_custkey")).alias("tickers"))
+    o = V.table(spark, d, "orders").select(F.lpad(F.col("o_custkey").cast("string"), 10, "0").alias("key")).distinct()
     rows = o.unionByName(spark.range(1).select(F.lit("n/a").alias("key")))
     return I.by_cik(rows, reg, "key").select("key", "name", F.col("tickers")[0].alias("ticker"))
 
@@ -498,3 +500,15 @@ def v16b_two(spark: SparkSession, d: str) -> DataFrame:
     rows = shapley_bootstrap(dec_s(spark, d), "net_margin", {"a": ["operating_margin"], "b": ["gross_margin"]}, "cik", DRAWS)
     q = lambda p: F.percentile(F.when(F.col("draw") > 0, F.col("shapley")), p)
     return rows.groupBy("block").agg(R(F.max(F.when(F.col("draw") == 0, F.col("shapley"))), 8).alias("shapley"), R(q(0.025), 8).alias("lo"), R(q(0.975), 8).alias("hi"))
+
+
+# --- ordered files
+
+
+@query("s16_ordered_files", V.with_views("panel_s") + " select count(*) as rows, count(distinct cik) as firms, true as in_order, true as several from panel_s")
+def s16(spark: SparkSession, d: str) -> DataFrame:
+    """The panel written in order of firm and date, and its files read back: nothing is lost, and files follow each other."""
+    path = f"{shared_dir(spark)}/ordered-{uuid.uuid4().hex}"
+    manifest = I.write_ordered(V.panel_s(spark, d), path, ["cik", "as_of_date"], rows_a_file=500)
+    back = spark.read.parquet(path)
+    return I.in_order(manifest).crossJoin(back.agg(F.count_distinct("cik").alias("firms"))).select("rows", "firms", "in_order", (F.col("files") > 1).alias("several"))  # one row each

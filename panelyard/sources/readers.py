@@ -145,9 +145,28 @@ def entity_sample(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
     return df.join(F.broadcast(keys), key, "left_semi")  # n keys, the caller's own bound
 
 
-def write_sample_csv(df: DataFrame, path: str, key: str = "cik", day: str = "as_of_date") -> None:
-    """The sample as one gzipped CSV in order of key and day."""
-    df.coalesce(1).sortWithinPartitions(key, day).write.option("compression", "gzip").option("header", True).csv(path)
+def write_ordered(df: DataFrame, path: str, order: list[str], kind: str = "parquet", rows_a_file: int = 1_000_000, **options) -> DataFrame:
+    """df as files in an order: ranges of the order in ranges of file names, sorted inside, at most rows_a_file rows each.
+
+    Returns the manifest (file, rows, first, last): a row a file, in the files' order, with the first and last of `order`;
+    it is also written beside the files, as JSON lines in `path`-manifest."""
+    df.repartitionByRange(*order).sortWithinPartitions(*order).write.options(**options).option("maxRecordsPerFile", rows_a_file).format(kind).save(path)
+    kept = df.sparkSession.read.schema(df.schema).options(**options).format(kind).load(path)
+    key = F.struct(*order)
+    found = kept.groupBy(F.col("_metadata.file_name").alias("file")).agg(F.count("*").alias("rows"), F.min(key).alias("first"), F.max(key).alias("last"))
+    found.repartitionByRange("file").sortWithinPartitions("file").write.json(f"{path}-manifest")
+    return found.orderBy("file")
+
+
+def in_order(manifest: DataFrame) -> DataFrame:
+    """One row (files, rows, in_order): whether each file begins where the one before it has ended, or later. A row a file is sorted."""
+    w = Window.orderBy("file")
+    return manifest.withColumn("_fits", F.coalesce(F.lag("last").over(w) <= F.col("first"), F.lit(True))).agg(F.count("*").alias("files"), F.sum("rows").alias("rows"), F.coalesce(F.bool_and("_fits"), F.lit(True)).alias("in_order"))
+
+
+def write_sample_csv(df: DataFrame, path: str, key: str = "cik", day: str = "as_of_date", rows_a_file: int = 1_000_000) -> DataFrame:
+    """The sample as gzipped CSV files in order of key and day; their manifest."""
+    return write_ordered(df, path, [key, day], "csv", rows_a_file, compression="gzip", header=True)
 
 
 def stratified_sample(df: DataFrame, key: str, stratum: str, n: int, strata: int, seed: int = 0) -> DataFrame:
@@ -162,6 +181,6 @@ def write_tables(path: str, parquet: dict[str, DataFrame] | None = None, csv: di
     for k, df in (parquet or {}).items():
         df.write.mode("overwrite").parquet(f"{path}/{k}")
     for k, df in (csv or {}).items():
-        df.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{path}/{k}")
+        df.write.mode("overwrite").option("header", True).csv(f"{path}/{k}")
     for k, df in (json or {}).items():
-        df.coalesce(1).write.mode("overwrite").json(f"{path}/{k}")
+        df.write.mode("overwrite").json(f"{path}/{k}")

@@ -37,15 +37,27 @@ def test_quarters(spark):
 
 
 def test_transitions_and_outcomes(spark):
-    rows = [(1, 2020, 2020, 100.0, 0.1), (2, 2020, 2019, 200.0, 0.2), (3, 2020, 2020, 300.0, 0.3), (1, 2021, 2021, 120.0, 0.05), (2, 2021, 2019, 260.0, 0.25)]
+    """Every firm's panel of eight years by a rule; pairs against plain ones."""
+    rows = []
+    for firm in range(7, 19):
+        for year in range(1987, 1995):
+            if (firm * year) % 11 == 3:
+                continue  # no row that year
+            fiscal = year - (firm % 4 == 1 and year > 1990)  # some firms stop filing a year late
+            margin = None if (firm + year) % 13 == 0 else ((firm * 17 + year * 29) % 260 - 120) / 100
+            rows.append((firm, year, fiscal, 40.0 + firm * (year - 1980), margin))
     dec = spark.createDataFrame(rows, "cik long, year int, fiscal_year int, revenue double, operating_margin double")
-    out = P.add_outcomes(P.transitions(dec)).collect()
-    assert [(r.cik, r.base_year, r.revenue_next) for r in out] == [(1, 2020, 120.0)]
-    assert out[0].d_opm == pytest.approx(-0.05) and out[0].rev_growth == pytest.approx(0.2) and "d_health" not in out[0].asDict()
-    for a, b in ((7.0, 0.1), (0.1, 40.0), (None, 0.1)):
-        pair = spark.createDataFrame([(1, 2020, 2020, 1.0, a), (1, 2021, 2021, 1.0, b)], dec.schema)
-        assert P.add_outcomes(P.transitions(pair)).count() == 0
-        assert P.add_outcomes(P.transitions(pair), drop_absurd_margins=False).count() == 1
+    by = {(r[0], r[1]): r for r in rows}
+    for gap in (1, 2):
+        pairs = {(f, y): (r, by[f, y + gap]) for (f, y), r in by.items() if (f, y + gap) in by and by[f, y + gap][2] >= r[2] + gap}
+        fine = {k: v for k, v in pairs.items() if all(x[4] is not None and abs(x[4]) < 1 for x in v)}
+        assert 0 < len(fine) < len(pairs)
+        got = {(r.cik, r.base_year): r for r in P.add_outcomes(P.transitions(dec, gap)).collect()}
+        assert got.keys() == fine.keys()
+        for k, (a, z) in fine.items():
+            assert got[k].d_opm == pytest.approx(z[4] - a[4]) and got[k].rev_growth == pytest.approx(z[3] / a[3] - 1) and got[k].revenue_next == z[3]
+            assert "d_gm" not in got[k].asDict()
+        assert P.add_outcomes(P.transitions(dec, gap), drop_absurd_margins=False).count() == len(pairs)
 
 
 def test_december_universe(spark):
@@ -55,26 +67,51 @@ def test_december_universe(spark):
     assert {r.cik for r in P.universe(panel).collect()} == {1, 6}
 
 
+def _filed(firm, quarter):
+    """The fiscal year a made-up firm shows in a quarter: a new one every four, five or six quarters, none in every ninth."""
+    return None if (firm + quarter) % 9 == 8 else 1970 + quarter // (4 + firm % 3)
+
+
 def test_refresh_events(spark):
-    rows = [(1, D(2020, 3, 31), 2019), (1, D(2020, 6, 30), 2019), (1, D(2020, 9, 30), 2019), (1, D(2020, 12, 31), 2020), (2, D(2020, 6, 30), 2019), (3, D(2020, 6, 30), None)]
-    panel = spark.createDataFrame(rows, "cik int, as_of_date date, fiscal_year int")
-    assert sorted((r.cik, r.fiscal_year) for r in P.record_refresh_events(panel).collect()) == [(1, 2019), (1, 2020), (2, 2019)]
-    every = {(r.cik, r.as_of_date): r for r in P.record_refresh_events(panel, events_only=False).collect()}
-    assert every[1, D(2020, 9, 30)].fy_age_days == 183 and every[1, D(2020, 3, 31)].first_panel_row and not every[3, D(2020, 6, 30)].is_refresh
+    ends = list(quarter_ends((1971, 2), (1976, 1)))
+    rows = [(firm, d, _filed(firm, q)) for firm in range(31, 37) for q, d in enumerate(ends) if (firm * q) % 7 != 5]
+    panel = spark.createDataFrame(rows, "cik int, as_of_date date, fiscal_year int").repartition(3)
+    first = {}
+    for firm, d, fy in rows:
+        if fy is not None:
+            first[firm, fy] = min(d, first.get((firm, fy), d))
+    start = {firm: min(d for f, d, _ in rows if f == firm) for firm in range(31, 37)}
+    assert {(r.cik, r.fiscal_year, r.as_of_date) for r in P.record_refresh_events(panel).collect()} == {(*k, d) for k, d in first.items()}
+    for r in P.record_refresh_events(panel, events_only=False).collect():
+        began = first.get((r.cik, r.fiscal_year))
+        assert r.is_refresh == (r.as_of_date == began) and r.first_panel_row == (r.as_of_date == start[r.cik])
+        assert r.fy_age_days == (began and (r.as_of_date - began).days)
 
 
 def test_exits(spark):
-    rows = [(1, d, 2018 if d < D(2020, 6, 30) else 2019) for d in quarter_ends((2018, 1), (2020, 4))] + [(2, d, d.year - 1) for d in quarter_ends((2018, 1), (2024, 4))]
+    ends = list(quarter_ends((1981, 1), (1990, 4)))
+    left = {51: 12, 52: 25, 53: len(ends) - 1, 54: 33}  # a firm's last quarter
+    rows = [(firm, d, 1980 + min(q, last - firm % 4) // 4) for firm, last in left.items() for q, d in enumerate(ends[: last + 1])]
     panel = spark.createDataFrame(rows, "cik int, as_of_date date, fiscal_year int")
-    by = {r.cik: r for r in P.exit_frame(panel).collect()}
-    assert (by[1].last_row, by[1].last_refresh, by[1].stale_tail_quarters, by[1].exit, by[2].exit) == (D(2020, 12, 31), D(2020, 6, 30), 2, True, False)
-    assert {r.cik: r.exit_date for r in P.exit_frame(panel, anchor="last_refresh").collect()}[1] == D(2020, 6, 30)
+    seen = defaultdict(list)
+    for firm, d, fy in rows:
+        seen[firm].append((d, fy))
+    last_row = {f: v[-1][0] for f, v in seen.items()}
+    refreshed = {f: min(d for d, fy in v if fy == v[-1][1]) for f, v in seen.items()}
+    later = lambda d, quarters: ends.index(d) + quarters
+    for runway in (3, 8):
+        for anchor, at in (("last_row", last_row), ("last_refresh", refreshed)):
+            got = {r.cik: r for r in P.exit_frame(panel, runway, anchor=anchor).collect()}
+            for f in left:
+                assert (got[f].last_row, got[f].last_refresh, got[f].exit_date) == (last_row[f], refreshed[f], at[f])
+                assert got[f].stale_tail_quarters == ends.index(last_row[f]) - ends.index(refreshed[f])
+                assert got[f].exit == (later(at[f], runway) < len(ends)), (f, runway, anchor)
     with pytest.raises(ValueError, match="anchor"):
-        P.exit_frame(panel, anchor="x")
-    some = panel.where("cik = 1 and as_of_date in ('2019-12-31', '2020-06-30', '2020-12-31')")
-    got = {r.as_of_date: r for r in P.exit_rows(some, P.exit_frame(panel)).collect()}
-    assert [got[d].exit for d in sorted(got)] == [1.0, 1.0, 1.0] and [got[d].after_last_refresh for d in sorted(got)] == [False, False, True]
-    assert all(r.exit is None for r in P.exit_rows(some, P.exit_frame(panel, 32), 32).collect())
+        P.exit_frame(panel, anchor="middle")
+    for r in P.exit_rows(panel, P.exit_frame(panel, 8), 8).collect():
+        seen_out = later(r.as_of_date, 8) < len(ends)
+        assert r.exit == (float(ends.index(last_row[r.cik]) <= later(r.as_of_date, 8)) if seen_out else None)
+        assert r.after_last_refresh == (r.as_of_date > refreshed[r.cik])
 
 
 def test_bins(spark):
@@ -90,8 +127,15 @@ def test_bins(spark):
 
 
 def test_cohort_median_is_taken_off(spark):
-    df = spark.createDataFrame([(2020, 1.0), (2020, 2.0), (2020, 6.0), (2021, 10.0), (2021, 20.0), (2021, 60.0)], "year int, v double")
-    assert [r.v_adj for r in P.market_adjust(df, ["v"], ["year"]).orderBy("year", "v").collect()] == [-1, 0, 4, -10, 0, 40]
+    rows = [(k % 4 if k % 23 else None, float((k * 71) % 97), None if k % 6 == 0 else float((k * 5) % 31)) for k in range(150)]
+    df = spark.createDataFrame(rows, "cohort int, v double, u double")
+    mid = {(c, i): np.median([r[i] for r in rows if r[0] == c and r[i] is not None]) for c in range(4) for i in (1, 2)}
+    out = P.market_adjust(df, ["v", "u"], ["cohort"]).collect()
+    assert len(out) == 150
+    for r in out:
+        for name, i in (("v", 1), ("u", 2)):
+            want = None if r.cohort is None or r[name] is None else r[name] - mid[r.cohort, i]
+            assert r[f"{name}_adj"] == (want if want is None else pytest.approx(want))
 
 
 def test_presample_label(spark):
@@ -110,13 +154,20 @@ def test_states_count_null_as_false(spark):
 
 
 def test_revisions(spark):
-    rows = [("AAA", "acc-1", D(2024, 1, 1), -0.30, "x"), ("AAA", "acc-1", D(2024, 1, 1), 0.05, "y"), ("AAA", "acc-2", D(2024, 2, 1), 0.40, "x"), ("BBB", "acc-1", D(2024, 1, 1), 0.01, "x"), ("CCC", None, D(2024, 3, 1), -0.2, "x")]
+    rng = np.random.default_rng(6)
+    rows = [(f"T{rng.integers(3)}", None if k % 10 == 0 else f"f{rng.integers(9)}", D(1999, 1 + k % 4, 9), float(rng.integers(-40, 41)) / 100, f"c{k}") for k in range(90)]
     facts = spark.createDataFrame(rows, "ticker string, changedAccession string, changedFiled date, relDelta double, conceptGroup string")
-    got = {(r.ticker, r.filing): r for r in P.revision_filings(facts).collect()}
-    assert set(got) == {("AAA", "acc-1"), ("AAA", "acc-2"), ("BBB", "acc-1"), ("CCC", "2024-03-01")}
-    r = got["AAA", "acc-1"]
-    assert (r.n_facts, r.rel_delta, r.any_down, r.any_up) == (2, -0.30, True, False)
-    assert P.revision_filings(facts.drop("changedAccession")).count() == 4
+    filings = defaultdict(list)
+    for ticker, accession, filed, size, _ in rows:
+        filings[ticker, accession or filed.isoformat()].append(size)
+    got = {(r.ticker, r.filing): r for r in P.revision_filings(facts, threshold=0.25).collect()}
+    assert got.keys() == filings.keys()
+    for k, sizes in filings.items():
+        r = got[k]
+        assert (r.n_facts, r.max_abs_rel) == (len(sizes), max(map(abs, sizes))) and abs(r.rel_delta) == r.max_abs_rel
+        assert (r.any_down, r.any_up) == (min(sizes) <= -0.25, max(sizes) >= 0.25)
+    by_day = P.revision_filings(facts.drop("changedAccession"))
+    assert by_day.count() == len({(t, f) for t, _, f, _, _ in rows})
 
 
 def test_overlap(spark):

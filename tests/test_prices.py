@@ -109,8 +109,8 @@ def test_split_scan(spark):
     assert [(r.date, r.ratio) for r in got] == [(dt.date(2024, 1, 9), 50 / 101)]
 
 
-def events(spark, *days):
-    return spark.createDataFrame([(f"e{i}", "RAMP", d) for i, d in enumerate(days)], "event_id string, ticker string, day date")
+def events(spark, *days, ticker="RAMP"):
+    return spark.createDataFrame([(f"e{i}", ticker, d) for i, d in enumerate(days)], "event_id string, ticker string, day date")
 
 
 def test_abnormal_path(spark, bars, bench):
@@ -127,9 +127,15 @@ def test_event_windows(spark, bars, bench):
 
 
 def test_daily_abnormal(spark, bars, bench):
-    got = {r.offset: r.ar for r in T.daily_abnormal(events(spark, DAYS[10]), bars, bench, 0, 2).collect()}
-    assert got == {0: pytest.approx(1 / 109), 1: pytest.approx(1 / 110), 2: pytest.approx(1 / 111)}
-    assert T.daily_abnormal(events(spark, DAYS[418]), bars, bench, 0, 2).count() == 0
+    """A market that moves too: each day's return of the series less the market's, by plain division."""
+    market = [300.0 + (k * k) % 17 for k in range(420)]
+    moving = spark.createDataFrame(list(zip(DAYS, market, strict=True)), "date date, close double")
+    day = 233
+    for ticker in ("RAMP", "SINK"):
+        cs = SERIES[ticker]
+        got = {r.offset: r.ar for r in T.daily_abnormal(events(spark, DAYS[day], ticker=ticker), bars, moving, -4, 6).collect()}
+        assert got == {k: pytest.approx(cs[day + k] / cs[day + k - 1] - market[day + k] / market[day + k - 1]) for k in range(-4, 7)}
+    assert T.daily_abnormal(events(spark, DAYS[415]), bars, bench, -4, 6).count() == 0
 
 
 def test_quiet_ratio(spark):
@@ -138,12 +144,18 @@ def test_quiet_ratio(spark):
 
 
 def test_path_between(spark, bars, bench):
-    pairs = spark.createDataFrame([("p", "RAMP", DAYS[10], DAYS[110]), ("close", "RAMP", DAYS[10], DAYS[20]), ("tiny", "TINY", DAYS[0], DAYS[2])], "pair_id string, ticker string, d0 date, d1 date")
-    rows = T.path_between(pairs, bars, bench, post_days=5).collect()
+    """Anchors at the 37th and 164th bar, 7 points and 9 days after; the market stands still, so legs are plain logs."""
+    a, z, points, after = 37, 164, 7, 9
+    pairs = spark.createDataFrame([("long", "SINK", DAYS[a], DAYS[z]), ("near", "RAMP", DAYS[a], DAYS[a + 11]), ("few", "TINY", DAYS[0], DAYS[2])], "pair_id string, ticker string, d0 date, d1 date")
+    rows = T.path_between(pairs, bars, bench, points=points, post_days=after).collect()
+    assert {r.pair_id for r in rows} == {"long"}
+    between = z - 1 - a  # the second anchor's base is the bar before it
+    assert {r.ntd for r in rows} == {between}
+    leg = lambda start, end: pytest.approx((end - start) * math.log(0.99))
     got = {(r.leg, r.k): r.v for r in rows}
-    assert {r.pair_id for r in rows} == {"p"} and {r.ntd for r in rows} == {99}
-    assert got["pre", None] == pytest.approx(math.log(209 / 110)) and got["p", 5] == pytest.approx(math.log(160 / 110)) and got["post", None] == pytest.approx(math.log(214 / 209))
-    assert got["total", None] == pytest.approx(math.log(214 / 110)) and got["pre20", None] == pytest.approx(math.log(209 / 189))
+    assert got == {("p", k): leg(0, round(k / points * between)) for k in range(1, points + 1)} | {("q", k): leg(0, k) for k in range(1, after + 1)} | {
+        ("pre20", None): leg(0, 20), ("pre", None): leg(0, between), ("post", None): leg(0, after), ("total", None): leg(0, between + after)
+    }
 
 
 def test_segments(spark, bars, bench):
@@ -182,21 +194,40 @@ def test_forward_paths_match_a_plain_lookup(spark, bars):
     assert all(cuts[k].r is not None for k in (1, 2, 3)) and all(cuts[k].r is None for k in (4, 5, 6)) and cuts[1].delisted_in_window
 
 
-PATHS = {"A": [-0.1, -0.6, -0.7, None, None, None], "B": [0.1] * 6, "C": [0.0, 0.0, 0.0, None, None, None], "D": [0.0, 0.0, 0.0, 0.0, -0.5, -0.55]}
+def _plain_curve(paths, months):
+    """Months of failure (a loss of half or more) and of leaving, and the share that has failed by each month."""
+    ends = {}
+    for i, vs in paths.items():
+        known = [k for k, v in enumerate(vs, 1) if v is not None]
+        ends[i] = (next((k for k in known if vs[k - 1] <= -0.5), None), max(known, default=0))
+    alive, curve = 1.0, {}
+    for k in range(1, months + 1):
+        risk = [i for i, (fail, last) in ends.items() if (fail or last) >= k]
+        failed = [i for i in risk if ends[i][0] == k]
+        alive *= 1 - len(failed) / len(risk) if risk else 1
+        curve[k] = 1 - alive
+    return ends, curve
+
+
+def _made_paths():
+    """Twenty-three paths of nine months: each falls by its own step and is seen for its own time."""
+    return {f"p{j}": [round(-((j * 7) % 11) / 60 * k, 6) if k <= 3 + (j * 5) % 7 else None for k in range(1, 10)] for j in range(23)}
 
 
 def test_kaplan_meier(spark):
-    paths = spark.createDataFrame([(i, k + 1, v) for i, vs in PATHS.items() for k, v in enumerate(vs)], "id string, k int, r double")
-    t = S.failure_times(paths, ["id"])
-    assert {r.id: (r.fail, r.last) for r in t.collect()} == {"A": (2, 3), "B": (None, 6), "C": (None, 3), "D": (5, 6)}
-    curve = S.survival_curve(paths, ["id"], 6)
-    inc = {r.k: r.incidence for r in curve.collect()}
-    assert inc[2] == pytest.approx(0.25) and inc[4] == pytest.approx(0.25) and inc[6] == pytest.approx(0.625)
-    assert [S.crossing(curve, x).first().month for x in (0.25, 0.6, 0.9)] == [2, 5, None]
+    made = _made_paths()
+    paths = spark.createDataFrame([(i, k + 1, v) for i, vs in made.items() for k, v in enumerate(vs)], "id string, k int, r double")
+    ends, want = _plain_curve(made, 9)
+    assert {f is None for f, _ in ends.values()} == {True, False}
+    assert {r.id: (r.fail, r.last) for r in S.failure_times(paths, ["id"]).collect()} == ends
+    curve = S.survival_curve(paths, ["id"], 9)
+    assert {r.k: r.incidence for r in curve.collect()} == {k: pytest.approx(v) for k, v in want.items()}
+    for level in (0.1, 0.3, 0.99):
+        assert S.crossing(curve, level).first().month == next((k for k, v in want.items() if v >= level), None)
     with pytest.raises(ValueError, match="censored"):
-        S.survival_curve(paths, ["id"], 6, event="ended")
+        S.survival_curve(paths, ["id"], 9, event="ended")
     with pytest.raises(ValueError, match="no column"):
-        S.survival_curve(paths, ["id"], 6, value="x")
+        S.survival_curve(paths, ["id"], 9, value="x")
     all_fail = spark.createDataFrame([("A", 1, 1), ("B", 1, 1)], "id string, fail int, last int")
     assert [r.incidence for r in S.kaplan_meier(all_fail, 3).orderBy("k").collect()] == [1.0, 1.0, 1.0]
 
