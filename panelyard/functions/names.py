@@ -70,12 +70,13 @@ def stays(c: Column, extra_stopwords: Iterable[str] = ()) -> Column:
     return F.array_sort(F.filter(F.array_distinct(F.split(c, " ")), lambda t: (F.length(t) > 2) & ~F.array_contains(stop, t)))
 
 
-def rule_keys(c: Column, alias: bool, extra_stopwords: Iterable[str] = ()) -> Column:
+def rule_keys(c: Column, alias: bool, rarest: Column, extra_stopwords: Iterable[str] = ()) -> Column:
     """Keys of a core such that an alias and a candidate that match under a rule share one, and few others do.
 
     R1: the core. R2: the shorter word against the longer one less one or two letters, either way
     round. R3: the first word and the alias's set of words, against the candidate's set less one or
-    two of its other words. R3b: the first word and the words that may not go."""
+    two of its other words. R3b: the first word, the words that may not go, and a candidate's `rarest` word, which the alias must have too,
+    against each of the alias's words: names that only common words make up do not all meet on one key."""
     words = F.split(c, " ")
     first, own = words[0], F.array_sort(F.array_distinct(words))
     key = lambda tag, *parts: F.concat_ws("|", F.lit(tag), *parts)
@@ -85,8 +86,10 @@ def rule_keys(c: Column, alias: bool, extra_stopwords: Iterable[str] = ()) -> Co
     one = [F.when(single & (F.length(c) >= 6), key(shorter, c)), *(F.when(single & (F.length(c) >= 6 + n), key(longer, less(n))) for n in (1, 2))]
     if alias:
         sets = F.array(key("3", first, F.array_join(own, " ")))
+        kept = F.transform(own, lambda t: key("3b", first, F.array_join(stays(c, extra_stopwords), " "), t))
     else:
         rest = F.filter(own, lambda t: t != first)
         cut = F.flatten(F.transform(rest, lambda x: F.transform(F.filter(rest, lambda y: y >= x), lambda y: F.filter(own, lambda t: (t != x) & (t != y)))))
         sets = F.transform(cut, lambda s: key("3", first, F.array_join(s, " ")))
-    return F.array_distinct(F.concat(F.array_compact(F.array(key("1", c), *one, key("3b", first, F.array_join(stays(c, extra_stopwords), " ")))), sets))
+        kept = F.array(key("3b", first, F.array_join(stays(c, extra_stopwords), " "), rarest))
+    return F.array_distinct(F.concat(F.array_compact(F.array(key("1", c), *one)), kept, sets))

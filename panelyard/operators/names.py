@@ -8,18 +8,28 @@ from pyspark.sql import functions as F
 from ..functions.names import RULES, core, rule, rule_keys, usable
 
 
+def blocks(names: DataFrame, col: str, alias: bool, extra_stopwords=()) -> DataFrame:
+    """(col, block): the distinct cores of a column with their keys. Words rank by how many of the cores have them."""
+    cores = names.select(col).distinct()
+    if alias:
+        return cores.withColumn("block", F.explode(rule_keys(F.col(col), True, F.lit(None).cast("string"), extra_stopwords)))
+    words = cores.withColumn("_word", F.explode(F.array_distinct(F.split(col, " "))))
+    common = words.groupBy("_word").agg(F.count("*").alias("_cores"))
+    rarest = words.join(common, "_word").groupBy(col).agg(F.min(F.struct("_cores", "_word")).alias("_rarest"))
+    return rarest.select(col, F.explode(rule_keys(F.col(col), False, F.col("_rarest._word"), extra_stopwords)).alias("block"))
+
+
 def match_all(aliases: DataFrame, candidates: DataFrame, extra_stopwords=()) -> DataFrame:
     """aliases (key, alias) and candidates (candidate) -> all pairs (key, alias, alias_core,
     candidate, candidate_core, rule, ambiguous), the best rule per key and candidate core,
     expanded to every spelling of the core. `ambiguous`: more than one key claims the candidate.
 
     Cores meet by an equi-join on keys that the rules themselves imply (see rule_keys), so that the
-    pairs are those of comparing everything and hardly more than those are looked at. A core that
+    pairs are those of comparing everything and hardly more than those are looked at; names of common words only meet on their rarest one. A core that
     many spellings share meets once."""
     a = aliases.select("key", "alias", core(F.col("alias")).alias("alias_core")).where(usable(F.col("alias_core"), extra_stopwords))
     c = candidates.select("candidate", core(F.col("candidate")).alias("candidate_core")).where(usable(F.col("candidate_core"), extra_stopwords))
-    left = a.select("alias_core").distinct().withColumn("block", F.explode(rule_keys(F.col("alias_core"), True, extra_stopwords)))
-    right = c.select("candidate_core").distinct().withColumn("block", F.explode(rule_keys(F.col("candidate_core"), False, extra_stopwords)))
+    left, right = blocks(a, "alias_core", True, extra_stopwords), blocks(c, "candidate_core", False, extra_stopwords)
     near = left.join(right, "block").select("alias_core", "candidate_core").distinct()
     near = near.withColumn("rule", rule(F.col("alias_core"), F.col("candidate_core"), extra_stopwords)).where("rule is not null").join(a, "alias_core")
     order = F.array_position(F.array(*map(F.lit, RULES)), F.col("rule"))

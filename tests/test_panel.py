@@ -287,14 +287,31 @@ def test_pairs_of_all_rules_meet(spark):
         want = cores.alias("a").crossJoin(cores.alias("b")).where(FN.usable(F.col("a.c"), extra) & FN.usable(F.col("b.c"), extra)).withColumn("rule", FN.rule(F.col("a.c"), F.col("b.c"), extra)).where("rule is not null")
         want = {(r[0], r[1], r[2]) for r in want.collect()}
         assert {w[2] for w in want} == {"R1", "R2", "R3", "R3b"}
-        left = cores.select("c", F.explode(FN.rule_keys(F.col("c"), True, extra)).alias("k")).collect()
+        left = N.blocks(cores, "c", True, extra).collect()
         right = {}
-        for r in cores.select("c", F.explode(FN.rule_keys(F.col("c"), False, extra)).alias("k")).collect():
-            right.setdefault(r.k, set()).add(r.c)
-        met = {(r.c, c) for r in left for c in right.get(r.k, ())}
+        for r in N.blocks(cores, "c", False, extra).collect():
+            right.setdefault(r.block, set()).add(r.c)
+        met = {(r.c, c) for r in left for c in right.get(r.block, ())}
         assert {w[:2] for w in want} <= met and len(met) < 0.2 * len(some) ** 2
 
 
+def test_names_of_common_words_do_not_meet_on_one_key(spark):
+    """800 names that begin alike and hold words that may go only: all pairs found, no key with over a hundredth of all pairs."""
+    rng = np.random.default_rng(8)
+    common = [w for w in FN.STOPWORDS if w != "new"]
+    some = sorted({" ".join(["new", *rng.choice(common, rng.integers(1, 5), replace=False)]) for _ in range(800)})
+    cores = spark.createDataFrame([(s,) for s in some], "c string")
+    sets, stop = {s: set(s.split()) for s in some}, set(FN.STOPWORDS)
+    want = {(a, b) for a in some for b in some if a != b and sets[b] < sets[a] and len(sets[b]) >= 2 and all(len(t) <= 2 or t in stop for t in sets[a] - sets[b])}
+    left, right = defaultdict(set), defaultdict(set)
+    for df, held in ((N.blocks(cores, "c", True), left), (N.blocks(cores, "c", False), right)):
+        for r in df.collect():
+            held[r.block].add(r.c)
+    met = {(a, b) for k in left for a in left[k] for b in right.get(k, ())}
+    assert want and want <= met
+    assert max(len(left[k]) * len(right.get(k, ())) for k in left) < 0.01 * len(some) ** 2
+
+
 def test_match_against_comparing_everything(spark):
     rng = np.random.default_rng(0)
     words = ["quorlim", "quorlimon", "alpha", "delta", "pharma", "japan", "labs", "omega", "quorlimonpq", "inc", "k1"]
