@@ -121,8 +121,8 @@ def _sums(rows: DataFrame, own: DataFrame, keys: list[str], values: list[str], d
     return held.mapInArrow(run, schema).groupBy(*keys, "draw").agg(*(F.sum(v).alias(v) for v in values))
 
 
-def _medians(rows: DataFrame, own: DataFrame, keys: list[str], draws: int, seed: int, least: int = 1) -> DataFrame:
-    """(keys..., draw, m): the exact median of each draw, rows (keys..., grp, v, c), made from a durable table, standing c times the group's multiplicity.
+def _medians(rows: DataFrame, own: DataFrame, keys: list[str], draws: int, seed: int, least: int = 1, prob: float = 0.5) -> DataFrame:
+    """(keys..., draw, m): the exact median (or another quantile) of each draw, rows (keys..., grp, v, c), made from a durable table, standing c times the group's multiplicity.
     Draws with under `least` rows in a cell have none there."""
     values = numbered(rows.select(*keys, "v").distinct(), [*keys, "v"], twice=True)
     placed = durable(null_safe(rows, values, [*keys, "v"]).join(own, "grp").select(*keys, "idx", "n", "pos", "c"), "boot-rows")
@@ -135,13 +135,13 @@ def _medians(rows: DataFrame, own: DataFrame, keys: list[str], draws: int, seed:
         level = placed.withColumn("parent", parent).withColumn("sub", F.shiftright("pos", shift))
         if needed is not None:
             level = null_safe(level, needed.select(*keys, "parent"), [*keys, "parent"], "left_semi")
-        found = durable(_middle(_weights(level, keys, draws, seed, needed is None), needed, keys, draws, least, shift == 0), "boot-middle")
+        found = durable(_middle(_weights(level, keys, draws, seed, needed is None), needed, keys, draws, least, shift == 0, prob), "boot-middle")
         spent.append(found)
         needed = found
     discard(placed)
     for t in spent[:-1]:
         discard(t)
-    return needed.join(values.select("pos", "v"), needed.parent == F.col("pos")).groupBy(*keys, "draw").agg(F.avg("v").alias("m"))
+    return needed.join(values.select("pos", "v"), needed.parent == F.col("pos")).groupBy(*keys, "draw").agg(F.sum(F.col("v") * F.col("share")).alias("m"))
 
 
 def _weights(level: DataFrame, keys: list[str], draws: int, seed: int, totals: bool) -> DataFrame:
@@ -178,23 +178,27 @@ def _weights(level: DataFrame, keys: list[str], draws: int, seed: int, totals: b
     return held.mapInArrow(run, schema)
 
 
-def _middle(weights: DataFrame, needed: DataFrame | None, keys: list[str], draws: int, least: int, last: bool) -> DataFrame:
-    """Which range of values holds each draw's two middle rows (one and the same if their number is odd).
+def _middle(weights: DataFrame, needed: DataFrame | None, keys: list[str], draws: int, least: int, last: bool, prob: float) -> DataFrame:
+    """Which range of values holds the two rows of each draw that its quantile lies between (one and the same if it lies on a row).
 
-    Ranges of a parent come in order, after what is looked for in it. (keys..., parent, lo, hi): the range, and per draw how many rows of it
-    stand before the middle ones, -1 for draws that look elsewhere; at the last level (keys..., draw, parent), two rows a draw."""
-    none = F.lit(None).cast("array<bigint>")
-    both = weights.withColumn("lo", none).withColumn("hi", none)
+    Ranges of a parent come in order, after what is looked for in it. (keys..., parent, lo, hi, part): the range, and per draw how many rows of it
+    stand before the two, -1 for draws that look elsewhere, and the upper one's share; at the last level (keys..., draw, parent, share), two rows a draw."""
+    none, real = F.lit(None).cast("array<bigint>"), F.lit(None).cast("array<double>")
+    both = weights.withColumn("lo", none).withColumn("hi", none).withColumn("part", real)
     if needed is not None:
         both = both.unionByName(needed.withColumn("sub", F.lit(-1).cast("long")).withColumn("w", none))
     both = both.repartition(*keys, "parent").sortWithinPartitions(*keys, "parent", "sub")
     start = weights.select(*keys)
-    schema = start.withColumn("draw", F.lit(0).cast("long")).withColumn("parent", F.lit(0).cast("long")).schema if last else start.withColumn("parent", F.lit(0).cast("long")).withColumn("lo", none).withColumn("hi", none).schema
+    long = F.lit(0).cast("long")
+    if last:
+        schema = start.withColumn("draw", long).withColumn("parent", long).withColumn("share", F.lit(0.0)).schema
+    else:
+        schema = start.withColumn("parent", long).withColumn("lo", none).withColumn("hi", none).withColumn("part", real).schema
     names, first = [f.name for f in schema], needed is None
 
     def run(batches):
         kinds: list = []
-        cell = sub = sought = before = now = None
+        cell = sub = sought = part = before = now = None
 
         def hit():
             """Closes a range: rows of the result if a middle is in it."""
@@ -204,11 +208,12 @@ def _middle(weights: DataFrame, needed: DataFrame | None, keys: list[str], draws
                 if last:
                     draw = np.concatenate([np.flatnonzero(x) for x in inside]) + 1
                     columns = [pa.array([k] * len(draw), t) for k, t in zip(cell[:-1], kinds, strict=False)]
-                    yield pa.RecordBatch.from_arrays([*columns, pa.array(draw, pa.int64()), pa.array(np.full(len(draw), sub))], names)
+                    share = np.concatenate([(1 - part)[inside[0]], part[inside[1]]])
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(draw, pa.int64()), pa.array(np.full(len(draw), sub)), pa.array(share)], names)
                 else:
                     columns = [pa.array([k], t) for k, t in zip(cell[:-1], kinds, strict=False)]
                     rest = [pa.array([np.where(x, s - before, -1)], pa.list_(pa.int64())) for x, s in zip(inside, sought, strict=True)]
-                    yield pa.RecordBatch.from_arrays([*columns, pa.array([sub], pa.int64()), *rest], names)
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array([sub], pa.int64()), *rest, pa.array([part], pa.list_(pa.float64()))], names)
             before = before + now
 
         for b in batches:
@@ -223,9 +228,12 @@ def _middle(weights: DataFrame, needed: DataFrame | None, keys: list[str], draws
                     cell, sub, now = k[:-1], k[-1], np.zeros(draws, np.int64)
                 if sub < 0 and first:
                     total = total + b.column("w")[i].values.to_numpy()
-                    sought = [np.where(total >= least, x, -1) for x in ((total - 1) // 2, total // 2)]
+                    place = prob * (total - 1)
+                    sought = [np.where(total >= least, x, -1).astype(np.int64) for x in (np.floor(place), np.ceil(place))]
+                    part = place - np.floor(place)
                 elif sub < 0:
                     sought = [b.column(x)[i].values.to_numpy() for x in ("lo", "hi")]
+                    part = b.column("part")[i].values.to_numpy()
                 else:
                     now = now + b.column("w")[i].values.to_numpy()
         if sub is not None and sub >= 0:
@@ -250,10 +258,10 @@ def _collapsed(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys, "grp", "v").agg(F.count("*").alias("c"))
 
 
-def cluster_bootstrap(df: DataFrame, value: str, group: str, stat: str = "median", draws: int = 200, seed: int = 0, alpha: float = 0.05) -> DataFrame:
-    """One row (obs, lo, hi). Nulls are dropped first; an empty table gives nulls. A rate is the share of values other than zero."""
-    if stat not in ("mean", "median", "rate"):
-        raise ValueError(f"stat must be 'mean', 'median' or 'rate', not {stat!r}")
+def cluster_bootstrap(df: DataFrame, value: str, group: str, stat: str = "median", draws: int = 200, seed: int = 0, alpha: float = 0.05, prob: float = 0.5) -> DataFrame:
+    """One row (obs, lo, hi). Nulls are dropped first; an empty table gives nulls. A rate is the share of values other than zero, a quantile the one at `prob`."""
+    if stat not in ("mean", "median", "rate", "quantile"):
+        raise ValueError(f"stat must be 'mean', 'median', 'rate' or 'quantile', not {stat!r}")
     rows = df.where(F.col(value).isNotNull() & F.col(group).isNotNull()).select(F.col(group).alias("grp"), F.col(value).cast("double").alias("v"))
     if stat == "rate":
         rows, stat = rows.withColumn("v", (F.col("v") != 0).cast("double")), "mean"
@@ -263,8 +271,9 @@ def cluster_bootstrap(df: DataFrame, value: str, group: str, stat: str = "median
         sums = rows.groupBy("grp").agg(F.sum("v").alias("s"), F.count("*").alias("c"))
         stats = _sums(sums, own, [], ["s", "c"], draws, seed).where("c > 0").select("draw", (F.col("s") / F.col("c")).alias("stat"))
     else:
-        stats = _medians(_collapsed(rows, []), own, [], draws, seed).withColumnRenamed("m", "stat")
-    obs = rows.agg(_stat(stat, "v").alias("obs"))
+        prob = 0.5 if stat == "median" else prob
+        stats = _medians(_collapsed(rows, []), own, [], draws, seed, prob=prob).withColumnRenamed("m", "stat")
+    obs = rows.agg((F.percentile("v", prob) if stat == "quantile" else _stat(stat, "v")).alias("obs"))
     return settled(obs.crossJoin(F.broadcast(_interval(stats, "stat", alpha, []))), rows, own)  # one row each
 
 
@@ -315,9 +324,21 @@ def boot_ratio(num: DataFrame, den: DataFrame, value: str, group: str, stat: str
     return settled(obs.crossJoin(F.broadcast(_interval(stats, "stat", alpha, []))).drop("share_le_0"), both, own)  # one row each
 
 
+def additive_bootstrap(df: DataFrame, parts: dict[str, Column], group: str, finish: Column, draws: int = 200, seed: int = 0, alpha: float = 0.05) -> DataFrame:
+    """One row (obs, lo, hi) of any statistic of sums: `parts` are columns that are added up over a draw's rows, `finish` makes the
+    statistic of their sums, by name. So blocks add up in the tasks and merge by addition, for all draws at once: trimmed and
+    winsorised means, moments, slopes, shares and counts on a grid. Missing parts count as zero."""
+    rows = durable(df.where(F.col(group).isNotNull()).select(F.col(group).alias("grp"), *(F.coalesce(c.cast("double"), F.lit(0.0)).alias(k) for k, c in parts.items())), "boot")
+    own = indexed(rows, "grp")
+    sums = rows.groupBy("grp").agg(*(F.sum(k).alias(k) for k in parts))
+    stats = _sums(sums, own, [], list(parts), draws, seed).select("draw", finish.alias("stat")).where("stat is not null")
+    obs = rows.agg(*(F.sum(k).alias(k) for k in parts)).select(finish.alias("obs"))
+    return settled(obs.crossJoin(F.broadcast(_interval(stats, "stat", alpha, []))).drop("share_le_0"), rows, own)  # one row each
+
+
 def custom_bootstrap(df: DataFrame, value: str, group: str, stat, draws: int = 200, seed: int = 0, alpha: float = 0.05) -> DataFrame:
     """One row (obs, lo, hi) for any function of a numpy array. Each draw's rows come together in one
-    task, so this is for tables of which one task can hold a column."""
+    task, so this is for tables of which one task can hold a column; quantiles and statistics of sums have jobs of their own above."""
     rows = df.where(F.col(value).isNotNull() & F.col(group).isNotNull()).select(F.col(group).alias("grp"), F.col(value).cast("double").alias("v"))
     m = multiplicities(rows, "grp", draws, seed)
     drawn = rows.join(m, "grp").select("draw", "v", "w").unionByName(rows.select(F.lit(0).cast("long").alias("draw"), "v", F.lit(1).cast("long").alias("w")))

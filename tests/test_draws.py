@@ -109,3 +109,16 @@ def test_shuffle_of_one_cell_of_all_rows_is_not_in_one_task(spark):
     for draw in (1, 2, 3):
         rows = out.where(F.col("draw") == draw).collect()
         assert sorted(r.shuffled for r in rows) == [3 * k for k in range(4000)] and sum(r.shuffled == r.label for r in rows) < 20
+
+
+@pytest.mark.parametrize(("held", "level"), [(1 << 22, 6), (1 << 8, 2)])
+def test_quantiles_and_sums_of_draws_match_a_function_of_all_rows(spark, monkeypatch, held, level):
+    monkeypatch.setattr(B, "MOST_HELD", held)
+    monkeypatch.setattr(B, "LEVEL", level)
+    df = spark.createDataFrame([(g, v) for c, g, v in _median_rows() if c == "big"][:900], "grp int, v double")
+    plain = lambda f: tuple(B.custom_bootstrap(df, "v", "grp", f, 30, 5).first())
+    for prob in (0.9, 0.37):
+        assert tuple(B.cluster_bootstrap(df, "v", "grp", "quantile", 30, 5, prob=prob).first())[:3] == pytest.approx(plain(lambda v, p=prob: np.quantile(v, p)))
+    inner = F.col("v").between(-1, 1)
+    trimmed = B.additive_bootstrap(df, {"s": F.when(inner, F.col("v")), "n": inner.cast("int")}, "grp", F.try_divide(F.col("s"), F.col("n")), 30, 5)
+    assert tuple(trimmed.first()) == pytest.approx(plain(lambda v: v[(v >= -1) & (v <= 1)].mean()))
