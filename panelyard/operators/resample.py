@@ -328,11 +328,13 @@ def additive_bootstrap(df: DataFrame, parts: dict[str, Column], group: str, fini
     """One row (obs, lo, hi) of any statistic of sums: `parts` are columns that are added up over a draw's rows, `finish` makes the
     statistic of their sums, by name. So blocks add up in the tasks and merge by addition, for all draws at once: trimmed and
     winsorised means, moments, slopes, shares and counts on a grid. Missing parts count as zero."""
-    rows = durable(df.where(F.col(group).isNotNull()).select(F.col(group).alias("grp"), *(F.coalesce(c.cast("double"), F.lit(0.0)).alias(k) for k, c in parts.items())), "boot")
+    own_names = [f"_part{i}" for i in range(len(parts))]  # callers' names may be any
+    rows = durable(df.where(F.col(group).isNotNull()).select(F.col(group).alias("grp"), *(F.coalesce(c.cast("double"), F.lit(0.0)).alias(k) for k, c in zip(own_names, parts.values(), strict=True))), "boot")
     own = indexed(rows, "grp")
-    sums = rows.groupBy("grp").agg(*(F.sum(k).alias(k) for k in parts))
-    stats = _sums(sums, own, [], list(parts), draws, seed).select("draw", finish.alias("stat")).where("stat is not null")
-    obs = rows.agg(*(F.sum(k).alias(k) for k in parts)).select(finish.alias("obs"))
+    sums = rows.groupBy("grp").agg(*(F.sum(k).alias(k) for k in own_names))
+    named = [F.col(k).alias(name) for k, name in zip(own_names, parts, strict=True)]
+    stats = _sums(sums, own, [], own_names, draws, seed).select(*named).select(finish.alias("stat")).where("stat is not null")
+    obs = rows.agg(*(F.sum(k).alias(k) for k in own_names)).select(*named).select(finish.alias("obs"))
     return settled(obs.crossJoin(F.broadcast(_interval(stats, "stat", alpha, []))).drop("share_le_0"), rows, own)  # one row each
 
 
