@@ -7,6 +7,7 @@ import re
 import tempfile
 import uuid
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -81,6 +82,41 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_BYTES))
 
 
+#: Bits of a bitmap of keys, as powers of two: at least, and at most, which bounds what is broadcast to
+#: 128 MB; in between, eight or more a key.
+LEAST_BITS, MOST_BITS = 25, 30
+
+
+def bitmap(keys: DataFrame):
+    """A broadcast bitmap of a column of 64-bit hashes. It lets through all of them and, up to 130 million
+    keys, few others, so that an exact join after it shuffles little; its size is bounded."""
+    bits = 1 << min(MOST_BITS, max(LEAST_BITS, (8 * keys.count()).bit_length()))
+    at = F.pmod(F.col(keys.columns[0]), F.lit(bits)) + 1
+    parts = keys.groupBy(F.bitmap_bucket_number(at).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
+    held = bytearray(bits >> 3)
+    for r in parts.toLocalIterator():  # 4 kB each
+        held[(r.part - 1) << 12 : r.part << 12] = r.bits
+    return keys.sparkSession.sparkContext.broadcast(bytes(held))
+
+
+def among(mask: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which keys may be in a bitmap."""
+    bit = np.mod(keys, len(mask) << 3)
+    return (mask[bit >> 3] >> (bit & 7) & 1).astype(bool)
+
+
+def passing(rows: DataFrame, col: str, sent) -> DataFrame:
+    """The rows whose hash may be in the bitmap."""
+    at = rows.columns.index(col)
+
+    def run(batches):
+        mask = np.frombuffer(sent.value, np.uint8)
+        for b in batches:
+            yield b.filter(pa.array(among(mask, b.column(at).to_numpy(zero_copy_only=False))))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 def ascii_lower(c):
     """Lower-case A-Z and nothing else."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
 from . import simhash
-from .common import durable, raw, small_batches
+from .common import bitmap, durable, passing, raw, small_batches
 from .components import components
-from .paragraphs import _bitmap, _passing, bands, minima, near_links, unit_of
+from .paragraphs import bands, minima, near_links, unit_of
 from .simhash import keep_least
 
 SHINGLE, LEAST, RECALL, ROWS = 5, 0.8, 0.999, 4
@@ -68,7 +68,7 @@ def signatures(docs: DataFrame, size: int, n_bands: int, rows: int = ROWS) -> Da
 
 def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """(unit, packed) of the wanted documents' words: the sorted distinct hashes of their shingles as bytes."""
-    sent = _bitmap(wanted)
+    sent = bitmap(wanted)
 
     def run(batches):
         mask = sent.value
@@ -100,7 +100,7 @@ def links(docs: DataFrame, made: DataFrame, size: int, least: float) -> DataFram
     pairs = made.select("unit", F.explode("sigs").alias("sig")).select("sig", "unit").union(fingerprint_groups(made))
     often = pairs.groupBy("sig").agg(F.min("unit").alias("x"), F.max("unit").alias("y")).where("x <> y").select("sig")
     often = durable(often, "copies-collisions")
-    members = _passing(pairs, "sig", _bitmap(often)).join(often, "sig", "left_semi").distinct()
+    members = passing(pairs, "sig", bitmap(often)).join(often, "sig", "left_semi").distinct()
     members = durable(members, "copies-members")
     sets = durable(_sets(docs, members.select("unit").distinct(), size), "copies-sets")
     return near_links(members, sets, least, lambda packed: np.frombuffer(packed, np.uint64))

@@ -14,13 +14,17 @@ hash of every ANCHOR_WINDOW pairs in a row. Equal passages have equal anchors wh
 stand, each passage of ANCHOR_WINDOW + RUN_WORDS - 1 words has one at least, and neighbouring runs
 touch. Repeated runs in a row make one span, which is extended on both sides by the words that it
 shares with its keeper, the place of the run's first occurrence; words and not hashes decide
-there. Spans of at least MIN_WORDS words are passages; shorter ones (a common line, a licence
-sentence) are left alone.
+there.
+
+All these are reported. What goes is a matter of judgement: a later occurrence of WHOLE_WORDS words
+or more is a copy and is removed. A shorter one (a quoted line, a phrase two authors share) is removed
+only if it stands in COMMON_DOCS documents or more, as notices and boilerplate do; elsewhere
+it is in its class, but stays.
 
 Paragraphs fall together by 64 bits of a hash of their words, and are held equal only if 64 more
-bits agree. Runs fall together by 64 bits; a span needs MIN_WORDS words, more than a run has, and
-those beside its runs are compared as words. Each text is read twice: once for signatures and
-runs, once for the words of colliding paragraphs and those beside the spans.
+bits agree. Runs fall together by 64 bits, and the words beside them are compared as words. Each text
+is read twice: once for signatures and runs, once for the words of colliding paragraphs and those
+beside the spans.
 """
 
 from __future__ import annotations
@@ -33,21 +37,20 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import durable, fresh, raw, read, release, small_batches
+from .common import among, bitmap, durable, fresh, passing, raw, read, release, small_batches
 from .components import components
 from .forest import forest
 
 SHINGLE, LEAST, RECALL, ROWS = 5, 0.8, 0.999, 3
 #: Words of the shortest paragraph and of the shortest passage.
-MIN_WORDS = 40
+MIN_WORDS = 10
+#: Passages of as many words are removed wherever they repeat; shorter ones if as many documents hold them.
+WHOLE_WORDS, COMMON_DOCS = 40, 10
 #: Words of an anchored run, and the word pairs in a row of which the least is an anchor. Runs are as
-#: long as the window, so that they touch; every repeated passage of 49 words holds one.
-RUN_WORDS = ANCHOR_WINDOW = 25
+#: long as the window, so that they touch; every repeated passage of 23 words holds one.
+RUN_WORDS = ANCHOR_WINDOW = 12
 #: Words beside a run that may belong to its passage: with more, there would be a further anchor.
 REACH = ANCHOR_WINDOW
-#: Bits of the filters that let wanted keys pass before an exact join, as powers of two: at least, and at
-#: most, which bounds what is broadcast to 128 MB; in between, eight or more a key.
-LEAST_BITS, MOST_BITS = 25, 30
 #: Colliding paragraphs and their packed bytes that are compared at once; larger groups are compared block by block.
 BLOCK, BLOCK_BYTES = 2000, 2 << 20
 #: Bytes whose words are hashed at once.
@@ -57,8 +60,10 @@ PLACE = 0x9E3779B1
 _rng = np.random.default_rng(40_009)
 _MUL = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _rng.integers(0, 1 << 63, 256, dtype=np.uint64)
-_JOIN = _rng.integers(0, 1 << 63, RUN_WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_JOIN = _rng.integers(0, 1 << 63, max(RUN_WORDS, SHINGLE), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
+#: Shingles hashed at once, few enough to stay near the processor.
+TILE = 1 << 14
 
 
 def bands(least: float = LEAST, recall: float = RECALL, rows: int = ROWS) -> int:
@@ -151,13 +156,25 @@ def anchors(hashes: np.ndarray) -> np.ndarray:
     return np.unique(low & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
-def joined(hashes: np.ndarray, at: np.ndarray | None = None, size: int = SHINGLE) -> np.ndarray:
-    """A hash for `size` words in a row, beginning at each word, or at those of `at`."""
-    n = len(hashes) - size + 1
-    at = np.arange(max(0, n)) if at is None else at
-    out = np.zeros(len(at), np.uint64)
+def joined(hashes: np.ndarray, size: int = SHINGLE) -> np.ndarray:
+    """A hash for `size` words in a row, beginning at each word."""
+    n = max(0, len(hashes) - size + 1)
+    out = np.zeros(n, np.uint64)
     for k in range(size):
-        out += (hashes[k : k + n] if len(at) == n else hashes[at + k]) * _JOIN[k]
+        out += hashes[k : k + n] * _JOIN[k]
+    return (out ^ (out >> np.uint64(31))) * np.uint64(_BASE)
+
+
+def run_hashes(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A hash for RUN_WORDS words in a row, beginning at each word of `at`: those of shorter runs put together, twice as long a step."""
+    part, width, out, done = hashes, 1, np.zeros(len(at), np.uint64), 0
+    while len(at):
+        if RUN_WORDS & width:
+            out = out * _JOIN[width % len(_JOIN)] + part[at + done]
+            done += width
+        if done == RUN_WORDS:
+            break
+        part, width = part[:-width] * _JOIN[width % len(_JOIN)] + part[width:], 2 * width
     return (out ^ (out >> np.uint64(31))) * np.uint64(_BASE)
 
 
@@ -173,15 +190,19 @@ def _named(hashes: np.ndarray, parts: list[tuple[int, int]]) -> np.ndarray:
 
 def minima(hashes: np.ndarray, sizes: np.ndarray, k: int) -> np.ndarray:
     """MinHash signatures of sets given one after another with their sizes: the least of each of k
-    multiply-and-add hashes, for about 64k shingles at a time."""
-    out, first = np.full((len(sizes), k), np.iinfo(np.uint64).max), np.cumsum(np.append(0, sizes[:-1]))
-    for at in range(0, len(hashes), 1 << 16):
-        part = hashes[at : at + (1 << 16)]
-        own = np.arange(np.searchsorted(first, at, "right") - 1, np.searchsorted(first, at + len(part)))
+    multiply-and-add hashes, TILE shingles at a time."""
+    out, first = np.full((k, len(sizes)), np.iinfo(np.uint64).max), np.cumsum(np.append(0, sizes[:-1]))
+    room = np.empty(TILE, np.uint64)
+    for at in range(0, len(hashes), TILE):
+        part = hashes[at : at + TILE]
+        mixed = room[: len(part)]
+        own = slice(int(np.searchsorted(first, at, "right")) - 1, int(np.searchsorted(first, at + len(part))))
         starts = np.maximum(first[own] - at, 0)
-        low = np.minimum.reduceat(part[:, None] * _MUL[:k] + _ADD[:k], starts, axis=0)
-        out[own] = np.minimum(out[own], low)
-    return out
+        for i in range(k):
+            np.multiply(part, _MUL[i], out=mixed)
+            np.add(mixed, _ADD[i], out=mixed)
+            np.minimum(out[i, own], np.minimum.reduceat(mixed, starts), out=out[i, own])
+    return np.ascontiguousarray(out.T)
 
 
 _PARAGRAPH = "unit long, check long, at int, n_words int, start int, end int, sigs array<long>"
@@ -201,13 +222,13 @@ def units(docs: DataFrame, id_col: str, text: str, n_bands: int, rows: int = ROW
             keys, runs, names, spots, sets, signed, known = [], [], [], [], [], [], set()
             for doc, t in zip(b.column(0).to_pylist(), raw(b, text), strict=True):
                 own = Text(t or b"")
-                if len(own.starts) < RUN_WORDS:
+                if len(own.starts) < MIN_WORDS:
                     continue
                 hashes = own.hashes()
                 parts, at = own.paragraphs(), anchors(hashes)
                 h = xxhash.xxh64_intdigest(t, 42)
                 keys.append((doc, h - (1 << 64) if h >> 63 else h))
-                runs.append(joined(hashes, at, RUN_WORDS))
+                runs.append(run_hashes(hashes, at))
                 names.append(_named(hashes, parts))
                 edge = np.array(parts, np.int64).reshape(-1, 2)
                 spots.append(np.stack([edge[:, 0], edge[:, 1] - edge[:, 0], own.chars(own.starts[edge[:, 0]]), own.chars(own.ends[edge[:, 1] - 1])], axis=1))
@@ -239,36 +260,6 @@ def units(docs: DataFrame, id_col: str, text: str, n_bands: int, rows: int = ROW
     return rows_.mapInArrow(run, f"doc_id {kind}, h long, runs array<long>, paragraphs array<struct<{_PARAGRAPH.replace(' ', ':').replace(',:', ',')}>>")
 
 
-def _bitmap(keys: DataFrame):
-    """A broadcast bitmap of a column of 64-bit hashes. It lets through all of them and, up to 130 million
-    keys, few others, so that an exact join after it shuffles little; its size is bounded."""
-    bits = 1 << min(MOST_BITS, max(LEAST_BITS, (8 * keys.count()).bit_length()))
-    at = F.pmod(F.col(keys.columns[0]), F.lit(bits)) + 1
-    parts = keys.groupBy(F.bitmap_bucket_number(at).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
-    held = bytearray(bits >> 3)
-    for r in parts.toLocalIterator():  # 4 kB each
-        held[(r.part - 1) << 12 : r.part << 12] = r.bits
-    return keys.sparkSession.sparkContext.broadcast(bytes(held))
-
-
-def _among(mask: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Which keys may be in a bitmap."""
-    bit = np.mod(keys, len(mask) << 3)
-    return (mask[bit >> 3] >> (bit & 7) & 1).astype(bool)
-
-
-def _passing(rows: DataFrame, col: str, sent) -> DataFrame:
-    """The rows whose hash may be in the bitmap."""
-    at = rows.columns.index(col)
-
-    def run(batches):
-        mask = np.frombuffer(sent.value, np.uint8)
-        for b in batches:
-            yield b.filter(pa.array(_among(mask, b.column(at).to_numpy(zero_copy_only=False))))
-
-    return rows.mapInArrow(run, rows.schema)
-
-
 def _hits(found: DataFrame, sent) -> DataFrame:
     """(unit, doc_id, h, k) of the runs that may be in the bitmap, one row each."""
 
@@ -278,7 +269,7 @@ def _hits(found: DataFrame, sent) -> DataFrame:
             runs = b.column("runs")
             unit, sizes = runs.flatten().to_numpy(zero_copy_only=False), np.diff(runs.offsets.to_numpy())
             row, first = np.repeat(np.arange(len(sizes)), sizes), np.repeat(np.cumsum(sizes) - sizes, sizes)
-            hit = np.flatnonzero(_among(mask, unit))
+            hit = np.flatnonzero(among(mask, unit))
             k = pa.array((hit - first[hit]).astype(np.int32))
             yield pa.RecordBatch.from_arrays([pa.array(unit[hit]), b.column("doc_id").take(pa.array(row[hit])), b.column("h").take(pa.array(row[hit])), k], ["unit", "doc_id", "h", "k"])
 
@@ -294,28 +285,29 @@ def _edge_key(unit, h, k, left):
     return unit ^ h ^ (2 * k + left) * PLACE
 
 
-def _second_look(docs: DataFrame, text: str, texts, paragraphs, edges) -> DataFrame:
-    """The words of paragraphs in the first bitmap (unit, packed), and the edges of runs in the
-    second (unit, h, k, left, word, char, beside): the edge's place in words and in code points, and the
-    text beside it, of REACH words at most. Texts whose hash is not in `texts` have neither."""
+def _second_look(docs: DataFrame, text: str, sent) -> DataFrame:
+    """The words of paragraphs in the bitmap (unit, packed), and the edges of runs in it
+    (unit, h, k, left, word, char, beside): the edge's place in words and in code points, and the
+    text beside it, of REACH words at most. Texts whose hash is not in it have neither. Hashes of
+    texts, paragraphs and edges share the one bitmap; exact joins follow."""
 
     def run(batches):
-        some, wanted, places = (np.frombuffer(x.value, np.uint8) for x in (texts, paragraphs, edges))
+        mask = np.frombuffer(sent.value, np.uint8)
 
         for b in batches:
             out, seen = [[] for _ in _LOOKED], set()
             for t in raw(b, text):
                 h = xxhash.xxh64_intdigest(t or b"", 42)
                 h = h - (1 << 64) if h >> 63 else h
-                if not _among(some, np.array([h]))[0]:
+                if not among(mask, np.array([h]))[0]:
                     continue
                 own = Text(t or b"")
-                if len(own.starts) < RUN_WORDS:
+                if len(own.starts) < MIN_WORDS:
                     continue
                 hashes = own.hashes()
                 parts = own.paragraphs()
                 name = _named(hashes, parts)[:, 0]
-                for i in np.flatnonzero(_among(wanted, name)).tolist():
+                for i in np.flatnonzero(among(mask, name)).tolist():
                     u = int(name[i])
                     if u not in seen:
                         seen.add(u)
@@ -324,9 +316,9 @@ def _second_look(docs: DataFrame, text: str, texts, paragraphs, edges) -> DataFr
                         for column in out[2:]:
                             column.append(None)
                 at = anchors(hashes)
-                name, number = joined(hashes, at, RUN_WORDS).view(np.int64), np.arange(len(at))
+                name, number = run_hashes(hashes, at).view(np.int64), np.arange(len(at))
                 for left in (1, 0):
-                    held = np.flatnonzero(_among(places, _edge_key(name, np.int64(h), number, left))).tolist()
+                    held = np.flatnonzero(among(mask, _edge_key(name, np.int64(h), number, left))).tolist()
                     if not held or (h, left) in seen:
                         continue
                     seen.add((h, left))
@@ -409,7 +401,7 @@ def collisions(paragraphs: DataFrame) -> DataFrame:
     """(sig, unit): the paragraphs of every band signature that different ones share."""
     pairs = paragraphs.select("unit", F.explode("sigs").alias("sig")).select("sig", "unit")
     often = durable(pairs.groupBy("sig").agg(F.min("unit").alias("x"), F.max("unit").alias("y")).where("x <> y").select("sig"), "passages-collisions")
-    return durable(_passing(pairs, "sig", _bitmap(often)).join(often, "sig", "left_semi").distinct(), "passages-members")
+    return durable(passing(pairs, "sig", bitmap(often)).join(often, "sig", "left_semi").distinct(), "passages-members")
 
 
 def near_links(members: DataFrame, sets: DataFrame, least: float, unpack) -> DataFrame:
@@ -439,15 +431,29 @@ def _judged(rows: DataFrame, place: list[str], carried: list[str]) -> DataFrame:
     return dealt.withColumn("twin", twin).withColumn("removed", ~F.col("first") | (F.col("twin") > 1)).drop("first")
 
 
+def _decided(spans: DataFrame) -> DataFrame:
+    """spans (removed: a later occurrence, n_words, n_docs, ...) with `removed` as the module's judgement has it."""
+    return spans.withColumn("removed", F.expr(f"removed and (n_words >= {WHOLE_WORDS} or n_docs >= {COMMON_DOCS})"))
+
+
+def _firsts(rows: DataFrame, key: str, place: list[str]) -> DataFrame:
+    """(key, n_docs, keeper): how many documents hold each key that occurs more than once, and its first
+    place. Each document's rows are added up first, so that a common key is few rows a task."""
+    last = F.col("doc_id").isNull().alias("last")
+    own = rows.groupBy(key, "doc_id", "h").agg(F.count("*").alias("n"), F.min(F.struct(*place)).alias("p"))
+    found = own.groupBy(key).agg(F.sum("n").alias("n"), F.count("*").alias("n_docs"), F.min(F.struct(last, "doc_id", "p", "h")).alias("keeper"))
+    return found.where("n > 1").select(key, "n_docs", F.struct("keeper.doc_id", *(f"keeper.p.{c}" for c in place), "keeper.h").alias("keeper"))
+
+
 def _islands(runs: DataFrame) -> DataFrame:
     """Spans of repeated runs in a row, kept and removed ones apart, with two rows each: the left and the
-    right edge (doc_id, h, twin, island, removed, left, unit, k)."""
+    right edge (doc_id, h, twin, island, removed, n_docs, left, unit, k); n_docs is that of its rarest run."""
     own = Window.partitionBy("doc_id", "h", "twin").orderBy("k")
     new = (F.col("k") - F.lag("k").over(own) != 1) | (F.col("removed") != F.lag("removed").over(own))
     marked = runs.withColumn("new", F.coalesce(new.cast("int"), F.lit(1))).withColumn("island", F.sum("new").over(own))
-    spans = marked.groupBy("doc_id", "h", "twin", "island", "removed").agg(F.min(F.struct("k", "unit")).alias("first"), F.max(F.struct("k", "unit")).alias("last"))
+    spans = marked.groupBy("doc_id", "h", "twin", "island", "removed").agg(F.min(F.struct("k", "unit")).alias("first"), F.max(F.struct("k", "unit")).alias("last"), F.min("n_docs").alias("n_docs"))
     sides = F.explode(F.array(F.struct(F.lit(True).alias("left"), "first.*"), F.struct(F.lit(False).alias("left"), "last.*")))
-    return spans.select("doc_id", "h", "twin", "island", "removed", sides.alias("s")).select("doc_id", "h", "twin", "island", "removed", "s.left", "s.unit", "s.k")
+    return spans.select("doc_id", "h", "twin", "island", "removed", "n_docs", sides.alias("s")).select("doc_id", "h", "twin", "island", "removed", "n_docs", "s.left", "s.unit", "s.k")
 
 
 def _shared(pairs: DataFrame) -> DataFrame:
@@ -492,16 +498,16 @@ def _widened(kept: DataFrame) -> DataFrame:
 def _extended(edges: DataFrame, keepers: DataFrame, looked: DataFrame) -> DataFrame:
     """Islands with their edges moved over the words shared with the keeper; a kept one is as wide as the widest it stands for."""
     at = lambda h, k: (F.col("e.unit") == F.col("x.unit")) & (F.col("e.left") == F.col("x.left")) & (F.col(h) == F.col("x.h")) & (F.col(k) == F.col("x.k"))
-    own = edges.join(keepers, "unit").alias("e").join(looked.alias("x"), at("e.h", "e.k")).select("e.*", "x.word", "x.char", "x.beside")
+    own = edges.join(keepers.drop("n_docs"), "unit").alias("e").join(looked.alias("x"), at("e.h", "e.k")).select("e.*", "x.word", "x.char", "x.beside")
     own = durable(own, "passages-own")
     others = own.where("removed").alias("e").join(looked.alias("x"), at("e.keeper.h", "e.keeper.k"), "left").select("e.*", F.col("x.beside").alias("other"))
-    base = ["doc_id", "h", "twin", "island", "removed", "left", "unit", "word", "char", F.col("keeper.doc_id").alias("keeper_doc_id")]
+    base = ["doc_id", "h", "twin", "island", "removed", "n_docs", "left", "unit", "word", "char", F.col("keeper.doc_id").alias("keeper_doc_id")]
     others = durable(_shared(others.select(*base, "beside", "other")).drop("beside", "other"), "passages-shared")
     widest = others.groupBy("unit", "left").agg(F.max("n").alias("n"))
     kept = _widened(own.where("not removed").join(widest, ["unit", "left"], "left").select(*base, "beside", "n"))
     moved = others.unionByName(kept.drop("beside")).withColumn("n", F.coalesce("n", F.lit(0)))
     of = lambda left, a, b: F.max(F.when(F.col("left") == left, (F.col(a) - F.col(b)) if left else (F.col(a) + F.col(b))))
-    spans = moved.groupBy("doc_id", "h", "twin", "island", "removed").agg(
+    spans = moved.groupBy("doc_id", "h", "twin", "island", "removed", "n_docs").agg(
         of(True, "char", "chars").alias("start"), of(False, "char", "chars").alias("end"), of(True, "word", "n").alias("w0"), of(False, "word", "n").alias("w1"),
         *(F.max(F.when(F.col("left"), F.col(c))).alias(a) for c, a in (("unit", "class_id"), ("keeper_doc_id", "keeper_doc_id"))),
     )
@@ -510,8 +516,8 @@ def _extended(edges: DataFrame, keepers: DataFrame, looked: DataFrame) -> DataFr
     new = F.coalesce((F.col("w0") > F.max("w1").over(before.rowsBetween(Window.unboundedPreceding, -1))).cast("int"), F.lit(1))
     spans = spans.withColumn("new", new).withColumn("part", F.sum("new").over(before))
     first = lambda c: F.min_by(c, F.struct("w0", "w1")).alias(c)
-    spans = spans.groupBy("doc_id", "h", "twin", "removed", "part").agg(F.min("start").alias("start"), F.max("end").alias("end"), (F.max("w1") - F.min("w0")).cast("int").alias("n_words"), first("class_id"), first("keeper_doc_id"))
-    return spans.where(f"n_words >= {MIN_WORDS}").drop("part")
+    spans = spans.groupBy("doc_id", "h", "twin", "removed", "part").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("n_docs").alias("n_docs"), (F.max("w1") - F.min("w0")).cast("int").alias("n_words"), first("class_id"), first("keeper_doc_id"))
+    return _decided(spans.where(f"n_words >= {MIN_WORDS}").drop("part"))
 
 
 def _found(docs: DataFrame, id_col: str, text: str, least: float, recall: float) -> DataFrame:
@@ -525,19 +531,19 @@ def _found(docs: DataFrame, id_col: str, text: str, least: float, recall: float)
     release(spark)
     # the first place of every run that occurs more than once
     often = durable(found.select(F.explode("runs").alias("unit")).groupBy("unit").count().where("count > 1").select("unit"), "passages-repeated")
-    hits = durable(_hits(found, _bitmap(often)), "passages-hits")
+    hits = durable(_hits(found, bitmap(often)), "passages-hits")
     release(spark, found, often)
-    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "k", "h")
-    keepers = durable(hits.groupBy("unit").agg(F.count("*").alias("n"), F.min(place).alias("keeper")).where("n > 1").drop("n"), "passages-keepers")
+    keepers = durable(_firsts(hits, "unit", ["k"]), "passages-keepers")
     release(spark)
-    edges = durable(_islands(_judged(hits.join(keepers, "unit"), ["k"], ["unit"])), "passages-edges")
+    edges = durable(_islands(_judged(hits.join(keepers, "unit"), ["k"], ["unit", "n_docs"])), "passages-edges")
     release(spark, hits)
     # all edges are looked at in their own text, and those of removals in the keeper's too
     theirs = edges.where("removed").select("unit", "left").distinct().join(keepers, "unit").select("unit", "keeper.h", "keeper.k", "left")
     keys = edges.select("unit", "h", "k", "left").union(theirs).select("h", F.expr(f"unit ^ h ^ ((2L * k + int(left)) * {PLACE}L)").alias("key")).distinct()
     keys = durable(keys, "passages-keys")
     texts = durable(keys.select("h").union(whole.join(wanted, "unit", "left_semi").select("h")).distinct(), "passages-texts")
-    looked = durable(_second_look(docs, text, _bitmap(texts), _bitmap(wanted), _bitmap(keys.select("key"))), "passages-looked")
+    sought = texts.union(wanted).union(keys.select("key"))
+    looked = durable(_second_look(docs, text, bitmap(sought)), "passages-looked")
     release(spark, keys, texts)
     sets = looked.where("packed is not null").select("unit", "packed").join(wanted, "unit", "left_semi")
     sets = durable(sets.groupBy("unit").agg(F.first("packed").alias("packed")), "passages-words")
@@ -545,11 +551,13 @@ def _found(docs: DataFrame, id_col: str, text: str, least: float, recall: float)
     release(spark, members, wanted, sets)
     # paragraphs: those with the first 64 bits of their keeper's hash but not the others go
     classed = whole.join(root, whole.unit == root.node, "left").withColumn("class_id", F.coalesce("root", "unit")).drop("node", "root")
-    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "at", "n_words", "h", "unit", "check")
-    kept = classed.groupBy("class_id").agg(F.count("*").alias("total"), F.min(place).alias("keeper")).where("total > 1").drop("total")
-    classed = classed.join(durable(kept, "passages-firsts"), "class_id").where("unit <> keeper.unit or check = keeper.check")
-    columns = ["doc_id", "start", "end", "n_words", "class_id", "keeper_doc_id", "removed", "h", "twin"]
-    judged = _judged(classed.withColumn("keeper_doc_id", F.col("keeper.doc_id")), ["at", "n_words"], ["start", "end", "class_id", "keeper_doc_id"]).select(columns)
+    many = classed.groupBy("class_id").count().where("count > 1").select("class_id")
+    classed = durable(classed.join(many, "class_id", "left_semi"), "passages-classed")
+    kept = durable(_firsts(classed, "class_id", ["at", "n_words", "unit", "check"]), "passages-firsts")
+    classed = classed.join(kept, "class_id").where("unit <> keeper.unit or check = keeper.check")
+    columns = ["doc_id", "start", "end", "n_words", "n_docs", "class_id", "keeper_doc_id", "removed", "h", "twin"]
+    carried = ["start", "end", "n_docs", "class_id", "keeper_doc_id"]
+    judged = _decided(_judged(classed.withColumn("keeper_doc_id", F.col("keeper.doc_id")), ["at", "n_words"], carried)).select(columns)
     # passages inside other paragraphs; equal texts bring the same edge more than once
     beside = looked.where("packed is null").drop("packed").dropDuplicates(["unit", "h", "k", "left"])
     return judged.unionByName(_extended(edges, keepers, beside).select(columns))
@@ -557,12 +565,14 @@ def _found(docs: DataFrame, id_col: str, text: str, least: float, recall: float)
 
 def passages(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least: float = LEAST, recall: float = RECALL) -> DataFrame:
     """Every occurrence of a passage that occurs more than once, exactly or nearly: (doc_id,
-    start, end, n_words, class_id, keeper_doc_id, removed), start and end in code points.
+    start, end, n_words, n_docs, class_id, keeper_doc_id, removed), start and end in code points.
 
     Paragraphs come with their class; passages inside other paragraphs as whole spans, whose class
-    is their first run's and whose keeper is that run's first document. The first occurrence by
-    document id and place (null ids last) stays, the others are `removed`. Texts that are null,
-    empty or have under RUN_WORDS words have no rows. Rows of documents that repeat count as
+    is their first run's and whose keeper is that run's first document. n_docs is the number of
+    different documents (by id and text) that hold the class; for spans, those that hold the rarest
+    of their runs at an anchor (of passages of under 23 words, not all may). The first occurrence by document id and place (null ids last) stays, others are
+    `removed` if they have WHOLE_WORDS words or COMMON_DOCS documents at least. Texts that are null,
+    empty or have under MIN_WORDS words have no rows. Rows of documents that repeat count as
     occurrences of their own: one stays, the others' passages are removed. Other columns are not
     read. An empty table gives no rows.
     """

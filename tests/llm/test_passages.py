@@ -9,7 +9,7 @@ import pytest
 from panelyard.llm import paragraphs
 
 SF = "/root/testdata/sf0.001"
-MIN, RUN = 40, 25
+MIN, RUN, WHOLE, COMMON = 10, 12, 40, 10
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -61,7 +61,7 @@ def _brute_paragraphs(docs):
     """{(doc, start, end, keeper, removed)} of all classes with several occurrences."""
     found, names = [], {}
     for d, text in docs:
-        found += [(names.setdefault(w, len(names)), d, s, e, len(w)) for s, e, w in _paragraphs(text)]
+        found += [(names.setdefault(w, len(names)), d, s, e, len(w), text) for s, e, w in _paragraphs(text)]
     sets = [{w[i : i + 5] for i in range(len(w) - 4)} for w in names]
     holders = defaultdict(set)
     for i, own in enumerate(sets):
@@ -70,13 +70,14 @@ def _brute_paragraphs(docs):
     near = {(i, j) for group in holders.values() for i in group for j in group if i < j}
     pairs = [(i, j) for i, j in near if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
     groups, root = defaultdict(list), _roots(len(sets), pairs)
-    for n, d, s, e, k in found:
-        groups[root[n]].append((d is None, d or 0, s, k, e, d))
+    for n, d, s, e, k, t in found:
+        groups[root[n]].append((d is None, d or 0, s, k, e, d, t))
     out = []
     for own in groups.values():
         if len(own) > 1:
             own.sort()
-            out += [(d, s, e, own[0][5], i > 0) for i, (_, _, s, _, e, d) in enumerate(own)]
+            common = len({g[5:] for g in own}) >= COMMON
+            out += [(d, s, e, own[0][5], i > 0 and (k >= WHOLE or common)) for i, (_, _, s, k, e, d, _) in enumerate(own)]
     return sorted(out, key=str)
 
 
@@ -126,8 +127,11 @@ def test_repeated_words_are_found_and_nothing_else(table):
     for places in long.values():
         for i, k in places:
             assert covered[i][k : k + n].any()  # every occurrence of a repeated passage
-    asked = [(gone[i][k : k + n]) for places in long.values() for i, k in sorted(places)[1:]]
+    asked = [covered[i][k : k + n] for places in long.values() for i, k in places]
     assert np.mean(np.concatenate(asked)) > 0.98
+    whole = [v for v in _grams(rows, WHOLE).values() if len(v) > 1]
+    asked = [gone[i][k : k + WHOLE] for places in whole for i, k in sorted(places)[1:]]
+    assert len(whole) > 200 and np.mean(np.concatenate(asked)) > 0.98
     # what is removed repeats an earlier place, or is a near copy of a paragraph
     first = _grams(rows, RUN)
     repeat = [np.zeros(len(w), bool) for w in words]
@@ -155,7 +159,7 @@ def _runs(text):
     return {own.words(a, a + RUN) for a in paragraphs.anchors(own.hashes()).tolist()}
 
 
-def test_every_passage_of_49_words_has_a_common_run_and_runs_touch():
+def test_every_passage_of_23_words_has_a_common_run_and_runs_touch():
     for _, rows in _texts(500, paragraphs.ANCHOR_WINDOW + paragraphs.RUN_WORDS - 1):
         assert _runs(rows[0][1]) & _runs(rows[1][1])
         own = paragraphs.Text(rows[0][1].replace(" ", "\n", 40).replace("w", "W", 30).encode())
@@ -163,6 +167,44 @@ def test_every_passage_of_49_words_has_a_common_run_and_runs_touch():
         assert np.diff(at).max() <= paragraphs.RUN_WORDS and _runs(own.text.decode()) == _runs(rows[0][1])
 
 
+def test_equal_runs_and_only_they_have_equal_hashes():
+    rng = np.random.default_rng(5)
+    own = paragraphs.Text(" ".join(f"w{x}" for x in rng.integers(0, 3, 20_000)).encode())
+    at = np.arange(len(own.starts) - RUN + 1)
+    words = [own.words(a, a + RUN) for a in at.tolist()]
+    names = paragraphs.run_hashes(own.hashes(), at).tolist()
+    assert len(set(words)) == len(set(names)) == len(set(zip(words, names, strict=True)))
+
+
+def test_signatures_are_the_least_of_each_hash_over_tiles():
+    rng = np.random.default_rng(6)
+    sizes = np.array([1, 3, 40_000, 2, 16_384, 5])
+    sets = [rng.integers(0, 1 << 63, n).astype(np.uint64) for n in sizes]
+    got = paragraphs.minima(np.concatenate(sets), sizes, 7)
+    want = [[min((int(x) * int(m) + int(a)) % (1 << 64) for x in own) for m, a in zip(paragraphs._MUL[:7], paragraphs._ADD[:7], strict=True)] for own in sets]
+    assert got.tolist() == want
+
+
+def test_short_lines_are_in_classes_and_go_where_many_documents_hold_them(spark):
+    rng = np.random.default_rng(21)
+    words = lambda k: " ".join(f"w{x}" for x in rng.integers(0, 1_000_000, k))
+    lines = {n: words(MIN + 2) for n in (2, COMMON - 1, COMMON, COMMON + 3)}
+    rows = [(100 * n + i, f"{words(30)}\n{line}\n{words(30)}") for n, line in lines.items() for i in range(n)]
+    rows += [(5000, f"{words(20)}\n" + f"{(own := words(15))}\n" * 12)]  # one document that repeats itself is no other's boilerplate
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    at = {(d, t.index(lines[d // 100])) for d, t in rows if d < 5000}
+    got = [r for r in paragraphs.passages(df).collect() if (r.doc_id, r.start) in at and r.n_words == MIN + 2]
+    assert {(r.doc_id, r.start) for r in got} == at
+    got = {(r.doc_id, r.start): r for r in sorted(got, key=lambda r: r.n_docs)}.values()  # runs of the line may be met in fewer
+    assert all(r.n_docs == r.doc_id // 100 and r.keeper_doc_id == r.doc_id // 100 * 100 for r in got)
+    assert all(r.removed == (r.n_docs >= COMMON and r.doc_id != r.keeper_doc_id) for r in got)
+    left = dict(paragraphs.dedup(df).collect())
+    for d, t in rows[:-1]:
+        n, i = divmod(d, 100)
+        assert left[d] == (t.replace(lines[n], "") if n >= COMMON and i else t)
+    assert left[5000].startswith(rows[-1][1].split("\n")[0]) and own in left[5000]
+
+
 def test_passages_are_removed_whole_and_short_ones_stay(spark):
     made = [(p, r) for size in (49, 52, 300) for p, r in _texts(60, size)]
     rows = [(1000 * n + i, t, h, e) for n, (_, two) in enumerate(made) for i, t, h, e in two]
