@@ -101,7 +101,7 @@ def bitmap(keys: DataFrame):
 
 def among(mask: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Which keys may be in a bitmap."""
-    bit = np.mod(keys, len(mask) << 3)
+    bit = keys & ((len(mask) << 3) - 1)  # its size is a power of two
     return (mask[bit >> 3] >> (bit & 7) & 1).astype(bool)
 
 

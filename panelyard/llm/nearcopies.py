@@ -103,7 +103,7 @@ def links(docs: DataFrame, made: DataFrame, size: int, least: float) -> DataFram
     members = passing(pairs, "sig", bitmap(often)).join(often, "sig", "left_semi").distinct()
     members = durable(members, "copies-members")
     sets = durable(_sets(docs, members.select("unit").distinct(), size), "copies-sets")
-    return near_links(members, sets, least, lambda packed: np.frombuffer(packed, np.uint64))
+    return near_links(members, sets, least, lambda packed: [np.frombuffer(x, np.uint64) for x in packed])
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = SHINGLE, least: float = LEAST, recall: float = RECALL) -> DataFrame:

@@ -30,6 +30,7 @@ beside the spans.
 from __future__ import annotations
 
 import zlib
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +56,8 @@ REACH = ANCHOR_WINDOW
 BLOCK, BLOCK_BYTES = 2000, 2 << 20
 #: Bytes whose words are hashed at once.
 PIECE = 1 << 18
+#: Bytes of texts that are read together.
+TOGETHER = 1 << 17
 #: Tells the same run at different places apart.
 PLACE = 0x9E3779B1
 _rng = np.random.default_rng(40_009)
@@ -82,6 +85,7 @@ class Text:
     """A text's words: where they start and end, in bytes, and a 64-bit number for each, by its letters and their order."""
 
     powers: tuple = ()
+    points: np.ndarray | None = None
 
     def __init__(self, text: bytes):
         self.text, self.low = text, text.lower()
@@ -115,45 +119,91 @@ class Text:
         out ^= out >> np.uint64(29)
         return out
 
-    def paragraphs(self) -> list[tuple[int, int]]:
+    def paragraphs(self) -> np.ndarray:
         """(first word, word after the last) of the lines, then of the blocks of two lines or more
         between blank lines, of MIN_WORDS words at least. Lines of under SHINGLE words at a block's
         ends (headings, labels, a last word) are left out of it."""
-        if len(self.starts) < MIN_WORDS:
-            return []
         cut = np.searchsorted(self.starts, np.flatnonzero(np.frombuffer(self.low, np.uint8) == 10))
         first, after = np.append(0, cut), np.append(cut, len(self.starts))
         number = np.flatnonzero(after > first)
         first, after = first[number], after[number]
-        found = [(a, b) for a, b in zip(first.tolist(), after.tolist(), strict=True) if b - a >= MIN_WORDS]
+        lines = after - first >= MIN_WORDS
         border = np.flatnonzero(np.diff(number) != 1) + 1
-        for i, j in zip([0, *border.tolist()], [*border.tolist(), len(number)], strict=True):
-            long = np.flatnonzero(after[i:j] - first[i:j] >= SHINGLE)
-            i, j = (i + int(long[0]), i + int(long[-1]) + 1) if len(long) else (i, j)  # of short lines only, all count
-            if j - i > 1 and after[j - 1] - first[i] >= MIN_WORDS:
-                found.append((int(first[i]), int(after[j - 1])))
-        return found
+        i, j = np.append(0, border)[: len(number)], np.append(border, len(number))[: len(number)]
+        long = np.flatnonzero(after - first >= SHINGLE)
+        if len(long):
+            low, high = np.searchsorted(long, i), np.searchsorted(long, j)
+            some = high > low  # of short lines only, all count
+            i, j = np.where(some, long[np.minimum(low, len(long) - 1)], i), np.where(some, long[high - 1] + 1, j)
+        i, j = i[j - i > 1], j[j - i > 1]
+        blocks = after[j - 1] - first[i] >= MIN_WORDS
+        return np.stack([np.append(first[lines], first[i[blocks]]), np.append(after[lines], after[j[blocks] - 1])], axis=1)
 
     def chars(self, marks: np.ndarray) -> np.ndarray:
         """Code points before each of the byte positions."""
         if self.text.isascii():
             return marks
-        return np.append(0, np.cumsum((np.frombuffer(self.text, np.uint8) & 0xC0) != 0x80))[marks]
+        if self.points is None:
+            self.points = np.append(0, np.cumsum((np.frombuffer(self.text, np.uint8) & 0xC0) != 0x80))
+        return self.points[marks]
 
 
-def anchors(hashes: np.ndarray) -> np.ndarray:
-    """The words at which runs begin: the leftmost least of every ANCHOR_WINDOW pairs in a row (of all, if they are fewer)."""
+class Texts(Text):
+    """Several texts, read as one with blank lines between, so that no word, line or block crosses them:
+    `base` is the byte at which each begins, `bounds` its first word (and, at the end, what follows the last)."""
+
+    def __init__(self, texts: list[bytes]):
+        super().__init__(b"\n\n".join(texts))
+        self.base = np.cumsum([0, *(len(t) + 2 for t in texts)])
+        self.bounds = np.searchsorted(self.starts, self.base)
+
+    def rows(self, words: np.ndarray) -> np.ndarray:
+        """Which text each of the words stands in."""
+        return np.searchsorted(self.bounds, words, "right") - 1
+
+    def places(self, marks: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Code points of their texts before each of the byte positions."""
+        return self.chars(marks) - self.chars(self.base[rows])
+
+
+def together(texts: list[bytes]):
+    """(first, after the last) of texts in a row of TOGETHER bytes or little more."""
+    first, held = 0, 0
+    for k, t in enumerate(texts, 1):
+        held += len(t)
+        if held >= TOGETHER or k == len(texts):
+            yield first, k
+            first, held = k, 0
+
+
+def anchors(hashes: np.ndarray, bounds: np.ndarray | None = None) -> np.ndarray:
+    """The words at which runs begin: the leftmost least of every ANCHOR_WINDOW pairs in a row (of all, if they are fewer)
+    of each text, of which `bounds` has the first words (one text, if not given)."""
     n = len(hashes) - RUN_WORDS + 1
     if n < 1:
         return np.empty(0, np.int64)
+    bounds = np.array([0, len(hashes)]) if bounds is None else bounds
+    first, size = bounds[:-1], np.diff(bounds) - RUN_WORDS + 1
     pair = (hashes[:n] * _JOIN[0] + hashes[1 : n + 1] * _JOIN[1]) & np.uint64(0xFFFFFFFF00000000)
-    low = pair | np.arange(n, dtype=np.uint64)
-    window, width = min(ANCHOR_WINDOW, n), 1
-    while 2 * width <= window:
-        low, width = np.minimum(low[:-width], low[width:]), 2 * width
-    if window > width:
-        low = np.minimum(low[: width - window], low[window - width :])
-    return np.unique(low & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    pair |= np.arange(n, dtype=np.uint64)
+    found = []
+    many = size >= ANCHOR_WINDOW
+    if many.any():
+        low, width = pair, 1
+        while 2 * width <= ANCHOR_WINDOW:
+            low, width = np.minimum(low[:-width], low[width:]), 2 * width
+        if ANCHOR_WINDOW > width:
+            low = np.minimum(low[: width - ANCHOR_WINDOW], low[ANCHOR_WINDOW - width :])
+        own = np.zeros(len(low) + 1, np.int8)
+        own[first[many]], own[(first + size)[many] - ANCHOR_WINDOW + 1] = 1, -1
+        least = (low[np.cumsum(own[:-1], dtype=np.int8).view(bool)] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        found.append(least[np.diff(least, prepend=-1) != 0])
+    few = (size > 0) & ~many
+    if few.any():
+        ends = np.stack([first[few], (first + size)[few]], axis=1).ravel()
+        least = np.minimum.reduceat(np.append(pair, np.uint64(0)), ends)[::2]
+        found.append((least & np.uint64(0xFFFFFFFF)).astype(np.int64))
+    return np.sort(np.concatenate([np.empty(0, np.int64), *found]))
 
 
 def joined(hashes: np.ndarray, size: int = SHINGLE) -> np.ndarray:
@@ -182,10 +232,10 @@ def unit_of(whole: bytes) -> int:
     return xxhash.xxh64_intdigest(whole) - (1 << 63)
 
 
-def _named(hashes: np.ndarray, parts: list[tuple[int, int]]) -> np.ndarray:
+def _named(hashes: np.ndarray, parts: np.ndarray) -> np.ndarray:
     """(unit, check): 128 bits of hash of each paragraph's words."""
-    digest = xxhash.xxh3_128_digest
-    return np.frombuffer(b"".join([digest(hashes[a:e].tobytes()) for a, e in parts]), np.int64).reshape(-1, 2)
+    digest, code = xxhash.xxh3_128_digest, memoryview(hashes.tobytes())
+    return np.frombuffer(b"".join([digest(code[8 * a : 8 * e]) for a, e in parts.tolist()]), np.int64).reshape(-1, 2)
 
 
 def minima(hashes: np.ndarray, sizes: np.ndarray, k: int) -> np.ndarray:
@@ -219,21 +269,27 @@ def units(docs: DataFrame, id_col: str, text: str, n_bands: int, rows: int = ROW
 
     def run(batches):
         for b in batches:
-            keys, runs, names, spots, sets, signed, known = [], [], [], [], [], [], set()
-            for doc, t in zip(b.column(0).to_pylist(), raw(b, text), strict=True):
-                own = Text(t or b"")
-                if len(own.starts) < MIN_WORDS:
+            texts = [t or b"" for t in raw(b, text)]
+            rows_, keys, runs, n_runs, names, n_names, spots, sets, signed, known = [], [], [], [], [], [], [], [], [], set()
+            for i, j in together(texts):
+                own = Texts(texts[i:j])
+                held = np.flatnonzero(np.diff(own.bounds) >= MIN_WORDS)
+                if not len(held):
                     continue
                 hashes = own.hashes()
-                parts, at = own.paragraphs(), anchors(hashes)
-                h = xxhash.xxh64_intdigest(t, 42)
-                keys.append((doc, h - (1 << 64) if h >> 63 else h))
+                rows_.append(i + held)
+                keys += [xxhash.xxh64_intdigest(texts[k], 42) for k in rows_[-1].tolist()]
+                at = anchors(hashes, own.bounds)
                 runs.append(run_hashes(hashes, at))
+                n_runs.append(np.diff(np.searchsorted(at, own.bounds))[held])
+                parts = own.paragraphs()
+                parts = parts[np.argsort(own.rows(parts[:, 0]), kind="stable")]
+                row = own.rows(parts[:, 0])
                 names.append(_named(hashes, parts))
-                edge = np.array(parts, np.int64).reshape(-1, 2)
-                spots.append(np.stack([edge[:, 0], edge[:, 1] - edge[:, 0], own.chars(own.starts[edge[:, 0]]), own.chars(own.ends[edge[:, 1] - 1])], axis=1))
-                made = joined(hashes) if parts else None
-                for (a, e), u in zip(parts, names[-1][:, 0].tolist(), strict=True):
+                n_names.append(np.bincount(row, minlength=j - i)[held])
+                spots.append(np.stack([parts[:, 0] - own.bounds[row], parts[:, 1] - parts[:, 0], own.places(own.starts[parts[:, 0]], row), own.places(own.ends[parts[:, 1] - 1], row)], axis=1))
+                made = joined(hashes)
+                for (a, e), u in zip(parts.tolist(), names[-1][:, 0].tolist(), strict=True):
                     signed.append(u not in known)
                     if signed[-1]:
                         known.add(u)
@@ -250,8 +306,8 @@ def units(docs: DataFrame, id_col: str, text: str, n_bands: int, rows: int = ROW
             sigs = nested(np.array(signed, np.int64) * n_bands, pa.array(mixed.ravel().view(np.int64)))
             columns = [pa.array(name[:, 0]), pa.array(name[:, 1]), *(pa.array(np.ascontiguousarray(spot[:, k])) for k in range(4)), sigs]
             paragraphs = pa.StructArray.from_arrays(columns, ["unit", "check", "at", "n_words", "start", "end", "sigs"])
-            own = [pa.array([k for k, _ in keys], b.schema.field(0).type), pa.array([h for _, h in keys], pa.int64())]
-            lists = [nested([len(x) for x in runs], pa.array(np.concatenate(runs).view(np.int64))), nested([len(x) for x in names], paragraphs)]
+            own = [b.column(0).take(pa.array(np.concatenate(rows_))), pa.array(np.array(keys, np.uint64).view(np.int64))]
+            lists = [nested(np.concatenate(n_runs), pa.array(np.concatenate(runs).view(np.int64))), nested(np.concatenate(n_names), paragraphs)]
             yield pa.RecordBatch.from_arrays([*own, *lists], ["doc_id", "h", "runs", "paragraphs"])
 
     small_batches(docs.sparkSession)
@@ -296,39 +352,39 @@ def _second_look(docs: DataFrame, text: str, sent) -> DataFrame:
 
         for b in batches:
             out, seen = [[] for _ in _LOOKED], set()
-            for t in raw(b, text):
-                h = xxhash.xxh64_intdigest(t or b"", 42)
-                h = h - (1 << 64) if h >> 63 else h
-                if not among(mask, np.array([h]))[0]:
-                    continue
-                own = Text(t or b"")
-                if len(own.starts) < MIN_WORDS:
-                    continue
+            texts = [t or b"" for t in raw(b, text)]
+            h = np.array([xxhash.xxh64_intdigest(t, 42) for t in texts], np.uint64).view(np.int64)
+            held = np.unique(h, return_index=True)[1]  # equal texts are looked at once
+            held = np.sort(held[among(mask, h[held])])
+            texts, h = [texts[k] for k in held.tolist()], h[held]
+            for i, j in together(texts):
+                own = Texts(texts[i:j])
                 hashes = own.hashes()
                 parts = own.paragraphs()
                 name = _named(hashes, parts)[:, 0]
-                for i in np.flatnonzero(among(mask, name)).tolist():
-                    u = int(name[i])
+                for k in np.flatnonzero(among(mask, name)).tolist():
+                    u = int(name[k])
                     if u not in seen:
                         seen.add(u)
                         out[0].append(u)
-                        out[1].append(zlib.compress(own.words(*parts[i]), 1))
-                        for column in out[2:]:
-                            column.append(None)
-                at = anchors(hashes)
-                name, number = run_hashes(hashes, at).view(np.int64), np.arange(len(at))
+                        out[1].append(zlib.compress(own.low[own.starts[parts[k, 0]] : own.ends[parts[k, 1] - 1]], 1))
+                blank = [None] * (len(out[0]) - len(out[2]))
+                for column in out[2:]:
+                    column += blank
+                at = anchors(hashes, own.bounds)
+                row = own.rows(at)
+                name, number = run_hashes(hashes, at).view(np.int64), np.arange(len(at)) - np.searchsorted(at, own.bounds)[row]
                 for left in (1, 0):
-                    held = np.flatnonzero(among(mask, _edge_key(name, np.int64(h), number, left))).tolist()
-                    if not held or (h, left) in seen:
+                    hit = np.flatnonzero(among(mask, _edge_key(name, h[i + row], number, left)))
+                    if not len(hit):
                         continue
-                    seen.add((h, left))
-                    word = at[held] + (0 if left else RUN_WORDS)
+                    in_, word = row[hit], at[hit] + (0 if left else RUN_WORDS)
                     edge = own.starts[word] if left else own.ends[word - 1]
-                    far = own.starts[np.maximum(0, word - REACH)] if left else own.ends[np.minimum(len(own.ends), word + REACH) - 1]
+                    far = own.starts[np.maximum(own.bounds[in_], word - REACH)] if left else own.ends[np.minimum(own.bounds[in_ + 1], word + REACH) - 1]
                     spans = zip(far.tolist(), edge.tolist(), strict=True) if left else zip(edge.tolist(), far.tolist(), strict=True)
-                    columns = (name[held].tolist(), [None] * len(held), [h] * len(held), held, [bool(left)] * len(held), word.tolist(), own.chars(edge).tolist(), [t[x:y] for x, y in spans])
+                    columns = (name[hit], [None] * len(hit), h[i + in_], number[hit], [bool(left)] * len(hit), word - own.bounds[in_], own.places(edge, in_), [own.text[x:y] for x, y in spans])
                     for column, values in zip(out, columns, strict=True):
-                        column += values
+                        column += values if isinstance(values, list) else values.tolist()
             kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.int32(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], _LOOKED)
 
@@ -360,24 +416,39 @@ def _spanning(names: np.ndarray, sets: list[np.ndarray], least: float):
         yield np.full(len(found), names[i]), names[found]
 
 
-def shingles(packed: bytes) -> np.ndarray:
-    """Sorted distinct hashes of the shingles of packed words."""
-    return np.unique(joined(Text(zlib.decompress(packed)).hashes()))
+def shingles(packed: list[bytes]) -> list[np.ndarray]:
+    """Sorted distinct hashes of the shingles of each of the packed words."""
+    texts, out = [zlib.decompress(x) for x in packed], []
+    for i, j in together(texts):
+        own = Texts(texts[i:j])
+        made = joined(own.hashes())
+        for a, e in pairwise(own.bounds.tolist()):
+            x = np.sort(made[a : max(a, e - SHINGLE + 1)])
+            out.append(x[np.append(True, x[1:] != x[:-1])] if len(x) else x)
+    return out
 
 
 def _verify(least: float, unpack):
     """Rows (sig, low, high, unit, packed) in order of their groups -> spanning links (a, b) of each group."""
 
+    def rows(batches):
+        for b in batches:
+            keys, packed = [b.column(c).to_pylist() for c in ("sig", "low", "high", "unit")], b.column("packed").to_pylist()
+            for i, j in together(packed):
+                own = dict(zip(keys[3][i:j], packed[i:j], strict=True))  # a unit stands in several groups
+                sets = dict(zip(own, unpack(list(own.values())), strict=True))
+                for *k, u in zip(*(c[i:j] for c in keys), strict=True):
+                    yield k, u, sets[u]
+
     def groups(batches):
         key, units_, sets = None, [], []
-        for b in batches:
-            for *k, u, x in zip(*(b.column(c).to_pylist() for c in ("sig", "low", "high", "unit", "packed")), strict=True):
-                if k != key:
-                    if len(units_) > 1:
-                        yield units_, sets
-                    key, units_, sets = k, [], []
-                units_.append(u)
-                sets.append(unpack(x))
+        for k, u, x in rows(batches):
+            if k != key:
+                if len(units_) > 1:
+                    yield units_, sets
+                key, units_, sets = k, [], []
+            units_.append(u)
+            sets.append(x)
         if len(units_) > 1:
             yield units_, sets
 
@@ -406,8 +477,8 @@ def collisions(paragraphs: DataFrame) -> DataFrame:
 
 def near_links(members: DataFrame, sets: DataFrame, least: float, unpack) -> DataFrame:
     """(a, b) links that connect what all pairs of a Jaccard similarity of `least` or more within a group
-    connect, of (sig, unit) members and their (unit, packed), from which `unpack` has the sorted distinct
-    hashes of the shingles."""
+    connect, of (sig, unit) members and their (unit, packed), from lists of which `unpack` has the sorted distinct
+    hashes of each one's shingles."""
     # groups with the same members in several bands are compared once; large groups block by block
     sized = members.join(sets.select("unit", F.octet_length("packed").alias("n")), "unit")
     groups = sized.groupBy("sig").agg(F.count("*").alias("g"), F.sum("n").alias("n"), F.sum(F.xxhash64("unit") % (1 << 40)).alias("who"), F.min("unit").alias("x"))

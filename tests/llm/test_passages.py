@@ -1,6 +1,7 @@
 """Repeated paragraphs and passages against brute force with its own splitting, and on odd rows."""
 
 import re
+import zlib
 from collections import defaultdict
 
 import numpy as np
@@ -185,6 +186,45 @@ def test_signatures_are_the_least_of_each_hash_over_tiles():
     assert got.tolist() == want
 
 
+def _odd_texts(n):
+    rng = np.random.default_rng(17)
+    made = [" ".join(rng.choice(["a", "b", "ß", "\n", "\n\n", "c d e f g h", "Z\t"], k)) for k in rng.integers(0, 80, n).tolist()]
+    return ["", "\n\n", "É " * 23, "x" * 300_000 + " W" * 30, *made, " ".join(f"v{k % 977}" for k in range(60_000))]
+
+
+def test_texts_read_together_are_as_read_alone():
+    texts = [t.encode() for t in _odd_texts(600)]
+    seen = 0
+    for i, j in paragraphs.together(texts):
+        own = paragraphs.Texts(texts[i:j])
+        hashes, parts = own.hashes(), own.paragraphs()
+        at, rows = paragraphs.anchors(hashes, own.bounds), own.rows(parts[:, 0])
+        runs = paragraphs.run_hashes(hashes, at)
+        for k, t in enumerate(texts[i:j]):
+            alone, first = paragraphs.Text(t), own.bounds[k]
+            assert hashes[first : own.bounds[k + 1]].tolist() == alone.hashes().tolist()
+            want = paragraphs.anchors(alone.hashes())
+            mine = (first <= at) & (at < own.bounds[k + 1])
+            assert at[mine].tolist() == (want + first).tolist()
+            assert runs[mine].tolist() == paragraphs.run_hashes(alone.hashes(), want).tolist()
+            got = parts[rows == k]
+            spots = zip(*(own.places(x, rows[rows == k]).tolist() for x in (own.starts[got[:, 0]], own.ends[got[:, 1] - 1])), strict=True)
+            assert sorted((s, e, b - a) for (s, e), (a, b) in zip(spots, got.tolist(), strict=True)) == sorted((s, e, len(w)) for s, e, w in _paragraphs(t.decode()))
+            seen += 1
+    assert seen == len(texts)
+
+
+def test_short_texts_are_hashed_together_not_one_by_one(monkeypatch):
+    texts = [t for t in _odd_texts(600) if len(t.split()) >= MIN]
+    calls, hashes = [], paragraphs.Text.hashes
+    monkeypatch.setattr(paragraphs.Text, "hashes", lambda self: calls.append(1) or hashes(self))
+    sets = paragraphs.shingles([zlib.compress(t.encode(), 1) for t in texts])
+    assert len(sets) == len(texts) > 300 and len(calls) < 10
+    for t, own in zip(texts, sets, strict=True):
+        w = [x for *_, x in _words(t)]
+        assert len(own) == len({tuple(w[i : i + 5]) for i in range(len(w) - 4)}) and (np.diff(own.astype(object)) > 0).all()
+
+
 def test_short_lines_are_in_classes_and_go_where_many_documents_hold_them(spark):
     rng = np.random.default_rng(21)
     words = lambda k: " ".join(f"w{x}" for x in rng.integers(0, 1_000_000, k))
