@@ -15,7 +15,7 @@ def blocks(names: DataFrame, col: str, alias: bool, extra_stopwords=()) -> DataF
         return cores.withColumn("block", F.explode(rule_keys(F.col(col), True, F.lit(None).cast("string"), extra_stopwords)))
     words = cores.withColumn("_word", F.explode(F.array_distinct(F.split(col, " "))))
     common = words.groupBy("_word").agg(F.count("*").alias("_cores"))
-    rarest = words.join(common, "_word").groupBy(col).agg(F.min(F.struct("_cores", "_word")).alias("_rarest"))
+    rarest = words.join(common.hint("merge"), "_word").groupBy(col).agg(F.min(F.struct("_cores", "_word")).alias("_rarest"))
     return rarest.select(col, F.explode(rule_keys(F.col(col), False, F.col("_rarest._word"), extra_stopwords)).alias("block"))
 
 
@@ -26,17 +26,20 @@ def match_all(aliases: DataFrame, candidates: DataFrame, extra_stopwords=()) ->
 
     Cores meet by an equi-join on keys that the rules themselves imply (see rule_keys), so that the
     pairs are those of comparing everything and hardly more than those are looked at; names of common words only meet on their rarest one. A core that
-    many spellings share meets once."""
+    many spellings share meets once.
+
+    All joins merge sorted shuffles: Spark's size check goes by the files, which hold neither cores nor keys, and would
+    have the driver build a broadcast of all names."""
     a = aliases.select("key", "alias", core(F.col("alias")).alias("alias_core")).where(usable(F.col("alias_core"), extra_stopwords))
     c = candidates.select("candidate", core(F.col("candidate")).alias("candidate_core")).where(usable(F.col("candidate_core"), extra_stopwords))
     left, right = blocks(a, "alias_core", True, extra_stopwords), blocks(c, "candidate_core", False, extra_stopwords)
-    near = left.join(right, "block").select("alias_core", "candidate_core").distinct()
-    near = near.withColumn("rule", rule(F.col("alias_core"), F.col("candidate_core"), extra_stopwords)).where("rule is not null").join(a, "alias_core")
+    near = left.join(right.hint("merge"), "block").select("alias_core", "candidate_core").distinct()
+    near = near.withColumn("rule", rule(F.col("alias_core"), F.col("candidate_core"), extra_stopwords)).where("rule is not null").join(a.hint("merge"), "alias_core")
     order = F.array_position(F.array(*map(F.lit, RULES)), F.col("rule"))
     best = near.groupBy("key", "candidate_core").agg(F.min(F.struct(order.alias("o"), "alias", "alias_core", "rule")).alias("b"))
-    pairs = best.join(c, "candidate_core").select("key", "b.alias", "b.alias_core", "candidate", "candidate_core", "b.rule")
+    pairs = best.join(c.hint("merge"), "candidate_core").select("key", "b.alias", "b.alias_core", "candidate", "candidate_core", "b.rule")
     owners = pairs.groupBy("candidate").agg((F.min("key") != F.max("key")).alias("ambiguous"))
-    return pairs.join(owners, "candidate").select("key", "alias", "alias_core", "candidate", "candidate_core", "rule", "ambiguous")
+    return pairs.join(owners.hint("merge"), "candidate").select("key", "alias", "alias_core", "candidate", "candidate_core", "rule", "ambiguous")
 
 
 def match(aliases: DataFrame, candidates: DataFrame, extra_stopwords=()) -> DataFrame:
