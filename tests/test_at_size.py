@@ -13,7 +13,7 @@ def ran(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["n4_name_match"])
+@pytest.mark.parametrize("name", ["n4_name_match", "n5_extra_stopwords"])
 def test_names_are_not_broadcast(spark, name):
     """Cores and keys of names are far larger than the files that Spark's size check looks at."""
     assert "Broadcast" not in ran(plans.QUERIES[name](spark, SF))
