@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.draws import WORD, key, mix, permuted
-from ..sources.tables import durable, numbered
+from ..sources.tables import durable, numbered, settled
 from .ranks import null_safe
 from .resample import indexed
 
@@ -120,7 +120,9 @@ def family_chance(observed: DataFrame, nulls: DataFrame, alpha: float = 0.05) ->
     observed (cell, value); nulls (cell, null_name, draw, value), draws from 1. A value clears
     when for each null at most alpha of its draws are as far out in the value's own direction. A
     chance family is the draws of the first null (by name) of each cell; shares are by rank, not
-    by comparing all pairs of draws."""
+    by comparing all pairs of draws. Draws are written once: they stand on both sides of the comparison, and sums that are
+    worked out twice differ in their last digits, so that a draw may not count as equal to itself."""
+    nulls = durable(nulls.select("cell", "null_name", "draw", "value"), "nulls")
     first = nulls.groupBy("cell").agg(F.min("null_name").alias("_first"))
     n_draws = nulls.groupBy("cell", "null_name").count().agg(F.min("count").alias("draws"))
     trial = nulls.join(first, "cell").where("null_name = _first").select("cell", "draw", "value").unionByName(observed.select("cell", F.lit(0).cast(nulls.schema["draw"].dataType).alias("draw"), "value"))
@@ -136,6 +138,7 @@ def family_chance(observed: DataFrame, nulls: DataFrame, alpha: float = 0.05) ->
     counts = clear.groupBy("draw").agg(F.sum(F.col("clear").cast("int")).alias("k"), F.count("*").alias("cells"))
     seen = counts.where("draw = 0").select(F.col("cells").alias("n_cells"), F.col("k").alias("observed_clear"))
     out = counts.where("draw > 0").crossJoin(F.broadcast(n_draws)).where("draw <= draws").crossJoin(F.broadcast(seen))  # one row each
-    return out.groupBy("n_cells", "observed_clear", "draws").agg(
+    out = out.groupBy("n_cells", "observed_clear", "draws").agg(
         F.avg("k").alias("expected"), F.stddev_pop("k").alias("sd"), F.percentile("k", 0.95).alias("p95"), F.avg((F.col("k") >= 1).cast("double")).alias("p_any"), F.avg((F.col("k") >= F.col("observed_clear")).cast("double")).alias("p_at_least_observed"),
     )
+    return settled(out, nulls)

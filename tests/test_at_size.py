@@ -1,8 +1,12 @@
 """What queries must not do at size, seen on the smallest tables."""
 
+import os
+
 import pytest
+from pyspark.sql import functions as F
 
 from panelyard import plans
+from panelyard.operators import nulls as NU
 
 SF = "/root/testdata/sf0.001"
 
@@ -17,3 +21,12 @@ def ran(df):
 def test_names_are_not_broadcast(spark, name):
     """Cores and keys of names are far larger than the files that Spark's size check looks at."""
     assert "Broadcast" not in ran(plans.QUERIES[name](spark, SF))
+
+
+def test_draws_are_equal_to_themselves(spark):
+    """Sums of many rows come out a little different each time: here, at each reading. Of 20 draws, one is as far out as one in 20."""
+    noise = F.udf(lambda v: v + int.from_bytes(os.urandom(4)) * 1e-18, "double").asNondeterministic()
+    obs = spark.range(20).select(F.concat(F.lit("c"), "id").alias("cell"), F.lit(0.5).alias("value"))
+    nulls = obs.join(spark.range(1, 21)).select("cell", F.lit("n").alias("null_name"), F.col("id").alias("draw"), noise(F.col("id") / 20).alias("value"))
+    r = NU.family_chance(obs, nulls, 0.05).first()
+    assert (r.n_cells, r.draws, r.expected, r.observed_clear) == (20, 20, 1.0, 0) and r.p_any == 0.05
