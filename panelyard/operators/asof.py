@@ -66,6 +66,35 @@ def lookup(bars: DataFrame, probes: DataFrame, day: str = "day", side: str = "<=
     return out.select(*(probes[c] for c in probes.columns), F.col("_bar.date").alias(f"{prefix}date"), F.col("_bar.close").alias(f"{prefix}close"), F.col("_pos").alias(f"{prefix}pos"))
 
 
+def strips(bars: DataFrame, bench: DataFrame, known: bool = False) -> DataFrame:
+    """(ticker, dates, closes, benches): all bars of a ticker in order, in one row, which the calendar bounds, with the
+    benchmark's last close on or before each date: null before it starts, or with `known` without those dates.
+
+    Bars are shuffled by ticker once. What joins these rows on the ticker alone finds a bar's place by upto() and a place's bar by
+    F.get: no row per place is made to be joined. Ask for a merge of the sorted sides in such joins (`hint("merge")`)."""
+    own = beside(bars.select("ticker", "date", F.col("close").cast("double").alias("close")).repartition("ticker"), bench)
+    own = own.where("bench is not null") if known else own
+    rows = own.groupBy("ticker").agg(F.array_sort(F.collect_list(F.struct("date", "close", "bench"))).alias("_held"))
+    return rows.select("ticker", F.col("_held.date").alias("dates"), F.col("_held.close").alias("closes"), F.col("_held.bench").alias("benches"))
+
+
+def beside(rows: DataFrame, bench: DataFrame) -> DataFrame:
+    """rows (date, ...) with `bench`, the benchmark's last close on or before the date: a broadcast of a row for each calendar day from its first to its last."""
+    one = bench.groupBy("date").agg(F.max("close").cast("double").alias("close")).where("date is not null")
+    ends = F.coalesce(F.date_sub(F.lead("date").over(Window.orderBy("date")), 1), F.col("date"))  # a row per calendar date
+    days = one.withColumn("_end", ends).select(F.explode(F.sequence("date", "_end")).alias("date"), F.col("close").alias("bench"))
+    last = one.agg(F.max_by("close", "date").alias("_last"), F.max("date").alias("_until"))
+    out = rows.join(F.broadcast(days), "date", "left").crossJoin(F.broadcast(last))  # one row
+    return out.withColumn("bench", F.when(F.col("date") > F.col("_until"), F.col("_last")).otherwise(F.col("bench"))).drop("_last", "_until")
+
+
+def upto(dates: Column, day: Column, before: bool = False) -> Column:
+    """How many of the dates, in order, are on or before the day, or before it: halved from the largest power of two. Null for no day."""
+    halves = F.array(*(F.lit(1 << k) for k in range(22, -1, -1)))  # more days than Spark's calendar has
+    found = lambda at: F.get(dates, at - 1) < day if before else F.get(dates, at - 1) <= day
+    return F.when(day.isNotNull(), F.aggregate(halves, F.lit(0), lambda at, step: F.when(found(at + step), at + step).otherwise(at)))
+
+
 def close_at(bars: DataFrame, probes: DataFrame, max_stale_days: int = 14, day: str = "day") -> DataFrame:
     """probes with `px`, the last close on or before the day, null if older than max_stale_days."""
     fresh = F.datediff(day, "_px_date") <= max_stale_days

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .asof import calendar, lookup, positioned, series
+from .asof import calendar, lookup, positioned, series, strips, upto
 from .ranks import quantiles
 
 MIN_BARS = 30
@@ -80,17 +80,28 @@ def abnormal_path(events: DataFrame, bars: DataFrame, bench: DataFrame, lo: int,
     return out.select("event_id", "offset", (F.col("close") / F.col("b_close") - F.col("bench") / F.col("b_bench")).alias("ar"))
 
 
+def daily_windows(events: DataFrame, bars: DataFrame, bench: DataFrame, lo: int, hi: int) -> DataFrame:
+    """events (event_id, ticker, day) -> (event_id, ticker, f_pos, ars): the place of the first bar at or after the day, among those on
+    which the benchmark has a close, and the bar-to-bar returns minus the benchmark's for lo..hi around it, null unless
+    all are there. Events without such a bar have no row."""
+    held = strips(bars, bench, known=True)
+    before = lambda c: F.concat(F.array(F.lit(None).cast("double")), F.slice(c, 1, F.size(c) - 1))
+    change = lambda c: F.zip_with(c, before(c), lambda x, y: x / y - 1)
+    ars = F.zip_with(change("closes"), change("benches"), lambda a, b: a - b)
+    held = held.select("ticker", "dates", ars.alias("_all"))
+    out = events.select("event_id", "ticker", F.col("day").cast("date").alias("day")).join(held.hint("merge"), "ticker")
+    out = out.withColumn("f_pos", upto(F.col("dates"), F.col("day"), before=True) + 1).where(F.col("f_pos") <= F.size("dates"))
+    window = F.slice("_all", F.greatest(F.col("f_pos") + lo, F.lit(1)), hi - lo + 1)
+    fits = (F.col("f_pos") + lo >= 1) & (F.col("f_pos") + hi <= F.size("dates"))
+    out = out.withColumn("_ars", F.when(fits, window)).drop("dates", "_all", "day")
+    return out.select("event_id", "ticker", "f_pos", F.when(F.forall("_ars", lambda x: x.isNotNull()), F.col("_ars")).alias("ars"))
+
+
 def daily_abnormal(events: DataFrame, bars: DataFrame, bench: DataFrame, lo: int, hi: int) -> DataFrame:
     """(event_id, offset, ar): bar-to-bar return minus the benchmark's, for lo..hi around the
     first bar at or after the day; only events with every offset."""
-    w = Window.partitionBy("ticker").orderBy("pos")
-    held = with_benchmark(bars, bench)
-    pos = held.withColumn("ar", (F.col("close") / F.lag("close").over(w) - 1) - (F.col("bench") / F.lag("bench").over(w) - 1))
-    own = lookup(held, events, side=">=", prefix="f_").where("f_pos is not null")
-    out = own.withColumn("offset", F.explode(F.sequence(F.lit(lo), F.lit(hi)))).withColumn("pos", F.col("f_pos") + F.col("offset"))
-    out = out.join(pos.select("ticker", "pos", "ar"), ["ticker", "pos"]).where("ar is not null")
-    full = F.count("*").over(Window.partitionBy("event_id"))
-    return out.withColumn("_n", full).where(F.col("_n") == hi - lo + 1).select("event_id", "offset", "ar")
+    out = daily_windows(events, bars, bench, lo, hi).where("ars is not null").select("event_id", F.posexplode("ars").alias("offset", "ar"))
+    return out.select("event_id", (F.col("offset") + lo).alias("offset"), "ar")
 
 
 def med_abs_ratio(ar: DataFrame, day: int = 0, quiet_min: int = 6) -> DataFrame:

@@ -17,7 +17,7 @@ from ..operators.variance import spearman
 from ..sources import views as V
 from .null_queries import CELLS, DRAWS, _cases, _did, _h, recursive
 from .panel_queries import _VINT, DEC_S, EXIT, UNI_C, R, dec_s
-from .price_queries import _DA, daily
+from .price_queries import _DA
 from .share_queries import _CAP, _CORR, flags
 
 Q: dict[str, tuple] = {}
@@ -176,11 +176,14 @@ def w7(spark: SparkSession, d: str) -> DataFrame:
 
 @query("w10_quiet_band_without_events", _DA + """, ev as (select an.ticker, an.f_pos from an), q as (select an.event_id, an.ticker, an.f_pos + x."offset" as pos, x.ar from an join full_ x on x.event_id = an.event_id where x."offset" <= -6) select q.event_id, count(*) as days, round(median(abs(ar)), 9) as quiet from q where (q.ticker, q.pos) not in (select (ticker, f_pos) from ev) group by 1""")
 def w10(spark: SparkSession, d: str) -> DataFrame:
-    pos = T.with_benchmark(V.bars(spark, d), V.bench(spark, d)).select("ticker", "date", "close", "pos")
-    days = A.lookup(pos, V.event_days(spark, d), side=">=", prefix="f_").where("f_pos is not null").select("event_id", "ticker", "f_pos")
-    q = daily(spark, d).where("offset <= -6").join(days, "event_id").withColumn("pos", F.col("f_pos") + F.col("offset"))
-    q = q.join(days.select("ticker", F.col("f_pos").alias("pos")).distinct(), ["ticker", "pos"], "left_anti")
-    return q.groupBy("event_id").agg(F.count("*").alias("days"), R(F.median(F.abs("ar")), 9).alias("quiet"))
+    lo, hi = -10, -6
+    rows = T.daily_windows(V.event_days(spark, d), V.bars(spark, d), V.bench(spark, d), lo, 3)
+    near = F.collect_set("f_pos").over(Window.partitionBy("ticker").orderBy("f_pos").rangeBetween(lo, hi))  # five places at most
+    rows = rows.withColumn("_near", near).where("ars is not null")
+    quiet = F.filter(F.slice("ars", 1, hi - lo + 1), lambda x, i: ~F.array_contains("_near", F.col("f_pos") + lo + i))
+    rows = rows.select("event_id", F.array_sort(F.transform(quiet, F.abs)).alias("_q")).withColumn("days", F.size("_q")).where("days > 0")
+    middle = (F.get("_q", F.expr("(days - 1) div 2").cast("int")) + F.get("_q", F.expr("days div 2").cast("int"))) / 2
+    return rows.select("event_id", F.col("days").cast("long").alias("days"), R(middle, 9).alias("quiet"))
 
 
 @query("v11b_cap_continuity", _CAP + """, k as (select cik, fiscal_year, px, outstanding * px as cap from c where px is not null) select a.cik, a.fiscal_year, round((b.cap / a.cap) / (b.px / a.px), 8) as implied_growth from k a join k b on b.cik = a.cik and b.fiscal_year = a.fiscal_year + 1 where not ((b.cap / a.cap) / (b.px / a.px) between 0.5 and 2)""")

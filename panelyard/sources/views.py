@@ -16,7 +16,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers as tickers, the mean unit price of a ship date as the close."""
     li = table(spark, sf_dir, "lineitem").select("l_suppkey", F.to_date("l_shipdate").alias("date"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("p"), "l_quantity")
-    return li.groupBy(F.concat(F.lit("S"), "l_suppkey").alias("ticker"), "date").agg(F.round(F.avg("p"), 8).alias("close"), F.sum("l_quantity").cast("long").alias("volume"))
+    days = li.groupBy("l_suppkey", "date").agg(F.round(F.avg("p"), 8).alias("close"), F.sum("l_quantity").cast("long").alias("volume"))
+    return days.select(F.concat(F.lit("S"), "l_suppkey").alias("ticker"), "date", "close", "volume")
 
 
 def bench(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +54,8 @@ def panel_c(spark: SparkSession, sf_dir: str) -> DataFrame:
 def event_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(event_id, ticker, day): a supplier's order days, one event a month: the first."""
     li, o = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey"), table(spark, sf_dir, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("day"))
-    e = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).groupBy(F.concat(F.lit("S"), "l_suppkey").alias("ticker"), F.trunc("day", "month").alias("m")).agg(F.min("day").alias("day"))
+    e = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("l_suppkey", F.trunc("day", "month").alias("m")).agg(F.min("day").alias("day"))
+    e = e.select(F.concat(F.lit("S"), "l_suppkey").alias("ticker"), "day")
     return e.select(F.concat_ws("|", "ticker", "day").alias("event_id"), "ticker", "day")
 
 
