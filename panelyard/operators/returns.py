@@ -112,31 +112,35 @@ def med_abs_ratio(ar: DataFrame, day: int = 0, quiet_min: int = 6) -> DataFrame:
     return mid.agg((of("day") / of("quiet")).alias("ratio"))
 
 
+def paths_between(pairs: DataFrame, bars: DataFrame, bench: DataFrame, points: int = 10, post_days: int = 20, min_trading_days: int = 20, max_gap_days: int = 7, min_bars: int = 60) -> DataFrame:
+    """path_between with one row a pair: (pair_id, ntd, p, q, pre20, pre, post), p and q being arrays of the legs' values from k = 1."""
+    held = strips(bars, bench).select("ticker", "dates", F.zip_with("closes", "benches", lambda c, b: F.ln(c) - F.ln(b)).alias("_v"))
+    two = pairs.select("pair_id", "ticker", *(F.col(c).cast("date").alias(c) for c in ("d0", "d1"))).join(held.hint("merge"), "ticker").where(F.size("dates") >= min_bars)
+    dates = F.col("dates")
+    two = two.withColumn("a_pos", upto(dates, F.col("d0"))).withColumn("z_pos", upto(dates, F.col("d1"), before=True)).withColumn("ntd", F.col("z_pos") - F.col("a_pos"))
+    gap = lambda day, pos: F.datediff(day, F.get(dates, F.col(pos) - 1))
+    two = two.where((gap("d0", "a_pos") <= max_gap_days) & (gap("d1", "z_pos") <= max_gap_days) & (F.col("ntd") >= min_trading_days))
+    at = lambda pos: F.get("_v", pos - 1)
+    a, z = F.col("a_pos"), F.col("z_pos")
+    p = F.array(*(at(a + F.bround(F.lit(k / points) * F.col("ntd")).cast("int")) - at(a) for k in range(1, points + 1)))
+    q = F.array(*(at(z + k) - at(z) for k in range(1, post_days + 1)))
+    out = two.select("pair_id", "ntd", p.alias("p"), q.alias("q"), (at(z) - at(z - 20)).alias("pre20"))
+    out = out.withColumn("pre", F.get("p", F.lit(points - 1))).withColumn("post", F.get("q", F.lit(post_days - 1)))
+    # both anchors must have a benchmark: then the last p is known
+    return out.where("pre is not null")
+
+
 def path_between(pairs: DataFrame, bars: DataFrame, bench: DataFrame, points: int = 10, post_days: int = 20, min_trading_days: int = 20, max_gap_days: int = 7, min_bars: int = 60) -> DataFrame:
     """pairs (pair_id, ticker, d0, d1) -> (pair_id, ntd, leg, k, v) long: leg p at equal fractions
     of the trading days between the anchors (positions rounded half to even), leg q daily after
     d1, and pre20, pre, post, total (k null). Log returns minus the benchmark's.
 
     d0's base is the last close on or before it, d1's the last one strictly before."""
-    pos = positioned(bars)
-    two = lookup(pos, lookup(pos, pairs, "d0", "<=", "a_"), "d1", "<", "z_")
-    n = series(bars).select("ticker", "n_bars")
-    two = two.join(n, "ticker").where((F.col("n_bars") >= min_bars) & (F.datediff("d0", "a_date") <= max_gap_days) & (F.datediff("d1", "z_date") <= max_gap_days) & (F.col("z_pos") - F.col("a_pos") >= min_trading_days))
-    cal = F.broadcast(calendar(bars, bench))
-    logs = pos.join(cal, "date", "left").select("ticker", "pos", (F.ln("close") - F.ln("bench")).alias("v"))
-    ntd = F.col("z_pos") - F.col("a_pos")
-    grid = [F.struct(F.lit("p").alias("leg"), F.lit(k).alias("k"), (F.col("a_pos") + F.bround(F.lit(k / points) * ntd).cast("int")).alias("pos"), F.col("a_pos").alias("base")) for k in range(1, points + 1)]
-    grid += [F.struct(F.lit("q").alias("leg"), F.lit(k).alias("k"), (F.col("z_pos") + k).alias("pos"), F.col("z_pos").alias("base")) for k in range(1, post_days + 1)]
-    grid.append(F.struct(F.lit("pre20").alias("leg"), F.lit(None).cast("int").alias("k"), F.col("z_pos").alias("pos"), (F.col("z_pos") - 20).alias("base")))
-    rows = two.select("pair_id", "ticker", ntd.alias("ntd"), F.explode(F.array(*grid)).alias("g")).select("pair_id", "ticker", "ntd", "g.*")
-    base = logs.select("ticker", F.col("pos").alias("base"), F.col("v").alias("v0"))
-    rows = rows.join(logs, ["ticker", "pos"], "left").join(base, ["ticker", "base"], "left").select("pair_id", "ntd", "leg", "k", (F.col("v") - F.col("v0")).alias("v"))
-    # both anchors must have a benchmark: then the last p is known
-    known = Window.partitionBy("pair_id")
-    rows = rows.withColumn("_pre", F.max(F.when((F.col("leg") == "p") & (F.col("k") == points), F.col("v"))).over(known)).where("_pre is not null").drop("_pre")
-    pre, post = F.max(F.when((F.col("leg") == "p") & (F.col("k") == points), F.col("v"))), F.max(F.when((F.col("leg") == "q") & (F.col("k") == post_days), F.col("v")))
-    sums = rows.groupBy("pair_id", "ntd").agg(pre.alias("pre"), post.alias("post")).select("pair_id", "ntd", F.explode(F.array(*(F.struct(F.lit(n).alias("leg"), v.alias("v")) for n, v in (("pre", F.col("pre")), ("post", F.col("post")), ("total", F.col("pre") + F.col("post")))))).alias("s"))
-    return rows.unionByName(sums.select("pair_id", "ntd", "s.leg", F.lit(None).cast("int").alias("k"), "s.v"))
+    wide = paths_between(pairs, bars, bench, points, post_days, min_trading_days, max_gap_days, min_bars)
+    of = lambda leg, k, v: F.struct(F.lit(leg).alias("leg"), F.lit(k).cast("int").alias("k"), v.alias("v"))
+    legs = [of(c, k, F.col(c)[k - 1]) for c, n in (("p", points), ("q", post_days)) for k in range(1, n + 1)]
+    legs += [of(c, None, F.col(c)) for c in ("pre20", "pre", "post")] + [of("total", None, F.col("pre") + F.col("post"))]
+    return wide.select("pair_id", "ntd", F.explode(F.array(*legs)).alias("s")).select("pair_id", "ntd", "s.*")
 
 
 def segment_returns(events: DataFrame, bars: DataFrame, bench: DataFrame, segments: dict[str, tuple[int, int]], anchor_shift: int = 0, max_stale_days: int = 14, edge_slack_days: int = 0) -> DataFrame:

@@ -193,10 +193,8 @@ def e6(spark: SparkSession, d: str) -> DataFrame:
 
     ev = V.event_days(spark, d)
     pairs = ev.select("ticker", F.col("event_id").alias("pair_id"), F.col("day").alias("d0"), F.lead("day", 6).over(Window.partitionBy("ticker").orderBy("day")).alias("d1")).where("d1 is not null")
-    rows = T.path_between(pairs, V.bars(spark, d), V.bench(spark, d))
-    at = lambda leg, k: F.max(F.when((F.col("leg") == leg) & F.col("k").eqNullSafe(F.lit(k)), F.col("v")))
-    g = rows.groupBy("pair_id", "ntd").agg(at("pre", None).alias("pre"), at("post", None).alias("post"), at("p", 5).alias("p_5"))
-    return g.select("pair_id", "ntd", *(R(c, 9).alias(c) for c in ("pre", "post", "p_5")))
+    rows = T.paths_between(pairs, V.bars(spark, d), V.bench(spark, d))
+    return rows.select("pair_id", "ntd", R("pre", 9).alias("pre"), R("post", 9).alias("post"), R(F.col("p")[4], 9).alias("p_5"))
 
 
 SEGMENTS = {"s_-30_0": (-30, 0), "s_0_30": (0, 30), "s_30_90": (30, 90)}

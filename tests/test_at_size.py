@@ -55,9 +55,9 @@ def _each(seq):
     return [seq.apply(i) for i in range(seq.size())]
 
 
-@pytest.mark.parametrize("name", ["w10_quiet_band_without_events"])
+@pytest.mark.parametrize("name", ["w10_quiet_band_without_events", "e6_path_between"])
 def test_offsets_and_points_are_not_shuffled(spark, name):
-    """Order lines go through two shuffles for the events and two as bars; no row per offset does."""
+    """Order lines go through two shuffles for the events and two as bars; no row per offset or point does."""
     lines = spark.read.parquet(f"{SF}/lineitem.parquet").count()
     assert shuffled(spark, lambda: plans.QUERIES[name](spark, SF)) < 5 * lines
 
